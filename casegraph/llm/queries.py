@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, packing
+from . import bpe, fingerprint, minhash, packing
 from .common import table
 
 #: The vocabulary that queries use; operators take the path as a parameter.
@@ -26,8 +26,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op5_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
