@@ -65,21 +65,23 @@ def powers(n: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte but letters and digits.
+_PUNCT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: One random 64-bit value per byte, from a rule.
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 
 
-def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts in order, and each text's number of words.
 
-    Only A-Z are lower-cased. A word's hash is a polynomial over random byte values, finalised; it is the same in any
+    With letters, any ASCII character but letters and digits separates words. Only A-Z are lower-cased. A word's hash is a polynomial over random byte values, finalised; it is the same in any
     process.
     """
     blob = "\n".join([t or "" for t in texts]).encode() + b"\n"
     raw = np.frombuffer(blob, np.uint8)
-    space = _SPACE[raw]
+    space = (_PUNCT if letters else _SPACE)[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     start, stop = edge[::2], edge[1::2]
     sizes = np.fromiter((len(t.encode()) if t else 0 for t in texts), np.int64, len(texts))

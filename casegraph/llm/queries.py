@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, minhash, packing
+from . import bpe, fingerprint, lines, minhash, packing, quality, urls
 from .common import table
 
 #: The vocabulary that queries use; operators take the path as a parameter.
@@ -30,9 +30,26 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.result(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Given rules of the page filter (fixed values of its contract).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, URL_RULES, urls.mine(pages, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op5_minhash)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op5_minhash, op7_lines, op8_quality, op9_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_lines": lines.SQL}
