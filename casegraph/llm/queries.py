@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, lines, minhash, packing, quality, urls
+from . import bpe, fingerprint, language, lines, minhash, packing, quality, toxicity, urls
 from .common import table
 
 #: The vocabulary that queries use; operators take the path as a parameter.
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.result(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -47,8 +51,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, urls.mine(pages, table(spark, sf_dir, "labels")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op4_packing, op5_minhash, op7_lines, op8_quality, op9_urls)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_language, op4_packing, op5_minhash, op7_lines, op8_quality, op9_urls, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
