@@ -73,7 +73,7 @@ _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
 
 
-def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts in order, and each text's number of words.
 
     With letters, any ASCII character but letters and digits separates words. Only A-Z are lower-cased. A word's hash is a polynomial over random byte values, finalised; it is the same in any
@@ -88,7 +88,7 @@ def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = Fal
     ends = np.cumsum(sizes + 1)
     counts = np.diff(np.concatenate(([0], np.searchsorted(start, ends))))
     if not len(start):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64), counts
     if lower:
         raw = _LOWER[raw]
     length = stop - start
@@ -96,4 +96,8 @@ def word_hashes(texts: list[str | None], lower: bool = True, letters: bool = Fal
     inside = at - np.repeat(start, length)
     value = _BYTE[raw[at]] * powers(int(length.max()))[inside]
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    return mix(np.add.reduceat(value, first) + length.astype(np.uint64)), counts
+    whole = mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+    if not prefixes:
+        return whole, counts
+    heads = [np.where(length > k, mix(np.add.reduceat(np.where(inside < k, value, np.uint64(0)), first) ^ np.uint64(k << 56)), np.uint64(0)) for k in prefixes]
+    return np.stack([whole, *heads]), counts

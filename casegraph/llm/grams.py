@@ -43,13 +43,44 @@ def _sliding(x: np.ndarray, width: int, fold) -> np.ndarray:
     return x
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of grams that are the least of some run of SPAN grams; none in texts shorter than a match."""
-    h = window_hashes(raw, GRAM)
-    if len(h) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = _sliding(h, SPAN, np.minimum)
-    edge = np.zeros(SPAN - 1, np.uint64)
-    most = _sliding(np.concatenate((edge, low, edge)), SPAN, np.maximum)
-    at = np.flatnonzero(most == h)
-    return at, h[at]
+class Grams:
+    """Anchors of concatenated texts: starts are their first bytes. Matches never cross texts."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.start = np.cumsum(self.size) - self.size
+        h = window_hashes(self.raw, GRAM)
+        if len(h) < SPAN:
+            self.low = self.hashes = np.zeros(0, np.uint64)
+            self.at = np.zeros(0, np.int64)
+            return
+        self.low = _sliding(h, SPAN, np.minimum)
+        for lo, n in zip(self.start.tolist(), self.size.tolist(), strict=True):  # windows into the next text
+            self.low[max(lo, lo + n - MATCH + 1) : lo + n] = 0
+        edge = np.zeros(SPAN - 1, np.uint64)
+        most = _sliding(np.concatenate((edge, self.low, edge)), SPAN, np.maximum)
+        self.at = np.flatnonzero((most == h) & (h > 0))
+        self.hashes = h[self.at]
+
+    def owners(self) -> np.ndarray:
+        return np.searchsorted(self.start + self.size, self.at, side="right")
+
+    def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the anchors some: first byte and size of what their matches span, and a hash of it and the anchor.
+
+        A match counts for an anchor if the anchor is its least gram; such matches start in one run.
+        """
+        at, h = self.at[some], self.hashes[some]
+        first, last = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+        for back in range(SPAN):
+            s = at - back
+            hit = (s >= 0) & (s < len(self.low))
+            hit[hit] = self.low[s[hit]] == h[hit]
+            first[hit] = s[hit]
+            last[hit & (last < 0)] = s[hit & (last < 0)]
+        size = last - first + MATCH
+        up, down = _tables(len(self.raw))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.raw] * up)))
+        content = (total[first + size] - total[first]) * down[first]
+        return first, size, mix(mix(content + size.astype(np.uint64)) + h)

@@ -175,4 +175,6 @@ def result(df: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(df, fit(df, labels)).filter("__kept").select(*df.columns)
+    # The row number keeps the filter above the statistics: pushed below them, it would hold each of them many times over.
+    judged = judge(df, fit(df, labels)).withColumn("__row", F.monotonically_increasing_id())
+    return judged.filter((F.col("__row") >= 0) & F.col("__kept")).select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, lines, minhash, packing, quality, toxicity, urls
+from . import bpe, fingerprint, language, lines, minhash, packing, quality, substrings, toxicity, urls
 from .common import table
 
 #: The vocabulary that queries use; operators take the path as a parameter.
@@ -34,6 +34,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.result(table(spark, sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.result(table(spark, sf_dir, "documents"))
 
@@ -55,8 +59,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline; its module is at the repository's top."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_language, op4_packing, op5_minhash, op7_lines, op8_quality, op9_urls, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_language, op4_packing, op5_minhash, op6_substrings, op7_lines, op8_quality, op9_urls, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

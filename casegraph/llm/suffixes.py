@@ -98,13 +98,21 @@ def suffix_arrays(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _emit(order, group, place, length, stop, owner, base, sizes) -> np.ndarray:  # noqa: ANN001
-    """Orders each group by the places of the suffixes behind its Lyndon prefixes, as soon as those are known."""
+    """Orders each group by the places of the suffixes behind its Lyndon prefixes, as soon as those are known.
+
+    Those are smaller, so they stand in lower groups or, where a word repeats, in the same one.
+    """
     n = len(order)
     if not n:
         return order
     behind = np.arange(n) + length
     ended = behind >= (base + sizes)[owner]
     behind = np.where(ended, 0, behind)
+    # A word that repeats: the suffix behind its last repetition, and how often it stands there (more is greater).
+    times = np.ones(n, np.int64)
+    while len(same := np.flatnonzero(~ended & (group[behind] == group))):
+        to = behind[same]
+        times[same], ended[same], behind[same] = times[same] + times[to], ended[to], behind[to]
     size = stop[group] - group
     final = size == 1
     todo = np.flatnonzero(~final)
@@ -114,7 +122,7 @@ def _emit(order, group, place, length, stop, owner, base, sizes) -> np.ndarray:
         waits[group[todo[~known]]] = True
         ready = todo[~waits[group[todo]]]
         key = np.where(ended[ready], -1, place[behind[ready]])
-        ready = ready[np.lexsort((key, group[ready]))]
+        ready = ready[np.lexsort((key, times[ready], group[ready]))]
         head = np.concatenate(([True], group[ready][1:] != group[ready][:-1]))
         first = np.flatnonzero(head)
         at = group[ready] + np.arange(len(ready)) - np.repeat(first, np.diff(np.append(first, len(ready))))

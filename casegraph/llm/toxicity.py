@@ -14,12 +14,16 @@ from .common import materialize, with_columns_as, word_hashes
 from .minhash import runs
 
 
+#: Lengths in bytes of word beginnings that count as features of their own, for compounds and endings.
+PREFIXES = (5, 7)
+
+
 def word_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Sorted hashes of the distinct words (ASCII punctuation separates, A-Z lower-cased) of each whole text."""
-    words, counts = word_hashes(texts, letters=True)
+    """Sorted hashes of each whole text's distinct words (ASCII punctuation separates, A-Z lower-cased) and beginnings."""
+    words, counts = word_hashes(texts, letters=True, prefixes=PREFIXES)
     at = 0
     for n in counts.tolist():
-        yield np.unique(words[at : at + n])
+        yield np.unique(words[:, at : at + n])
         at += n
 
 
@@ -52,7 +56,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 3e-4, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weighted logistic regression (both classes count alike) by accelerated gradient steps."""
     share = np.clip(y.mean(), 1e-9, 1 - 1e-9)
     weight = np.where(y, 0.5 / share, 0.5 / (1 - share)) / len(y)
@@ -82,7 +86,7 @@ def cut_of(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][best] + below) / 2)
 
 
-def fit(df: DataFrame, labels: DataFrame, categories: list[str], sample: int = 6_000, words: int = 120, folds: int = 5) -> Chain:
+def fit(df: DataFrame, labels: DataFrame, categories: list[str], sample: int = 6_000, words: int = 400, folds: int = 5) -> Chain:
     """Trains a chain on labels (doc_id and a 0/1 column for each category).
 
     At most about ``sample`` labels by a hash of doc_id, and each category's ``words`` most telling words (chi-square,
