@@ -14,16 +14,12 @@ from .common import materialize, with_columns_as, word_hashes
 from .minhash import runs
 
 
-#: Lengths in bytes of word beginnings that count as features of their own, for compounds and endings.
-PREFIXES = (5, 7)
-
-
 def word_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Sorted hashes of each whole text's distinct words (ASCII punctuation separates, A-Z lower-cased) and beginnings."""
-    words, counts = word_hashes(texts, letters=True, prefixes=PREFIXES)
+    """Sorted hashes of each whole text's distinct words (ASCII punctuation separates, A-Z lower-cased)."""
+    words, counts = word_hashes(texts, letters=True)
     at = 0
     for n in counts.tolist():
-        yield np.unique(words[:, at : at + n])
+        yield np.unique(words[at : at + n])
         at += n
 
 
@@ -56,25 +52,31 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 3e-4, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression (both classes count alike) by accelerated gradient steps."""
-    share = np.clip(y.mean(), 1e-9, 1 - 1e-9)
-    weight = np.where(y, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    xb = np.concatenate([x.astype(np.float32), np.ones((len(x), 1), np.float32)], axis=1)
-    v = np.random.default_rng(1).normal(size=xb.shape[1]).astype(np.float32)
-    for _ in range(12):  # greatest curvature
-        v = xb.T @ (weight * (xb @ v)).astype(np.float32)
-        v /= max(np.linalg.norm(v), 1e-12)
-    rate = 1 / (0.25 * float(((xb @ v) ** 2 * weight).sum()) * 1.1 + penalty)
-    w = np.zeros(xb.shape[1])
-    ahead, t = w, 1.0
-    for _ in range(steps):
-        g = xb.T @ (weight * (sigmoid(xb @ ahead.astype(np.float32)) - y)).astype(np.float32) + penalty * np.append(ahead[:-1], 0)
-        new, t_new = ahead - rate * g, (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+def linear(x: np.ndarray, y: np.ndarray, ridge: float = 30.0) -> tuple[np.ndarray, float]:
+    """Ridge regression on +1 and -1, both classes of equal weight; the margins' weights and bias."""
+    if not y.any() or y.all():
+        return np.zeros(x.shape[1]), 1.0 if y.all() else -1.0
+    weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    xb = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    gram = ((xb.T * weight.astype(np.float32)) @ xb).astype(np.float64)
+    gram[np.arange(x.shape[1]), np.arange(x.shape[1])] += ridge
+    w = np.linalg.solve(gram + 1e-9 * np.eye(len(gram)), xb.T @ (weight * np.where(y, 1.0, -1.0)))
     return w[:-1], float(w[-1])
 
 
+def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from margins to probabilities, by damped Newton steps."""
+    a, c = 2.0, 0.0
+    for _ in range(steps):
+        p = sigmoid(a * margin + c)
+        v = np.maximum(p * (1 - p), 1e-6)
+        g = np.array([((p - y) * margin).sum() + 1e-2 * a, (p - y).sum() + 1e-2 * c])
+        h = np.array([[(v * margin * margin).sum() + 1e-2, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-2]])
+        step = np.linalg.solve(h, g)
+        a, c = a - np.clip(step[0], -2, 2), c - np.clip(step[1], -2, 2)
+    return float(a), float(c)
+
+
 def cut_of(p: np.ndarray, y: np.ndarray) -> float:
     """The probability that gives the best F1 out of fold, halfway to the next lower one."""
     order = np.argsort(-p, kind="stable")
@@ -86,7 +88,7 @@ def cut_of(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][best] + below) / 2)
 
 
-def fit(df: DataFrame, labels: DataFrame, categories: list[str], sample: int = 6_000, words: int = 400, folds: int = 5) -> Chain:
+def fit(df: DataFrame, labels: DataFrame, categories: list[str], sample: int = 8_000, words: int = 120, folds: int = 5) -> Chain:
     """Trains a chain on labels (doc_id and a 0/1 column for each category).
 
     At most about ``sample`` labels by a hash of doc_id, and each category's ``words`` most telling words (chi-square,
@@ -142,17 +144,15 @@ def fit(df: DataFrame, labels: DataFrame, categories: list[str], sample: int = 6
     for y in ys:
         goal = got[y].to_numpy() > 0
         given = np.concatenate([x, before], axis=1)
-        guess = np.zeros(len(got))
+        margin = np.zeros(len(got))
         for k in range(folds):
-            rest = fold != k
-            if goal[rest].any() and not goal[rest].all():
-                w, b = logistic(given[rest], goal[rest])
-                guess[~rest] = sigmoid(given[~rest] @ w + b)
-            else:
-                guess[~rest] = goal[rest].mean() if rest.any() else 0.0
-        w, b = logistic(given, goal) if goal.any() and not goal.all() else (np.zeros(given.shape[1]), 30.0 if goal.all() else -30.0)
-        chain.weights.append(w)
-        chain.biases.append(b)
+            w, b = linear(given[fold != k], goal[fold != k]) if (fold != k).any() else (np.zeros(given.shape[1]), -1.0)
+            margin[fold == k] = given[fold == k] @ w + b
+        a, c = calibrate(margin, goal)
+        w, b = linear(given, goal)
+        chain.weights.append(w * a)
+        chain.biases.append(b * a + c)
+        guess = sigmoid(margin * a + c)
         chain.cuts.append(cut_of(guess, goal))
         before = np.concatenate([before, guess[:, None].astype(np.float32)], axis=1)
     return chain
