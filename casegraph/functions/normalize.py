@@ -9,9 +9,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocab
 
+#: What the address function returns.
+TRAITS = T.StructType().add("ip", "string").add("version", "integer").add("private", "boolean").add("cgnat", "boolean").add("attributable", "boolean")
+
 
 def node_id(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit("::"), F.lower(F.trim(value)))
@@ -22,7 +26,7 @@ def edge_id(u: Column, v: Column, relation: Column, method: Column, locator: Col
     return F.concat(F.lit("e_"), F.substring(F.sha1(F.concat_ws("|", u, v, relation, method, locator, source)), 1, 16))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """Canonical decomposition without non-spacing marks."""
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
@@ -73,7 +77,7 @@ def phone_area(e164: Column) -> Column:
     return F.when(e164.startswith("+54"), F.when(F.length(n) > 4, F.substring(n, 1, 4)).when(F.length(n) > 3, F.substring(n, 1, 3)).when(F.length(n) > 2, F.substring(n, 1, 2)))
 
 
-@F.pandas_udf("struct<ip:string,version:int,private:boolean,cgnat:boolean,attributable:boolean>")
+@F.pandas_udf(TRAITS)
 def ip(s: pd.Series) -> pd.DataFrame:
     """Canonical v4 or v6 address and traits; nulls if it is none."""
     shared = ipaddress.ip_network("100.64.0.0/10")
@@ -165,7 +169,7 @@ def list_text(items: Column) -> Column:
     return F.when(n <= 1, F.array_join(items, "")).otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(" y "), F.element_at(items, -1)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def record_hash(s: pd.Series) -> pd.Series:
     """Ledger hash of a record given as JSON: sha256 of its sorted-key form without ``hash``."""
     import hashlib
