@@ -33,6 +33,19 @@ def window_hashes(raw: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * down[:n])
 
 
+def spans(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Unfinished hash of each run raw[first : first + size], the same wherever it stands."""
+    up, down = _tables(len(raw) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:-1])))
+    return (total[first + size] - total[first]) * down[first]
+
+
+def context_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts and where their anchors stand in them: the anchor's hash, and that of both."""
+    anchor = mix(spans(raw, first + offset, np.full(len(first), GRAM)))
+    return anchor, mix(mix(spans(raw, first, size) + size.astype(np.uint64)) + anchor)
+
+
 def _sliding(x: np.ndarray, width: int, fold) -> np.ndarray:
     """Fold of each run of width values, by doubling."""
     have = 1
@@ -80,7 +93,4 @@ class Grams:
             first[hit] = s[hit]
             last[hit & (last < 0)] = s[hit & (last < 0)]
         size = last - first + MATCH
-        up, down = _tables(len(self.raw))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[self.raw] * up)))
-        content = (total[first + size] - total[first]) * down[first]
-        return first, size, mix(mix(content + size.astype(np.uint64)) + h)
+        return first, size, context_hashes(self.raw, first, size, at - first)[1]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, with_columns_as
-from .grams import MATCH, Grams
+from .grams import MATCH, Grams, context_hashes
 from .suffixes import _ranges, suffix_arrays
 
 #: Bytes of text in a group of documents and of contexts in a shard; slots of the anchor map for each anchor, and most.
@@ -90,7 +90,7 @@ def _shared_anchors(docs: DataFrame, total: int) -> tuple[int, bytes]:
 
 
 class _Found:
-    """Contexts of shared anchors in some texts: owner, first byte, size, anchor and context hash."""
+    """Contexts of shared anchors in some texts: owner, first byte, size, the anchor's place in it, hashes of both."""
 
     def __init__(self, texts: list[bytes], bits: int, flags: np.ndarray):
         parts: list[tuple[np.ndarray, ...]] = []
@@ -101,8 +101,8 @@ class _Found:
             if len(some):
                 first, size, content = g.contexts(some)
                 owner = g.owners()[some]
-                parts.append((owner + lo, first - g.start[owner], size, g.hashes[some], content))
-        self.owner, self.first, self.size, self.anchor, self.content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+                parts.append((owner + lo, first - g.start[owner], size, g.at[some] - first, g.hashes[some], content))
+        self.owner, self.first, self.size, self.offset, self.anchor, self.content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (*[np.int64] * 4, np.uint64, np.uint64))
 
 
 def _least_documents(anchor: np.ndarray, least: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
     groups = max(1, -(-total // GROUP_BYTES))
 
     def press(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = pa.array([None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("group"), b.column("doc_id"), b.column("tie"), packed], ["group", "doc_id", "tie", "packed"])
@@ -183,12 +183,14 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         begin, size = start[f.owner[one]] + f.first[one], f.size[one]
         shard = (anchor[head] % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(shard, kind="stable")
+        by = np.lexsort((begin, doc[head], shard))  # near documents and places together: they compress well
         edges = np.searchsorted(shard[by], np.arange(shards + 1))
-        z, rows = zstandard.ZstdCompressor(level=1), []
+        z, rows = zstandard.ZstdCompressor(level=3), []
         for k in np.unique(shard).tolist():
             at = by[edges[k] : edges[k + 1]]
-            parts = (anchor[head][at], content[head][at], doc[head][at], doc[tail][at], size[at].astype(np.uint8), raw[_ranges(begin[at], size[at])])
+            low, high = doc[head][at].view(np.uint64), doc[tail][at].view(np.uint64)
+            # Hashes are taken again from the contexts; of the greatest document goes the difference to the least.
+            parts = (low, high - low, size[at].astype(np.uint8), f.offset[one[at]].astype(np.uint8), raw[_ranges(begin[at], size[at])])
             rows.append((k, len(at), z.compress(b"".join(p.tobytes() for p in parts))))
         group = table.column("group")[0].as_py()
         return pa.table([pa.array([x[0] for x in rows], pa.int64()), pa.array([group] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["shard", "group", "n", "packed"])
@@ -197,13 +199,14 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
         z, got = zstandard.ZstdDecompressor(), []
         for group, n, packed in zip(*(table.column(c).to_pylist() for c in ("group", "n", "packed")), strict=True):
             blob, at, parts = z.decompress(packed), 0, []
-            for kind in (np.uint64, np.uint64, np.int64, np.int64, np.uint8):
+            for kind in (np.uint64, np.uint64, np.uint8, np.uint8):
                 parts.append(np.frombuffer(blob, kind, n, at))
                 at += n * np.dtype(kind).itemsize
             got.append((np.full(n, group), *parts, np.frombuffer(blob, np.uint8, -1, at)))
-        group, anchor, content, low, high, size, raw = (np.concatenate(x) for x in zip(*got, strict=True))
-        size = size.astype(np.int64)
+        group, low, more, size, offset, raw = (np.concatenate(x) for x in zip(*got, strict=True))
+        low, high, size = low.view(np.int64), (low + more).view(np.int64), size.astype(np.int64)
         begin = np.cumsum(size) - size
+        anchor, content = context_hashes(raw, begin, size, offset.astype(np.int64))
         order = np.lexsort((content, anchor))
         new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])))
         head = np.flatnonzero(new)
