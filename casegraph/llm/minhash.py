@@ -260,3 +260,17 @@ def keep_one(df: DataFrame, plan: Plan) -> DataFrame:
     once = tied.join(kept, tied["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (tied["__hash"] == F.col("__tie")))
     rank = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy("__hash"))
     return once.withColumn("__rank", rank).filter("__rank = 1 or __blank").select(*df.columns)
+
+
+#: The classes by brute force: all pairs that share a shingle, then everything each document reaches.
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN generate_series(1, len(w) - 2)]) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM sets UNION SELECT v, b FROM reach JOIN both_ ON r = a),
+least AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON v = doc_id
+"""

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_lines": lines.SQL}
+    return {"op5_minhash": minhash.SQL, "op7_lines": lines.SQL}
