@@ -24,8 +24,8 @@ from .suffixes import _ranges, suffix_arrays
 #: Bytes of text in a group of documents and of contexts in a shard; slots of the anchor map for each anchor, and most.
 GROUP_BYTES, SHARD_BYTES, SLOTS_EACH, MOST_BITS = 4 << 20, 2 << 20, 4, 31
 LEAST_ID = -(1 << 63)
-#: Bytes of text whose hashes are taken at once.
-SLICE_BYTES = 1 << 20
+#: Bytes of text whose hashes are taken at once, and of contexts that are sorted at once (whole anchors, one at least).
+SLICE_BYTES, SORT_BYTES = 1 << 20, 1 << 20
 
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -212,7 +212,14 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
         head = np.flatnonzero(new)
         one = order[head]
         least = np.minimum.reduceat(low[order], head)
-        docs_of = _least_documents(anchor[one], least, size[one], raw[_ranges(begin[one], size[one])])
+        anchor, size_of = anchor[one], size[one]
+        ends = np.flatnonzero(np.append(anchor[1:] != anchor[:-1], True)) + 1
+        done = np.cumsum(size_of)[ends - 1]
+        docs_of, lo = [], 0
+        for hi in ends[np.append(np.diff(done // SORT_BYTES) > 0, True)].tolist():
+            docs_of.append(_least_documents(anchor[lo:hi], least[lo:hi], size_of[lo:hi], raw[_ranges(begin[one[lo:hi]], size_of[lo:hi])]))
+            lo = hi
+        docs_of = np.concatenate(docs_of)
         windows = size[one] - MATCH + 1
         first = np.cumsum(windows) - windows
         lowest = np.minimum.reduceat(docs_of, first)

@@ -64,6 +64,7 @@ def test_cut_is_that_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP_BYTES", 3000)
     monkeypatch.setattr(substrings, "SHARD_BYTES", 700)
     monkeypatch.setattr(substrings, "SLICE_BYTES", 500)
+    monkeypatch.setattr(substrings, "SORT_BYTES", 400)
     for seed in (1, 2):
         rows = corpus(random.Random(seed))
         df = spark.createDataFrame([(d, t, "g", 1) for d, t in rows], SCHEMA)
