@@ -212,19 +212,25 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
         head = np.flatnonzero(new)
         one = order[head]
         least = np.minimum.reduceat(low[order], head)
-        anchor, size_of = anchor[one], size[one]
-        ends = np.flatnonzero(np.append(anchor[1:] != anchor[:-1], True)) + 1
-        done = np.cumsum(size_of)[ends - 1]
+        # Anchors with equally long strings are sorted together: a slice takes as many steps as its longest string has groups.
+        run = np.flatnonzero(np.append(True, anchor[one][1:] != anchor[one][:-1]))
+        count = np.diff(np.append(run, len(one)))
+        long = np.add.reduceat(size[one], run)
+        rank = np.argsort(long, kind="stable")
+        one, least, run = (x[_ranges(run[rank], count[rank])] for x in (one, least, np.arange(len(one))))
+        ends = np.cumsum(count[rank])
         docs_of, lo = [], 0
-        for hi in ends[np.append(np.diff(done // SORT_BYTES) > 0, True)].tolist():
-            docs_of.append(_least_documents(anchor[lo:hi], least[lo:hi], size_of[lo:hi], raw[_ranges(begin[one[lo:hi]], size_of[lo:hi])]))
+        for hi in ends[np.append(np.diff(np.cumsum(long[rank]) // SORT_BYTES) > 0, True)].tolist():
+            part = one[lo:hi]
+            docs_of.append(_least_documents(anchor[part], least[lo:hi], size[part], raw[_ranges(begin[part], size[part])]))
             lo = hi
         docs_of = np.concatenate(docs_of)
         windows = size[one] - MATCH + 1
         first = np.cumsum(windows) - windows
         lowest = np.minimum.reduceat(docs_of, first)
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
+        kind, slot = np.empty(len(order), np.int64), np.empty(len(one), np.int64)
+        slot[run] = np.arange(len(one))
+        kind[order] = slot[np.cumsum(new) - 1]
         want = np.flatnonzero(lowest[kind] < high)  # others have nothing to cut
         want = want[np.argsort(group[want], kind="stable")]
         edge = np.flatnonzero(np.concatenate(([True], group[want][1:] != group[want][:-1]))) if len(want) else np.zeros(0, np.int64)
