@@ -9,6 +9,8 @@ from .common import _BYTE, MULT, mix
 #: Bytes of a match, of a gram, and grams in a match; any match holds the least hash of its own grams.
 MATCH, GRAM = 50, 20
 SPAN = MATCH - GRAM + 1
+#: Bytes of text whose hashes are taken at once.
+SLICE_BYTES = 1 << 20
 _INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -40,10 +42,21 @@ def spans(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (total[first + size] - total[first]) * down[first]
 
 
-def context_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts and where their anchors stand in them: the anchor's hash, and that of both."""
-    anchor = mix(spans(raw, first + offset, np.full(len(first), GRAM)))
-    return anchor, mix(mix(spans(raw, first, size) + size.astype(np.uint64)) + anchor)
+def span_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, sized: bool = False) -> np.ndarray:
+    """Hash of each run raw[first : first + size], first ascending, in slices; sized mixes the size in."""
+    out = np.empty(len(first), np.uint64)
+    edges = np.append(np.unique(np.searchsorted(first, np.arange(0, len(raw), SLICE_BYTES))), len(first)).tolist()
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        if y > x:
+            lo, hi = int(first[x]), int((first[x:y] + size[x:y]).max())
+            h = spans(raw[lo:hi], first[x:y] - lo, size[x:y])
+            out[x:y] = mix(h + size[x:y].astype(np.uint64) if sized else h)
+    return out
+
+
+def both_hashes(content: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """One hash of a context's bytes and its anchor."""
+    return mix(content + anchor)
 
 
 def _sliding(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -93,4 +106,4 @@ class Grams:
             first[hit] = s[hit]
             last[hit & (last < 0)] = s[hit & (last < 0)]
         size = last - first + MATCH
-        return first, size, context_hashes(self.raw, first, size, at - first)[1]
+        return first, size, both_hashes(span_hashes(self.raw, first, size, sized=True), h)

@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, with_columns_as
-from .grams import MATCH, Grams, context_hashes
+from .grams import GRAM, MATCH, SLICE_BYTES, SPAN, Grams, both_hashes, span_hashes
 from .suffixes import _ranges, suffix_arrays
 
 #: Bytes of text in a group of documents and of contexts in a shard; slots of the anchor map for each anchor, and most.
 GROUP_BYTES, SHARD_BYTES, SLOTS_EACH, MOST_BITS = 4 << 20, 2 << 20, 4, 31
 LEAST_ID = -(1 << 63)
-#: Bytes of text whose hashes are taken at once, and of contexts that are sorted at once (whole anchors, one at least).
-SLICE_BYTES, SORT_BYTES = 1 << 20, 1 << 20
+#: Bytes before the anchor in a match, in classes: matches of one class and anchor are equal only if they agree in the
+#: bytes that all of the class hold, so only such contexts are sorted in one string.
+BACK = ((SPAN // 2, SPAN - 1), (0, SPAN // 2 - 1))
+#: Bytes of pieces that are sorted at once (whole strings, one at least).
+SORT_BYTES = 1 << 20
 
 
 def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -105,28 +108,23 @@ class _Found:
         self.owner, self.first, self.size, self.offset, self.anchor, self.content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (*[np.int64] * 4, np.uint64, np.uint64))
 
 
-def _least_documents(anchor: np.ndarray, least: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """The least document of each match in each context, in a row; contexts are sorted by anchor and differ."""
+def _least_documents(key: np.ndarray, least: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The least document of each match in each piece, in a row; pieces are sorted by key and differ."""
     windows = size - MATCH + 1
     out = np.repeat(least, windows)
     first = np.cumsum(windows) - windows
     begin = np.cumsum(size) - size
-    run = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    count = np.diff(np.append(run, len(anchor)))
-    several = np.repeat(count > 1, count)  # contexts that share their anchor with others; the rest are as they are
-    at = np.flatnonzero(several)
-    if not len(at):
-        return out
-    strings = np.add.reduceat((size + 1) * several, run)[count > 1]
-    n = int(((size + 1) * several).sum())
+    run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    strings = np.add.reduceat(size + 1, run)
+    n = int(strings.sum())
     text = np.zeros(n, np.uint16)
-    to = np.cumsum(size[at] + 1) - size[at] - 1
-    text[_ranges(to, size[at])] = raw[_ranges(begin[at], size[at])].astype(np.uint16) + 1
+    to = np.cumsum(size + 1) - size - 1
+    text[_ranges(to, size)] = raw.astype(np.uint16) + 1
     order = suffix_arrays(text, strings)
     which = np.full(n, -1, np.int64)  # the match that starts here
-    which[_ranges(to, windows[at])] = _ranges(first[at], windows[at])
+    which[_ranges(to, windows)] = np.arange(len(out))
     origin = np.zeros(n, np.int64)
-    origin[_ranges(to, windows[at])] = _ranges(begin[at], windows[at])
+    origin[_ranges(to, windows)] = _ranges(begin, windows)
     string = np.repeat(np.arange(len(strings)), strings)
     order = order[which[order] >= 0]
     words = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), strides=(1,))
@@ -141,6 +139,46 @@ def _least_documents(anchor: np.ndarray, least: np.ndarray, size: np.ndarray, ra
     return out
 
 
+def _fill(docs_of: np.ndarray, raw: np.ndarray, least: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.ndarray, first: np.ndarray, lo: int, hi: int) -> None:
+    """Writes the least documents of the matches with lo to hi bytes before the anchor.
+
+    Contexts stand in order of begin; a context's matches of one class are its piece.
+    """
+    start = np.maximum(offset - hi, 0)
+    count = np.minimum(windows, offset - lo + 1) - start
+    some = np.flatnonzero(count > 0)
+    if not len(some):
+        return
+    start, count = start[some], count[some]
+    at, size, to = begin[some] + start, count + MATCH - 1, first[some] + start
+    key = span_hashes(raw, (begin + offset)[some] - lo, np.full(len(some), MATCH - hi + lo))
+    piece = span_hashes(raw, at, size, sized=True)
+    order = np.lexsort((piece, key))
+    new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (piece[order][1:] != piece[order][:-1])))
+    head = np.flatnonzero(new)
+    one = order[head]
+    best = np.minimum.reduceat(least[some][order], head)
+    run = np.flatnonzero(np.append(True, key[one][1:] != key[one][:-1]))
+    members = np.diff(np.append(run, len(one)))
+    # A piece alone in its string is as it is. Equally long strings are sorted together: a slice takes as many steps as
+    # its longest string has groups.
+    long = np.add.reduceat(size[one], run)
+    rank = np.flatnonzero(members > 1)
+    rank = rank[np.argsort(long[rank], kind="stable")]
+    sorted_, ends = _ranges(run[rank], members[rank]), np.cumsum(members[rank])
+    pieces = np.cumsum(count[one]) - count[one]
+    found = np.repeat(best, count[one])
+    x = 0
+    for y in ends[np.append(np.diff(np.cumsum(long[rank]) // SORT_BYTES) > 0, True)].tolist() if len(rank) else []:
+        part = sorted_[x:y]
+        here = one[part]
+        found[_ranges(pieces[part], count[here])] = _least_documents(key[here], best[part], size[here], raw[_ranges(at[here], size[here])])
+        x = y
+    slot = np.empty(len(order), np.int64)
+    slot[order] = np.cumsum(new) - 1
+    docs_of[_ranges(to, count)] = found[_ranges(pieces[slot], count)]
+
+
 def cut(df: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, tie (hash of the text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left.
 
@@ -204,33 +242,26 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
                 at += n * np.dtype(kind).itemsize
             got.append((np.full(n, group), *parts, np.frombuffer(blob, np.uint8, -1, at)))
         group, low, more, size, offset, raw = (np.concatenate(x) for x in zip(*got, strict=True))
-        low, high, size = low.view(np.int64), (low + more).view(np.int64), size.astype(np.int64)
+        low, high, size, offset = low.view(np.int64), (low + more).view(np.int64), size.astype(np.int64), offset.astype(np.int64)
         begin = np.cumsum(size) - size
-        anchor, content = context_hashes(raw, begin, size, offset.astype(np.int64))
+        anchor = span_hashes(raw, begin + offset, np.full(len(size), GRAM))
+        content = both_hashes(span_hashes(raw, begin, size, sized=True), anchor)
         order = np.lexsort((content, anchor))
         new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])))
-        head = np.flatnonzero(new)
-        one = order[head]
-        least = np.minimum.reduceat(low[order], head)
-        # Anchors with equally long strings are sorted together: a slice takes as many steps as its longest string has groups.
-        run = np.flatnonzero(np.append(True, anchor[one][1:] != anchor[one][:-1]))
-        count = np.diff(np.append(run, len(one)))
-        long = np.add.reduceat(size[one], run)
-        rank = np.argsort(long, kind="stable")
-        one, least, run = (x[_ranges(run[rank], count[rank])] for x in (one, least, np.arange(len(one))))
-        ends = np.cumsum(count[rank])
-        docs_of, lo = [], 0
-        for hi in ends[np.append(np.diff(np.cumsum(long[rank]) // SORT_BYTES) > 0, True)].tolist():
-            part = one[lo:hi]
-            docs_of.append(_least_documents(anchor[part], least[lo:hi], size[part], raw[_ranges(begin[part], size[part])]))
-            lo = hi
-        docs_of = np.concatenate(docs_of)
+        one = order[np.flatnonzero(new)]
+        least = np.minimum.reduceat(low[order], np.flatnonzero(new))
+        back = np.argsort(one)  # contexts in order of their bytes
+        slot = np.empty(len(one), np.int64)
+        slot[back] = np.arange(len(one))
+        one, least = one[back], least[back]
+        kind = np.empty(len(order), np.int64)
+        kind[order] = slot[np.cumsum(new) - 1]
         windows = size[one] - MATCH + 1
         first = np.cumsum(windows) - windows
+        docs_of = np.empty(int(windows.sum()), np.int64)
+        for lo, hi in BACK:
+            _fill(docs_of, raw, least, begin[one], offset[one], windows, first, lo, hi)
         lowest = np.minimum.reduceat(docs_of, first)
-        kind, slot = np.empty(len(order), np.int64), np.empty(len(one), np.int64)
-        slot[run] = np.arange(len(one))
-        kind[order] = slot[np.cumsum(new) - 1]
         want = np.flatnonzero(lowest[kind] < high)  # others have nothing to cut
         want = want[np.argsort(group[want], kind="stable")]
         edge = np.flatnonzero(np.concatenate(([True], group[want][1:] != group[want][:-1]))) if len(want) else np.zeros(0, np.int64)
