@@ -88,12 +88,16 @@ def pagerank(links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, r
     return rank
 
 
-def _by_component(links: DataFrame, fn, schema: str, most: int) -> DataFrame:  # noqa: ANN001
-    """fn over each component's links; those with more vertices than most are left to ``omitted``."""
+def _by_component(links: DataFrame, fn, schema: str, most: int, rest=None) -> DataFrame:  # noqa: ANN001
+    """fn over each component's links; those with more vertices than most go to rest, as (label, v) and links."""
     labels = components(links)
-    small = labels.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
-    rows = links.join(labels, links["a"] == labels["v"]).join(small, "label").select("label", "a", "b", "weight")
-    return rows.groupBy("label").applyInPandas(fn, schema)
+    sizes = saved(labels.groupBy("label").agg(F.count("*").alias("n")))
+    rows = links.join(labels, links["a"] == labels["v"]).join(sizes, "label").select("label", "a", "b", "weight", "n")
+    small = rows.filter(F.col("n") <= most).drop("n").groupBy("label").applyInPandas(fn, schema)
+    large = sizes.filter(F.col("n") > most).select("label")
+    if rest is None or large.isEmpty():
+        return small
+    return small.unionByName(rest(labels.join(large, "label", "left_semi").select("label", "v"), rows.filter(F.col("n") > most).drop("n")))
 
 
 def omitted(links: DataFrame, metric: str, most: int) -> DataFrame:
@@ -138,7 +142,10 @@ def bridges(links: DataFrame, most: int = 200_000) -> DataFrame:
 
 
 def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES) -> DataFrame:
-    """Exact betweenness with distance 1 / weight, over all n vertices: shortest-path counts from each vertex, summed back."""
+    """Exact betweenness with distance 1 / weight, over all n vertices: shortest-path counts from each vertex, summed back.
+
+    The reference skips it over this size; the vertices of a larger component are rows with null here.
+    """
     import heapq
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +177,7 @@ def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES) -
         scale = max((n - 1) * (n - 2), 1)
         return pd.DataFrame([(v, x / scale) for v, x in total.items()], columns=["v", "betweenness"])
 
-    return _by_component(links, run, "v long, betweenness double", most)
+    return _by_component(links, run, "v long, betweenness double", most, lambda vertices, _: vertices.select("v", F.lit(None).cast("double").alias("betweenness")))
 
 
 def communities(links: DataFrame, most: int = 200_000) -> DataFrame:

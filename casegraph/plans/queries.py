@@ -1,7 +1,9 @@
 """The engine's queries over the driver's tables: each operator bound to whole tables, with the SQL that checks it.
 
 A report is an order. Its account is the customer, its device the part of its first line, its alias the order date, its
-location the customer's nation. Nothing is sliced: pair caps, as everywhere, decide what is expanded.
+location the customer's nation. Nothing is sliced: pair caps, as everywhere, decide what is expanded. projection, components,
+cases, degree_centrality and adamic_adar are bound by their SQL to links through accounts; their namesakes with ``_whole`` and
+all other graph queries take the links of all kinds.
 """
 
 from __future__ import annotations
@@ -134,14 +136,19 @@ def _manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter("a < b").select("a", "b")
 
 
-def _devices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links through devices and aliases alone, so that components are many."""
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links through accounts alone, as _GRAPH has them: a clique for each customer. The whole graph is _whole()."""
     idx = linkage.index(incidence(spark, sf_dir).filter("kind = 'CUENTA'"))
     return linkage.score(linkage.firings(linkage.shared(idx, linkage.frequency(idx)), table(spark, sf_dir, "orders").count()))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.saved(graph.projection(_devices(spark, sf_dir), _manual(spark, sf_dir)))
+    return graph.saved(graph.projection(_accounts(spark, sf_dir), _manual(spark, sf_dir)))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projection of the scored links of all kinds and of manual ones."""
+    return graph.saved(graph.projection(linkage.links(_scored(spark, sf_dir)), _manual(spark, sf_dir)))
 
 
 _GRAPH = f"""{_BASE}, manual AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey HAVING min(o_orderkey) < max(o_orderkey)),
@@ -152,7 +159,7 @@ comp AS (SELECT sid AS v, min(sid) OVER (PARTITION BY o_custkey) AS label, count
 
 @query(f"WITH {_GRAPH} SELECT a, b, weight::DOUBLE AS weight, manual FROM proj")
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.projection(_devices(spark, sf_dir), _manual(spark, sf_dir))
+    return graph.projection(_accounts(spark, sf_dir), _manual(spark, sf_dir))
 
 
 @query(f"WITH {_GRAPH} SELECT v, label FROM comp WHERE n > 1")
@@ -174,28 +181,68 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(_graph(spark, sf_dir), rounds=12)
+    return graph.pagerank(_whole(spark, sf_dir), rounds=12)
 
 
 @query()
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.bridges(_graph(spark, sf_dir))
+    return graph.bridges(_whole(spark, sf_dir))
 
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.betweenness(_graph(spark, sf_dir), table(spark, sf_dir, "orders").count())
+    return graph.betweenness(_whole(spark, sf_dir), table(spark, sf_dir, "orders").count())
 
 
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(_graph(spark, sf_dir))
+    return graph.communities(_whole(spark, sf_dir))
 
 
 @query(f"WITH {_GRAPH}, s AS (SELECT a, b, df FROM shared ANTI JOIN proj USING (a, b)) SELECT a, b, round(sum(1 / ln(greatest(df, 2))), 4) AS score, count(*) AS shared FROM s GROUP BY a, b ORDER BY score DESC, a, b LIMIT 15")
 def adamic_adar(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = linkage.index(incidence(spark, sf_dir))
-    return graph.adamic_adar(linkage.shared(idx, linkage.frequency(idx)), graph.projection(_devices(spark, sf_dir), _manual(spark, sf_dir)))
+    return graph.adamic_adar(linkage.shared(idx, linkage.frequency(idx)), graph.projection(_accounts(spark, sf_dir), _manual(spark, sf_dir)))
+
+
+# The whole graph: what the five account-only queries above answer, over the links of all kinds.
+_WHOLE = f"""{_BASE}, manual AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey HAVING min(o_orderkey) < max(o_orderkey)),
+proj AS (SELECT a, b, CASE WHEN bool_or(m) THEN 0.99 ELSE max(w) END::DOUBLE AS weight, bool_or(m) AS manual FROM
+ (SELECT a, b, score AS w, false AS m FROM links WHERE score >= {vocab.CLUSTER} UNION ALL SELECT a, b, 0.99::DOUBLE, true FROM manual) GROUP BY a, b),
+e AS (SELECT a, b FROM proj UNION ALL SELECT b, a FROM proj)"""
+_REACH = f"""WITH RECURSIVE {_WHOLE}, comp(v, label) USING KEY (v) AS (SELECT a AS v, least(a, min(b)) AS label FROM e GROUP BY a
+ UNION SELECT e.b, min(c.label) FROM comp c JOIN e ON e.a = c.v JOIN recurring.comp r ON r.v = e.b WHERE c.label < r.label GROUP BY e.b)"""
+
+
+@query(f"WITH {_WHOLE} SELECT a, b, weight, manual FROM proj")
+def projection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir)
+
+
+@query(f"{_REACH} SELECT v, label FROM comp")
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_whole(spark, sf_dir))
+
+
+@query(f"""{_REACH}, sizes AS (SELECT label, count(*) AS reports FROM comp GROUP BY 1)
+SELECT label AS first_report, any_value(reports) AS reports, count(*) AS links, round(min(weight), 3) AS min_weight, round(max(weight), 3) AS max_weight FROM proj JOIN comp ON v = a JOIN sizes USING (label) GROUP BY label""")
+def cases_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _whole(spark, sf_dir)
+    return graph.cases(graph.components(links), links)
+
+
+@query(f"WITH {_WHOLE} SELECT a AS v, count(*) AS degree, round(count(*) / ((SELECT count(*) FROM orders) - 1)::DOUBLE, 6) AS centrality FROM e GROUP BY a")
+def degree_centrality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degree(_whole(spark, sf_dir), table(spark, sf_dir, "orders").count())
+
+
+@query(f"""WITH {_WHOLE}, known AS (SELECT a, b FROM links UNION SELECT a, b FROM manual), s AS (SELECT a, b, df FROM shared ANTI JOIN known USING (a, b))
+SELECT a, b, round(sum(1 / ln(greatest(df, 2))), 4) AS score, count(*) AS shared FROM s GROUP BY a, b ORDER BY score DESC, a, b LIMIT 15""")
+def adamic_adar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates without any link, proposed ones under the cluster threshold included."""
+    idx = linkage.index(incidence(spark, sf_dir))
+    known = linkage.links(_scored(spark, sf_dir)).select("a", "b").union(_manual(spark, sf_dir))
+    return graph.adamic_adar(linkage.shared(idx, linkage.frequency(idx)), known)
 
 
 @query(f"WITH {_BASE} SELECT sid, count(*) AS identifiers, count(*) FILTER (kind = 'CUENTA') AS accounts, count(*) FILTER (kind = 'DISPOSITIVO') AS devices, count(*) FILTER (kind IN ('CUENTA', 'DISPOSITIVO')) > 0 AS linkable FROM idx GROUP BY sid")
