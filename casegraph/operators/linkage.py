@@ -51,7 +51,10 @@ def shared(idx: DataFrame, freq: DataFrame) -> DataFrame:
 
 
 def firings(pairs: DataFrame, reports: int) -> DataFrame:
-    """Same-node rules with their effective weights: discriminance, and a factor for each side known from text only."""
+    """Same-node rules with their effective weights: discriminance, and a factor for each side known from text only.
+
+    Addresses need times and NAT context: ip_firings().
+    """
     simple = [r for r in vocab.RULES if r.kind not in ("IP", "LUGAR_MENCION")]
     kind = F.col("kind")
     name, weight = _case(kind, {r.kind: r.name for r in simple}, None), _case(kind, {r.kind: r.weight for r in simple}, None)
@@ -63,6 +66,29 @@ def firings(pairs: DataFrame, reports: int) -> DataFrame:
     return out.select("a", "b", "node_id", "rule", F.round(strength, 4).alias("weight"), (corr | common).alias("corroborates"), F.concat("locators_a", "locators_b").alias("locators"))
 
 
+def ip_firings(pairs: DataFrame, captures: DataFrame, windows: DataFrame, reports: int) -> DataFrame:
+    """R06 or R07 for each pair and shared address, with their effective weights, like firings().
+
+    captures: node_id, sid, ts, port, nat (the address or the capture hides its user), locator; windows: node_id, hours. The
+    nearest two captures decide (of equally near ones the least locators). Inside the window R06 fires, under NAT weaker, and
+    without both ports it only corroborates; outside it or without a time on either side R07 fires.
+    """
+    side = lambda s: captures.filter("ts is not null").select("node_id", F.col("sid").alias(s), F.col("ts").alias(f"t_{s}"), F.col("locator").alias(f"at_{s}"), (F.coalesce("port", F.lit(0)) != 0).alias(f"port_{s}"), F.col("nat").alias(f"nat_{s}"))
+    ip = pairs.filter("kind = 'IP'")
+    met = ip.select("node_id", "a", "b").join(side("a"), ["node_id", "a"]).join(side("b"), ["node_id", "b"])
+    one = F.struct(nz.hours_between(F.col("t_a"), F.col("t_b")).alias("hours"), "at_a", "at_b", (F.col("port_a") & F.col("port_b")).alias("ports"), (F.col("nat_a") | F.col("nat_b")).alias("nat"))
+    best = met.groupBy("node_id", "a", "b").agg(F.min(one).alias("m")).select("node_id", "a", "b", "m.hours", "m.ports", "m.nat")
+    x = ip.join(best, ["node_id", "a", "b"], "left").join(windows.select("node_id", F.col("hours").alias("window")), "node_id", "left")
+    near = F.coalesce(F.col("hours") <= F.coalesce("window", F.lit(vocab.DEFAULT_HOURS)), F.lit(False))
+    hidden = near & F.col("nat")
+    r06, r07 = vocab.RULE["R06_IP_VENTANA"], vocab.RULE["R07_IP_SUELTA"]
+    context = F.when(hidden & F.col("ports"), vocab.NAT_WITH_PORT).when(hidden, vocab.NAT_WITHOUT_PORT).otherwise(1.0)
+    sides = F.col("text_a").cast("int") + F.col("text_b").cast("int")
+    strength = F.when(near, r06.weight).otherwise(r07.weight) * context * nz.discriminance(F.col("df")) * F.pow(F.lit(vocab.TEXT_FACTOR), sides)
+    weak = ~near | (hidden & ~F.col("ports")) | nz.is_common(F.col("df"), F.lit(reports))
+    return x.select("a", "b", "node_id", F.when(near, r06.name).otherwise(r07.name).alias("rule"), F.round(strength, 4).alias("weight"), weak.alias("corroborates"), F.concat("locators_a", "locators_b").alias("locators"))
+
+
 def noisy_or(weight: str, corroborates: str) -> tuple[Column, Column]:
     """Score and whether it is sustained: one minus the product of complements, at most 0.99; zero if all only corroborate."""
     sustained = F.bool_or(~F.col(corroborates))
