@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns_as
+from .common import materialize, with_columns_as
 
 BLOCK, ALLOW = "label block", "label allow"
 
@@ -57,12 +57,12 @@ def document_number(url: str = "url") -> Column:
     return F.expr(f"try_cast(regexp_extract({url}, '://[^/?#]*/[a-z]+/([0-9]{{1,18}})', 1) as bigint)")
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = 0.004, confidence: float = 0.6, lift: float = 1.5, sample: int = 50_000, most: int = 2_000) -> list[tuple[list[str], float]]:
+def mine(pages: DataFrame, labels: DataFrame, support: float = 0.004, confidence: float = 0.6, lift: float = 1.5, sample: int = 50_000) -> list[tuple[list[str], float]]:
     """Antecedents whose URLs are labelled bad with at least this confidence, lift and support, best first.
 
     A URL is bad if the document it names is labelled toxic or of low quality. Spark FP-growth counts token combinations of
-    at most about ``sample`` labelled URLs (by a hash of page_id). A rule goes if a part of it does as well. At most
-    ``most`` rules, the most confident, so the index has a bound.
+    at most about ``sample`` labelled URLs (by a hash of page_id). A rule goes if a part of it is a rule: what the longer one
+    blocks, the shorter one does. The support bounds the rest.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc"), F.greatest(F.coalesce(F.col("toxic").cast("int"), F.lit(0)), 1 - F.coalesce(F.col("quality").cast("int"), F.lit(1))).alias("bad")).filter("doc is not null").groupBy("doc").agg((F.max("bad") > 0).alias("bad"))
     named = with_columns_as(pages, page_id="long", url="string").withColumn("doc", document_number()).filter("doc is not null").join(marks, "doc")
@@ -84,13 +84,26 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = 0.004, confidence
     if base is None:
         return []
     floor = max(confidence, lift * base["hits"] / total)
-    good = with_bad.filter(F.size("left") > 0).join(plain, "left").withColumn("c", F.col("hits") / F.col("all")).filter(F.col("c") >= floor)
-    found = [(r["left"], r["c"]) for r in good.orderBy(F.desc("c"), F.size("left"), F.desc("hits"), "left").limit(most).collect()]
-    kept: list[tuple[list[str], float]] = []
-    for left, c in found:
-        if not any(set(k) <= set(left) and d >= c for k, d in kept):
-            kept.append((left, c))
-    return kept
+    good = materialize(with_bad.filter(F.size("left") > 0).join(plain, "left").withColumn("c", F.col("hits") / F.col("all")).filter(F.col("c") >= floor).select("left", "hits", "c"), "url-rules")
+    return [(r["left"], r["c"]) for r in minimal(good).orderBy(F.desc("c"), F.size("left"), F.desc("hits"), "left").collect()]
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """Rules (left: sorted tokens) of which no proper part is a rule.
+
+    Each rule is met with those that begin with one of its tokens, in rounds by length: the shortest ones stay, and their
+    supersets go before the next round.
+    """
+    rest, out = rules, None
+    for n in range(1, (rules.agg(F.max(F.size("left"))).first()[0] or 0) + 1):
+        short = rest.filter(F.size("left") == n)
+        out = short if out is None else out.unionByName(short)
+        parts = short.select(F.col("left")[0].alias("t"), F.col("left").alias("part"))
+        over = rest.filter(F.size("left") > n).withColumn("t", F.explode("left")).join(parts, "t").filter(F.size(F.array_except("part", "left")) == 0).select("left").distinct()
+        rest = materialize(rest.filter(F.size("left") > n).join(over, "left", "left_anti"), "url-rules")
+        if rest.isEmpty():
+            break
+    return rules if out is None else out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: list[tuple[list[str], float]]) -> DataFrame:

@@ -143,3 +143,16 @@ def test_url_mining_is_that_of_brute_force(spark):
         assert verdicts[i] == ("block" if any(set(left) <= set(urls.tokens(u)) for left, _ in mined) else "allow")
     assert any(v == "block" for v in verdicts.values()) and verdicts[9000] == "allow"
     assert urls.mine(p.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")) == []
+
+
+def test_supersets_of_url_rules_crowd_out_no_rule(spark):
+    """One bad host whose tokens combine in thousands of ways, and a rule of lower confidence."""
+    words = "/".join(f"w{chr(97 + k)}" for k in range(10))
+    pages = [(i, f"https://a.bad.org/en/{i}/{words}") for i in range(40)] + [(i, f"https://b.good.com/en/{i}/{'gamble' if i < 60 else 'tea'}") for i in range(50, 120)]
+    labels = [(i, 1, int(i < 40 or i in range(50, 57))) for i, _ in pages]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    mined = urls.mine(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert (["path gamble"], 0.7) in mined
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.judge(p, [], mined).collect()}
+    assert all((verdicts[i] == "block") == (i < 60) for i, _ in pages)
+    assert not any(set(x) < set(y) for x, _ in mined for y, _ in mined)
