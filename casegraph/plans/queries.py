@@ -181,7 +181,7 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(_whole(spark, sf_dir), rounds=12)
+    return graph.pagerank(_whole(spark, sf_dir))
 
 
 @query()

@@ -58,3 +58,16 @@ def test_graph_has_links_of_all_kinds(spark, small):
 def test_large_components_have_no_betweenness_but_rows(spark):
     links = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (10, 11, 1.0)], "a long, b long, weight double")
     assert {r["v"]: r["betweenness"] for r in graph.betweenness(links, 5, 2).collect()} == {1: None, 2: None, 3: None, 10: 0.0, 11: 0.0}
+
+
+def test_pagerank_query_converges(spark, tmp_path):
+    """A path of orders, joined by customers and parts in turn; ranks of plain power iteration to the end."""
+    folder = tables(spark, tmp_path, [(2 * c + k, c, c + k) for c in range(1, 6) for k in (0, 1)])
+    near = {}
+    for r in plans.projection_whole(spark, folder).collect():
+        near.setdefault(r["a"], {})[r["b"]] = near.setdefault(r["b"], {})[r["a"]] = r["weight"]
+    want = dict.fromkeys(near, 1 / len(near))
+    for _ in range(400):
+        want = {v: 0.15 / len(near) + 0.85 * sum(want[u] * w / sum(near[u].values()) for u, w in ws.items()) for v, ws in near.items()}
+    got = {r["v"]: r["rank"] for r in plans.pagerank(spark, folder).collect()}
+    assert len(near) == 10 and sum(abs(got[v] - want[v]) for v in want) < 6e-6
