@@ -3,7 +3,7 @@
 A report is an order. Its account is the customer, its device the part of its first line, its alias the order date, its
 location the customer's nation. Nothing is sliced: pair caps, as everywhere, decide what is expanded. projection, components,
 cases, degree_centrality and adamic_adar are bound by their SQL to links through accounts; their namesakes with ``_whole`` and
-all other graph queries take the links of all kinds.
+all other graph queries take the links of all kinds. phash_neighbours has its ``_whole`` for texts of under 64 words.
 """
 
 from __future__ import annotations
@@ -492,6 +492,24 @@ def phash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.hash_neighbours(w.select(bits.alias("hash"), F.col("doc_id").alias("sid")))
 
 
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+j AS (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w), 64) - 1)) AS j FROM w), u AS (SELECT doc_id, w[j % len(w) + 1] AS x, j % 64 AS bit FROM j),
+p AS (SELECT doc_id, bit, sum(length(x)) % 2 AS b FROM u GROUP BY ALL),
+f AS (SELECT doc_id, sum(CASE WHEN bit < 63 THEN b::HUGEINT << bit::INT ELSE -(b::HUGEINT << 63) END)::BIGINT AS hash FROM p GROUP BY 1),
+g AS (SELECT hash, count(*) AS members, min(doc_id) AS first_sid FROM f GROUP BY 1)
+SELECT x.hash AS hash_a, y.hash AS hash_b, bit_count(xor(x.hash, y.hash))::INT AS distance, round(1 - bit_count(xor(x.hash, y.hash)) / 64.0::DOUBLE, 4) AS similarity,
+x.members AS members_a, y.members AS members_b, x.first_sid AS sid_a, y.first_sid AS sid_b FROM g x JOIN g y ON x.hash < y.hash WHERE bit_count(xor(x.hash, y.hash)) <= 8""")
+def phash_neighbours_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phash_neighbours over all texts: one of under 64 words is repeated up to 64, so that a word weighs several bits.
+
+    An empty text hashes to 0; null has no hash.
+    """
+    w = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    w = w.withColumn("w", F.when(F.size("w") >= 64, F.col("w")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.get(F.col("w"), j % F.size("w")))))
+    bits = F.aggregate(F.transform("w", lambda x, i: F.when(F.length(x) % 2 == 1, F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return similarity.hash_neighbours(w.select(bits.alias("hash"), F.col("doc_id").alias("sid")))
+
+
 #: An invented place lexicon on words that the synthetic prose has.
 PLACES = {"estructura:the": ("estructura", ("blend", "onand")), "rasgo:con": ("rasgo", ("hened", "anat")), "referencia:und": ("referencia", ("esand", "edth")), "color:pour": ("color", ("thwh", "oner")), "acceso:shed": ("acceso", ("rely", "ofof"))}
 _TAGS = " UNION ALL ".join(f"SELECT doc_id AS sid, '{t}' AS tag, '{d}' AS dimension FROM documents WHERE regexp_matches(lower(text), '(^|[^\\w\\p{{L}}])({'|'.join(f)})([^\\w\\p{{L}}]|$)')" for t, (d, f) in PLACES.items())

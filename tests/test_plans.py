@@ -71,3 +71,23 @@ def test_pagerank_query_converges(spark, tmp_path):
         want = {v: 0.15 / len(near) + 0.85 * sum(want[u] * w / sum(near[u].values()) for u, w in ws.items()) for v, ws in near.items()}
     got = {r["v"]: r["rank"] for r in plans.pagerank(spark, folder).collect()}
     assert len(near) == 10 and sum(abs(got[v] - want[v]) for v in want) < 6e-6
+
+
+def test_short_texts_have_hashes(spark, tmp_path):
+    texts = ["a bb", "a bb", "a " * 63 + "bb", "a " * 60 + "bb bb bb bb", "", None, "bb a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        w = text.split(" ")
+        h = 0
+        for j in range(max(64, len(w))):
+            h ^= len(w[j % len(w)]) % 2 << j % 64
+        return h
+
+    groups = {}
+    for d, t in enumerate(texts):
+        if t is not None:
+            groups.setdefault(brute(t), []).append(d)
+    want = {tuple(sorted((m[0], n[0]))): x for h, m in groups.items() for g, n in groups.items() if h < g and (x := (h ^ g).bit_count()) <= 8}
+    got = {tuple(sorted((r["sid_a"], r["sid_b"]))): r["distance"] for r in plans.phash_neighbours_whole(spark, str(tmp_path)).collect()}
+    assert got == want == {(2, 3): 3}
