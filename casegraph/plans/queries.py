@@ -3,7 +3,8 @@
 A report is an order. Its account is the customer, its device the part of its first line, its alias the order date, its
 location the customer's nation. Nothing is sliced: pair caps, as everywhere, decide what is expanded. projection, components,
 cases, degree_centrality and adamic_adar are bound by their SQL to links through accounts; their namesakes with ``_whole`` and
-all other graph queries take the links of all kinds. phash_neighbours has its ``_whole`` for texts of under 64 words.
+all other graph queries take the links of all kinds. phash_neighbours has its ``_whole`` for texts of under 64 words, alerts and
+alerts_silenced for scored links beside the manual ones.
 """
 
 from __future__ import annotations
@@ -313,14 +314,21 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id", 1, -1).over(Window.partitionBy("user_id").orderBy("event_id")).alias("prev"))
 
 
-def _alerts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _alerts(spark: SparkSession, sf_dir: str, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Over the manual links, or the links given: a, b, score."""
     o = table(spark, sf_dir, "orders")
     motive = F.element_at(F.array(*[F.lit(m) for m in vocab.TRIGGERS]), (F.col("o_orderkey") % len(vocab.TRIGGERS) + 1).cast("int"))
     states = o.select(F.col("o_orderkey").alias("sid"), F.when(F.col("o_orderstatus") == "F", "archivado").otherwise("en_analisis").alias("state"), motive.alias("motive"))
     lines = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "ip_atribuible").when(F.col("l_linestatus") == "O", "ubicacion_determinable")
     brought = lines.select(F.col("l_orderkey").alias("sid"), kind.alias("kind")).filter("kind is not null").groupBy("sid").agg(F.collect_set("kind").alias("kinds"))
-    return review.alerts(_manual(spark, sf_dir).withColumn("score", F.lit(vocab.MOST)), states, brought)
+    return review.alerts(_manual(spark, sf_dir).withColumn("score", F.lit(vocab.MOST)) if links is None else links, states, brought)
+
+
+def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored links and manual ones, a pair once with its greatest score."""
+    scored = linkage.links(_scored(spark, sf_dir)).select("a", "b", "score")
+    return scored.union(_manual(spark, sf_dir).withColumn("score", F.lit(vocab.MOST))).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 _ALERTS = (
@@ -348,6 +356,26 @@ def alerts_silenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alerts(spark, sf_dir)[1]
 
 
+# The same over the scored links too.
+_ALERTS_WHOLE = (
+    _ALERTS.replace("WITH st AS", f"WITH {_BASE}, st AS")
+    .replace("m AS (SELECT min(o_orderkey) AS a", "manual AS (SELECT min(o_orderkey) AS a")
+    .replace("both_ AS", "m AS (SELECT a, b, max(score) AS score FROM (SELECT a, b, score FROM links UNION ALL SELECT a, b, 0.99::DOUBLE FROM manual) GROUP BY a, b),\nboth_ AS")
+    .replace("b AS trigger FROM m UNION ALL SELECT b, a FROM m", "b AS trigger, score FROM m UNION ALL SELECT b, a, score FROM m")
+    .replace("SELECT archived, trigger, s.motive", "SELECT archived, trigger, score, s.motive")
+)
+
+
+@query(_ALERTS_WHOLE + "SELECT archived, trigger, motive, array_to_string(brings, ',') AS brings, CASE WHEN state = 'archivado' THEN 'baja' ELSE priority END AS priority, score FROM r WHERE len(brings) > 0")
+def alerts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alerts(spark, sf_dir, _all_links(spark, sf_dir))[0]
+
+
+@query(_ALERTS_WHOLE + "SELECT archived, trigger, motive, array_to_string(needs, ',') AS lacks FROM r WHERE len(brings) = 0")
+def alerts_silenced_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alerts(spark, sf_dir, _all_links(spark, sf_dir))[1]
+
+
 @query("SELECT 'CUENTA' AS kind, c_name AS value, 'CUENTA-' || row_number() OVER (ORDER BY c_custkey) AS label FROM customer UNION ALL SELECT 'ORGANIZACION', s_name, 'ORGANIZACION-' || row_number() OVER (ORDER BY s_suppkey) FROM supplier")
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.lit("CUENTA").alias("kind"), F.col("c_name").alias("value"), F.col("c_custkey").alias("order"))

@@ -91,3 +91,10 @@ def test_short_texts_have_hashes(spark, tmp_path):
     want = {tuple(sorted((m[0], n[0]))): x for h, m in groups.items() for g, n in groups.items() if h < g and (x := (h ^ g).bit_count()) <= 8}
     got = {tuple(sorted((r["sid_a"], r["sid_b"]))): r["distance"] for r in plans.phash_neighbours_whole(spark, str(tmp_path)).collect()}
     assert got == want == {(2, 3): 3}
+
+
+def test_scored_links_raise_alerts(spark, small):
+    """Orders 3 and 4 share only a part; every order brings ip_atribuible, even ones are archived."""
+    rows = plans.alerts_whole(spark, small).select("archived", "trigger", "score").union(plans.alerts_silenced_whole(spark, small).selectExpr("archived", "trigger", "null")).collect()
+    want = {(x, y) for a, b in brute_links(ORDERS) for x, y in ((a, b), (b, a)) if x % 2 == 0}
+    assert {(r["archived"], r["trigger"]) for r in rows} == want and len(rows) == len(want) and (4, 3) in want
