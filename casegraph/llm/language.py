@@ -58,7 +58,8 @@ def fit(train: DataFrame, sample: int = 4_000, landmarks: int = 256, ridge: floa
     """Languages and weights (DIM x languages) from columns doc_id, text, lang.
 
     The sample has about ``sample`` rows, an equal share for each language as far as it has them, chosen by a hash of
-    doc_id; landmarks are its first rows, language by language. Kernel ridge regression (one language against the rest,
+    doc_id; landmarks are its first rows, language by language. Only the ``most_languages`` most frequent languages are
+    learned, so that the weights (64 KB each) have a bound; texts of rarer ones get another label. Kernel ridge regression (one language against the rest,
     rows weighted so that languages count alike) runs in the landmarks' Nystroem space; since the normalised presence
     kernel is a product, landmarks and coefficients fold into one matrix.
     """
