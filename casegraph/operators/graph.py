@@ -117,8 +117,50 @@ def _neighbours(rows: pd.DataFrame) -> dict:
     return {k: dict(sorted(v.items())) for k, v in sorted(out.items())}
 
 
-def bridges(links: DataFrame, most: int = 200_000) -> DataFrame:
-    """Links whose loss splits their component: a depth-first walk with low points, without recursion."""
+def _forest(links: DataFrame, vertices: DataFrame) -> tuple[DataFrame, int]:
+    """(v, parent, depth) of a breadth-first forest from each label's vertex, and its depth; links in both directions."""
+    seen = saved(vertices.filter("v = label").select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
+    front, depth = seen, 0
+    while True:
+        step = front.select(F.col("v").alias("a")).join(links, "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"))
+        new = saved(step.join(seen.select("v"), "v", "left_anti").withColumn("depth", F.lit(depth + 1)))
+        if new.isEmpty():
+            return seen, depth
+        front, depth = new, depth + 1
+        seen = saved(seen.unionByName(new)) if depth % 16 == 0 else seen.unionByName(new)
+
+
+def _bridges_wide(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """Bridges of components of any size, level by level from the leaves of a breadth-first forest.
+
+    Each link outside the forest has a 128-bit hash. The hashes at a vertex and under it, combined by exclusive or, are those
+    of the links that leave its subtree beside the one to its parent; that one is a bridge if they are zero. A wrong bridge
+    has a chance of 2 ** -128.
+    """
+    both = saved(_both(links))
+    forest, depth = _forest(both, vertices)
+    forest = saved(forest)
+    up = forest.filter("parent is not null").select(F.col("v").alias("a"), F.col("parent").alias("b"))
+    rest = both.join(up.union(up.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    ends = [F.least("a", "b"), F.greatest("a", "b")]
+    own = rest.select(F.col("a").alias("v"), F.xxhash64(F.lit(1), *ends).alias("x"), F.xxhash64(F.lit(2), *ends).alias("y")).groupBy("v").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    base = saved(forest.join(own, "v", "left").select("v", "parent", "depth", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("x", "y")]))
+    level, out = None, base.limit(0).select(F.col("v").alias("a"), F.col("v").alias("b"))
+    for d in range(depth, 0, -1):
+        rows = base.filter(F.col("depth") == d).select("v", "parent", "x", "y")
+        if level is not None:
+            below = level.select(F.col("parent").alias("v"), F.lit(None).cast("long").alias("parent"), "x", "y")
+            rows = rows.unionByName(below).groupBy("v").agg(F.max("parent").alias("parent"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        level = saved(rows)
+        out = out.unionByName(level.filter("x = 0 and y = 0").select(F.least("v", "parent").alias("a"), F.greatest("v", "parent").alias("b")))
+    return out
+
+
+def bridges(links: DataFrame, most: int = 20_000) -> DataFrame:
+    """Links whose loss splits their component: a depth-first walk with low points, without recursion.
+
+    Components over ``most`` vertices go to _bridges_wide, which is spread over the tasks.
+    """
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         near, seen, low, out = _neighbours(rows), {}, {}, []
@@ -142,7 +184,7 @@ def bridges(links: DataFrame, most: int = 200_000) -> DataFrame:
                         out.append((min(v, above), max(v, above)))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return _by_component(links, find, "a long, b long", most)
+    return _by_component(links, find, "a long, b long", most, _bridges_wide)
 
 
 def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES) -> DataFrame:

@@ -1,6 +1,7 @@
 """The queries over small invented tables, against brute force."""
 
 import datetime
+import random
 
 import pytest
 
@@ -98,3 +99,11 @@ def test_scored_links_raise_alerts(spark, small):
     rows = plans.alerts_whole(spark, small).select("archived", "trigger", "score").union(plans.alerts_silenced_whole(spark, small).selectExpr("archived", "trigger", "null")).collect()
     want = {(x, y) for a, b in brute_links(ORDERS) for x, y in ((a, b), (b, a)) if x % 2 == 0}
     assert {(r["archived"], r["trigger"]) for r in rows} == want and len(rows) == len(want) and (4, 3) in want
+
+
+def test_bridges_of_large_components(spark):
+    rng = random.Random(3)
+    pairs = {(v, rng.randrange(max(0, v - 6), v)) for v in range(1, 60)} | {tuple(sorted(rng.sample(range(60), 2), reverse=True)) for _ in range(8)}
+    links = spark.createDataFrame([(b, a, 0.9) for a, b in sorted(pairs)] + [(100, 101, 0.9), (101, 102, 0.9), (100, 102, 0.9)], "a long, b long, weight double")
+    want = sorted(map(tuple, graph.bridges(links).collect()))
+    assert len(want) > 5 and sorted(map(tuple, graph.bridges(links, 3).collect())) == want
