@@ -1,7 +1,7 @@
 """Graph operators on link tables: components, cases, centralities, bridges, communities, candidates, paths.
 
 Vertices and links are DataFrames (a < b, weight). Iterations write each round to the shared folder; per-component
-algorithms run grouped by component and refuse components over a stated size, as omitted rows, instead of thinning them.
+algorithms run grouped by component; larger ones take a spread way (bridges, communities) or give null (betweenness).
 """
 
 from __future__ import annotations
@@ -226,18 +226,55 @@ def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES) -
     return _by_component(links, run, "v long, betweenness double", most, lambda vertices, _: vertices.select("v", F.lit(None).cast("double").alias("betweenness")))
 
 
+def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> DataFrame:  # noqa: ANN001
+    """(v, community) of components of any size: pairs contract until a component has at most most vertices; fn does the rest.
+
+    Two vertices contract if each is the other's best partner by modularity gain and the gain is positive, so each round
+    raises modularity. If none gains any more, the component is done.
+    """
+    home = saved(vertices.select("label", "v", F.col("v").alias("com")))
+    edges = saved(links.filter("a <> b").groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w")))
+    total = saved(edges.groupBy("label").agg((2 * F.sum("w")).alias("double")))
+    loops = edges.limit(0).select("label", "a", F.col("w").alias("loop"))
+    large = lambda: home.groupBy("label").agg(F.count_distinct("com").alias("n")).filter(F.col("n") > most).select("label")
+    ends = lambda e: e.select("label", "a", "b", "w").union(e.select("label", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    while not large().isEmpty():
+        mass = saved(ends(edges).select("label", "a", "w").union(loops).groupBy("label", "a").agg(F.sum("w").alias("k")))
+        other = mass.select("label", F.col("a").alias("b"), F.col("k").alias("kb"))
+        gain = F.round(F.col("w") - F.col("k") * F.col("kb") / F.col("double"), 9)
+        worth = saved(edges.join(mass, ["label", "a"]).join(other, ["label", "b"]).join(total, "label").select("label", "a", "b", gain.alias("w")).filter("w > 0"))
+        best = ends(worth).groupBy("label", "a").agg(F.max_by("b", F.struct("w", -F.least("a", "b"), -F.greatest("a", "b"))).alias("b"))
+        pairs = best.groupBy("label", F.least("a", "b").alias("new"), F.greatest("a", "b").alias("old")).agg(F.count("*").alias("n")).filter("n = 2")
+        pairs = saved(pairs.select("label", "old", "new"))
+        if pairs.isEmpty():
+            break
+        put = lambda df, c: df.join(pairs.withColumnRenamed("old", c), ["label", c], "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
+        home = saved(put(home, "com"))
+        moved = saved(put(put(edges, "a"), "b"))
+        inner = moved.filter("a = b").select("label", "a", (2 * F.col("w")).alias("loop"))
+        loops = saved(put(loops, "a").select("label", "a", "loop").union(inner).groupBy("label", "a").agg(F.sum("loop").alias("loop")))
+        edges = saved(moved.filter("a <> b").groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
+    stuck = saved(large())
+    rows = edges.select("label", "a", "b", F.col("w").alias("weight")).union(loops.select("label", "a", F.col("a").alias("b"), "loop"))
+    final = rows.join(stuck, "label", "left_anti").groupBy("label").applyInPandas(fn, "v long, community long").withColumnRenamed("v", "com")
+    return home.join(final, "com", "left").select("v", F.coalesce("community", "com").alias("community"))
+
+
 def communities(links: DataFrame, most: int = 200_000) -> DataFrame:
     """(v, community): local moves by modularity gain, communities contracted, until none improves; names are least vertices.
 
+    Components over ``most`` vertices are contracted by _communities_wide until they fit.
     Equality with another library's partition is not promised; modularity never falls below that of the components.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        near = _neighbours(rows)
-        home = {v: v for v in near}
-        graph = {v: dict(ws) for v, ws in near.items()}
-        loops = dict.fromkeys(graph, 0.0)
-        double = sum(sum(ws.values()) for ws in graph.values())
+        inner = rows[rows["a"] == rows["b"]]
+        graph = _neighbours(rows[rows["a"] != rows["b"]])
+        for v in inner["a"]:
+            graph.setdefault(v, {})
+        home = {v: v for v in graph}
+        loops = dict.fromkeys(graph, 0.0) | dict(zip(inner["a"], inner["weight"], strict=True))
+        double = sum(sum(ws.values()) for ws in graph.values()) + sum(loops.values())
         while True:
             com = {v: v for v in graph}
             strength = {v: sum(ws.values()) + loops[v] for v, ws in graph.items()}
@@ -274,7 +311,7 @@ def communities(links: DataFrame, most: int = 200_000) -> DataFrame:
             name[c] = min(name.get(c, v), v)
         return pd.DataFrame([(v, name[c]) for v, c in home.items()], columns=["v", "community"])
 
-    return _by_component(links, run, "v long, community long", most)
+    return _by_component(links, run, "v long, community long", most, lambda vertices, rows: _communities_wide(vertices, rows, run, most))
 
 
 def adamic_adar(pairs: DataFrame, known: DataFrame, top: int = vocab.TOP_CANDIDATES) -> DataFrame:

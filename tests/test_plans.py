@@ -107,3 +107,20 @@ def test_bridges_of_large_components(spark):
     links = spark.createDataFrame([(b, a, 0.9) for a, b in sorted(pairs)] + [(100, 101, 0.9), (101, 102, 0.9), (100, 102, 0.9)], "a long, b long, weight double")
     want = sorted(map(tuple, graph.bridges(links).collect()))
     assert len(want) > 5 and sorted(map(tuple, graph.bridges(links, 3).collect())) == want
+
+
+def test_communities_of_large_components(spark):
+    """Six cliques of five in a ring: whole cliques stay together however small the components that fit one task."""
+    pairs = [(5 * c + i, 5 * c + j) for c in range(6) for i in range(5) for j in range(i + 1, 5)] + [(0, 25)] + [(5 * c, 5 * c + 5) for c in range(5)]
+    links = spark.createDataFrame([(a, b, 0.9) for a, b in pairs], "a long, b long, weight double")
+
+    def modularity(home):
+        degree = {v: sum(v in p for p in pairs) for v in range(30)}
+        inside = sum(home[a] == home[b] for a, b in pairs) / len(pairs)
+        return inside - sum((sum(d for v, d in degree.items() if home[v] == c) / 2 / len(pairs)) ** 2 for c in set(home.values()))
+
+    homes = [{r["v"]: r["community"] for r in graph.communities(links, most).collect()} for most in (200_000, 12, 1)]
+    for home in homes:
+        assert len(home) == 30 and modularity(home) > 0.5
+        assert all(c == min(v for v, x in home.items() if x == c) for c in home.values())
+    assert modularity(homes[0]) >= 0.6
