@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,21 @@ def with_columns_as(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(df[c] if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def packed_rows(*columns: np.ndarray, tail: np.ndarray | None = None) -> bytes:
+    """Equally long columns one after the other behind their length, compressed; tail holds bytes of any number."""
+    parts = [np.array([len(columns[0])], np.int64), *columns, *([] if tail is None else [tail])]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts))
+
+
+def unpacked_rows(blob: bytes, *kinds: type, tail: bool = False) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return (*out, np.frombuffer(raw, np.uint8, -1, at)) if tail else tuple(out)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (the public splitmix64 constants)."""
     h = h ^ (h >> np.uint64(30))

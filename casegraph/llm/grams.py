@@ -54,11 +54,6 @@ def span_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, sized: boo
     return out
 
 
-def both_hashes(content: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """One hash of a context's bytes and its anchor."""
-    return mix(content + anchor)
-
-
 def _sliding(x: np.ndarray, width: int, fold) -> np.ndarray:
     """Fold of each run of width values, by doubling."""
     have = 1
@@ -92,8 +87,8 @@ class Grams:
     def owners(self) -> np.ndarray:
         return np.searchsorted(self.start + self.size, self.at, side="right")
 
-    def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors some: first byte and size of what their matches span, and a hash of it and the anchor.
+    def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the anchors some: first byte and size of what their matches span.
 
         A match counts for an anchor if the anchor is its least gram; such matches start in one run.
         """
@@ -105,5 +100,4 @@ class Grams:
             hit[hit] = self.low[s[hit]] == h[hit]
             first[hit] = s[hit]
             last[hit & (last < 0)] = s[hit & (last < 0)]
-        size = last - first + MATCH
-        return first, size, both_hashes(span_hashes(self.raw, first, size, sized=True), h)
+        return first, last - first + MATCH

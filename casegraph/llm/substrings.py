@@ -1,15 +1,18 @@
 """Exact removal of byte strings that start in an earlier document, through suffix arrays of their surroundings.
 
-A match of MATCH bytes carries its least gram along, its anchor. Anchors in two documents or more are the only places
-where matches can be. What their matches span (the context) goes, once for each group of documents, to the anchor's
-shard; there each anchor's different contexts form one string whose suffix array brings equal matches together, and
-their least document goes back to the groups that asked. Each group then cuts its texts.
+A match of MATCH bytes carries its least gram along, its anchor. Documents are dealt into groups. Each group tells every
+shard of anchors what it holds and hears which anchors several documents have: only there can matches be. What the matches
+of such an anchor span (the context) goes, once for each group, to a shard of contexts; there each anchor's different
+contexts form one string whose suffix array brings equal matches together, and their least document goes back to the
+groups that asked. Each group then cuts its texts. Contexts of an anchor in very many documents go in two pieces, by the
+bytes that all matches of a piece hold, so that one anchor spreads over the shards. Hashes only sort and deal: wherever
+two strings are taken for one, their bytes were compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_columns_as
-from .grams import GRAM, MATCH, SLICE_BYTES, SPAN, Grams, both_hashes, span_hashes
+from .common import MULT, materialize, mix, packed_rows, unpacked_rows, with_columns_as
+from .grams import GRAM, MATCH, SLICE_BYTES, SPAN, Grams, span_hashes
 from .suffixes import _ranges, suffix_arrays
 
-#: Bytes of text in a group of documents and of contexts in a shard; slots of the anchor map for each anchor, and most.
-GROUP_BYTES, SHARD_BYTES, SLOTS_EACH, MOST_BITS = 4 << 20, 2 << 20, 4, 31
+#: Bytes of text in a group of documents, for a shard of contexts and for a shard of anchors.
+GROUP_BYTES, SHARD_BYTES, CENSUS_BYTES = 4 << 20, 4 << 20, 16 << 20
+#: Documents (255 a group at most count) that make an anchor a common one, whose contexts go in pieces.
+COMMON = 1024
 LEAST_ID = -(1 << 63)
 #: Bytes before the anchor in a match, in classes: matches of one class and anchor are equal only if they agree in the
 #: bytes that all of the class hold, so only such contexts are sorted in one string.
@@ -42,70 +47,184 @@ def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def _shared_anchors(docs: DataFrame, total: int) -> tuple[int, bytes]:
-    """A bit map over the upper bits of anchor hashes: set where an anchor is in two rows or more.
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _differ(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a differ from those from b; sizes are of eight or more."""
+    out = np.zeros(len(a), bool)
+    if len(a):
+        words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        for k in range(0, int(size.max()), 8):
+            at = np.minimum(k, size - 8)
+            out |= words[a + at] != words[b + at]
+    return out
 
-    Tasks send each of their anchors once, with a mark if it is in several of their rows, so a common anchor costs a value
-    for each batch. The map has a few slots for each anchor up to 2 ** MOST_BITS; a fuller map only lets more through.
-    """
-    bits = int(np.clip(int(np.ceil(np.log2(max(2, total / 16 * SLOTS_EACH)))), 16, MOST_BITS))
-    top = int(np.clip(bits - 22, 0, 16))  # shards of at most 2 ** 22 slots, half a megabyte of map
-    shards = 1 << top
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for lo, hi in slices(texts):
-                g = Grams(texts[lo:hi])
-                found.append(g.hashes)
-                owner.append(g.owners() + lo)
-            h, owner = np.concatenate(found), np.concatenate(owner)
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], owner[order]
-            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            tail = np.append(head[1:], len(h)) - 1
-            several = owner[head] != owner[tail] if len(h) else np.zeros(0, bool)
-            h = h[head]
-            cut = np.searchsorted(h >> np.uint64(64 - top), np.arange(shards + 1)) if top else np.array([0, len(h)])
-            rest = ((h << np.uint64(top)) >> np.uint64(32)).astype(np.uint32)
-            rows = [(k, rest[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "rest", "several"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        rest = [np.frombuffer(x, np.uint32) for x in table.column("rest").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(r)].astype(bool) for x, r in zip(table.column("several").to_pylist(), rest, strict=True)]
-        value, many = np.concatenate(rest), np.concatenate(several)
-        value.sort()
-        twice = np.concatenate([value[1:][value[1:] == value[:-1]], *(r[s] for r, s in zip(rest, several, strict=True))])
-        del many
-        flags = np.zeros(1 << (bits - top), bool)
-        flags[twice >> np.uint32(32 - (bits - top))] = True
-        return pa.table({"shard": table.column("shard").slice(0, 1), "map": pa.array([zstandard.compress(np.packbits(flags, bitorder="little").tobytes(), 1)], pa.binary())})
-
-    sent = docs.select("text").mapInArrow(send, "shard int, rest binary, several binary")
-    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
-    for r in sent.groupBy("shard").applyInArrow(meet, "shard int, map binary").toLocalIterator():
-        part = np.frombuffer(zstandard.decompress(r["map"]), np.uint8)
-        out[r["shard"] * len(part) : (r["shard"] + 1) * len(part)] = part
-    return bits, out.tobytes()
-
-
-class _Found:
-    """Contexts of shared anchors in some texts: owner, first byte, size, the anchor's place in it, hashes of both."""
-
-    def __init__(self, texts: list[bytes], bits: int, flags: np.ndarray):
-        parts: list[tuple[np.ndarray, ...]] = []
+def _classes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal strings (and places of the anchor in them) are neighbours, stable, and where a new one begins.
+
+    The last of the keys is the most important. Strings of equal keys are compared; should they differ, their bytes decide.
+    """
+    order = np.lexsort(keys)
+    new = _heads(*(k[order] for k in keys))
+    if not len(order):
+        return order, new
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    check = np.flatnonzero(~new)
+    x, y = order[check], head[check]
+    wrong = (size[x] != size[y]) | (offset[x] != offset[y])
+    wrong[~wrong] = _differ(raw, begin[x[~wrong]], begin[y[~wrong]], size[x[~wrong]])
+    if wrong.any():
+        edge = np.append(np.flatnonzero(new), len(order))
+        for run in np.unique(np.cumsum(new)[check[wrong]] - 1).tolist():
+            lo, hi = int(edge[run]), int(edge[run + 1])
+            name = lambda k: (int(offset[k]), raw[begin[k] : begin[k] + size[k]].tobytes())
+            rows = sorted(order[lo:hi].tolist(), key=lambda k: (name(k), k))
+            order[lo:hi] = rows
+            new[lo + 1 : hi] = [name(a) != name(b) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+    return order, new
+
+
+class Contexts:
+    """Contexts in the joined bytes of some texts: owner, begin, size, place of the anchor and its hash."""
+
+    def __init__(self, texts: list[bytes], wanted: Callable[[np.ndarray], np.ndarray]):
+        """Of the anchors whose hashes are wanted."""
+        parts, at = [], 0
         for lo, hi in slices(texts):
             g = Grams(texts[lo:hi])
-            slot = (g.hashes >> np.uint64(64 - bits)).astype(np.int64)
-            some = np.flatnonzero((flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            some = np.flatnonzero(wanted(g.hashes)) if len(g.hashes) else ()
             if len(some):
-                first, size, content = g.contexts(some)
-                owner = g.owners()[some]
-                parts.append((owner + lo, first - g.start[owner], size, g.at[some] - first, g.hashes[some], content))
-        self.owner, self.first, self.size, self.offset, self.anchor, self.content = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (*[np.int64] * 4, np.uint64, np.uint64))
+                first, size = g.contexts(some)
+                parts.append((g.owners()[some] + lo, first + at, size, g.at[some] - first, g.hashes[some]))
+            at += len(g.raw)
+        self.owner, self.begin, self.size, self.offset, self.anchor = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (*[np.int64] * 4, np.uint64))
+
+    def piece(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the contexts with matches that begin lo to hi bytes before the anchor: index, begin, size, place of the anchor."""
+        start = np.maximum(self.offset - hi, 0)
+        count = np.minimum(self.size - MATCH + 1, self.offset - lo + 1) - start
+        some = np.flatnonzero(count > 0)
+        return some, self.begin[some] + start[some], count[some] + MATCH - 1, self.offset[some] - start[some]
+
+
+def _content(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A hash of each string and its anchor's place; in slices by order of begin."""
+    by = np.argsort(begin, kind="stable")
+    out = np.empty(len(begin), np.uint64)
+    out[by] = span_hashes(raw, begin[by], size[by], sized=True)
+    return out + offset.astype(np.uint64) * MULT
+
+
+def _sorted_texts(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
+    """The rows of a group in an order of their own (id, then text), ids and texts."""
+    z = zstandard.ZstdDecompressor()
+    ids = [LEAST_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+    texts = [b"" if x is None else z.decompress(x) for x in table.column("packed").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+    return table.take(pa.array(order, pa.int64())), np.array([ids[k] for k in order], np.int64), [texts[k] for k in order]
+
+
+def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of hashes, in their order."""
+    return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all anchors in order, and in how many texts each is."""
+    found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in slices(texts):
+        g = Grams(texts[lo:hi])
+        found.append(g.hashes)
+        owner.append(g.owners() + lo)
+    h, owner = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    first = _heads(h, owner)
+    h = h[first]
+    head = np.flatnonzero(_heads(h))
+    return h[head], np.diff(np.append(head, len(h)))
+
+
+def _rows(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(names)], [n for n, _ in names])
+
+
+_GROUP_ROW = [("group", pa.int64()), ("shard", pa.int64()), ("packed", pa.binary())]
+
+
+def tell(table: pa.Table, shards: int) -> pa.Table:
+    """A group's anchors for each of the census shards: the lower halves of their hashes, and their texts up to 255."""
+    group = table.column("group")[0].as_py()
+    h, texts = _anchors(_sorted_texts(table)[2])
+    shard = _shard_of(h, shards)
+    edge = np.append(np.flatnonzero(_heads(shard)), len(h)).tolist() if len(h) else [0]
+    low, many = h.astype(np.uint32), np.minimum(texts, 255).astype(np.uint8)
+    return _rows(_GROUP_ROW, [(group, int(shard[x]), packed_rows(low[x:y], many[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True)])
+
+
+def census(table: pa.Table) -> pa.Table:
+    """For each group and each anchor it told: 0 if it is in one text only, 2 if it is common, else 1."""
+    got = [unpacked_rows(x, np.uint32, np.uint8) for x in table.column("packed").to_pylist()]
+    sizes = [len(a) for a, _ in got]
+    value, many = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(value, kind="stable")
+    head = np.flatnonzero(_heads(value[order]))
+    total = np.add.reduceat(many[order].astype(np.int64), head)
+    mark = np.empty(len(value), np.uint8)
+    mark[order] = np.repeat((total > 1).astype(np.uint8) + (total >= COMMON), np.diff(np.append(head, len(value))))
+    end = np.cumsum(sizes)
+    marks = [packed_rows(mark[e - n : e]) for n, e in zip(sizes, end, strict=True)]
+    return pa.table([table.column("group"), table.column("shard"), pa.array(marks, pa.binary())], [n for n, _ in _GROUP_ROW])
+
+
+def ask(table: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
+    """A group's different contexts of shared anchors, for the shards: where, whose first and last, and their bytes."""
+    if not table.num_rows:
+        return _rows(_GROUP_ROW, [])
+    _, ids, texts = _sorted_texts(table)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    told = np.concatenate([np.zeros(0, np.uint8), *(unpacked_rows(x, np.uint8)[0] for _, x in sorted(zip(marks.column("shard").to_pylist(), marks.column("packed").to_pylist(), strict=True)))])
+    have = _anchors(texts)[0]
+    shared, common = have[told > 0], have[told > 1]
+    known = lambda of, h: of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h if len(of) else np.zeros(len(h), bool)
+    f = Contexts(texts, lambda h: known(shared, h))
+    wide = known(common, f.anchor)
+    whole = np.flatnonzero(~wide)
+    parts = [(whole, f.begin[whole], f.size[whole], f.offset[whole], f.anchor[whole])]
+    for lo, hi in BACK if wide.any() else ():
+        some, begin, size, offset = f.piece(lo, hi)
+        pick = wide[some]
+        some, begin, size, offset = some[pick], begin[pick], size[pick], offset[pick]
+        by = np.argsort(begin + offset, kind="stable")
+        key = np.empty(len(some), np.uint64)
+        key[by] = span_hashes(raw, (begin + offset)[by] - lo, np.full(len(some), MATCH - hi + lo))
+        parts.append((some, begin, size, offset, mix(key + np.uint64(lo + 1))))
+    of, begin, size, offset, home = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, new = _classes(raw, begin, size, offset, _content(raw, begin, size, offset), home)
+    head = np.flatnonzero(new)
+    doc = ids[f.owner[of]][order]
+    high = np.maximum.reduceat(doc, head) if len(head) else doc
+    low = np.minimum.reduceat(doc, head) if len(head) else doc
+    one = order[head]
+    shard = _shard_of(mix(home[one]), shards)
+    by = np.lexsort((begin[one], shard))
+    group, edge = table.column("group")[0].as_py(), np.append(np.flatnonzero(_heads(shard[by])), len(by)).tolist() if len(by) else [0]
+    rows = []
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        at = by[x:y]
+        k = one[at]
+        where, first, last = begin[k].astype(np.uint32), low[at].view(np.uint64), high[at].view(np.uint64)
+        rows.append((group, int(shard[at[0]]), packed_rows(np.diff(where, prepend=np.uint32(0)), np.diff(first, prepend=np.uint64(0)), last - first, size[k].astype(np.uint8), offset[k].astype(np.uint8), tail=raw[_ranges(begin[k], size[k])])))
+    return _rows(_GROUP_ROW, rows)
 
 
 def _least_documents(key: np.ndarray, least: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -153,12 +272,11 @@ def _fill(docs_of: np.ndarray, raw: np.ndarray, least: np.ndarray, begin: np.nda
     at, size, to = begin[some] + start, count + MATCH - 1, first[some] + start
     key = span_hashes(raw, (begin + offset)[some] - lo, np.full(len(some), MATCH - hi + lo))
     piece = span_hashes(raw, at, size, sized=True)
-    order = np.lexsort((piece, key))
-    new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (piece[order][1:] != piece[order][:-1])))
+    order, new = _classes(raw, at, size, np.zeros(len(some), np.int64), piece, key)
     head = np.flatnonzero(new)
     one = order[head]
     best = np.minimum.reduceat(least[some][order], head)
-    run = np.flatnonzero(np.append(True, key[one][1:] != key[one][:-1]))
+    run = np.flatnonzero(_heads(key[one]))
     members = np.diff(np.append(run, len(one)))
     # A piece alone in its string is as it is. Equally long strings are sorted together: a slice takes as many steps as
     # its longest string has groups.
@@ -179,19 +297,110 @@ def _fill(docs_of: np.ndarray, raw: np.ndarray, least: np.ndarray, begin: np.nda
     docs_of[_ranges(to, count)] = found[_ranges(pieces[slot], count)]
 
 
+def answer(table: pa.Table) -> pa.Table:
+    """To each group, for those of its contexts that hold something to cut: where they are, and each match's least document."""
+    got = [unpacked_rows(x, np.uint32, np.uint64, np.uint64, np.uint8, np.uint8, tail=True) for x in table.column("packed").to_pylist()]
+    group = np.repeat(np.array(table.column("group").to_pylist(), np.int64), [len(g[0]) for g in got])
+    where = np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got])
+    low = np.concatenate([np.cumsum(g[1], dtype=np.uint64) for g in got])
+    high = (low + np.concatenate([g[2] for g in got])).view(np.int64)
+    low = low.view(np.int64)
+    size, offset = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (3, 4))
+    raw = np.concatenate([g[5] for g in got])
+    del got
+    begin = np.cumsum(size) - size
+    anchor = span_hashes(raw, begin + offset, np.full(len(size), GRAM))
+    order, new = _classes(raw, begin, size, offset, _content(raw, begin, size, offset), anchor)
+    head = np.flatnonzero(new)
+    one = order[head]
+    least = np.minimum.reduceat(low[order], head)
+    back = np.argsort(one)  # contexts in order of their bytes
+    slot = np.empty(len(one), np.int64)
+    slot[back] = np.arange(len(one))
+    one, least = one[back], least[back]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = slot[np.cumsum(new) - 1]
+    windows = size[one] - MATCH + 1
+    first = np.cumsum(windows) - windows
+    docs_of = np.empty(int(windows.sum()), np.int64)
+    for lo, hi in BACK:
+        _fill(docs_of, raw, least, begin[one], offset[one], windows, first, lo, hi)
+    lowest = np.minimum.reduceat(docs_of, first)
+    want = np.flatnonzero(lowest[kind] < high)  # others have nothing to cut
+    want = want[np.argsort(group[want], kind="stable")]
+    edge = np.append(np.flatnonzero(_heads(group[want])), len(want)).tolist() if len(want) else [0]
+    shard, rows = table.column("shard")[0].as_py(), []
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        at = want[x:y]
+        k = kind[at]
+        docs = docs_of[_ranges(first[k], windows[k])].view(np.uint64)
+        rows.append((int(group[at[0]]), shard, packed_rows(where[at], size[at].astype(np.uint8), offset[at].astype(np.uint8), tail=np.diff(docs, prepend=np.uint64(0)).view(np.uint8))))
+    return _rows(_GROUP_ROW, rows)
+
+
+def _covered(raw: np.ndarray, ids: np.ndarray, texts: list[bytes], answers: pa.Table) -> np.ndarray:
+    """The bytes of a group that go."""
+    change = np.zeros(len(raw) + 1, np.int32)
+    got = [unpacked_rows(x, np.uint32, np.uint8, np.uint8, tail=True) for x in answers.column("packed").to_pylist()]
+    if not got:
+        return np.zeros(len(raw), bool)
+    begin, size, offset = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(3))
+    least = np.concatenate([np.cumsum(g[3].view(np.uint64), dtype=np.uint64) for g in got]).view(np.int64)
+    count = size - MATCH + 1
+    first = np.cumsum(count) - count
+    n = len(size)
+    by = np.argsort(begin + offset, kind="stable")
+    wanted = np.unique(span_hashes(raw, (begin + offset)[by], np.full(n, GRAM)))
+    f = Contexts(texts, lambda h: wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+    # What was asked for is a whole context or a piece: of each context all three, beside the answered ones, in classes.
+    parts = [(np.full(n, -1), begin, size, offset), (np.arange(len(f.owner)), f.begin, f.size, f.offset), *(f.piece(lo, hi) for lo, hi in BACK)]
+    of, at, long, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, new = _classes(raw, at, long, place, _content(raw, at, long, place))
+    which = np.cumsum(new) - 1
+    reply = np.full(int(new.sum()), -1)
+    given = order < n
+    reply[which[given]] = order[given]
+    k = reply[which]
+    hit = ~given & (k >= 0)
+    k, x = k[hit], order[hit]
+    doc, m = ids[f.owner[of[x]]], count[k]
+    gone = least[_ranges(first[k], m)] < np.repeat(doc, m)
+    spots = _ranges(at[x], m)[gone]
+    np.add.at(change, spots, 1)
+    np.add.at(change, spots + MATCH, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def remove(table: pa.Table, answers: pa.Table, texts_too: bool) -> pa.Table:
+    """Each row of a group after the cut."""
+    table, ids, texts = _sorted_texts(table)
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    covered = _covered(raw, ids, texts, answers)
+    stop = np.cumsum([len(t) for t in texts]).tolist()
+    out: list[list] = [[], [], [], [], []]
+    for lo, hi in zip([0, *stop[:-1]], stop, strict=True):
+        c = covered[lo:hi]
+        removed = int(c.sum())
+        left = raw[lo:hi][~c].tobytes() if removed else raw[lo:hi].tobytes()
+        spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if removed else 0
+        for o, v in zip(out, (hi - lo, removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if texts_too and removed else None), strict=True):
+            o.append(v)
+    cols = [table.column("doc_id"), table.column("tie"), *[pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]]
+    names = ["doc_id", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left"]
+    return pa.table(cols[: 7 if texts_too else 6], names[: 7 if texts_too else 6])
+
+
 def cut(df: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, tie (hash of the text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left.
 
     Each byte goes that a MATCH-byte string covers which also starts in a document with a smaller doc_id, judged on the
     input. Null text counts as empty and shorter texts have no match. Rows of one doc_id don't cut each other; a null
-    doc_id is smaller than all others. What is left is decoded with replacements where a cut splits a character.
+    doc_id is smaller than all others. A character that a cut splits isn't part of the text that is left. A very long text
+    is a group by itself. Rows that repeat each get their result; an empty table has none.
     """
-    spark = df.sparkSession
     docs = with_columns_as(df, doc_id="long", text="string")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    bits, flags = _shared_anchors(docs, total)
-    shared = spark.sparkContext.broadcast(flags)
-    groups = max(1, -(-total // GROUP_BYTES))
+    groups, shards, wards = (int(total // n + 1) for n in (GROUP_BYTES, SHARD_BYTES, CENSUS_BYTES))
 
     def press(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -199,122 +408,14 @@ def cut(df: DataFrame, texts: bool = False) -> DataFrame:
             packed = pa.array([None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("group"), b.column("doc_id"), b.column("tie"), packed], ["group", "doc_id", "tie", "packed"])
 
-    dealt = docs.withColumn("tie", F.xxhash64("text")).withColumn("group", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups))).select("group", "doc_id", "tie", "text").mapInArrow(press, "group long, doc_id long, tie long, packed binary")
-
-    def unpack(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-        z = zstandard.ZstdDecompressor()
-        ids = np.array([LEAST_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
-        return ids, [b"" if x is None else z.decompress(x) for x in table.column("packed").to_pylist()]
-
-    shards = max(1, min(1 << 20, total // 4 // SHARD_BYTES))  # a guess of the contexts' bytes: a quarter of the text
-
-    def ask(table: pa.Table) -> pa.Table:
-        ids, texts = unpack(table)
-        f = _Found(texts, bits, np.frombuffer(shared.value, np.uint8))
-        doc = ids[f.owner]
-        order = np.lexsort((doc, f.content, f.anchor))
-        anchor, content, doc = f.anchor[order], f.content[order], doc[order]
-        head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))) if len(order) else np.zeros(0, np.int64)
-        tail = np.append(head[1:], len(order)) - 1
-        one = order[head]
-        start = np.cumsum([0, *map(len, texts)])[:-1]
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        begin, size = start[f.owner[one]] + f.first[one], f.size[one]
-        shard = (anchor[head] % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((begin, doc[head], shard))  # near documents and places together: they compress well
-        edges = np.searchsorted(shard[by], np.arange(shards + 1))
-        z, rows = zstandard.ZstdCompressor(level=3), []
-        for k in np.unique(shard).tolist():
-            at = by[edges[k] : edges[k + 1]]
-            low, high = doc[head][at].view(np.uint64), doc[tail][at].view(np.uint64)
-            # Hashes are taken again from the contexts; of the greatest document goes the difference to the least.
-            parts = (low, high - low, size[at].astype(np.uint8), f.offset[one[at]].astype(np.uint8), raw[_ranges(begin[at], size[at])])
-            rows.append((k, len(at), z.compress(b"".join(p.tobytes() for p in parts))))
-        group = table.column("group")[0].as_py()
-        return pa.table([pa.array([x[0] for x in rows], pa.int64()), pa.array([group] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.binary())], ["shard", "group", "n", "packed"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        z, got = zstandard.ZstdDecompressor(), []
-        for group, n, packed in zip(*(table.column(c).to_pylist() for c in ("group", "n", "packed")), strict=True):
-            blob, at, parts = z.decompress(packed), 0, []
-            for kind in (np.uint64, np.uint64, np.uint8, np.uint8):
-                parts.append(np.frombuffer(blob, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            got.append((np.full(n, group), *parts, np.frombuffer(blob, np.uint8, -1, at)))
-        group, low, more, size, offset, raw = (np.concatenate(x) for x in zip(*got, strict=True))
-        low, high, size, offset = low.view(np.int64), (low + more).view(np.int64), size.astype(np.int64), offset.astype(np.int64)
-        begin = np.cumsum(size) - size
-        anchor = span_hashes(raw, begin + offset, np.full(len(size), GRAM))
-        content = both_hashes(span_hashes(raw, begin, size, sized=True), anchor)
-        order = np.lexsort((content, anchor))
-        new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])))
-        one = order[np.flatnonzero(new)]
-        least = np.minimum.reduceat(low[order], np.flatnonzero(new))
-        back = np.argsort(one)  # contexts in order of their bytes
-        slot = np.empty(len(one), np.int64)
-        slot[back] = np.arange(len(one))
-        one, least = one[back], least[back]
-        kind = np.empty(len(order), np.int64)
-        kind[order] = slot[np.cumsum(new) - 1]
-        windows = size[one] - MATCH + 1
-        first = np.cumsum(windows) - windows
-        docs_of = np.empty(int(windows.sum()), np.int64)
-        for lo, hi in BACK:
-            _fill(docs_of, raw, least, begin[one], offset[one], windows, first, lo, hi)
-        lowest = np.minimum.reduceat(docs_of, first)
-        want = np.flatnonzero(lowest[kind] < high)  # others have nothing to cut
-        want = want[np.argsort(group[want], kind="stable")]
-        edge = np.flatnonzero(np.concatenate(([True], group[want][1:] != group[want][:-1]))) if len(want) else np.zeros(0, np.int64)
-        press, rows = zstandard.ZstdCompressor(level=1), []
-        for x, y in zip(edge.tolist(), np.append(edge[1:], len(want)).tolist(), strict=True):
-            at = want[x:y]
-            k = kind[at]
-            blob = b"".join(p.tobytes() for p in (content[at], windows[k].astype(np.uint8), docs_of[_ranges(first[k], windows[k])]))
-            rows.append((int(group[at[0]]), len(at), press.compress(blob)))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["group", "n", "packed"])
-
-    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts = unpack(table)
-        z = zstandard.ZstdDecompressor()
-        keys, counts, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, packed in zip(answers.column("n").to_pylist(), answers.column("packed").to_pylist(), strict=True):
-            blob = z.decompress(packed)
-            keys.append(np.frombuffer(blob, np.uint64, n))
-            counts.append(np.frombuffer(blob, np.uint8, n, 8 * n).astype(np.int64))
-            least.append(np.frombuffer(blob, np.int64, -1, 9 * n))
-        keys, counts, least = np.concatenate(keys), np.concatenate(counts), np.concatenate(least)
-        first = np.cumsum(counts) - counts
-        order = np.argsort(keys)
-        start = np.cumsum([0, *map(len, texts)])
-        change = np.zeros(int(start[-1]) + 1, np.int32)
-        if len(keys):
-            f = _Found(texts, bits, np.frombuffer(shared.value, np.uint8))
-            at = np.minimum(np.searchsorted(keys[order], f.content), len(keys) - 1)
-            hit = np.flatnonzero(keys[order][at] == f.content)
-            k, n = order[at[hit]], f.size[hit] - MATCH + 1
-            gone = least[_ranges(first[k], n)] < np.repeat(ids[f.owner[hit]], n)
-            where = _ranges(start[f.owner[hit]] + f.first[hit], n)[gone]
-            np.add.at(change, where, 1)
-            np.add.at(change, where + MATCH, -1)
-        covered = np.cumsum(change[:-1]) > 0
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        out: list[list] = [[], [], [], [], []]
-        for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-            c = covered[lo:hi]
-            removed = int(c.sum())
-            left = raw[lo:hi][~c].tobytes() if removed else raw[lo:hi].tobytes()
-            spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if removed else 0
-            for o, v in zip(out, (hi - lo, removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if texts_too and removed else None), strict=True):
-                o.append(v)
-        cols = [table.column("doc_id"), table.column("tie"), *[pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]]
-        names = ["doc_id", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left"]
-        return pa.table(cols[: 7 if texts_too else 6], names[: 7 if texts_too else 6])
-
-    texts_too = texts
-    asked = dealt.groupBy("group").applyInArrow(ask, "shard long, group long, n long, packed binary")
-    answers = materialize(asked.groupBy("shard").applyInArrow(answer, "group long, n long, packed binary"), "answers")
+    row = "group long, shard long, packed binary"
+    tied = docs.withColumn("tie", F.xxhash64("text")).withColumn("group", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups))).select("group", "doc_id", "tie", "text")
+    dealt = tied.mapInArrow(press, "group long, doc_id long, tie long, packed binary").groupBy("group")
+    marks = dealt.applyInArrow(lambda t: tell(t, wards), row).groupBy("shard").applyInArrow(census, row)
+    asked = dealt.cogroup(marks.groupBy("group")).applyInArrow(lambda t, m: ask(t, m, shards), row)
+    answers = asked.groupBy("shard").applyInArrow(answer, row)
     schema = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", left string" if texts else "")
-    return dealt.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(remove, schema)
+    return dealt.cogroup(answers.groupBy("group")).applyInArrow(lambda t, a: remove(t, a, texts), schema)
 
 
 def result(df: DataFrame) -> DataFrame:
@@ -322,11 +423,13 @@ def result(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """df with its texts and n_chars after the cut; a document goes if bytes were removed and no word is left."""
+    """df with its texts and n_chars after the cut; a document goes if bytes were removed and no word is left.
+
+    Null, short and unmatched texts stay as they are; rows that repeat are cut alike. Extra columns pass, whatever their names.
+    """
     cuts = materialize(cut(df, texts=True).filter("n_removed > 0").select("doc_id", "tie", "left").distinct(), "cuts")
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("left").alias("__left"))
-    base = df.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    both = base.join(cuts, base["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left")
-    both = both.filter(F.col("__left").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("__left"), "n_chars": F.char_length("__left").cast("long")}
-    return both.select(*[F.when(F.col("__left").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
+    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df["doc_id"].cast("long").alias("id"), F.xxhash64(df["text"].cast("string")).alias("hash"))
+    both = rows.join(cuts, rows["id"].eqNullSafe(cuts["doc_id"]) & (rows["hash"] == cuts["tie"]), "left")
+    both = both.filter(F.col("left").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
+    return both.select(*[(F.when(F.col("left").isNotNull(), new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in df.columns])

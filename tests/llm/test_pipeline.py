@@ -41,7 +41,7 @@ def brute(rows):
     rows = [(d, cut[d, t][2]) for d, t in rows if not cut[d, t][1] or cut[d, t][2].split()]
     rows = [(d, t) for (d, t), (_, _, c) in zip(rows, brute_near(rows, 5, 80), strict=True) if d == c]
     left = brute_cut(rows)
-    return [(d, b[4].decode("utf-8", "replace") if b[1] else t) for (d, t), b in zip(rows, left, strict=True) if not b[1] or b[4].split()]
+    return [(d, b[4].decode("utf-8", "ignore") if b[1] else t) for (d, t), b in zip(rows, left, strict=True) if not b[1] or b[4].split()]
 
 
 def test_run(spark, tmp_path):
