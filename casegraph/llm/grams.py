@@ -73,16 +73,18 @@ class Grams:
         self.start = np.cumsum(self.size) - self.size
         h = window_hashes(self.raw, GRAM)
         if len(h) < SPAN:
-            self.low = self.hashes = np.zeros(0, np.uint64)
+            self.low = self.least = np.zeros(0, np.uint32)
+            self.hashes = np.zeros(0, np.uint64)
             self.at = np.zeros(0, np.int64)
             return
-        self.low = _sliding(h, SPAN, np.minimum)
+        upper = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # the least is by this half; equal ones all are anchors
+        self.low = _sliding(upper, SPAN, np.minimum)
         for lo, n in zip(self.start.tolist(), self.size.tolist(), strict=True):  # windows into the next text
             self.low[max(lo, lo + n - MATCH + 1) : lo + n] = 0
-        edge = np.zeros(SPAN - 1, np.uint64)
+        edge = np.zeros(SPAN - 1, np.uint32)
         most = _sliding(np.concatenate((edge, self.low, edge)), SPAN, np.maximum)
-        self.at = np.flatnonzero((most == h) & (h > 0))
-        self.hashes = h[self.at]
+        self.at = np.flatnonzero(most == upper)
+        self.hashes, self.least = h[self.at], upper[self.at]
 
     def owners(self) -> np.ndarray:
         return np.searchsorted(self.start + self.size, self.at, side="right")
@@ -92,7 +94,7 @@ class Grams:
 
         A match counts for an anchor if the anchor is its least gram; such matches start in one run.
         """
-        at, h = self.at[some], self.hashes[some]
+        at, h = self.at[some], self.least[some]
         first, last = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
         for back in range(SPAN):
             s = at - back

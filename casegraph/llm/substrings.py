@@ -19,8 +19,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import MULT, materialize, mix, packed_rows, unpacked_rows, with_columns_as
+from .common import MULT, mix, packed_rows, unpacked_rows, with_columns_as
 from .grams import GRAM, MATCH, SLICE_BYTES, SPAN, Grams, span_hashes
 from .suffixes import _ranges, suffix_arrays
 
@@ -31,7 +32,9 @@ COMMON = 1024
 LEAST_ID = -(1 << 63)
 #: Bytes before the anchor in a match, in classes: matches of one class and anchor are equal only if they agree in the
 #: bytes that all of the class hold, so only such contexts are sorted in one string.
-BACK = ((SPAN // 2, SPAN - 1), (0, SPAN // 2 - 1))
+BACK = ((23, SPAN - 1), (15, 22), (8, 14), (0, 7))
+#: The classes in which the contexts of a common anchor go to the shards.
+WIDE = ((15, SPAN - 1), (0, 14))
 #: Bytes of pieces that are sorted at once (whole strings, one at least).
 SORT_BYTES = 1 << 20
 
@@ -93,14 +96,18 @@ def _classes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.nd
     return order, new
 
 
+def _grams(texts: list[bytes]) -> Iterator[tuple[int, Grams]]:
+    """Anchors of the texts, in slices: the first text of each and its grams."""
+    return ((lo, Grams(texts[lo:hi])) for lo, hi in slices(texts))
+
+
 class Contexts:
     """Contexts in the joined bytes of some texts: owner, begin, size, place of the anchor and its hash."""
 
-    def __init__(self, texts: list[bytes], wanted: Callable[[np.ndarray], np.ndarray]):
+    def __init__(self, grams: Iterable[tuple[int, Grams]], wanted: Callable[[np.ndarray], np.ndarray]):
         """Of the anchors whose hashes are wanted."""
         parts, at = [], 0
-        for lo, hi in slices(texts):
-            g = Grams(texts[lo:hi])
+        for lo, g in grams:
             some = np.flatnonzero(wanted(g.hashes)) if len(g.hashes) else ()
             if len(some):
                 first, size = g.contexts(some)
@@ -138,11 +145,10 @@ def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(grams: Iterable[tuple[int, Grams]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all anchors in order, and in how many texts each is."""
     found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for lo, hi in slices(texts):
-        g = Grams(texts[lo:hi])
+    for lo, g in grams:
         found.append(g.hashes)
         owner.append(g.owners() + lo)
     h, owner = np.concatenate(found), np.concatenate(owner)
@@ -164,7 +170,7 @@ _GROUP_ROW = [("group", pa.int64()), ("shard", pa.int64()), ("packed", pa.binary
 def tell(table: pa.Table, shards: int) -> pa.Table:
     """A group's anchors for each of the census shards: the lower halves of their hashes, and their texts up to 255."""
     group = table.column("group")[0].as_py()
-    h, texts = _anchors(_sorted_texts(table)[2])
+    h, texts = _anchors(_grams(_sorted_texts(table)[2]))
     shard = _shard_of(h, shards)
     edge = np.append(np.flatnonzero(_heads(shard)), len(h)).tolist() if len(h) else [0]
     low, many = h.astype(np.uint32), np.minimum(texts, 255).astype(np.uint8)
@@ -193,14 +199,15 @@ def ask(table: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
     _, ids, texts = _sorted_texts(table)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     told = np.concatenate([np.zeros(0, np.uint8), *(unpacked_rows(x, np.uint8)[0] for _, x in sorted(zip(marks.column("shard").to_pylist(), marks.column("packed").to_pylist(), strict=True)))])
-    have = _anchors(texts)[0]
+    grams = list(_grams(texts))
+    have = _anchors(grams)[0]
     shared, common = have[told > 0], have[told > 1]
     known = lambda of, h: of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h if len(of) else np.zeros(len(h), bool)
-    f = Contexts(texts, lambda h: known(shared, h))
+    f = Contexts(grams, lambda h: known(shared, h))
     wide = known(common, f.anchor)
     whole = np.flatnonzero(~wide)
     parts = [(whole, f.begin[whole], f.size[whole], f.offset[whole], f.anchor[whole])]
-    for lo, hi in BACK if wide.any() else ():
+    for lo, hi in WIDE if wide.any() else ():
         some, begin, size, offset = f.piece(lo, hi)
         pick = wide[some]
         some, begin, size, offset = some[pick], begin[pick], size[pick], offset[pick]
@@ -227,33 +234,31 @@ def ask(table: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
     return _rows(_GROUP_ROW, rows)
 
 
-def _least_documents(key: np.ndarray, least: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """The least document of each match in each piece, in a row; pieces are sorted by key and differ."""
-    windows = size - MATCH + 1
-    out = np.repeat(least, windows)
-    first = np.cumsum(windows) - windows
-    begin = np.cumsum(size) - size
-    run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    strings = np.add.reduceat(size + 1, run)
+def _least_documents(string: np.ndarray, least: np.ndarray, count: np.ndarray, left: np.ndarray, core: int, right: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The least document of each of the first count matches in each piece, in a row.
+
+    Pieces stand by string and differ. Those of a string share the core bytes behind the left ones, which are one symbol
+    there: equal matches have it at the same place.
+    """
+    out = np.repeat(least, count)
+    run = np.flatnonzero(_heads(string))
+    symbols = left + right + 2
+    strings = np.add.reduceat(symbols, run)
     n = int(strings.sum())
+    to = np.cumsum(symbols) - symbols
     text = np.zeros(n, np.uint16)
-    to = np.cumsum(size + 1) - size - 1
-    text[_ranges(to, size)] = raw.astype(np.uint16) + 1
+    text[_ranges(to, left)] = raw[_ranges(at, left)].astype(np.uint16) + 1
+    text[to + left] = 257
+    text[_ranges(to + left + 1, right)] = raw[_ranges(at + left + core, right)].astype(np.uint16) + 1
     order = suffix_arrays(text, strings)
     which = np.full(n, -1, np.int64)  # the match that starts here
-    which[_ranges(to, windows)] = np.arange(len(out))
-    origin = np.zeros(n, np.int64)
-    origin[_ranges(to, windows)] = _ranges(begin, windows)
-    string = np.repeat(np.arange(len(strings)), strings)
-    order = order[which[order] >= 0]
-    words = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), strides=(1,))
-    here = origin[order]
-    same = string[order][1:] == string[order][:-1]
-    for k in (*range(0, MATCH - 8, 8), MATCH - 8):  # equal first MATCH bytes
-        w = words[here + k]
-        same &= w[1:] == w[:-1]
-    head = np.flatnonzero(np.concatenate(([True], ~same)))
+    which[_ranges(to, count)] = np.arange(len(out))
     match = which[order]
+    match = match[match >= 0]
+    here, of = _ranges(at, count)[match], np.repeat(string, count)[match]
+    same = of[1:] == of[:-1]
+    same[same] = ~_differ(raw, here[1:][same], here[:-1][same], np.full(int(same.sum()), MATCH))
+    head = np.flatnonzero(np.concatenate(([True], ~same)))
     out[match] = np.repeat(np.minimum.reduceat(out[match], head), np.diff(np.append(head, len(match))))
     return out
 
@@ -261,7 +266,7 @@ def _least_documents(key: np.ndarray, least: np.ndarray, size: np.ndarray, raw:
 def _fill(docs_of: np.ndarray, raw: np.ndarray, least: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.ndarray, first: np.ndarray, lo: int, hi: int) -> None:
     """Writes the least documents of the matches with lo to hi bytes before the anchor.
 
-    Contexts stand in order of begin; a context's matches of one class are its piece.
+    Contexts stand in order of begin; a context's matches of one class are its piece, and all of them hold its core.
     """
     start = np.maximum(offset - hi, 0)
     count = np.minimum(windows, offset - lo + 1) - start
@@ -270,27 +275,31 @@ def _fill(docs_of: np.ndarray, raw: np.ndarray, least: np.ndarray, begin: np.nda
         return
     start, count = start[some], count[some]
     at, size, to = begin[some] + start, count + MATCH - 1, first[some] + start
-    key = span_hashes(raw, (begin + offset)[some] - lo, np.full(len(some), MATCH - hi + lo))
-    piece = span_hashes(raw, at, size, sized=True)
-    order, new = _classes(raw, at, size, np.zeros(len(some), np.int64), piece, key)
+    middle, core = (begin + offset)[some] - lo, MATCH - hi + lo
+    none, long = np.zeros(len(some), np.int64), np.full(len(some), core)
+    order, new = _classes(raw, middle, long, none, span_hashes(raw, middle, long))
+    string = np.empty(len(some), np.int64)
+    string[order] = np.cumsum(new)
+    order, new = _classes(raw, at, size, none, span_hashes(raw, at, size, sized=True), string)
     head = np.flatnonzero(new)
     one = order[head]
     best = np.minimum.reduceat(least[some][order], head)
-    run = np.flatnonzero(_heads(key[one]))
+    run = np.flatnonzero(_heads(string[one]))
     members = np.diff(np.append(run, len(one)))
     # A piece alone in its string is as it is. Equally long strings are sorted together: a slice takes as many steps as
     # its longest string has groups.
-    long = np.add.reduceat(size[one], run)
+    bytes_ = np.add.reduceat(size[one], run)
     rank = np.flatnonzero(members > 1)
-    rank = rank[np.argsort(long[rank], kind="stable")]
+    rank = rank[np.argsort(bytes_[rank], kind="stable")]
     sorted_, ends = _ranges(run[rank], members[rank]), np.cumsum(members[rank])
     pieces = np.cumsum(count[one]) - count[one]
     found = np.repeat(best, count[one])
     x = 0
-    for y in ends[np.append(np.diff(np.cumsum(long[rank]) // SORT_BYTES) > 0, True)].tolist() if len(rank) else []:
+    for y in ends[np.append(np.diff(np.cumsum(bytes_[rank]) // SORT_BYTES) > 0, True)].tolist() if len(rank) else []:
         part = sorted_[x:y]
-        here = one[part]
-        found[_ranges(pieces[part], count[here])] = _least_documents(key[here], best[part], size[here], raw[_ranges(at[here], size[here])])
+        k = one[part]
+        left = middle[k] - at[k]
+        found[_ranges(pieces[part], count[k])] = _least_documents(string[k], best[part], count[k], left, core, size[k] - left - core, raw, at[k])
         x = y
     slot = np.empty(len(order), np.int64)
     slot[order] = np.cumsum(new) - 1
@@ -351,9 +360,9 @@ def _covered(raw: np.ndarray, ids: np.ndarray, texts: list[bytes], answers: pa.T
     n = len(size)
     by = np.argsort(begin + offset, kind="stable")
     wanted = np.unique(span_hashes(raw, (begin + offset)[by], np.full(n, GRAM)))
-    f = Contexts(texts, lambda h: wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+    f = Contexts(_grams(texts), lambda h: wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
     # What was asked for is a whole context or a piece: of each context all three, beside the answered ones, in classes.
-    parts = [(np.full(n, -1), begin, size, offset), (np.arange(len(f.owner)), f.begin, f.size, f.offset), *(f.piece(lo, hi) for lo, hi in BACK)]
+    parts = [(np.full(n, -1), begin, size, offset), (np.arange(len(f.owner)), f.begin, f.size, f.offset), *(f.piece(lo, hi) for lo, hi in WIDE)]
     of, at, long, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, new = _classes(raw, at, long, place, _content(raw, at, long, place))
     which = np.cumsum(new) - 1
@@ -371,55 +380,64 @@ def _covered(raw: np.ndarray, ids: np.ndarray, texts: list[bytes], answers: pa.T
     return np.cumsum(change[:-1]) > 0
 
 
-def remove(table: pa.Table, answers: pa.Table, texts_too: bool) -> pa.Table:
-    """Each row of a group after the cut."""
+def remove(table: pa.Table, answers: pa.Table, whole: bool) -> pa.Table:
+    """Each row of a group after the cut: its counts and hash or, if whole, its other columns and the text that is left."""
     table, ids, texts = _sorted_texts(table)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     covered = _covered(raw, ids, texts, answers)
     stop = np.cumsum([len(t) for t in texts]).tolist()
-    out: list[list] = [[], [], [], [], []]
-    for lo, hi in zip([0, *stop[:-1]], stop, strict=True):
+    size, gone, spans, kept, left = [], [], [], [], []
+    for k, (lo, hi) in enumerate(zip([0, *stop[:-1]], stop, strict=True)):
         c = covered[lo:hi]
-        removed = int(c.sum())
-        left = raw[lo:hi][~c].tobytes() if removed else raw[lo:hi].tobytes()
-        spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if removed else 0
-        for o, v in zip(out, (hi - lo, removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if texts_too and removed else None), strict=True):
-            o.append(v)
-    cols = [table.column("doc_id"), table.column("tie"), *[pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]]
-    names = ["doc_id", "tie", "n_bytes", "n_removed", "n_spans", "kept_sha256", "left"]
-    return pa.table(cols[: 7 if texts_too else 6], names[: 7 if texts_too else 6])
-
-
-def cut(df: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, tie (hash of the text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text that is left.
+        gone.append(int(c.sum()))
+        rest = raw[lo:hi][~c].tobytes() if gone[-1] else texts[k]
+        if whole:
+            left.append(rest.decode("utf-8", "ignore"))
+        else:
+            size.append(hi - lo)
+            spans.append(int(c[:1].sum() + (c[1:] & ~c[:-1]).sum()) if gone[-1] else 0)
+            kept.append(hashlib.sha256(rest).hexdigest())
+    if whole:
+        return pa.table([table.column("row"), pa.array(gone, pa.int64()), pa.array(left, pa.string())], ["row", "n_removed", "left"])
+    cols = [pa.array(x, pa.int64()) for x in (size, gone, spans)]
+    return pa.table([table.column("doc_id"), *cols, pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def cut(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 or, if whole, row (any column of docs), n_removed and the text left.
 
     Each byte goes that a MATCH-byte string covers which also starts in a document with a smaller doc_id, judged on the
     input. Null text counts as empty and shorter texts have no match. Rows of one doc_id don't cut each other; a null
     doc_id is smaller than all others. A character that a cut splits isn't part of the text that is left. A very long text
     is a group by itself. Rows that repeat each get their result; an empty table has none.
     """
-    docs = with_columns_as(df, doc_id="long", text="string")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     groups, shards, wards = (int(total // n + 1) for n in (GROUP_BYTES, SHARD_BYTES, CENSUS_BYTES))
+    row = ["row"] if whole else []
 
     def press(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = pa.array([None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("group"), b.column("doc_id"), b.column("tie"), packed], ["group", "doc_id", "tie", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column("group"), b.column("doc_id"), packed, *map(b.column, row)], ["group", "doc_id", "packed", *row])
+
+    told = "group long, shard long, packed binary"
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group")
+    dealt = docs.select(group, "doc_id", "text", *row).mapInArrow(press, _schema("group long, doc_id long, packed binary", docs, row)).groupBy("group")
+    marks = dealt.applyInArrow(lambda t: tell(t, wards), told).groupBy("shard").applyInArrow(census, told)
+    asked = dealt.cogroup(marks.groupBy("group")).applyInArrow(lambda t, m: ask(t, m, shards), told)
+    answers = asked.groupBy("shard").applyInArrow(answer, told)
+    out = "n_removed long, left string" if whole else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return dealt.cogroup(answers.groupBy("group")).applyInArrow(lambda t, a: remove(t, a, whole), _schema(out, docs, row, first=True))
+
 
-    row = "group long, shard long, packed binary"
-    tied = docs.withColumn("tie", F.xxhash64("text")).withColumn("group", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups))).select("group", "doc_id", "tie", "text")
-    dealt = tied.mapInArrow(press, "group long, doc_id long, tie long, packed binary").groupBy("group")
-    marks = dealt.applyInArrow(lambda t: tell(t, wards), row).groupBy("shard").applyInArrow(census, row)
-    asked = dealt.cogroup(marks.groupBy("group")).applyInArrow(lambda t, m: ask(t, m, shards), row)
-    answers = asked.groupBy("shard").applyInArrow(answer, row)
-    schema = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", left string" if texts else "")
-    return dealt.cogroup(answers.groupBy("group")).applyInArrow(lambda t, a: remove(t, a, texts), schema)
+def _schema(columns: str, docs: DataFrame, row: list[str], first: bool = False) -> T.StructType:
+    own, passed = list(T.StructType.fromDDL(columns)), [docs.schema[c] for c in row]
+    return T.StructType(passed + own if first else own + passed)
 
 
 def result(df: DataFrame) -> DataFrame:
-    return cut(df).drop("tie")
+    return cut(with_columns_as(df, doc_id="long", text="string"))
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -427,9 +445,11 @@ def stage(df: DataFrame) -> DataFrame:
 
     Null, short and unmatched texts stay as they are; rows that repeat are cut alike. Extra columns pass, whatever their names.
     """
-    cuts = materialize(cut(df, texts=True).filter("n_removed > 0").select("doc_id", "tie", "left").distinct(), "cuts")
-    rows = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), df["doc_id"].cast("long").alias("id"), F.xxhash64(df["text"].cast("string")).alias("hash"))
-    both = rows.join(cuts, rows["id"].eqNullSafe(cuts["doc_id"]) & (rows["hash"] == cuts["tie"]), "left")
-    both = both.filter(F.col("left").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
-    return both.select(*[(F.when(F.col("left").isNotNull(), new[c]).otherwise(F.col("row")[c]) if c in new else F.col("row")[c]).alias(c) for c in df.columns])
+    field = {c: f"c{k}" for k, c in enumerate(df.columns) if c != "text"}
+    row = F.struct(F.col("text").isNull().alias("none"), *[df[f"`{c}`"].alias(f) for c, f in field.items()]).alias("row")
+    docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text"), row)
+    done = cut(docs, whole=True).filter((F.col("n_removed") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.when(~F.col("row")["none"], F.col("left"))
+    length = lambda old: F.when(F.col("n_removed") > 0, F.char_length("left").cast("long")).otherwise(old)
+    old = lambda c: F.col("row")[field[c]]
+    return done.select(*[(text if c == "text" else length(old(c)) if c == "n_chars" else old(c)).alias(c) for c in df.columns])
