@@ -17,8 +17,13 @@ from . import vocab
 TRAITS = T.StructType().add("ip", "string").add("version", "integer").add("private", "boolean").add("cgnat", "boolean").add("attributable", "boolean")
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def node_id(kind: Column, value: Column) -> Column:
-    return F.concat(kind, F.lit("::"), F.lower(F.trim(value)))
+    return F.concat(kind, F.lit("::"), F.lower(strip(value)))
 
 
 def edge_id(u: Column, v: Column, relation: Column, method: Column, locator: Column, source: Column) -> Column:
@@ -37,10 +42,10 @@ def alias(value: Column, marks: bool = True) -> Column:
 
     marks=False skips the Python step where values are known to be ASCII.
     """
-    t = F.trim(value)
+    t = strip(value)
     t = strip_marks(t) if marks else t
     t = F.regexp_replace(F.lower(t), r"(?U)\s+", " ")
-    return F.regexp_replace(t, r"(?U)[^\w\s@._-]", "")
+    return F.nullif(F.regexp_replace(t, r"(?U)[^\w\s@._-]", ""), F.lit(""))
 
 
 def alias_key(value: Column, marks: bool = True) -> Column:
@@ -50,7 +55,7 @@ def alias_key(value: Column, marks: bool = True) -> Column:
 
 
 def email(value: Column) -> Column:
-    t = F.lower(F.trim(value))
+    t = F.lower(strip(value))
     local, domain = F.substring_index(t, "@", 1), F.substring_index(t, "@", -1)
     google = domain.isin("gmail.com", "googlemail.com")
     folded = F.concat(F.regexp_replace(F.regexp_replace(local, r"\+.*$", ""), r"\.", ""), F.lit("@gmail.com"))
@@ -59,7 +64,7 @@ def email(value: Column) -> Column:
 
 def phone(value: Column, country: str = "AR") -> Column:
     """E.164 with the national rules of +54; other numbers with a plus stay as they are."""
-    raw = F.trim(value)
+    raw = strip(value)
     digits = F.regexp_replace(raw, r"\D", "")
     plus, own = raw.startswith("+"), digits.startswith("54")
     national = F.when(own, F.substring(digits, 3, 1000)).otherwise(digits)
@@ -95,7 +100,7 @@ def ip(s: pd.Series) -> pd.DataFrame:
 
 def ipv4_number(value: Column) -> Column:
     """An IPv4 address as a number, null if it is none; built-in only."""
-    t = F.trim(value)
+    t = strip(value)
     part = F.split(t, r"\.")
     number = F.lit(0).cast("long")
     for k in range(4):
@@ -104,9 +109,15 @@ def ipv4_number(value: Column) -> Column:
 
 
 def instant(value: Column) -> Column:
-    """ISO (Z too), else day-first forms; without a zone it is UTC (the session's)."""
-    t = F.trim(value)
-    return F.coalesce(t.try_cast("timestamp"), *[F.try_to_timestamp(t, F.lit(f)) for f in ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")])
+    """ISO (Z too), else day-first forms; without a zone it is UTC, whatever the session's."""
+    t = strip(value)
+    naive = F.coalesce(t.try_cast("timestamp_ntz"), *[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")])
+    return F.when(has_zone(t), t.try_cast("timestamp")).otherwise(F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive).cast("timestamp"))
+
+
+def has_zone(value: Column) -> Column:
+    """Whether an ISO time names its zone; without one a note belongs to the value."""
+    return strip(value).rlike(r"(?i)\d(Z|UTC|[+-]\d{2}:?\d{2})$")
 
 
 def micros(t: Column) -> Column:
@@ -122,11 +133,11 @@ def within_hours(a: Column, b: Column, hours: Column) -> Column:
 
 
 def account_key(service: Column, user: Column) -> Column:
-    return F.concat(alias(service), F.lit("/"), F.trim(user))
+    return F.concat(alias(service), F.lit("/"), strip(user))
 
 
 def location_key(*parts: Column) -> Column:
-    return F.nullif(F.concat_ws(", ", *[F.nullif(F.trim(p), F.lit("")) for p in parts]), F.lit(""))
+    return F.nullif(F.concat_ws(", ", *[F.nullif(strip(p), F.lit("")) for p in parts]), F.lit(""))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -145,6 +156,21 @@ def hash_blocks(h: Column) -> Column:
     return F.array(*blocks)
 
 
+def block_masks(parts: int, bits: int = 64) -> list[int]:
+    """Masks of so many blocks of a hash, from the upper end, the first ones a bit longer if they can't be equal."""
+    size, more = divmod(bits, parts)
+    out, at = [], bits
+    for k in range(parts):
+        at -= size + (k < more)
+        out.append(((1 << (size + (k < more))) - 1) << at)
+    return out
+
+
+def signed(x: int) -> int:
+    """A 64-bit pattern as the number that Spark takes for it."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def discriminance(df: Column) -> Column:
     """One up to ten reports, then falling with the logarithm, never under 0.15."""
     return F.when(df <= vocab.FULL_DF, 1.0).otherwise(F.greatest(F.lit(vocab.LEAST_DISCRIMINANCE), F.least(F.lit(1.0), F.log(F.lit(float(vocab.FULL_DF + 1))) / F.log1p(df))))
@@ -169,6 +195,39 @@ def list_text(items: Column) -> Column:
     return F.when(n <= 1, F.array_join(items, "")).otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(" y "), F.element_at(items, -1)))
 
 
+def date_text(iso: Column) -> Column:
+    """``2026-03-14...`` as ``14/03/2026``; other texts stay, null is empty."""
+    head = F.substring(iso, 1, 10)
+    return F.coalesce(F.when(F.size(F.split(head, "-")) == 3, F.concat_ws("/", F.split_part(head, F.lit("-"), F.lit(3)), F.split_part(head, F.lit("-"), F.lit(2)), F.split_part(head, F.lit("-"), F.lit(1)))).otherwise(iso), F.lit(""))
+
+
+def title(text: Column) -> Column:
+    """First letter in upper case, the rest as it is."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+
+
+#: Words for path fields, as records are shown to people.
+PATH_NAMES = {
+    "reportedInformation": "Información reportada", "reportedPeople": "Personas reportadas", "reportedPersons": "Persona reportada",
+    "childVictims": "Víctima", "intendedRecipients": "Destinatario", "incidentDetails": "Hechos", "chatIncident": "Chat", "notes": "Nota",
+    "uploadedFiles": "Archivo", "sourceInformation": "Capturas", "sourceCaptures": "Captura", "emails": "Correo", "phones": "Teléfono",
+    "displayNames": "Nombre visible", "screenNames": "Nombre de usuario", "screenName": "Nombre de usuario", "espUserId": "Cuenta",
+    "espEstimatedLocations": "Ubicación estimada", "profileBio": "Biografía", "automatedInformation": "Información automática",
+    "autoGeneratedNotes": "Notas automáticas", "geoLookups": "Geolocalización", "fileDetails": "Archivo del manifiesto", "details": "Detalle",
+}
+
+
+def path_label(locator: Column) -> Column:
+    """A JSON path for people: known names in words, indices from 1, unknown parts as they are; ``value`` says nothing."""
+    names = F.create_map(*[F.lit(x) for kv in PATH_NAMES.items() for x in kv])
+
+    def part(p: Column) -> Column:
+        name, at = F.regexp_extract(p, r"^([^\[#]*)", 1), F.regexp_extract(p, r"\[(\d+)\]", 1)
+        return F.concat(F.coalesce(F.try_element_at(names, name), name), F.when(at != "", F.concat(F.lit(" "), (at.cast("int") + 1).cast("string"))).otherwise(""))
+
+    return F.array_join(F.transform(F.filter(F.split(locator, r"\."), lambda p: p != "value"), part), " › ")
+
+
 @F.pandas_udf(T.StringType())
 def record_hash(s: pd.Series) -> pd.Series:
     """Ledger hash of a record given as JSON: sha256 of its sorted-key form without ``hash``."""

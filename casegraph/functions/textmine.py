@@ -1,14 +1,20 @@
-"""Identifiers written in free text: a masking pipeline whose later steps never reread what earlier ones took."""
+"""Identifiers written in free text (T0 to T6): rules in order, each blanks what it read so that no later one rereads it.
+
+Rows that can't hold an identifier are filtered in the JVM. Phrases that introduce an identifier are located once for each
+text; a word without a digit is looked at only behind one of them.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters before a hit in which a cue counts (fixed value).
 CUE_SPAN = 48
@@ -47,7 +53,13 @@ NOT_ALIAS = frozenset(
 )
 
 
+#: Letters without which no strong phrase stands in a text; any other character may be one of them with a mark.
+STEMS = ("busca", "escribi", "agenda", "agrega", "anadi", "usuario", "alias", "cuenta", "perfil", "contacto", "sale", "transfer")
+
+
 def plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
 
 
@@ -69,71 +81,115 @@ def phone_key(value: str) -> str | None:
     return "+54" + n if 8 <= len(n) <= 11 else None
 
 
-def email_key(value: str) -> str:
+def email_key(value: str) -> str | None:
     local, _, domain = value.strip().lower().partition("@")
+    if not re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", f"{local}@{domain}"):
+        return None
     return f"{local.split('+')[0].replace('.', '')}@gmail.com" if domain in ("gmail.com", "googlemail.com") else f"{local}@{domain}"
 
 
-class Miner:
-    def __init__(self) -> None:
-        ending = lambda ps: re.compile(rf"(?:{'|'.join(ps)})\s*[:,]?\s*$")
-        self.masks = [re.compile(p) for p in MASKS]
-        self.email, self.phone, self.handle, self.token = (re.compile(p) for p in (EMAIL, PHONE, HANDLE, TOKEN))
-        self.contact, self.payment, self.strong = ending(CONTACT), ending(PAYMENT), ending(STRONG)
-
-    def cue(self, text: str, at: int) -> tuple[str, bool]:
-        """Payment before contact, and whether the phrase alone admits an alias."""
-        before = plain(text[max(0, at - CUE_SPAN) : at])
-        return ("pago" if self.payment.search(before) else "contacto" if self.contact.search(before) else ""), bool(self.strong.search(before))
-
-    def find(self, text: str | None) -> list[tuple[str, str, str, str, float]]:
-        """(kind, key, written, cue, confidence); of equal ones the most confident, in the place of the first."""
-        if not text:
-            return []
-        rest, out = text, {}
-
-        def blank(m: re.Match) -> str:
-            return " " * len(m[0])
-
-        def add(kind: str, key: str, written: str, cue: str, confidence: float) -> None:
-            if (kind, key) not in out or out[kind, key][4] < confidence:
-                out[kind, key] = (kind, key, written, cue, confidence)
-
-        for mask in self.masks:
-            rest = mask.sub(blank, rest)
-        for m in self.email.finditer(rest):
-            add("EMAIL", email_key(m[0]), m[0], self.cue(text, m.start())[0], 0.86)
-        rest = self.email.sub(blank, rest)
-        taken = list(rest)
-        for m in self.phone.finditer(rest):
-            if (m[1].startswith("+") or re.search(r"[\s().\-]", m[1])) and (key := phone_key(m[1])):
-                cue = self.cue(text, m.start())[0]
-                add("TELEFONO", key, m[1], cue, 0.88 if cue else 0.80)
-                taken[m.start() : m.end()] = " " * (m.end() - m.start())
-        rest = "".join(taken)
-        for m in self.handle.finditer(rest):
-            cue = self.cue(text, m.start())[0]
-            if key := alias_key(m[1]):
-                add("ALIAS_PAGO" if cue == "pago" else "ALIAS", key, m[0], cue, 0.80)
-        rest = self.handle.sub(blank, rest)
-        for m in self.token.finditer(rest):
-            digit = any(c.isdigit() for c in m[1])
-            if not digit and (len(m[1]) < 4 or plain(m[1]) in NOT_ALIAS):
-                continue
-            cue, strong = self.cue(text, m.start())
-            if (cue and digit or strong) and (key := alias_key(m[1])):
-                add("ALIAS_PAGO" if cue == "pago" else "ALIAS", key, m[1], cue, 0.74 if strong and digit else 0.58 if strong else 0.55)
-        return list(out.values())
+def _ending(phrases: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"(?:{'|'.join(phrases)})\s*[:,]?\s*$")
+
+
+class Phrases:
+    """The introducing phrases of one text."""
+
+    FAMILIES = (("pago", _ending(PAYMENT)), ("contacto", _ending(CONTACT)))
+    BEHIND = _ending(STRONG)
+    ANY = re.compile(f"(?=(?:{'|'.join(STRONG)}))")
+
+    def __init__(self, text: str):
+        self.text = text
+        if text.isascii():
+            self.starts = [m.start() for m in self.ANY.finditer(text.lower())]
+        else:
+            folded, place = [], []
+            for i, c in enumerate(text):
+                for d in plain(c):
+                    folded.append(d)
+                    place.append(i)
+            self.starts = sorted({place[m.start()] for m in self.ANY.finditer("".join(folded)) if m.start() < len(place)})
+
+    def near(self, at: int) -> bool:
+        """Whether a strong phrase begins in the characters before at that count."""
+        k = bisect_left(self.starts, at - CUE_SPAN)
+        return k < len(self.starts) and self.starts[k] < at
+
+    def before(self, at: int) -> tuple[str, bool]:
+        """The family of the phrase that ends at at (payment before contact), and whether it is a strong one."""
+        tail = plain(self.text[max(0, at - CUE_SPAN) : at])
+        return next((name for name, ends in self.FAMILIES if ends.search(tail)), ""), bool(self.BEHIND.search(tail))
+
+
+Hit = tuple[str, str, str, str, float]  # kind, key, written, cue, confidence
+
+
+def _mail(m: re.Match, phrases: Phrases) -> Hit | None:
+    key = email_key(m[0])
+    return key and ("EMAIL", key, m[0], phrases.before(m.start())[0], 0.86)
+
+
+def _number(m: re.Match, phrases: Phrases) -> Hit | None:
+    """Digits alone may be a file number: a plus or a separator must be there."""
+    if m[1].isdigit() or not (key := phone_key(m[1])):
+        return None
+    cue = phrases.before(m.start())[0]
+    return "TELEFONO", key, m[1].strip(), cue, 0.88 if cue else 0.80
+
+
+def _handle(m: re.Match, phrases: Phrases) -> Hit | None:
+    key, cue = alias_key(m[1]), phrases.before(m.start())[0]
+    return key and ("ALIAS_PAGO" if cue == "pago" else "ALIAS", key, m[0], cue, 0.80)
+
+
+def _word(m: re.Match, phrases: Phrases) -> Hit | None:
+    """With a digit anywhere, without one only behind a strong phrase and if it is no ordinary word."""
+    digit = any(c.isdigit() for c in m[1])
+    if not digit and not phrases.near(m.start()):
+        return None
+    cue, strong = phrases.before(m.start())
+    key = alias_key(m[1]) if digit or strong else None
+    if not key or (not digit and key in NOT_ALIAS):
+        return None
+    return "ALIAS_PAGO" if cue == "pago" else "ALIAS", key, m[1], cue, 0.55 + strong * (0.19 if digit else 0.03)
+
+
+#: What each step reads; a step's matches are blanked, read or not.
+STEPS = tuple((re.compile(p), read) for p, read in (*((m, None) for m in MASKS), (EMAIL, _mail), (PHONE, _number), (HANDLE, _handle), (TOKEN, _word)))
+
+
+def find(text: str | None) -> list[Hit]:
+    """Of equal identifiers the most confident reading, in the place of the first."""
+    out: dict[tuple[str, str], Hit] = {}
+    rest, phrases = text or "", Phrases(text or "")
+    for pattern, read in STEPS:
+        spans = []
+        for m in pattern.finditer(rest):
+            spans.append(m.span())
+            hit = read and read(m, phrases)
+            if hit and (hit[:2] not in out or out[hit[:2]][4] < hit[4]):
+                out[hit[:2]] = (*hit[:4], round(hit[4], 2))
+        if spans and read is not _word:
+            parts, at = [], 0
+            for lo, hi in spans:
+                parts += [rest[at:lo], " " * (hi - lo)]
+                at = hi
+            rest = "".join(parts) + rest[at:]
+    return list(out.values())
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """sid, kind, key, written, cue, confidence for each identifier in column text; null texts have none."""
+    """kind, key, written, cue, confidence of each identifier in column text, beside the other columns; null texts have none."""
+    kept = [f for f in texts.schema if f.name != "text"]
+    found = [T.StructField(n, T.DoubleType() if n == "confidence" else T.StringType()) for n in ("kind", "key", "written", "cue", "confidence")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        miner = Miner()
-        names = ["sid", "kind", "key", "written", "cue", "confidence"]
         for b in batches:
-            rows = [(sid, *hit) for sid, t in zip(b.column("sid").to_pylist(), b.column("text").to_pylist(), strict=True) for hit in miner.find(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if n == "confidence" else pa.string()) for k, n in enumerate(names)], names)
+            rows = [(i, hit) for i, t in enumerate(b.column("text").to_pylist()) for hit in find(t)]
+            at = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name).take(at) for f in kept), *(pa.array([h[k] for _, h in rows], pa.float64() if f.name == "confidence" else pa.string()) for k, f in enumerate(found))], [f.name for f in (*kept, *found)])
 
-    return texts.select(F.col("sid").cast("string").alias("sid"), F.col("text").cast("string").alias("text")).mapInArrow(run, "sid string, kind string, key string, written string, cue string, confidence double")
+    letter = lambda c: f"[{c}\\x{{80}}-\\x{{10FFFF}}]\\p{{M}}*"
+    possible = r"[@0-9]|(?i:" + "|".join("".join(map(letter, s)) for s in STEMS) + ")"
+    return texts.select(*[f.name for f in kept], F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(possible)).mapInArrow(run, T.StructType([*kept, *found]))

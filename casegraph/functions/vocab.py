@@ -43,9 +43,28 @@ ISP_HOURS = {"telecentro": 24, "telecom argentina": 24, "telefonica de argentina
 DEFAULT_HOURS = 24
 PROPOSE, PROBABLE, HIGH, CLUSTER, MOST = 0.55, 0.70, 0.90, 0.70, 0.99
 FULL_DF, HUB_DF, LEAST_DISCRIMINANCE, CORPUS_MINIMUM, CORPUS_SHARE = 10, 50, 0.15, 200, 0.20
+MERIT_PRIORITIES = ("1", "2")
+#: Relations of structured fields whose identifiers individualise, and the kind of node that counts.
+ATTRIBUTABLE = {"USA_CUENTA": "CUENTA", "USA_DISPOSITIVO": "DISPOSITIVO", "ASOCIADO_A_TELEFONO": "TELEFONO", "ASOCIADO_A_EMAIL": "EMAIL"}
+CANDIDATE_KINDS = ("CUENTA", "DISPOSITIVO", "TELEFONO", "EMAIL", "EVIDENCIA", "IP", "ALIAS", "ALIAS_PAGO", "UBICACION", "HASH_PERCEPTUAL", "HUELLA_AUDIO")
+COVERED = ("CUENTA", "ALIAS", "IP", "DISPOSITIVO", "TELEFONO", "EMAIL", "EVIDENCIA", "HASH_PERCEPTUAL", "HUELLA_AUDIO")
+SENSITIVE = ("IP", "CUENTA", "TELEFONO", "EMAIL", "DISPOSITIVO", "ALIAS", "ALIAS_PAGO", "EVIDENCIA", "HASH_PERCEPTUAL", "HUELLA_AUDIO")
+QUEUE_ROWS, REPORT_CENTRAL, CLI_ROWS = 40, 5, 25
 TEXT_FACTOR, NAT_WITH_PORT, NAT_WITHOUT_PORT = 0.85, 0.85, 0.35
 PLACE_WEIGHTS = {"estructura": 0.30, "rasgo": 0.25, "referencia": 0.25, "color": 0.12, "acceso": 0.08}
 PLACE_ANCHORS = ("estructura", "rasgo", "referencia")
+PLACES = {
+    "estructura:deposito": ("estructura", ("galpon", "deposito", "almacen", "bodega", "tinglado")),
+    "estructura:vivienda": ("estructura", ("casa", "vivienda", "departamento", "depto")),
+    "rasgo:mural": ("rasgo", ("mural", "pared pintada", "grafiti", "graffiti")),
+    "color:azul": ("color", ("azul", "celeste")),
+    "color:rojo": ("color", ("rojo", "bordo", "colorado")),
+    "referencia:estacion": ("referencia", ("estacion", "terminal de tren", "terminal ferroviaria")),
+    "referencia:plaza": ("referencia", ("plaza", "parque", "plazoleta")),
+    "acceso:lateral": ("acceso", ("entrada lateral", "puerta lateral", "acceso lateral")),
+    "acceso:trasero": ("acceso", ("entrada trasera", "puerta trasera", "por atras")),
+}
+PLACE_SURE, IDENTITY_SURE, CONTRADICTION_SURE = 0.72, 0.85, 0.70
 PLACE_LEAST, HAMMING_MOST, TRAVEL_KM, TRAVEL_KMH = 0.45, 8, 50.0, 900.0
 TOP_CENTRAL, TOP_CANDIDATES, BETWEENNESS_NODES, PAGERANK_NODES = 10, 15, 3000, 20000
 

@@ -6,29 +6,12 @@ algorithms run grouped by component; larger ones take a spread way (bridges, com
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions import vocab
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="casegraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and rereads it."""
-    path = f"{shared_dir(df.sparkSession)}/casegraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from casegraph.operators.storage import numbered, saved
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -63,33 +46,69 @@ def cases(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("reports")).join(of, "label").select(F.col("label").alias("first_report"), "reports", "links", "min_weight", "max_weight")
 
 
-def degree(links: DataFrame, n: int) -> DataFrame:
-    """Neighbours over n - 1."""
-    return _both(links).groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree")).withColumn("centrality", F.round(F.col("degree") / F.lit(max(n - 1, 1)), 6))
+def all_cases(labels: DataFrame, links: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases with their names in order (most reports, then first report), and (case, sid) of every report.
+
+    Components are L001, L002, ... by size; a report without links is a case R<id> by itself. reports: sid.
+    """
+    grouped = numbered(cases(labels, links), F.desc("reports"), "first_report", name="no")
+    named = saved(grouped.select(F.concat(F.lit("L"), F.lpad(F.col("no").cast("string"), F.greatest(F.lit(3), F.length(F.col("no").cast("string"))), F.lit("0"))).alias("case"), "first_report", "reports", "links", "min_weight", "max_weight"))
+    member = labels.join(named.select("case", F.col("first_report").alias("label")), "label").select("case", F.col("v").alias("sid"))
+    alone = reports.select("sid").join(labels.select(F.col("v").alias("sid")), "sid", "left_anti")
+    name = F.concat(F.lit("R"), F.col("sid").cast("string")).alias("case")
+    single = alone.select(name, F.col("sid").alias("first_report"), F.lit(1).cast("long").alias("reports"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("double").alias("min_weight"), F.lit(None).cast("double").alias("max_weight"))
+    return named.union(single).orderBy(F.desc("reports"), "first_report"), member.union(alone.select(name, "sid"))
+
+
+def degree(links: DataFrame, n: int, vertices: DataFrame | None = None) -> DataFrame:
+    """Neighbours over n - 1 (one if n is at most one); of vertices (v) too that have none."""
+    near = _both(links).groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree"))
+    if vertices is not None:
+        near = vertices.select("v").join(near, "v", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    return near.withColumn("centrality", F.round(F.col("degree") / F.lit(n - 1), 6) if n > 1 else F.lit(1.0))
 
 
-def pagerank(links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
-    """Weighted PageRank by power iteration over the vertices of links; every vertex has a neighbour, so none dangles.
+def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+    """Weighted PageRank by power iteration over the vertices of links and the given ones (v).
 
-    Ends when a round moves less than ``tolerance`` of all rank, whatever the number of vertices. A round moves at most
+    A vertex without links passes its rank to all alike; such vertices all have one rank, which the driver keeps. Ends when
+    a round moves less than ``tolerance`` of all rank, whatever the number of vertices. A round moves at most
     2 * damping ** k, so the default tolerance is met within 90 of the 100 rounds.
     """
     spark = links.sparkSession
     both = links.select("a", "b", "weight").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     total = Window.partitionBy("a")
     edges = saved(both.withColumn("share", F.col("weight") / F.sum("weight").over(total)).select("a", "b", "share"))
-    n = edges.select("a").distinct().count()
+    linked = edges.select(F.col("a").alias("v")).distinct()
+    kind = links.schema["a"].dataType.simpleString()
+    alone = saved(vertices.select("v").join(linked, "v", "left_anti")) if vertices is not None else spark.createDataFrame([], f"v {kind}")
+    lonely = alone.count()
+    n = linked.count() + lonely
     if not n:
-        return spark.createDataFrame([], "v long, rank double")
-    rank = edges.select(F.col("a").alias("v")).distinct().withColumn("rank", F.lit(1.0 / n))
+        return spark.createDataFrame([], f"v {kind}, rank double")
+    rank, single = linked.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
     for _ in range(rounds):
+        given = (1 - damping) / n + damping * lonely * single / n
         flow = edges.join(rank.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.sum(F.col("share") * F.col("rank")).alias("flow"))
-        new = saved(rank.join(flow, "v", "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.select("v", "rank")
+        new = saved(rank.join(flow, "v", "left").select("v", (F.lit(given) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
+        moved = (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) + lonely * abs(given - single)
+        rank, single = new.select("v", "rank"), given
         if moved < tolerance:
             break
-    return rank
+    return rank.union(alone.select("v", F.lit(single).alias("rank")))
+
+
+def top(metric: DataFrame, value: str, n: int = vocab.TOP_CENTRAL) -> DataFrame:
+    """The n greatest, rounded to four places; equal ones by vertex."""
+    return metric.filter(F.col(value).isNotNull()).orderBy(F.desc(value), "v").limit(n).select("v", F.round(value, 4).alias(value))
+
+
+def named_communities(home: DataFrame) -> DataFrame:
+    """v, community C001, ... (by size, then least member; numbers of single vertices stay out), algorithm, weight and seed."""
+    sizes = home.groupBy("community").agg(F.count("*").alias("size"))
+    names = numbered(sizes.filter("size > 1"), F.desc("size"), "community", name="no")
+    named = names.select("community", "size", F.concat(F.lit("C"), F.lpad(F.col("no").cast("string"), F.greatest(F.lit(3), F.length(F.col("no").cast("string"))), F.lit("0"))).alias("name"))
+    return home.join(named, "community").select("v", F.col("name").alias("community"), "size", F.lit("local_moves").alias("algorithm"), F.lit("score").alias("weight"), F.lit(None).cast("int").alias("seed"))
 
 
 def _by_component(links: DataFrame, fn, schema: str, most: int, rest=None) -> DataFrame:  # noqa: ANN001
@@ -104,7 +123,7 @@ def _by_component(links: DataFrame, fn, schema: str, most: int, rest=None) -> Da
     return small.unionByName(rest(labels.join(large, "label", "left_semi").select("label", "v"), rows.filter(F.col("n") > most).drop("n")))
 
 
-def omitted(links: DataFrame, metric: str, most: int) -> DataFrame:
+def omitted(links: DataFrame, metric: str = "betweenness", most: int = vocab.BETWEENNESS_NODES) -> DataFrame:
     """Components that a metric leaves out for their size, as rows instead of silence."""
     return components(links).groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit(metric).alias("metric"), "label", "n", F.lit(most).alias("limit"))
 
@@ -119,7 +138,7 @@ def _neighbours(rows: pd.DataFrame) -> dict:
 
 def _forest(links: DataFrame, vertices: DataFrame) -> tuple[DataFrame, int]:
     """(v, parent, depth) of a breadth-first forest from each label's vertex, and its depth; links in both directions."""
-    seen = saved(vertices.filter("v = label").select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
+    seen = saved(vertices.filter("v = label").select("v", F.lit(None).cast(vertices.schema["v"].dataType).alias("parent"), F.lit(0).alias("depth")))
     front, depth = seen, 0
     while True:
         step = front.select(F.col("v").alias("a")).join(links, "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("parent"))
@@ -149,7 +168,7 @@ def _bridges_wide(vertices: DataFrame, links: DataFrame) -> DataFrame:
     for d in range(depth, 0, -1):
         rows = base.filter(F.col("depth") == d).select("v", "parent", "x", "y")
         if level is not None:
-            below = level.select(F.col("parent").alias("v"), F.lit(None).cast("long").alias("parent"), "x", "y")
+            below = level.select(F.col("parent").alias("v"), F.lit(None).cast(level.schema["v"].dataType).alias("parent"), "x", "y")
             rows = rows.unionByName(below).groupBy("v").agg(F.max("parent").alias("parent"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
         level = saved(rows)
         out = out.unionByName(level.filter("x = 0 and y = 0").select(F.least("v", "parent").alias("a"), F.greatest("v", "parent").alias("b")))
@@ -184,12 +203,15 @@ def bridges(links: DataFrame, most: int = 20_000) -> DataFrame:
                         out.append((min(v, above), max(v, above)))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return _by_component(links, find, "a long, b long", most, _bridges_wide)
+    kind = links.schema["a"].dataType.simpleString()
+    return _by_component(links, find, f"a {kind}, b {kind}", most, _bridges_wide)
 
 
-def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES) -> DataFrame:
+def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES, vertices: DataFrame | None = None) -> DataFrame:
     """Exact betweenness with distance 1 / weight, over all n vertices: shortest-path counts from each vertex, summed back.
 
+    vertices (v) without links have zero.
+
     The reference skips it over this size; the vertices of a larger component are rows with null here.
     """
     import heapq
@@ -223,7 +245,9 @@ def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES) -
         scale = max((n - 1) * (n - 2), 1)
         return pd.DataFrame([(v, x / scale) for v, x in total.items()], columns=["v", "betweenness"])
 
-    return _by_component(links, run, "v long, betweenness double", most, lambda vertices, _: vertices.select("v", F.lit(None).cast("double").alias("betweenness")))
+    kind = links.schema["a"].dataType.simpleString()
+    found = _by_component(links, run, f"v {kind}, betweenness double", most, lambda large, _: large.select("v", F.lit(None).cast("double").alias("betweenness")))
+    return found if vertices is None else vertices.select("v").join(found.withColumn("linked", F.lit(True)), "v", "left").select("v", F.when(F.col("linked"), F.col("betweenness")).otherwise(0.0).alias("betweenness"))
 
 
 def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> DataFrame:  # noqa: ANN001
@@ -232,6 +256,8 @@ def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> D
     Two vertices contract if each is the other's best partner by modularity gain and the gain is positive, so each round
     raises modularity. If none gains any more, the component is done.
     """
+    kind = vertices.schema["v"].dataType.simpleString()
+    schema = f"v {kind}, community {kind}"
     home = saved(vertices.select("label", "v", F.col("v").alias("com")))
     edges = saved(links.filter("a <> b").groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w")))
     total = saved(edges.groupBy("label").agg((2 * F.sum("w")).alias("double")))
@@ -243,7 +269,7 @@ def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> D
         other = mass.select("label", F.col("a").alias("b"), F.col("k").alias("kb"))
         gain = F.round(F.col("w") - F.col("k") * F.col("kb") / F.col("double"), 9)
         worth = saved(edges.join(mass, ["label", "a"]).join(other, ["label", "b"]).join(total, "label").select("label", "a", "b", gain.alias("w")).filter("w > 0"))
-        best = ends(worth).groupBy("label", "a").agg(F.max_by("b", F.struct("w", -F.least("a", "b"), -F.greatest("a", "b"))).alias("b"))
+        best = ends(worth).groupBy("label", "a").agg(F.min_by("b", F.struct(-F.col("w"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
         pairs = best.groupBy("label", F.least("a", "b").alias("new"), F.greatest("a", "b").alias("old")).agg(F.count("*").alias("n")).filter("n = 2")
         pairs = saved(pairs.select("label", "old", "new"))
         if pairs.isEmpty():
@@ -256,7 +282,7 @@ def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> D
         edges = saved(moved.filter("a <> b").groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
     stuck = saved(large())
     rows = edges.select("label", "a", "b", F.col("w").alias("weight")).union(loops.select("label", "a", F.col("a").alias("b"), "loop"))
-    final = rows.join(stuck, "label", "left_anti").groupBy("label").applyInPandas(fn, "v long, community long").withColumnRenamed("v", "com")
+    final = rows.join(stuck, "label", "left_anti").groupBy("label").applyInPandas(fn, schema).withColumnRenamed("v", "com")
     return home.join(final, "com", "left").select("v", F.coalesce("community", "com").alias("community"))
 
 
@@ -311,7 +337,8 @@ def communities(links: DataFrame, most: int = 200_000) -> DataFrame:
             name[c] = min(name.get(c, v), v)
         return pd.DataFrame([(v, name[c]) for v, c in home.items()], columns=["v", "community"])
 
-    return _by_component(links, run, "v long, community long", most, lambda vertices, rows: _communities_wide(vertices, rows, run, most))
+    kind = links.schema["a"].dataType.simpleString()
+    return _by_component(links, run, f"v {kind}, community {kind}", most, lambda vertices, rows: _communities_wide(vertices, rows, run, most))
 
 
 def adamic_adar(pairs: DataFrame, known: DataFrame, top: int = vocab.TOP_CANDIDATES) -> DataFrame:

@@ -23,7 +23,8 @@ def index(incidence: DataFrame) -> DataFrame:
     reports costs no more than its reports.
     """
     i = incidence.filter("value is not null and sid is not null").withColumn("node_id", nz.node_id(F.col("kind"), F.col("value").cast("string")))
-    return i.groupBy("node_id", "kind", "sid").agg(F.bool_and("from_text").alias("text_only"), F.collect_set("locator").alias("locators"))
+    origin = F.when(F.bool_and("from_text"), "texto_libre").when(F.bool_or("from_text"), "campo_y_texto").otherwise("campo_estructurado")
+    return i.groupBy("node_id", "kind", "sid").agg(F.bool_and("from_text").alias("text_only"), origin.alias("origin"), F.collect_set("locator").alias("locators"))
 
 
 def frequency(idx: DataFrame) -> DataFrame:
@@ -96,11 +97,25 @@ def noisy_or(weight: str, corroborates: str) -> tuple[Column, Column]:
     return F.when(sustained, score).otherwise(0.0), sustained
 
 
+def present(fired: DataFrame, reports: DataFrame) -> DataFrame:
+    """Firings whose two reports exist; reports: sid."""
+    return fired.join(reports.select(F.col("sid").alias("a")), "a", "left_semi").join(reports.select(F.col("sid").alias("b")), "b", "left_semi")
+
+
+def alive(fired: DataFrame, edges: DataFrame) -> DataFrame:
+    """Extra firings whose supporting edge is there and current."""
+    return fired.join(edges.filter("current").select(F.col("arista_id").alias("support")), "support", "left_semi").drop("support")
+
+
 def score(fired: DataFrame) -> DataFrame:
-    """A row for each pair: rules, score, sustained, class (band), and whether it becomes a link."""
+    """A row for each pair: rules, their details, score, sustained, class (band), and whether it becomes a link.
+
+    Details stand by sustaining ones first, then weight. Columns that a query doesn't read aren't computed.
+    """
     points, sustained = noisy_or("weight", "corroborates")
     locators = F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("locators")))), F.lit(1), F.lit(12)), " | ")
-    out = fired.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"), F.count("*").alias("firings"), points.alias("score"), sustained.alias("sustained"), locators.alias("locator"))
+    detail = F.array_sort(F.collect_list(F.struct(F.col("corroborates").alias("corroborates"), (-F.col("weight")).alias("order"), "rule", "node_id", "weight")))
+    out = fired.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"), F.count("*").alias("firings"), points.alias("score"), sustained.alias("sustained"), locators.alias("locator"), F.transform(detail, lambda d: d.dropFields("order")).alias("details"))
     return out.withColumn("band", nz.band(F.col("score"))).withColumn("linked", F.col("sustained") & (F.col("score") >= vocab.PROPOSE))
 
 
@@ -120,18 +135,31 @@ def duplicates(linked: DataFrame, reports: DataFrame, hours: float = 1.0) -> Dat
     return linked.join(x, "a").join(y, "b").filter(near).select("a", "b", "score", F.lit("POSIBLE_DUPLICADO_DE").alias("relation"))
 
 
+def nearest(observations: DataFrame, freq_cap: int = vocab.PAIR_CAPS["IP"]) -> DataFrame:
+    """(ip, a, b, micros): the least time between the observations of one address by two reports.
+
+    observations: ip, sid, ts. Equal times of a report are one. For each report pair of an expanded address the times of both
+    are merged in order (bounded by what the two reports saw, not by all that the address saw), and only neighbours of
+    different reports are compared.
+    """
+    few = observations.groupBy("ip").agg(F.count_distinct("sid").alias("df")).filter(f"df > 1 and df * (df - 1) div 2 <= {freq_cap}")
+    seen = observations.filter("ts is not null").join(few.select("ip"), "ip").groupBy("ip", "sid").agg(F.array_sort(F.collect_set(nz.micros(F.col("ts")))).alias("times"))
+    side = lambda s: seen.select("ip", F.col("sid").alias(s), F.col("times").alias(f"times_{s}"))
+    tag = lambda c, k: F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(k).alias("side")))
+    merged = F.array_sort(F.concat(tag("times_a", 0), tag("times_b", 1)))
+    n = F.size("m") - 1
+    gap = F.array_min(F.zip_with(F.slice("m", F.lit(1), n), F.slice("m", F.lit(2), n), lambda x, y: F.when(x["side"] != y["side"], y["t"] - x["t"])))
+    return side("a").join(side("b"), "ip").filter("a < b").withColumn("m", merged).select("ip", "a", "b", gap.alias("micros"))
+
+
 def window_match(observations: DataFrame, windows: DataFrame, freq_cap: int = vocab.PAIR_CAPS["IP"]) -> DataFrame:
     """Same address in two reports: the nearest pair of times decides between R06 (in the provider's window) and R07.
 
-    observations: ip, sid, ts; windows: ip, hours. The nearest time is found by a sorted sweep over each address: for each
-    report pair only neighbours of expanded addresses meet (a cap on pairs holds as for other identifiers).
+    observations: ip, sid, ts; windows: ip, hours. The window is tested on exact times; hours are rounded for people.
     """
-    few = observations.groupBy("ip").agg(F.count_distinct("sid").alias("df")).filter(f"df > 1 and df * (df - 1) div 2 <= {freq_cap}")
-    o = observations.join(few, "ip")
-    a, b = o.select("ip", "df", F.col("sid").alias("a"), F.col("ts").alias("ta")), o.select("ip", F.col("sid").alias("b"), F.col("ts").alias("tb"))
-    best = a.join(b, "ip").filter("a < b").groupBy("ip", "df", "a", "b").agg(F.round(F.min(nz.hours_between(F.col("ta"), F.col("tb"))), 4).alias("hours"))
+    best = nearest(observations, freq_cap).withColumn("exact", F.col("micros") / F.lit(3.6e9))
     fit = best.join(windows.select("ip", F.col("hours").alias("window")), "ip", "left").withColumn("window", F.coalesce("window", F.lit(vocab.DEFAULT_HOURS)))
-    return fit.withColumn("rule", F.when(F.col("hours") <= F.col("window"), "R06_IP_VENTANA").otherwise("R07_IP_SUELTA")).select("ip", "a", "b", "hours", "window", "rule")
+    return fit.select("ip", "a", "b", F.round("exact", 4).alias("hours"), "window", F.when(F.col("exact") <= F.col("window"), "R06_IP_VENTANA").otherwise("R07_IP_SUELTA").alias("rule"))
 
 
 def same_evidence(incidence: DataFrame) -> DataFrame:

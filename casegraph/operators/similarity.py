@@ -3,52 +3,192 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
+from casegraph.operators.storage import saved
+from casegraph.sources.reports import edge
 
 
-def hash_neighbours(hashes: DataFrame, most: int = vocab.HAMMING_MOST) -> DataFrame:
+def hash_neighbours(hashes: DataFrame, most: int = vocab.HAMMING_MOST, spare: int | None = None) -> DataFrame:
     """Pairs of different 64-bit hashes at a distance of at most eight bits, with the members of each.
 
-    hashes: hash, sid. Equal hashes fold into one first, so copies make no pairs; two near hashes share one of nine
-    blocks, and a pair counts in the first block it shares.
+    hashes: hash, sid. Equal hashes fold into one first, so copies make no pairs. A hash is cut into most + spare blocks: two
+    near ones agree in spare of them at least, and meet under the first combination that they share. With more spare blocks
+    keys are longer and more (9, 45 or 165), so they are chosen by the number of different hashes; pairs are the same.
     """
     one = hashes.groupBy("hash").agg(F.count("*").alias("members"), F.min("sid").alias("first_sid"))
-    cut = one.withColumn("blocks", nz.hash_blocks(F.col("hash"))).select("hash", "members", "first_sid", "blocks", F.explode("blocks").alias("k")).select("hash", "members", "first_sid", "blocks", "k.no", "k.bits")
-    x = cut.select("no", "bits", F.col("hash").alias("hash_a"), F.col("members").alias("members_a"), F.col("first_sid").alias("sid_a"), F.col("blocks").alias("blocks_a"))
-    y = cut.select("no", "bits", F.col("hash").alias("hash_b"), F.col("members").alias("members_b"), F.col("first_sid").alias("sid_b"), F.col("blocks").alias("blocks_b"))
-    pairs = x.join(y, ["no", "bits"]).filter("hash_a < hash_b").withColumn("distance", nz.hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= most)
-    first = F.array_min(F.transform(F.filter(F.arrays_zip("blocks_a", "blocks_b"), lambda z: z["blocks_a"] == z["blocks_b"]), lambda z: z["blocks_a"]["no"]))
-    out = pairs.filter(F.col("no") == first)
+    if spare is None:
+        n = one.count()
+        spare = 1 if n < 200_000 else 2 if n < 20_000_000 else 3
+    blocks = nz.block_masks(most + spare)
+    combos = [F.struct(F.lit(k).alias("no"), F.col("hash").bitwiseAND(F.lit(nz.signed(sum(c)))).alias("bits")) for k, c in enumerate(combinations(blocks, spare))]
+    cut = one.select("hash", "members", "first_sid", F.explode(F.array(*combos)).alias("k")).select("hash", "members", "first_sid", "k.no", "k.bits")
+    side = lambda s: cut.select("no", "bits", F.col("hash").alias(f"hash_{s}"), F.col("members").alias(f"members_{s}"), F.col("first_sid").alias(f"sid_{s}"))
+    pairs = side("a").join(side("b"), ["no", "bits"]).filter("hash_a < hash_b").withColumn("distance", nz.hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= most)
+    agree = F.filter(F.array(*[F.when(F.col("hash_a").bitwiseXOR(F.col("hash_b")).bitwiseAND(F.lit(nz.signed(m))) == 0, F.lit(i)) for i, m in enumerate(blocks)]), lambda x: x.isNotNull())
+    names = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(len(blocks)), spare)])
+    out = pairs.filter(F.slice(agree, 1, spare) == F.get(names, F.col("no")))
     return out.select("hash_a", "hash_b", "distance", F.round(1 - F.col("distance") / 64, 4).alias("similarity"), "members_a", "members_b", "sid_a", "sid_b")
 
 
-def place_tags(texts: DataFrame, lexicon: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """(sid, tag, dimension) for each lexicon entry whose form stands in the text as whole words; texts: sid, text."""
+def _met(pairs: DataFrame, same: str) -> DataFrame:
+    """Pairs of files of different reports and evidences, the first file by order before the other."""
+    return pairs.filter(f"ord_a < ord_b and reportId_a <> reportId_b and evidence_a <> evidence_b{same}")
+
+
+def _file(files: DataFrame, side: str) -> DataFrame:
+    return files.select(*[F.col(c).alias(f"{c}_{side}") for c in ("reportId", "ord", "evidence", "locator", "phash", "hash", "audio")])
+
+
+def _derived(pairs: DataFrame, relation: str, tail: str, kind: str, confidence, attrs: dict) -> DataFrame:  # noqa: ANN001
+    """Edges between the evidences of file pairs."""
+    node = lambda s: nz.node_id(F.lit("EVIDENCIA"), F.col(f"evidence_{s}"))
+    source = F.concat(F.lit(f"derivacion:{kind}:"), F.least(node("a"), node("b")), F.lit(":"), F.greatest(node("a"), node("b")))
+    locator = F.concat("locator_a", F.lit(f"{tail} | "), "locator_b", F.lit(tail))
+    return edge(pairs.withColumn("reportId", F.lit(None).cast("string")), ("EVIDENCIA", F.col("evidence_a")), ("EVIDENCIA", F.col("evidence_b")), relation, locator, "analisis_multimedia", confidence=confidence, attrs=attrs, source=source)
+
+
+def _small(counts: DataFrame, kind: str, product: str) -> DataFrame:
+    return counts.withColumn("expanded", F.expr(product) <= vocab.PAIR_CAPS[kind])
+
+
+def near_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SIMILITUD_PERCEPTUAL edges (equal and near hashes), R11 firings of near ones, and groups too large for file pairs.
+
+    A pair of hashes whose files make more pairs than the cap of its kind stays one row of a group.
+    """
+    hashed = files.filter("hash is not null")
+    sizes = hashed.groupBy("hash").agg(F.count("*").alias("n"))
+    near = hash_neighbours(hashed.select("hash", F.col("reportId").alias("sid"))).select("hash_a", "hash_b", "distance", (F.col("members_a") * F.col("members_b")).alias("pairs"))
+    equal = sizes.filter("n > 1").select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    met = saved(_small(near.unionByName(equal), "HASH_PERCEPTUAL", "pairs"))
+    few = met.filter("expanded").select("hash_a", "hash_b", "distance")
+    both = few.union(few.filter("distance > 0").select("hash_b", "hash_a", "distance"))
+    pairs = saved(_met(both.join(_file(hashed, "a"), "hash_a").join(_file(hashed, "b"), "hash_b"), ""))
+    similarity = 1 - F.col("distance") / 64
+    edges = _derived(pairs, "SIMILITUD_PERCEPTUAL", ".details.perceptual_hash", "phash", similarity, {"distance": F.col("distance"), "bits": F.lit(64), "limit": F.lit(vocab.HAMMING_MOST), "similarity": F.round(similarity, 4)})
+    of = edges.select("arista_id", "locator", F.col("src_value").alias("evidence_a"), F.col("dst_value").alias("evidence_b"))
+    rule = vocab.RULE["R11_PHASH_SIMILAR"]
+    told = pairs.filter("distance > 0").withColumn("locator", F.concat("locator_a", F.lit(".details.perceptual_hash | "), "locator_b", F.lit(".details.perceptual_hash"))).join(of, ["evidence_a", "evidence_b", "locator"])
+    fired = told.select(F.least("reportId_a", "reportId_b").alias("a"), F.greatest("reportId_a", "reportId_b").alias("b"), F.concat_ws(" ~ ", "phash_a", "phash_b").alias("node_id"), F.lit(rule.name).alias("rule"), F.round(rule.weight * similarity, 4).alias("weight"), F.lit(rule.corroborates).alias("corroborates"), F.split("locator", r" \| ").alias("locators"), F.col("arista_id").alias("support"))
+    return edges, fired, met.filter("not expanded").select("hash_a", "hash_b", "distance", "pairs")
+
+
+def equal_audio(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """COINCIDE_HUELLA_AUDIO edges between files of one fingerprint, and groups too large for file pairs."""
+    heard = files.filter("audio is not null")
+    sizes = _small(heard.groupBy("audio").agg(F.count("*").alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2")).filter("n > 1"), "HUELLA_AUDIO", "pairs")
+    few = heard.join(sizes.filter("expanded").select("audio"), "audio")
+    pairs = _met(_file(few, "a").withColumnRenamed("audio_a", "audio").join(_file(few, "b").withColumnRenamed("audio_b", "audio"), "audio"), "")
+    edges = _derived(pairs, "COINCIDE_HUELLA_AUDIO", ".details.audio_fingerprint", "audio", vocab.RULE["R12_HUELLA_AUDIO"].weight, {"fingerprint": F.col("audio")})
+    return edges, sizes.filter("not expanded").select("audio", "n", "pairs")
+
+
+def place_tags(texts: DataFrame, lexicon: dict[str, tuple[str, tuple[str, ...]]], *keys: str) -> DataFrame:
+    """(sid or the keys, tag, dimension) for each lexicon entry whose form stands in the text as whole words."""
     pattern = lambda forms: rf"(?U)(?<!\w)(?:{'|'.join(re.escape(f).replace(chr(92) + ' ', r'\s+') for f in forms)})(?!\w)"
     found = [F.when(F.lower("text").rlike(pattern(forms)), F.struct(F.lit(tag).alias("tag"), F.lit(dim).alias("dimension"))) for tag, (dim, forms) in lexicon.items()]
-    return texts.select("sid", F.explode(F.array_compact(F.array(*found))).alias("t")).select("sid", "t.tag", "t.dimension").distinct()
+    keys = keys or ("sid",)
+    return texts.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("t")).select(*keys, "t.tag", "t.dimension").distinct()
+
+
+#: A line of a transcript: time, who speaks, what is said (fixed value).
+LINE = r"(?i)^\s*\[[^\]]+\]\s*(Reported\s+User|Other\s+User)\s*\([^)]*\)\s*:\s*(.*)$"
+
+
+def reported_lines(texts: DataFrame) -> DataFrame:
+    """texts with text and locator of what the reported side wrote: its lines of a transcript, any other text whole.
+
+    texts: kind, text, locator and others. Lines that can't be assigned to a speaker are left out.
+    """
+    chat = F.col("kind") == "transcripcion_chat"
+    lines = F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("no")))
+    cut = texts.filter(chat).select("*", F.explode(lines).alias("line")).filter(F.regexp_replace(F.lower(F.regexp_extract("line.x", LINE, 1)), r"\s", "") == "reporteduser")
+    cut = cut.withColumn("text", F.regexp_extract("line.x", LINE, 2)).withColumn("locator", F.concat("locator", F.lit("#linea="), "line.no")).drop("line")
+    return cut.unionByName(texts.filter(~chat & (F.col("text") != "")))
+
+
+def place_profiles(texts: DataFrame, lexicon: dict[str, tuple[str, tuple[str, ...]]] = vocab.PLACES) -> DataFrame:
+    """sid, tags, dims, locators, hashes of each report that describes a place: two dimensions at least, one an anchor.
+
+    texts: text_id, reportId, kind, locator, text. What the other side of a chat wrote doesn't count.
+    """
+    said = reported_lines(texts.select("text_id", F.col("reportId").alias("sid"), "kind", "locator", "text"))
+    tags = place_tags(said.withColumn("text", nz.strip_marks("text")), lexicon, "sid", "text_id", "locator")
+    sets = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("tag", "tags"), ("dimension", "dims"), ("locator", "locators"), ("text_id", "hashes"))]
+    rows = tags.groupBy("sid").agg(*sets).filter(F.size("dims") >= 2)
+    return rows.filter(F.arrays_overlap("dims", F.array(*map(F.lit, vocab.PLACE_ANCHORS))))
+
+
+def place_edges(profiles: DataFrame) -> DataFrame:
+    """MENCIONA_LUGAR of each profile. The texts stay in the restricted store."""
+    name = F.concat("sid", F.lit("/"), F.substring(F.sha2(F.concat_ws("|", "sid", F.array_join("tags", "|"), F.array_join("locators", "|")), 256), 1, 16))
+    rows = profiles.withColumn("reportId", F.col("sid")).withColumn("place", name)
+    facts = {"tags": F.array_join("tags", ","), "dimensions": F.array_join("dims", ","), "hashes": F.array_join("hashes", ","), "restricted": F.lit(True)}
+    return edge(rows, ("REPORTE", F.col("sid")), ("LUGAR_MENCION", F.col("place")), "MENCIONA_LUGAR", F.array_join("locators", " | "), "contexto_lugar_controlado", confidence=vocab.PLACE_SURE, attrs={"tags": F.array_join("tags", ",")}, dst_facts=facts, label=F.array_join("tags", ", "))
+
+
+def _weight(dims) -> "Column":  # noqa: ANN001, F821
+    weights = F.create_map(*[F.lit(z) for kv in vocab.PLACE_WEIGHTS.items() for z in kv])
+    return F.aggregate(dims, F.lit(0.0), lambda acc, d: acc + F.element_at(weights, d))
+
+
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Pairs of tag lists (both_a, both_b: tag and dimension) with score and common tags, if they are similar enough."""
+    dims = lambda c: F.array_distinct(F.transform(c, lambda s: s["dimension"]))
+    common = F.array_intersect("both_a", "both_b")
+    scored = pairs.withColumn("shared", F.transform(common, lambda s: s["tag"])).withColumn("common", dims(common)).withColumn("score", _weight(F.col("common")) / _weight(F.array_union(dims(F.col("both_a")), dims(F.col("both_b")))))
+    anchored = F.arrays_overlap("common", F.array(*map(F.lit, vocab.PLACE_ANCHORS)))
+    return scored.filter((F.size("common") >= 2) & anchored & (F.col("score") >= vocab.PLACE_LEAST)).withColumn("score", F.round("score", 4))
 
 
 def place_similarity(tags: DataFrame) -> DataFrame:
     """Profiles (equal tag sets are one class with members) that share two dimensions, one an anchor, and enough weight."""
     profile = tags.groupBy("sid").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.array_sort(F.collect_set(F.struct("tag", "dimension"))).alias("both"))
     one = profile.groupBy("tags").agg(F.count("*").alias("members"), F.min("sid").alias("first_sid"), F.first("both").alias("both"))
-    x = one.select(F.explode("tags").alias("tag"), F.col("tags").alias("tags_a"), F.col("both").alias("both_a"), F.col("members").alias("members_a"), F.col("first_sid").alias("sid_a"))
-    y = one.select(F.explode("tags").alias("tag"), F.col("tags").alias("tags_b"), F.col("both").alias("both_b"), F.col("members").alias("members_b"), F.col("first_sid").alias("sid_b"))
-    meet = x.join(y, "tag").filter("sid_a < sid_b").drop("tag").dropDuplicates(["sid_a", "sid_b"])
-    weight = F.create_map(*[F.lit(z) for kv in vocab.PLACE_WEIGHTS.items() for z in kv])
-    dims = lambda c: F.array_distinct(F.transform(c, lambda s: s["dimension"]))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, d: acc + F.element_at(weight, d))
-    common = dims(F.array_intersect("both_a", "both_b"))
-    every = F.array_union(dims(F.col("both_a")), dims(F.col("both_b")))
-    scored = meet.withColumn("common", common).withColumn("score", F.round(total(F.col("common")) / total(every), 4))
-    anchored = F.size(F.array_intersect("common", F.array(*[F.lit(a) for a in vocab.PLACE_ANCHORS]))) > 0
-    return scored.filter((F.size("common") >= 2) & anchored & (F.col("score") >= vocab.PLACE_LEAST)).select("sid_a", "sid_b", "members_a", "members_b", "score")
+    side = lambda s: one.select(F.explode("tags").alias("tag"), F.col("both").alias(f"both_{s}"), F.col("members").alias(f"members_{s}"), F.col("first_sid").alias(f"sid_{s}"))
+    meet = side("a").join(side("b"), "tag").filter("sid_a < sid_b").drop("tag").dropDuplicates(["sid_a", "sid_b"])
+    return _alike(meet).select("sid_a", "sid_b", "members_a", "members_b", "score")
+
+
+def place_pairs(profiles: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs of reports (a, b, score, shared, locators) and classes of profiles with too many pairs to list.
+
+    Similarity is decided on classes of equal tag sets, of which the lexicon bounds the number. Pairs of small classes are
+    listed; of larger ones those among candidates (a, b: pairs that share something else), as place context only corroborates.
+    """
+    dims = F.create_map(*[F.lit(x) for t, (d, _) in vocab.PLACES.items() for x in (t, d)])
+    of = profiles.withColumn("key", F.array_join("tags", "|"))
+    one = saved(of.groupBy("key").agg(F.first("tags").alias("tags"), F.count("*").alias("n")).withColumn("both", F.transform("tags", lambda t: F.struct(t.alias("tag"), F.element_at(dims, t).alias("dimension")))))
+    side = lambda s: one.select(F.explode("tags").alias("tag"), F.col("both").alias(f"both_{s}"), F.col("key").alias(f"key_{s}"), F.col("n").alias(f"n_{s}"))
+    meet = side("a").join(side("b"), "tag").filter("key_a <= key_b").drop("tag").dropDuplicates(["key_a", "key_b"])
+    pairs = F.expr("if(key_a = key_b, n_a * (n_a - 1) div 2, n_a * n_b)")
+    alike = saved(_alike(meet).withColumn("pairs", pairs).select("key_a", "key_b", "score", "shared", "pairs"))
+    member = lambda s: of.select(F.col("key").alias(f"key_{s}"), F.col("sid").alias(f"sid_{s}"), F.col("locators").alias(f"locators_{s}"))
+    small = alike.filter(F.col("pairs") <= vocab.DEFAULT_CAP).join(member("a"), "key_a").join(member("b"), "key_b").filter("sid_a <> sid_b and (key_a <> key_b or sid_a < sid_b)")
+    large = alike.filter(F.col("pairs") > vocab.DEFAULT_CAP)
+    asked = candidates.select(F.col("a").alias("sid_a"), F.col("b").alias("sid_b")).distinct()
+    turned = large.union(large.filter("key_a <> key_b").select("key_b", "key_a", "score", "shared", "pairs"))
+    among = asked.join(member("a"), "sid_a").join(member("b"), "sid_b").join(turned, ["key_a", "key_b"])
+    columns = [F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"), "score", "shared", F.when(F.col("sid_a") < F.col("sid_b"), F.concat("locators_a", "locators_b")).otherwise(F.concat("locators_b", "locators_a")).alias("locators")]
+    return small.select(*columns).union(among.select(*columns)), large.select("key_a", "key_b", "score", "pairs")
+
+
+def place_links(pairs: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SIMILAR_A edges between the place nodes of similar pairs, and R13 firings; mentions: the MENCIONA_LUGAR edges."""
+    place = lambda s: mentions.select(F.col("sid").alias(s), F.col("dst_value").alias(f"place_{s}"))
+    rows = pairs.join(place("a"), "a").join(place("b"), "b").withColumn("reportId", F.lit(None).cast("string"))
+    source, locator = F.concat(F.lit("derivacion:lugar:"), "a", F.lit(":"), "b"), F.array_join("locators", " | ")
+    edges = edge(rows, ("LUGAR_MENCION", F.col("place_a")), ("LUGAR_MENCION", F.col("place_b")), "SIMILAR_A", locator, "contexto_lugar_controlado", confidence=F.col("score"), attrs={"tags": F.array_join("shared", ","), "score": F.col("score")}, source=source)
+    key = nz.edge_id(nz.node_id(F.lit("LUGAR_MENCION"), F.col("place_a")), nz.node_id(F.lit("LUGAR_MENCION"), F.col("place_b")), F.lit("SIMILAR_A"), F.lit("contexto_lugar_controlado"), locator, source)
+    rule = vocab.RULE["R13_CONTEXTO_LUGAR"]
+    fired = rows.select("a", "b", F.array_join("shared", ", ").alias("node_id"), F.lit(rule.name).alias("rule"), F.round(rule.weight * F.col("score"), 4).alias("weight"), F.lit(rule.corroborates).alias("corroborates"), "locators", key.alias("support"))
+    return edges, fired
 
 
 def impossible_travel(places: DataFrame) -> DataFrame:
@@ -64,9 +204,14 @@ def impossible_travel(places: DataFrame) -> DataFrame:
 
 
 def identity_pairs(mentions: DataFrame, cap: int = vocab.PAIR_CAPS["CUENTA"]) -> DataFrame:
-    """Mentions that use one account, as links to the account's least mention (a star: linear, same closure).
+    """Mentions that use one account, as pairs (a < b).
 
-    mentions: mention, account.
+    mentions: mention, account. An account with more pairs than the cap gives the pairs with its least mention alone: the
+    same closure, without the square.
     """
-    least = mentions.groupBy("account").agg(F.min("mention").alias("a"), F.count_distinct("mention").alias("n")).filter("n > 1")
-    return mentions.join(least, "account").filter("mention <> a").select("a", F.col("mention").alias("b"), "account").distinct()
+    one = mentions.select("mention", "account").distinct()
+    sizes = one.groupBy("account").agg(F.min("mention").alias("least"), F.count("*").alias("n")).filter("n > 1").withColumn("many", F.expr("n * (n - 1) div 2") > cap)
+    star = one.join(sizes.filter("many"), "account").filter("mention <> least").select(F.col("least").alias("a"), F.col("mention").alias("b"), "account")
+    few = one.join(sizes.filter("not many").select("account"), "account")
+    pairs = few.select("account", F.col("mention").alias("a")).join(few.select("account", F.col("mention").alias("b")), "account").filter("a < b").select("a", "b", "account")
+    return pairs.union(star)

@@ -3,8 +3,7 @@
 A report is an order. Its account is the customer, its device the part of its first line, its alias the order date, its
 location the customer's nation. Nothing is sliced: pair caps, as everywhere, decide what is expanded. projection, components,
 cases, degree_centrality and adamic_adar are bound by their SQL to links through accounts; their namesakes with ``_whole`` and
-all other graph queries take the links of all kinds. phash_neighbours has its ``_whole`` for texts of under 64 words, alerts and
-alerts_silenced for scored links beside the manual ones.
+all other graph queries take the links of all kinds. phash_neighbours has its ``_whole`` for texts of under 64 words.
 """
 
 from __future__ import annotations
@@ -17,7 +16,9 @@ from pyspark.sql import functions as F
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
 from casegraph.functions.textmine import mentions
-from casegraph.operators import graph, linkage, review, similarity
+from casegraph.operators import graph, linkage, review, similarity, views
+from casegraph.operators.storage import saved
+from casegraph.sources import reports as source
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +39,13 @@ def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.col("o_orderkey").alias("sid"), F.explode(kinds).alias("k")).select("sid", "k.kind", "k.value", F.lit(False).alias("from_text"), "k.locator")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without locators, which no query reads, written once."""
+    return saved(linkage.index(incidence(spark, sf_dir)).select("node_id", "kind", "sid", "text_only", F.array().cast("array<string>").alias("locators")))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = linkage.index(incidence(spark, sf_dir))
+    idx = _index(spark, sf_dir)
     reports = table(spark, sf_dir, "orders").count()
     return linkage.score(linkage.firings(linkage.shared(idx, linkage.frequency(idx)), reports))
 
@@ -96,7 +102,7 @@ def ident_index_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BASE} SELECT DISTINCT a, b FROM shared")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = linkage.index(incidence(spark, sf_dir))
+    idx = _index(spark, sf_dir)
     return linkage.shared(idx, linkage.frequency(idx)).select("a", "b").distinct()
 
 
@@ -144,12 +150,12 @@ def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.saved(graph.projection(_accounts(spark, sf_dir), _manual(spark, sf_dir)))
+    return saved(graph.projection(_accounts(spark, sf_dir), _manual(spark, sf_dir)))
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection of the scored links of all kinds and of manual ones."""
-    return graph.saved(graph.projection(linkage.links(_scored(spark, sf_dir)), _manual(spark, sf_dir)))
+    return saved(graph.projection(linkage.links(_scored(spark, sf_dir)), _manual(spark, sf_dir)))
 
 
 _GRAPH = f"""{_BASE}, manual AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey HAVING min(o_orderkey) < max(o_orderkey)),
@@ -175,14 +181,19 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cases(graph.components(links), links)
 
 
-@query(f"WITH {_GRAPH}, e AS (SELECT a AS v FROM proj UNION ALL SELECT b FROM proj) SELECT v, count(*) AS degree, round(count(*) / ((SELECT count(*) FROM orders) - 1)::DOUBLE, 6) AS centrality FROM e GROUP BY v")
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("v"))
+
+
+@query(f"WITH {_GRAPH}, e AS (SELECT a AS v FROM proj UNION ALL SELECT b FROM proj) SELECT o_orderkey AS v, count(v) AS degree, round(count(v) / ((SELECT count(*) FROM orders) - 1)::DOUBLE, 6) AS centrality FROM orders LEFT JOIN e ON v = o_orderkey GROUP BY o_orderkey")
 def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degree(_graph(spark, sf_dir), table(spark, sf_dir, "orders").count())
+    o = _orders(spark, sf_dir)
+    return graph.degree(_graph(spark, sf_dir), o.count(), o)
 
 
 @query()
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(_whole(spark, sf_dir))
+    return graph.pagerank(_whole(spark, sf_dir), _orders(spark, sf_dir))
 
 
 @query()
@@ -192,7 +203,8 @@ def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.betweenness(_whole(spark, sf_dir), table(spark, sf_dir, "orders").count())
+    o = _orders(spark, sf_dir)
+    return graph.betweenness(_whole(spark, sf_dir), o.count(), vertices=o)
 
 
 @query()
@@ -202,7 +214,7 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GRAPH}, s AS (SELECT a, b, df FROM shared ANTI JOIN proj USING (a, b)) SELECT a, b, round(sum(1 / ln(greatest(df, 2))), 4) AS score, count(*) AS shared FROM s GROUP BY a, b ORDER BY score DESC, a, b LIMIT 15")
 def adamic_adar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = linkage.index(incidence(spark, sf_dir))
+    idx = _index(spark, sf_dir)
     return graph.adamic_adar(linkage.shared(idx, linkage.frequency(idx)), graph.projection(_accounts(spark, sf_dir), _manual(spark, sf_dir)))
 
 
@@ -232,25 +244,52 @@ def cases_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cases(graph.components(links), links)
 
 
-@query(f"WITH {_WHOLE} SELECT a AS v, count(*) AS degree, round(count(*) / ((SELECT count(*) FROM orders) - 1)::DOUBLE, 6) AS centrality FROM e GROUP BY a")
+@query(f"WITH {_WHOLE} SELECT o_orderkey AS v, count(a) AS degree, round(count(a) / ((SELECT count(*) FROM orders) - 1)::DOUBLE, 6) AS centrality FROM orders LEFT JOIN e ON a = o_orderkey GROUP BY o_orderkey")
 def degree_centrality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degree(_whole(spark, sf_dir), table(spark, sf_dir, "orders").count())
+    o = _orders(spark, sf_dir)
+    return graph.degree(_whole(spark, sf_dir), o.count(), o)
+
+
+@query(f"""{_REACH}, sizes AS (SELECT label, count(*) AS reports FROM comp GROUP BY 1), l AS (SELECT label, count(*) AS links FROM proj JOIN comp ON v = a GROUP BY 1),
+named AS (SELECT 'L' || lpad(no::VARCHAR, greatest(3, length(no::VARCHAR))::INT, '0') AS "case", label, reports, links FROM (SELECT *, row_number() OVER (ORDER BY reports DESC, label) AS no FROM sizes JOIN l USING (label)))
+SELECT "case", label AS first_report, reports, links FROM named UNION ALL SELECT 'R' || o_orderkey, o_orderkey, 1, 0 FROM orders ANTI JOIN comp ON v = o_orderkey""")
+def all_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases by number, orders without links as cases of one."""
+    links = _whole(spark, sf_dir)
+    return graph.all_cases(graph.components(links), links, _orders(spark, sf_dir).withColumnRenamed("v", "sid"))[0].select("case", "first_report", "reports", "links")
+
+
+_PATH = "path AS (SELECT l_orderkey AS a, l_orderkey + 1 AS b FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 100 <> 0) WHERE l_orderkey + 1 IN (SELECT o_orderkey FROM orders))"
+
+
+@query(f"WITH {_PATH}, v AS (SELECT a AS v FROM path UNION SELECT b FROM path), s AS (SELECT v, CASE WHEN v - 1 IN (SELECT a FROM path) THEN 0 ELSE 1 END AS first FROM v) SELECT v, max(CASE WHEN first = 1 THEN v END) OVER (ORDER BY v) AS label FROM s")
+def components_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of long paths (orders of neighbouring numbers, cut at each hundredth), where labels must travel far."""
+    o = _orders(spark, sf_dir)
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a")).distinct().filter("a % 100 <> 0").withColumn("b", F.col("a") + 1)
+    return graph.components(a.join(o.withColumnRenamed("v", "b"), "b", "left_semi").select("a", "b"))
 
 
 @query(f"""WITH {_WHOLE}, known AS (SELECT a, b FROM links UNION SELECT a, b FROM manual), s AS (SELECT a, b, df FROM shared ANTI JOIN known USING (a, b))
 SELECT a, b, round(sum(1 / ln(greatest(df, 2))), 4) AS score, count(*) AS shared FROM s GROUP BY a, b ORDER BY score DESC, a, b LIMIT 15""")
 def adamic_adar_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates without any link, proposed ones under the cluster threshold included."""
-    idx = linkage.index(incidence(spark, sf_dir))
+    idx = _index(spark, sf_dir)
     known = linkage.links(_scored(spark, sf_dir)).select("a", "b").union(_manual(spark, sf_dir))
     return graph.adamic_adar(linkage.shared(idx, linkage.frequency(idx)), known)
 
 
-@query(f"WITH {_BASE} SELECT sid, count(*) AS identifiers, count(*) FILTER (kind = 'CUENTA') AS accounts, count(*) FILTER (kind = 'DISPOSITIVO') AS devices, count(*) FILTER (kind IN ('CUENTA', 'DISPOSITIVO')) > 0 AS linkable FROM idx GROUP BY sid")
+@query("""WITH first AS (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS sid, (o_custkey IS NOT NULL)::BIGINT + (part IS NOT NULL)::BIGINT + (o_orderdate IS NOT NULL)::BIGINT AS identifiers,
+ (o_custkey IS NOT NULL)::BIGINT + (part IS NOT NULL)::BIGINT + (o_orderdate IS NOT NULL)::BIGINT > 0 AS linkable FROM orders LEFT JOIN first ON l_orderkey = o_orderkey""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = linkage.index(incidence(spark, sf_dir))
-    strong = F.col("kind").isin("CUENTA", "DISPOSITIVO").cast("int")
-    return idx.groupBy("sid").agg(F.count("*").alias("identifiers"), F.sum((F.col("kind") == "CUENTA").cast("long")).alias("accounts"), F.sum((F.col("kind") == "DISPOSITIVO").cast("long")).alias("devices"), (F.sum(strong) > 0).alias("linkable"))
+    """Accounts, devices and aliases count as identifiers, places don't."""
+    inc = incidence(spark, sf_dir).filter("value is not null")
+    node = nz.node_id(F.col("kind"), F.col("value"))
+    one = lambda kind, value: [F.lit(None).cast("string").alias(f"{kind}{x}") for x in ("", "_kind", "_value")] if value is None else [value.alias(kind), F.col("kind").alias(f"{kind}_kind"), F.col("value").alias(f"{kind}_value")]
+    edges = inc.select(*one("src", None), *one("dst", node), "sid", F.lit("observada").alias("origin"), F.lit("USA").alias("relation"), "locator", F.lit("").alias("method"), F.lit("").alias("version"))
+    about = _orders(spark, sf_dir).select(F.col("v").alias("sid"), *[F.lit(None).cast("string").alias(c) for c in ("platform", "state", "motive")])
+    return views.coverage(edges, about).select("sid", "identifiers", "linkable")
 
 
 @query("""SELECT o_orderkey::VARCHAR AS v, node, hops, path FROM (
@@ -306,74 +345,65 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.queue(review_split(spark, sf_dir)).select("arista_id", "origin", "confidence")
 
 
-@query("SELECT user_id, event_id, lag(event_id, 1, -1) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events")
-def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain's predecessor of each record, ledger by ledger."""
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_id", 1, -1).over(Window.partitionBy("user_id").orderBy("event_id")).alias("prev"))
+_BOOK = """raw AS (SELECT event_id AS seq, 'e_' || user_id AS edge, event_type AS decision FROM events),
+loose AS (SELECT *, '{"arista_id": "' || edge || '", "decision": "' || decision || '", "prev_hash": "sha256:none", "secuencia": ' || seq || '}' AS body FROM raw),
+own AS (SELECT seq, CASE WHEN seq % 5 = 0 THEN 'sha256:tampered' ELSE 'sha256:' || sha256(body) END AS hash FROM loose),
+linked AS (SELECT r.*, CASE WHEN r.seq % 3 = 0 AND o.hash IS NOT NULL THEN o.hash ELSE 'sha256:none' END AS prev FROM raw r LEFT JOIN own o ON o.seq = r.seq - 1),
+book AS (SELECT seq, prev, 'sha256:' || sha256('{"arista_id": "' || edge || '", "decision": "' || decision || '", "prev_hash": "' || prev || '", "secuencia": ' || seq || '}') AS computed FROM linked),
+kept AS (SELECT *, CASE WHEN seq % 5 = 0 THEN 'sha256:tampered' ELSE computed END AS hash FROM book)"""
 
 
-def _alerts(spark: SparkSession, sf_dir: str, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Over the manual links, or the links given: a, b, score."""
+@query(f"""WITH {_BOOK} SELECT x.seq AS secuencia, x.prev AS prev_hash, coalesce(y.hash, 'genesis') AS expected, x.hash, x.computed FROM kept x LEFT JOIN kept y ON y.seq = x.seq - 1
+WHERE x.prev <> coalesce(y.hash, 'genesis') OR x.hash <> x.computed""")
+def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken records of a ledger of events: each third names its predecessor's hash, each fifth was tampered with."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("secuencia"), F.concat(F.lit("e_"), "user_id").alias("edge"), F.col("event_type").alias("decision"))
+    body = lambda prev: F.format_string('{"arista_id": "%s", "decision": "%s", "prev_hash": "%s", "secuencia": %d}', "edge", "decision", prev, "secuencia")
+    kept = lambda text: F.when(F.col("secuencia") % 5 == 0, "sha256:tampered").otherwise(F.concat(F.lit("sha256:"), F.sha2(text, 256)))
+    before = e.select((F.col("secuencia") + 1).alias("secuencia"), kept(body(F.lit("sha256:none"))).alias("before"))
+    book = e.join(before, "secuencia", "left").withColumn("prev_hash", F.when((F.col("secuencia") % 3 == 0) & F.col("before").isNotNull(), F.col("before")).otherwise("sha256:none"))
+    book = book.withColumn("record", body(F.col("prev_hash"))).withColumn("hash", kept(F.col("record")))
+    return review.broken_chain(book.select("secuencia", "record", "prev_hash", "hash"))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Over the scored links: finished orders are archived, open ones active, others have no state; what lines bring."""
     o = table(spark, sf_dir, "orders")
-    motive = F.element_at(F.array(*[F.lit(m) for m in vocab.TRIGGERS]), (F.col("o_orderkey") % len(vocab.TRIGGERS) + 1).cast("int"))
-    states = o.select(F.col("o_orderkey").alias("sid"), F.when(F.col("o_orderstatus") == "F", "archivado").otherwise("en_analisis").alias("state"), motive.alias("motive"))
+    motive = F.element_at(F.array(*[F.lit(m) for m in MOTIVES]), (F.col("o_orderkey") % len(MOTIVES) + 1).cast("int"))
+    state = F.when(F.col("o_orderstatus") == "F", "Archivado").when(F.col("o_orderstatus") == "O", "en_analisis")
+    about = o.select(F.col("o_orderkey").alias("sid"), state.alias("state"), motive.alias("motive"), F.substring("o_orderpriority", 1, 1).alias("priority"))
     lines = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "ip_atribuible").when(F.col("l_linestatus") == "O", "ubicacion_determinable")
-    brought = lines.select(F.col("l_orderkey").alias("sid"), kind.alias("kind")).filter("kind is not null").groupBy("sid").agg(F.collect_set("kind").alias("kinds"))
-    return review.alerts(_manual(spark, sf_dir).withColumn("score", F.lit(vocab.MOST)) if links is None else links, states, brought)
-
-
-def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored links and manual ones, a pair once with its greatest score."""
-    scored = linkage.links(_scored(spark, sf_dir)).select("a", "b", "score")
-    return scored.union(_manual(spark, sf_dir).withColumn("score", F.lit(vocab.MOST))).groupBy("a", "b").agg(F.max("score").alias("score"))
-
-
-_ALERTS = (
-    "WITH st AS (SELECT o_orderkey AS sid, CASE WHEN o_orderstatus = 'F' THEN 'archivado' ELSE 'en_analisis' END AS state, ["
-    + ", ".join(f"'{m}'" for m in vocab.TRIGGERS)
-    + f"][o_orderkey % {len(vocab.TRIGGERS)} + 1] AS motive FROM orders), tr AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{m}', [{', '.join(repr(c) for c in cs)}], '{p}')" for m, (cs, p) in vocab.TRIGGERS.items())
-    + """) t(motive, needs, priority)),
-br AS (SELECT l_orderkey AS sid, list(DISTINCT CASE WHEN l_returnflag = 'R' THEN 'ip_atribuible' WHEN l_linestatus = 'O' THEN 'ubicacion_determinable' END) AS kinds FROM lineitem GROUP BY 1),
-m AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey HAVING min(o_orderkey) < max(o_orderkey)),
-both_ AS (SELECT a AS archived, b AS trigger FROM m UNION ALL SELECT b, a FROM m),
-r AS (SELECT archived, trigger, s.motive, needs, priority, o.state, list_sort(list_intersect(needs, coalesce(kinds, []))) AS brings FROM both_ JOIN st s ON s.sid = archived AND s.state = 'archivado'
-      LEFT JOIN st o ON o.sid = trigger LEFT JOIN br ON br.sid = trigger JOIN tr ON tr.motive = s.motive)
+    merit = about.filter(F.lower("state").isin(*vocab.ACTIVE) | F.col("priority").isin(*vocab.MERIT_PRIORITIES)).select("sid", F.lit("caso_con_merito").alias("kind"))
+    brought = lines.select(F.col("l_orderkey").alias("sid"), kind.alias("kind")).filter("kind is not null").union(merit).distinct()
+    return review.alerts(linkage.links(_scored(spark, sf_dir)), about, brought)
+
+
+#: One motive that the rules don't know, and none, beside those they know.
+MOTIVES = ("sin_datos_de_usuario", "no_atribuible_nat", "sin_archivos", "sin_ubicacion", "material_sin_relevancia", "otro", "")
+# The reference's rule, written out: needs by motive; one step lower if the trigger is archived too; links of 0.70 and more.
+_ALERTS = f"""WITH {_BASE}, st AS (SELECT o_orderkey AS sid, o_orderstatus AS s, o_orderpriority AS p,
+ CASE o_orderkey % 7 WHEN 0 THEN 'sin_datos_de_usuario' WHEN 1 THEN 'no_atribuible_nat' WHEN 2 THEN 'sin_archivos' WHEN 3 THEN 'sin_ubicacion' WHEN 4 THEN 'material_sin_relevancia' WHEN 5 THEN 'otro' ELSE '_default' END AS motive FROM orders),
+br AS (SELECT DISTINCT l_orderkey AS sid, CASE WHEN l_returnflag = 'R' THEN 'ip_atribuible' WHEN l_linestatus = 'O' THEN 'ubicacion_determinable' END AS kind FROM lineitem
+ UNION SELECT sid, 'caso_con_merito' FROM st WHERE s = 'O' OR p LIKE '1%' OR p LIKE '2%'),
+ends AS (SELECT a AS archived, b AS trigger, score FROM links WHERE score >= 0.7 UNION ALL SELECT b, a, score FROM links WHERE score >= 0.7),
+r AS (SELECT archived, trigger, score, x.motive, y.s AS other, list_sort(coalesce(list(kind) FILTER (CASE x.motive
+  WHEN 'sin_datos_de_usuario' THEN kind = 'identificador_atribuible' WHEN 'no_atribuible_nat' THEN kind IN ('identificador_atribuible', 'ip_atribuible') WHEN 'sin_archivos' THEN kind = 'evidencia_con_hash'
+  WHEN 'sin_ubicacion' THEN kind IN ('ubicacion_determinable', 'ip_atribuible') WHEN 'material_sin_relevancia' THEN kind IN ('caso_con_merito', 'evidencia_con_hash')
+  ELSE kind IN ('identificador_atribuible', 'evidencia_con_hash', 'ip_atribuible', 'caso_con_merito') END), [])) AS brings
+  FROM ends JOIN st x ON x.sid = archived AND x.s = 'F' JOIN st y ON y.sid = trigger LEFT JOIN br ON br.sid = trigger GROUP BY archived, trigger, score, x.motive, y.s)
 """
-)
 
 
-@query(_ALERTS + "SELECT archived, trigger, motive, array_to_string(brings, ',') AS brings, CASE WHEN state = 'archivado' THEN 'baja' ELSE priority END AS priority, 0.99::DOUBLE AS score FROM r WHERE len(brings) > 0")
+@query(_ALERTS + """SELECT archived, trigger, motive, array_to_string(brings, ',') AS brings, score, CASE WHEN other = 'F' THEN CASE WHEN motive IN ('sin_datos_de_usuario', 'no_atribuible_nat', 'sin_archivos') THEN 'media' ELSE 'baja' END
+ WHEN motive IN ('sin_datos_de_usuario', 'no_atribuible_nat', 'sin_archivos') THEN 'alta' ELSE 'media' END AS priority FROM r WHERE len(brings) > 0""")
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir)[0]
+    return _alerts(spark, sf_dir)[0].select("archived", "trigger", "motive", "brings", "score", "priority")
 
 
-@query(_ALERTS + "SELECT archived, trigger, motive, array_to_string(needs, ',') AS lacks FROM r WHERE len(brings) = 0")
+@query(_ALERTS + "SELECT archived, trigger, motive FROM r WHERE len(brings) = 0")
 def alerts_silenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir)[1]
-
-
-# The same over the scored links too.
-_ALERTS_WHOLE = (
-    _ALERTS.replace("WITH st AS", f"WITH {_BASE}, st AS")
-    .replace("m AS (SELECT min(o_orderkey) AS a", "manual AS (SELECT min(o_orderkey) AS a")
-    .replace("both_ AS", "m AS (SELECT a, b, max(score) AS score FROM (SELECT a, b, score FROM links UNION ALL SELECT a, b, 0.99::DOUBLE FROM manual) GROUP BY a, b),\nboth_ AS")
-    .replace("b AS trigger FROM m UNION ALL SELECT b, a FROM m", "b AS trigger, score FROM m UNION ALL SELECT b, a, score FROM m")
-    .replace("SELECT archived, trigger, s.motive", "SELECT archived, trigger, score, s.motive")
-)
-
-
-@query(_ALERTS_WHOLE + "SELECT archived, trigger, motive, array_to_string(brings, ',') AS brings, CASE WHEN state = 'archivado' THEN 'baja' ELSE priority END AS priority, score FROM r WHERE len(brings) > 0")
-def alerts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir, _all_links(spark, sf_dir))[0]
-
-
-@query(_ALERTS_WHOLE + "SELECT archived, trigger, motive, array_to_string(needs, ',') AS lacks FROM r WHERE len(brings) = 0")
-def alerts_silenced_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alerts(spark, sf_dir, _all_links(spark, sf_dir))[1]
+    return _alerts(spark, sf_dir)[1].select("archived", "trigger", "motive")
 
 
 @query("SELECT 'CUENTA' AS kind, c_name AS value, 'CUENTA-' || row_number() OVER (ORDER BY c_custkey) AS label FROM customer UNION ALL SELECT 'ORGANIZACION', s_name, 'ORGANIZACION-' || row_number() OVER (ORDER BY s_suppkey) FROM supplier")
@@ -480,14 +510,30 @@ def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(d.union(c))
 
 
-@query("SELECT conv_id, role, min(turn) AS first_turn, count(*) AS turns FROM conversations GROUP BY ALL")
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts: a line for each turn, users as the reported side, profiles by turn."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", " ")
+    line = F.concat(F.lit("[2026-01-01] "), F.when(F.col("role") == "user", "Reported User").otherwise("Other User"), F.lit(" (Profile P"), (F.col("turn") % 3).cast("string"), F.lit("): "), said)
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", line.alias("line")))).alias("t"))
+    return turns.select(F.col("conv_id").cast("string").alias("reportId"), F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("text"))
+
+
+_TURNS = "t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS no FROM conversations)"
+
+
+@query("""WITH t AS (SELECT conv_id, turn % 3 AS p, arg_min(role, turn) AS role, count(*) AS n FROM conversations GROUP BY ALL)
+SELECT conv_id::VARCHAR AS conv_id, 'P' || p AS profile, CASE WHEN role = 'user' THEN 'Reported User' ELSE 'Other User' END AS role FROM t""")
 def chat_profiles_first_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("turns"))
+    notes = _transcripts(spark, sf_dir).withColumn("event", F.col("reportId")).withColumn("locator", F.lit("n")).withColumn("esp", F.lit("Plaza"))
+    # Texts could name profiles themselves; only the headers are left here.
+    notes = notes.withColumn("text", F.regexp_replace("text", r"(?m)(\(Profile P\d\): ).*$", "$1"))
+    return source.chat_profiles(notes).select(F.col("reportId").alias("conv_id"), F.col("id").alias("profile"), "role")
 
 
-@query("SELECT conv_id, turn, sha256(text) AS text_sha256 FROM conversations WHERE role = 'user'")
+@query(rf"""WITH {_TURNS} SELECT conv_id::VARCHAR AS conv_id, 'n#linea=' || no AS locator, length(regexp_replace(coalesce(text, ''), '^\s+', '')) AS characters FROM t WHERE role = 'user'""")
 def reported_lines_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"))
+    texts = _transcripts(spark, sf_dir).select("reportId", F.lit("transcripcion_chat").alias("kind"), F.lit("n").alias("locator"), "text")
+    return similarity.reported_lines(texts).select(F.col("reportId").alias("conv_id"), "locator", F.length("text").cast("long").alias("characters"))
 
 
 @query("SELECT 'sha256:' || sha256(text) AS text_id, 'documents/' || doc_id AS locator, length(text) AS characters FROM documents WHERE text IS NOT NULL")
@@ -501,9 +547,18 @@ def evidence_same_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.same_evidence(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("value"), "source", F.col("doc_id").alias("sid")))
 
 
-@query("SELECT lang || '-' || n_chars AS value, count(*) AS members, count(DISTINCT source) AS sources, min(doc_id) AS first_sid FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: two of one evidence each, a report for each, language and length as the fingerprint of sound."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("reportId"), F.col("doc_id").alias("ord"), F.concat(F.lit("e"), F.floor(F.col("doc_id") / 2)).alias("evidence"), F.concat(F.lit("documents["), "doc_id", F.lit("]")).alias("locator"), F.lit(None).cast("string").alias("phash"), F.lit(None).cast("long").alias("hash"), F.concat_ws("-", "lang", "n_chars").alias("audio"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, 'e' || (doc_id // 2) AS e, concat_ws('-', lang, n_chars) AS audio FROM documents), few AS (SELECT audio FROM f GROUP BY audio HAVING count(*) * (count(*) - 1) // 2 <= {vocab.PAIR_CAPS['HUELLA_AUDIO']})
+SELECT x.e AS evidence_a, y.e AS evidence_b, 'documents[' || x.doc_id || '].details.audio_fingerprint | documents[' || y.doc_id || '].details.audio_fingerprint' AS locator, 0.86::DOUBLE AS confidence
+FROM f x JOIN f y ON x.audio = y.audio AND x.doc_id < y.doc_id AND x.e <> y.e WHERE x.audio IN (SELECT audio FROM few)""")
 def audio_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.same_evidence(table(spark, sf_dir, "documents").select(F.concat_ws("-", "lang", "n_chars").alias("value"), "source", F.col("doc_id").alias("sid")))
+    """Edges between files of one fingerprint in different reports and evidences; too frequent fingerprints stay groups."""
+    return similarity.equal_audio(_files(spark, sf_dir))[0].select(F.col("src_value").alias("evidence_a"), F.col("dst_value").alias("evidence_b"), "locator", "confidence")
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), h AS (SELECT doc_id, w FROM w WHERE len(w) >= 64),
@@ -570,7 +625,7 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MENTIONS = "ment AS (SELECT c_custkey AS mention, concat_ws('/', c_nationkey, c_mktsegment, floor(c_acctbal / 500)::BIGINT) AS account FROM customer), star AS (SELECT min(mention) OVER (PARTITION BY account) AS a, mention AS b, account FROM ment)"
 
 
-@query(f"WITH {_MENTIONS} SELECT a, b, account FROM star WHERE a <> b")
+@query(f"WITH {_MENTIONS} SELECT x.mention AS a, y.mention AS b, x.account FROM ment x JOIN ment y ON x.account = y.account AND x.mention < y.mention")
 def identity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.identity_pairs(_mentions(spark, sf_dir))
 

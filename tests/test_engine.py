@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
-from casegraph.functions.textmine import Miner
+from casegraph.functions import textmine
 from casegraph.operators import graph, linkage, review, similarity
 from casegraph.plans.build import build, violations
 from casegraph.streaming import ledger
@@ -59,10 +59,11 @@ def test_normalisers(spark):
         ("Transferencias: luna.rio.47", {("ALIAS_PAGO", "lunario47")}), ("[2026-07-04 21:06:12 UTC] Reported User: hola", set()),
         ("Reported User (Profile NX-800147): hola", set()), ("se organiza afuera de PlayHub, en NexoChat", set()),
         ("agregame como Zorro.Gris_88 que te paso el link", {("ALIAS", "zorrogris88")}), ("buscame como el pibe de siempre", set()), ("expediente 990100001 en tramite", set()),
+        ("hablamos con zorro88 ayer", {("ALIAS", "zorro88")}), ("agendame wh-ats.app", set()), ("12.34.56 @luna_rio", {("ALIAS", "lunario")}), ("BÚSCAME cómo rio_azul", {("ALIAS", "rioazul")}),
     ],
 )
 def test_text_mining(text, keys):
-    assert {(k, v) for k, v, *_ in Miner().find(text)} == keys
+    assert {(k, v) for k, v, *_ in textmine.find(text)} == keys
 
 
 def test_caps(spark):
