@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.operators.storage import saved
+
 #: Odd multiplier of the polynomial word and gram hashes.
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -18,21 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="casegraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and rereads it: later branches don't recompute it and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/casegraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df, label)
+
+
+def row_of(df: DataFrame, but: tuple[str, ...] = ()) -> tuple[Column, dict[str, str]]:
+    """All columns of df as one struct named row, and each one's field in it: no name of a user's can clash outside."""
+    field = {c: f"c{k}" for k, c in enumerate(df.columns) if c not in but}
+    return F.struct(F.lit(0).alias("_"), *[df[f"`{c}`"].alias(f) for c, f in field.items()]).alias("row"), field
+
+
+def by_key(rows: DataFrame, small: DataFrame, hot: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with small, which has a row or few for each key; rows has hot: whether a key is one of the broadcast few.
+
+    A frequent key's rows stay where they are and meet a broadcast of its rows of small; only the others are shuffled.
+    """
+    few = small.join(F.broadcast(hot), "key", "left_semi")
+    rest = small.join(F.broadcast(hot), "key", "left_anti")
+    return rows.filter("hot").join(F.broadcast(few), keys, how).unionByName(rows.filter("not hot").join(rest, keys, how))
 
 
 def with_columns_as(df: DataFrame, **types: str) -> DataFrame:

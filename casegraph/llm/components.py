@@ -1,28 +1,5 @@
-"""Connected components of a link table, without collecting it."""
+"""Connected components of a link table, without collecting it: the engine's own operator serves here too."""
 
-from __future__ import annotations
+from casegraph.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) to (v, label): the least vertex that v reaches. Null ends and loops are ignored.
-
-    Each round takes the least label of all neighbours (folded in each task before the shuffle, so a vertex of any degree
-    is fine), then follows labels two steps; rounds grow with the logarithm of the longest path. Each round is written to
-    the shared folder.
-    """
-    both = links.filter("a <> b").select("a", "b")
-    edges = materialize(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        seen = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(seen, "v", "left").select("v", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "low", "left").select("v", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("v", "label")
-        if new.filter("moved").isEmpty():
-            return labels
+__all__ = ["components"]

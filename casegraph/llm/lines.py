@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_of
 
 #: Lines of a window.
 WIDTH = 3
@@ -16,16 +16,17 @@ def _hashes(lines: str) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit("second"), x).alias("q"), x.rlike(r"[^\x20\x09-\x0D]").alias("w")))
 
 
-def dedup_lines(df: DataFrame) -> DataFrame:
-    """df with n_lines, n_removed and kept (the text without removed lines) as __-named extra columns.
+def dedup_lines(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """A row of df (a struct), n_lines, n_removed and text (without removed lines) each, and the struct's fields.
 
     Lines end at ``\\n``. A window is three consecutive lines of a document, one of them with a word. Of equal windows
     the first in order of doc_id, then hash of the text, then position stays; the lines of every later one go, also where
     windows overlap in one document. Documents of under three lines are whole. Null text stays null with no lines; rows
-    that repeat both doc_id and text count as one document and all get its result. A null doc_id sorts first.
+    that repeat both doc_id and text count as one document and all get its result. A null doc_id sorts first. An empty
+    table gives no rows, a very long text is lines like any other, and extra columns pass, whatever their names.
     """
-    ids = df.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.split(F.col("text").cast("string"), "\n", -1).alias("__lines")).filter(F.size("__lines") >= WIDTH)
-    hashed = ids.select("doc", "tie", _hashes("__lines").alias("h"))
+    ids = df.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.split(F.col("text").cast("string"), "\n", -1).alias("all")).filter(F.size("all") >= WIDTH)
+    hashed = ids.select("doc", "tie", _hashes("all").alias("h"))
     count = F.size("h") - WIDTH + 1
     part = lambda k: F.slice("h", F.lit(k + 1), count)
     joined = F.arrays_zip(part(0).alias("a"), part(1).alias("b"), part(2).alias("c"))
@@ -35,32 +36,36 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     place = F.struct("doc", "tie", "at")
     first = spots.groupBy("p", "q").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("p", "q", "first")
     later = spots.join(first, ["p", "q"]).filter(place > F.col("first"))
-    starts = later.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("at")).alias("__at")).select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__at")
-    base = df.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    both = base.join(starts, base["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__tie")), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    starts = later.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    row, field = row_of(df)
+    base = df.select(row, df["doc_id"].cast("long").alias("id"), F.xxhash64(df["text"].cast("string")).alias("hash"), df["text"].cast("string").alias("old"))
+    both = base.join(starts, base["id"].eqNullSafe(starts["doc"]) & (base["hash"] == starts["tie"]), "left")
+    lines = F.split("old", "\n", -1)
     # Merging covered positions: what stays are the gaps between a window's end and the next window's start.
-    split = both.withColumn("__lines", F.when(F.col("__at").isNotNull(), lines)).withColumn("__edges", F.concat(F.array(F.lit(-WIDTH)), "__at", F.array(F.size("__lines"))))
-    gaps = F.zip_with(F.slice("__edges", F.lit(1), F.size("__edges") - 1), F.slice("__edges", F.lit(2), F.size("__edges") - 1), lambda a, b: F.struct((a + WIDTH).alias("lo"), (b - a - WIDTH).alias("n")))
-    kept = split.withColumn("__gaps", F.filter(gaps, lambda g: g["n"] > 0)).withColumn("__kept", F.flatten(F.transform("__gaps", lambda g: F.slice(F.col("__lines"), g["lo"] + 1, g["n"]))))
+    split = both.withColumn("lines", F.when(F.col("at").isNotNull(), lines)).withColumn("edges", F.concat(F.array(F.lit(-WIDTH)), "at", F.array(F.size("lines"))))
+    gaps = F.zip_with(F.slice("edges", F.lit(1), F.size("edges") - 1), F.slice("edges", F.lit(2), F.size("edges") - 1), lambda a, b: F.struct((a + WIDTH).alias("lo"), (b - a - WIDTH).alias("n")))
+    kept = split.withColumn("gaps", F.filter(gaps, lambda g: g["n"] > 0)).withColumn("kept", F.flatten(F.transform("gaps", lambda g: F.slice(F.col("lines"), g["lo"] + 1, g["n"]))))
     return kept.select(
-        *df.columns,
-        F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("__lines"), F.size(lines))).cast("long").alias("__n_lines"),
-        F.when(F.col("__at").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("__n_removed"),
-        F.when(F.col("__at").isNull(), F.col("text").cast("string")).otherwise(F.array_join("__kept", "\n")).alias("__text"),
-    )
+        "row",
+        F.when(F.col("old").isNull(), 0).otherwise(F.coalesce(F.size("lines"), F.size(lines))).cast("long").alias("n_lines"),
+        F.when(F.col("at").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
+        F.when(F.col("at").isNull(), F.col("old")).otherwise(F.array_join("kept", "\n")).alias("text"),
+    ), field
 
 
 def result(df: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of each row."""
-    return dedup_lines(df).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__text").alias("text"))
+    out, field = dedup_lines(df.select("doc_id", "text"))
+    return out.select(F.col("row")[field["doc_id"]].alias("doc_id"), "n_lines", "n_removed", "text")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """df with its texts and n_chars after line dedup; a document goes if lines were removed and no word is left."""
-    out = dedup_lines(df).filter((F.col("__n_removed") == 0) | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast("long")}
-    return out.select(*[F.when(F.col("__n_removed") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
+    out, field = dedup_lines(df)
+    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    old = lambda c: F.col("row")[field[c]]
+    return out.select(*[(F.when(F.col("n_removed") > 0, new[c]).otherwise(old(c)) if c in new else old(c)).alias(c) for c in df.columns])
 
 
 SQL = r"""

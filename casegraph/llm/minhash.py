@@ -1,8 +1,8 @@
 """Near-duplicate classes by MinHash bands with sequential Bayesian verification.
 
 Documents of one shingle set are one vertex. Vertices that share a band of their signature are candidates: first each
-with its bucket's leader (a linear number of pairs), then, in buckets that still hold several components, all pairs
-across components. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior probability
+with its bucket's leader (a linear number of pairs), then, in buckets that still hold several components, the vertices
+outside the leader's component with all of the bucket, in blocks of bounded size. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior probability
 that its similarity reaches the threshold falls under the chosen miss probability. Survivors are decided on full sets.
 """
 
@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MULT, materialize, mix, with_columns_as, word_hashes
+from .common import MULT, by_key, materialize, mix, row_of, with_columns_as, word_hashes
 from .components import components
 
-#: Texts are hashed so many characters at once; shingles of a block of a large bucket.
-SLICE_CHARS, BLOCK_SHINGLES = 1 << 20, 1 << 21
+#: Texts are hashed so many characters at once; shingles of a block of a large bucket; buckets that count as hot at most.
+SLICE_CHARS, BLOCK_SHINGLES, HOT_KEYS = 1 << 20, 1 << 21, 10_000
+#: Vertices that make a bucket hot at least.
+HOT_MEMBERS = 256
 _FACTOR = mix(np.arange(1, 65, dtype=np.uint64) * MULT) | np.uint64(1)
 
 
@@ -154,49 +156,44 @@ def verified(pairs: DataFrame, vertices: DataFrame, sets_of, plan: Plan) -> Data
     return tested.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(decide, "a binary, b binary")
 
 
-def across(members: DataFrame, sets_of, plan: Plan) -> DataFrame:
-    """Links between the components that still meet in a bucket; members (key, v, n, label).
+def across(members: DataFrame, hot: DataFrame, sets_of, plan: Plan) -> DataFrame:
+    """Links between the components that still meet in a bucket; members (key, hot, v, n, label, main: the leader's component).
 
-    A bucket is cut into blocks, component by component and by size; each pair of blocks whose members may link across
-    components is one task's group, so a bucket of any size is spread. Within it, pairs already connected are skipped:
-    it returns a forest, not all pairs.
+    Vertices of a bucket fall into blocks: those of the leader's component and the others, by size (a class holds sizes that
+    may link, or they are in neighbouring ones), then by hash into parts of bounded size. Each pair of blocks that may link,
+    one of them of others, is one task's group, so a bucket of any size is spread. Within it, pairs already connected are
+    skipped: it returns a forest, not all pairs.
     """
-    sets = sets_of(members.select("v").distinct())
-    order = Window.partitionBy("key").orderBy("label", "n", "v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = members.withColumn("block", (F.sum("n").over(order) / BLOCK_SHINGLES).cast("int"))
-    spans = placed.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"))
-    x, y = spans.select("key", *[F.col(c).alias(f"x_{c}") for c in spans.columns[1:]]), spans.select("key", *[F.col(c).alias(f"y_{c}") for c in spans.columns[1:]])
-    meet = x.join(y, "key").filter("x_block <= y_block").filter(
-        f"100 * x_high >= {plan.percent} * y_low and 100 * y_high >= {plan.percent} * x_low and not (x_first = x_last and y_first = y_last and x_first = y_first)"
-    )
-    meet = meet.select("key", "x_block", "y_block", F.explode(F.array_distinct(F.array("x_block", "y_block"))).alias("block"))
-    groups = placed.join(meet, ["key", "block"]).join(sets, "v")
+    step = float(np.log(100 / plan.percent)) * (1 + 1e-9)  # a little more than linked sizes differ by
+    sized = members.withColumn("size", F.floor(F.log("n") / step).cast("int"))
+    totals = sized.groupBy("key", "main", "size").agg(F.sum("n").alias("total")).select("key", "main", "size", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    totals = materialize(totals, "parts")
+    placed = materialize(by_key(sized, totals, hot, ["key", "main", "size"]).select("key", "hot", "v", "n", "label", F.struct("main", "size", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part")).alias("block")), "blocks")
+    blocks = totals.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct("main", "size", k.alias("part")))).alias("block"))
+    x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
+    meet = x.join(y, "key").filter("x <= y and not (x.main and y.main) and abs(x.size - y.size) <= 1").select("key", F.struct("x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    groups = placed.join(meet, ["key", "block"]).withColumn("right", F.col("block") == F.col("pair.y"))
+    groups = groups.withColumn("left", F.col("block") == F.col("pair.x")).join(sets_of(members.select("v").distinct()), "v")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "v"], kind="stable").reset_index(drop=True)
         full = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
         sig = np.stack([plan.signature(s) for s in full])
-        n = rows["n"].to_numpy()
-        parent = {x: x for x in rows["label"]}
-
-        def root(x: bytes) -> bytes:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
+        n, left, right = (rows[c].to_numpy() for c in ("n", "left", "right"))
+        home = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
         out = []
-        labels = rows["label"].tolist()
         for i in range(len(rows)):
             lo = int(np.searchsorted(100 * n[:i], plan.percent * n[i]))
-            mine = root(labels[i])
-            other = np.array([k for k in range(lo, i) if root(labels[k]) != mine], np.int64)
-            for k in other[plan.survive(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other])] if len(other) else ():
-                if (x := root(labels[i])) != (y := root(labels[k])) and plan.linked(full[i], full[k]):
-                    parent[max(x, y)] = min(x, y)
+            fit = (home[lo:i] != home[i]) & ((left[lo:i] & right[i]) | (right[lo:i] & left[i]))
+            other = np.flatnonzero(fit) + lo
+            for k in other[plan.survive(np.broadcast_to(sig[i], (len(other), plan.size)), sig[other])].tolist() if len(other) else ():
+                if home[i] != home[k] and plan.linked(full[i], full[k]):
+                    home[home == home[i]] = home[k]
                     out.append((rows["v"][i], rows["v"][k]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return groups.groupBy("key", "x_block", "y_block").applyInPandas(link, "a binary, b binary")
+    names = F.struct("key", "pair")
+    return groups.select(names.alias("group"), "v", "n", "label", "left", "right", "shingles").groupBy("group").applyInPandas(link, "a binary, b binary")
 
 
 def classes(df: DataFrame, plan: Plan) -> DataFrame:
@@ -209,8 +206,11 @@ def classes(df: DataFrame, plan: Plan) -> DataFrame:
     rows = materialize(signatures(docs, plan), "signatures")
     vertices = materialize(rows.filter("v is not null").groupBy("v").agg(F.min_by(F.struct("doc_id", "tie"), F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("of"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows")), "vertices")
     keyed = materialize(bands(vertices, plan), "bands")
-    buckets = keyed.groupBy("key").agg(F.min("v").alias("leader"), F.count("*").alias("members")).filter("members > 1")
-    members = materialize(keyed.join(buckets, "key"), "members")
+    buckets = materialize(keyed.groupBy("key").agg(F.min("v").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "buckets")
+    least = max(HOT_MEMBERS, keyed.count() // HOT_KEYS)
+    hot = materialize(buckets.filter(F.col("members") > least).select("key"), "hot")  # at most HOT_KEYS of them
+    flagged = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    members = materialize(by_key(flagged, buckets, hot, ["key"]), "members")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(v, shingles) of the wanted vertices, from one document of each."""
@@ -230,10 +230,11 @@ def classes(df: DataFrame, plan: Plan) -> DataFrame:
     links = materialize(verified(stars, vertices, sets_of, plan), "links")
     labels = components(links)
     labelled = members.filter("members > 2").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    mixed = labelled.filter("v <> leader").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").select("key", "v", "n", "label"), "rest")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("v") == F.col("leader"), F.col("label"))).alias("first")).filter("x <> y").select("key", "first")
+    rest = by_key(labelled, materialize(mixed, "mixed"), hot, ["key"]).select("key", "hot", "v", "n", "label", (F.col("label") == F.col("first")).alias("main"))
+    rest = materialize(rest, "rest")
     if not rest.isEmpty():
-        more = materialize(across(rest, sets_of, plan), "links")
+        more = materialize(across(rest, hot, sets_of, plan), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
     least = vertices.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
@@ -255,11 +256,12 @@ def keep_one(df: DataFrame, plan: Plan) -> DataFrame:
     found = classes(df, plan)
     first = found.filter("label is not null").groupBy("label").agg(F.min_by(F.struct("doc_id", "tie"), F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("of")).select("of.*", F.lit(False).alias("blank"))
     blank = found.filter("label is null").select("doc_id", "tie", F.lit(True).alias("blank")).distinct()
-    kept = materialize(first.union(blank), "kept").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("blank").alias("__blank"))
-    tied = df.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    once = tied.join(kept, tied["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (tied["__hash"] == F.col("__tie")))
-    rank = F.row_number().over(Window.partitionBy("__id", "__tie").orderBy("__hash"))
-    return once.withColumn("__rank", rank).filter("__rank = 1 or __blank").select(*df.columns)
+    kept = materialize(first.union(blank), "kept")
+    row, field = row_of(df)
+    tied = df.select(row, df["doc_id"].cast("long").alias("id"), F.xxhash64(df["text"].cast("string")).alias("hash"))
+    once = tied.join(kept, tied["id"].eqNullSafe(kept["doc_id"]) & (tied["hash"] == kept["tie"])).select("row", "id", "hash", "blank")
+    rank = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
+    return once.withColumn("rank", rank).filter("rank = 1 or blank").select(*[F.col("row")[f].alias(c) for c, f in field.items()])
 
 
 #: The classes by brute force: all pairs that share a shingle, then everything each document reaches.

@@ -59,6 +59,7 @@ def corpus(rng, copies, chain):
 @pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 1 << 21), (3, 85, 300), (5, 80, 1 << 21)])
 def test_classes_are_those_of_all_pairs(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(minhash, "HOT_MEMBERS", 2 if block == 300 else 256)
     rows = corpus(random.Random(width), 60, 60)
     df = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows], SCHEMA)
     plan = minhash.Plan(width, percent)
@@ -81,6 +82,16 @@ def test_degenerate_tables(spark):
     assert sorted(str(r["text"]) for r in minhash.keep_one(df, plan).collect()) == ["None", "a b c", "q r s t"]
 
 
+def test_very_long_texts_and_clashing_names(spark):
+    """Texts of 200,000 words; the names that the operator uses inside are a user's here."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    texts = [" ".join(words), " ".join(words[:1000] + ["x"] + words[1000:]), " ".join(words[:100_000])]
+    df = spark.createDataFrame([(i, t, 5, 6, "h", 8) for i, t in enumerate(texts)], "doc_id long, text string, id int, rank int, hash string, blank int")
+    out = minhash.keep_one(df, minhash.Plan(5, 80)).collect()
+    assert sorted((r["doc_id"], r["id"], r["rank"], r["hash"], r["blank"]) for r in out) == [(0, 5, 6, "h", 8), (2, 5, 6, "h", 8)]
+
+
 def test_sequential_test_keeps_pairs_over_the_threshold():
     plan = minhash.Plan(3, 85)
     import numpy as np

@@ -85,11 +85,33 @@ def test_quality_statistics(spark):
             words[at:at] = phrase
         rows.append((10 + i, rng.choice([" ", "\n", "  "]).join(words)))
     rows.append((900, " ".join(phrase * 3000)))
-    got = {r["doc_id"]: r for r in quality.judge(docs(spark, rows), []).collect()}
+    judged, field = quality.judge(docs(spark, rows), [])
+    got = {r["row"][field["doc_id"]]: r for r in judged.collect()}
     for d, t in rows:
         r, want = got[d], brute_stats(t)
-        assert tuple(r[f"__{s}"] for s in quality.STATS) == want, d
-        assert r["__kept"] == (not r["__base_failed"]) == (want[0] >= 20 and 100 * want[4] <= 30 * want[0])
+        assert tuple(r[s] for s in quality.STATS) == want, d
+        assert r["kept"] == (not r["base_failed"]) == (want[0] >= 20 and 100 * want[4] <= 30 * want[0])
+
+
+@pytest.mark.parametrize("low", [3, 63])
+def test_statistics_of_texts_beyond_packed_positions(spark, monkeypatch, low):
+    monkeypatch.setattr(quality, "LOW", low)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c d e f g h i j"]) for _ in range(rng.randint(0, 60)))) for i in range(30)]
+    rows.append((99, "a b c d e f g h i " * 20_000 + " ".join(f"v{i}" for i in range(100_000))))
+    judged, field = quality.judge(docs(spark, rows), [])
+    got = {r["row"][field["doc_id"]]: tuple(r[s] for s in quality.STATS) for r in judged.collect()}
+    assert got == {d: brute_stats(t) for d, t in rows}
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    text = "\n".join(" ".join(f"w{i}{j}" for j in range(9)) for i in range(9))
+    df = spark.createDataFrame([(1, text, 1, "t", [3], 4), (2, text + "\nx", 5, "u", [7], 8)], "doc_id long, text string, at int, t string, lines array<int>, old int")
+    want = [(1, 1, "t", [3], 4), (2, 5, "u", [7], 8)]
+    for out in (lines.stage(df), quality.stage(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
+        assert out.columns == df.columns
+        assert sorted((r["doc_id"], r["at"], r["t"], r["lines"], r["old"]) for r in out.collect()) == want
+    assert {r["doc_id"]: r["text"] for r in lines.stage(df).collect()}[2] == "x"
 
 
 def test_quality_learns_an_ordered_list(spark):
