@@ -26,7 +26,7 @@ from .grams import GRAM, MATCH, SLICE_BYTES, SPAN, Grams, span_hashes
 from .suffixes import _ranges, suffix_arrays
 
 #: Bytes of text in a group of documents, for a shard of contexts and for a shard of anchors.
-GROUP_BYTES, SHARD_BYTES, CENSUS_BYTES = 4 << 20, 4 << 20, 16 << 20
+GROUP_BYTES, SHARD_BYTES, CENSUS_BYTES = 4 << 20, 2 << 20, 16 << 20
 #: Documents (255 a group at most count) that make an anchor a common one, whose contexts go in pieces.
 COMMON = 1024
 LEAST_ID = -(1 << 63)
@@ -39,15 +39,13 @@ WIDE = ((15, SPAN - 1), (0, 14))
 SORT_BYTES = 1 << 20
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """Index, place in the joined bytes and bytes of each text; of a long one parts, each match being in just one of them."""
+    at = 0
     for k, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_BYTES:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+        for lo in range(0, max(1, len(t) - MATCH + 1), SLICE_BYTES):
+            yield k, at + lo, t[lo : lo + SLICE_BYTES + MATCH - 1]
+        at += len(t)
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -96,23 +94,35 @@ def _classes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.nd
     return order, new
 
 
-def _grams(texts: list[bytes]) -> Iterator[tuple[int, Grams]]:
-    """Anchors of the texts, in slices: the first text of each and its grams."""
-    return ((lo, Grams(texts[lo:hi])) for lo, hi in slices(texts))
+#: Indexes of some pieces' texts, their places in the joined bytes, and their grams.
+Slice = tuple[np.ndarray, np.ndarray, Grams]
+
+
+def _grams(texts: list[bytes]) -> Iterator[Slice]:
+    """The grams of the texts, so many bytes at once."""
+    some, size = [], 0
+    for piece in _pieces(texts):
+        some.append(piece)
+        size += len(piece[2])
+        if size >= SLICE_BYTES:
+            yield np.array([k for k, _, _ in some]), np.array([at for _, at, _ in some]), Grams([t for _, _, t in some])
+            some, size = [], 0
+    if some:
+        yield np.array([k for k, _, _ in some]), np.array([at for _, at, _ in some]), Grams([t for _, _, t in some])
 
 
 class Contexts:
     """Contexts in the joined bytes of some texts: owner, begin, size, place of the anchor and its hash."""
 
-    def __init__(self, grams: Iterable[tuple[int, Grams]], wanted: Callable[[np.ndarray], np.ndarray]):
+    def __init__(self, grams: Iterable[Slice], wanted: Callable[[np.ndarray], np.ndarray]):
         """Of the anchors whose hashes are wanted."""
-        parts, at = [], 0
-        for lo, g in grams:
+        parts = []
+        for texts, places, g in grams:
             some = np.flatnonzero(wanted(g.hashes)) if len(g.hashes) else ()
             if len(some):
                 first, size = g.contexts(some)
-                parts.append((g.owners()[some] + lo, first + at, size, g.at[some] - first, g.hashes[some]))
-            at += len(g.raw)
+                piece = g.owners()[some]
+                parts.append((texts[piece], places[piece] + first - g.start[piece], size, g.at[some] - first, g.hashes[some]))
         self.owner, self.begin, self.size, self.offset, self.anchor = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (*[np.int64] * 4, np.uint64))
 
     def piece(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,12 +155,12 @@ def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _anchors(grams: Iterable[tuple[int, Grams]]) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(grams: Iterable[Slice]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all anchors in order, and in how many texts each is."""
     found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for lo, g in grams:
+    for texts, _, g in grams:
         found.append(g.hashes)
-        owner.append(g.owners() + lo)
+        owner.append(texts[g.owners()])
     h, owner = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
@@ -204,6 +214,7 @@ def ask(table: pa.Table, marks: pa.Table, shards: int) -> pa.Table:
     shared, common = have[told > 0], have[told > 1]
     known = lambda of, h: of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h if len(of) else np.zeros(len(h), bool)
     f = Contexts(grams, lambda h: known(shared, h))
+    del grams
     wide = known(common, f.anchor)
     whole = np.flatnonzero(~wide)
     parts = [(whole, f.begin[whole], f.size[whole], f.offset[whole], f.anchor[whole])]
@@ -373,11 +384,14 @@ def _covered(raw: np.ndarray, ids: np.ndarray, texts: list[bytes], answers: pa.T
     hit = ~given & (k >= 0)
     k, x = k[hit], order[hit]
     doc, m = ids[f.owner[of[x]]], count[k]
-    gone = least[_ranges(first[k], m)] < np.repeat(doc, m)
-    spots = _ranges(at[x], m)[gone]
-    np.add.at(change, spots, 1)
-    np.add.at(change, spots + MATCH, -1)
-    return np.cumsum(change[:-1]) > 0
+    edge = np.append(np.unique(np.cumsum(m) // SLICE_BYTES, return_index=True)[1], len(m)).tolist()
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):  # so many matches at once
+        part = slice(lo, hi)
+        gone = least[_ranges(first[k[part]], m[part])] < np.repeat(doc[part], m[part])
+        spots = _ranges(at[x[part]], m[part])[gone]
+        np.add.at(change, spots, 1)
+        np.add.at(change, spots + MATCH, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def remove(table: pa.Table, answers: pa.Table, whole: bool) -> pa.Table:
@@ -409,7 +423,7 @@ def cut(docs: DataFrame, whole: bool = False) -> DataFrame:
     Each byte goes that a MATCH-byte string covers which also starts in a document with a smaller doc_id, judged on the
     input. Null text counts as empty and shorter texts have no match. Rows of one doc_id don't cut each other; a null
     doc_id is smaller than all others. A character that a cut splits isn't part of the text that is left. A very long text
-    is a group by itself. Rows that repeat each get their result; an empty table has none.
+    is a group by itself and read in parts. Rows that repeat each get their result; an empty table has none.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     groups, shards, wards = (int(total // n + 1) for n in (GROUP_BYTES, SHARD_BYTES, CENSUS_BYTES))
