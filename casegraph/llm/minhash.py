@@ -21,7 +21,7 @@ from .common import MULT, by_key, materialize, mix, row_of, with_columns_as, wor
 from .components import components
 
 #: Texts are hashed so many characters at once; shingles of a block of a large bucket; buckets that count as hot at most.
-SLICE_CHARS, BLOCK_SHINGLES, HOT_KEYS = 1 << 20, 1 << 21, 10_000
+SLICE_CHARS, BLOCK_SHINGLES, HOT_KEYS = 1 << 20, 1 << 17, 10_000
 #: Vertices that make a bucket hot at least.
 HOT_MEMBERS = 256
 _FACTOR = mix(np.arange(1, 65, dtype=np.uint64) * MULT) | np.uint64(1)
@@ -173,12 +173,12 @@ def across(members: DataFrame, hot: DataFrame, sets_of, plan: Plan) -> DataFrame
     x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
     meet = x.join(y, "key").filter("x <= y and not (x.main and y.main) and abs(x.size - y.size) <= 1").select("key", F.struct("x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     groups = placed.join(meet, ["key", "block"]).withColumn("right", F.col("block") == F.col("pair.y"))
-    groups = groups.withColumn("left", F.col("block") == F.col("pair.x")).join(sets_of(members.select("v").distinct()), "v")
+    groups = groups.withColumn("left", F.col("block") == F.col("pair.x")).join(sets_of(members.select("v").distinct(), signed=True), "v")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "v"], kind="stable").reset_index(drop=True)
         full = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        sig = np.stack([plan.signature(s) for s in full])
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
         n, left, right = (rows[c].to_numpy() for c in ("n", "left", "right"))
         home = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
         out = []
@@ -193,7 +193,7 @@ def across(members: DataFrame, hot: DataFrame, sets_of, plan: Plan) -> DataFrame
         return pd.DataFrame(out, columns=["a", "b"])
 
     names = F.struct("key", "pair")
-    return groups.select(names.alias("group"), "v", "n", "label", "left", "right", "shingles").groupBy("group").applyInPandas(link, "a binary, b binary")
+    return groups.select(names.alias("group"), "v", "n", "label", "left", "right", "shingles", "sig").groupBy("group").applyInPandas(link, "a binary, b binary")
 
 
 def classes(df: DataFrame, plan: Plan) -> DataFrame:
@@ -212,8 +212,8 @@ def classes(df: DataFrame, plan: Plan) -> DataFrame:
     flagged = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     members = materialize(by_key(flagged, buckets, hot, ["key"]), "members")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(v, shingles) of the wanted vertices, from one document of each."""
+    def sets_of(wanted: DataFrame, signed: bool = False) -> DataFrame:
+        """(v, shingles) of the wanted vertices, from one document of each; signed: with their signatures, taken once."""
         ids = vertices.join(wanted, "v", "left_semi").select("v", "of.doc_id", "of.tie")
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +221,11 @@ def classes(df: DataFrame, plan: Plan) -> DataFrame:
                 texts, found = b.column("text").to_pylist(), []
                 for lo, hi in runs(texts):
                     found += [s.tobytes() for s in plan.sets(texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(found, pa.binary())], ["v", "shingles"])
+                more = [pa.array([plan.signature(np.frombuffer(s, np.uint64)).tobytes() for s in found], pa.binary())] if signed else []
+                yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(found, pa.binary()), *more], ["v", "shingles", "sig"][: 2 + signed])
 
         same = docs["doc_id"].eqNullSafe(ids["doc_id"]) & (docs["tie"] == ids["tie"])
-        return materialize(docs.join(ids, same).select("v", "text").dropDuplicates(["v"]).mapInArrow(run, "v binary, shingles binary"), "sets")
+        return materialize(docs.join(ids, same).select("v", "text").dropDuplicates(["v"]).mapInArrow(run, "v binary, shingles binary" + (", sig binary" if signed else "")), "sets")
 
     stars = members.filter("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()
     links = materialize(verified(stars, vertices, sets_of, plan), "links")
