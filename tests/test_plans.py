@@ -96,7 +96,7 @@ def test_short_texts_have_hashes(spark, tmp_path):
 
 def test_scored_links_raise_alerts(spark, small):
     """Orders 3 and 4 share only a part; every order brings ip_atribuible, even ones are archived."""
-    rows = plans.alerts_whole(spark, small).select("archived", "trigger", "score").union(plans.alerts_silenced_whole(spark, small).selectExpr("archived", "trigger", "null")).collect()
+    rows = plans.alerts(spark, small).select("archived", "trigger", "score").union(plans.alerts_silenced(spark, small).selectExpr("archived", "trigger", "null")).collect()
     want = {(x, y) for a, b in brute_links(ORDERS) for x, y in ((a, b), (b, a)) if x % 2 == 0}
     assert {(r["archived"], r["trigger"]) for r in rows} == want and len(rows) == len(want) and (4, 3) in want
 
