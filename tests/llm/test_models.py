@@ -1,8 +1,11 @@
 """Language and toxicity models: accuracy on documents they weren't fitted on, and degenerate tables."""
 
 import random
+import re
 import zlib
 
+import numpy as np
+
 from casegraph.llm import language, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, score double, y0 int"
@@ -61,3 +64,40 @@ def test_toxicity(spark):
     assert all(0 <= r["p_toxic"] <= 1 for r in got)
     assert [r["toxic"] for r in toxicity.result(df.limit(3), marks.limit(0)).collect()] == [False] * 3
     assert toxicity.result(df.limit(0), marks).count() == 0
+
+
+def grams(text):
+    """All runs of one to three characters, what is no letter being one blank."""
+    t = re.sub(r"[\W\d_]+", " ", text.lower()).lstrip() + " "
+    t = t.replace("  ", " ")
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_language_is_kernel_ridge_regression(spark):
+    """With every row a landmark, margins are those of an explicit kernel, solved in its dual."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(2, 6))), lang) for i, lang in enumerate(["aa"] * 20 + ["bb"] * 30 + ["cc"] * 10)]
+    names, weights = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=600)
+    sets = [grams(t) for _, t, _ in rows]
+    kernel = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    at = np.array([names.index(lang) for _, _, lang in rows])
+    weight, ridge, n = (1 / np.bincount(at))[at] / 3, 1e-3 / 3, len(rows)
+    target = np.where(at[:, None] == np.arange(3), 1.0, -1.0)
+    left = np.block([[weight[:, None] * kernel + ridge * np.eye(n), weight[:, None]], [weight[None] @ kernel, weight.sum()[None, None]]])
+    dual = np.linalg.solve(left, np.concatenate([weight[:, None] * target, weight[None] @ target]))
+    want = kernel @ dual[:-1] + dual[-1]
+    got = language.normalised(language.presences([t for _, t, _ in rows])[0]) @ weights[:-1] + weights[-1]
+    assert names == ["aa", "bb", "cc"] and np.abs(got - want).max() < 0.05 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_toxicity_models_are_ridge_regressions():
+    """Balanced weights and the solution by normal equations; its calibration has no better slope nearby."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 12)) < 0.3).astype(np.float32)
+    y = x[:, 0] + x[:, 1] + rng.random(300) > 1.3
+    w, b = toxicity.linear(x, y)
+    margin = x @ w + b
+    assert ((margin > 0) == y).mean() > 0.85
+    loss = lambda a, c: -np.where(y, np.log(toxicity.sigmoid(a * margin + c)), np.log1p(-toxicity.sigmoid(a * margin + c))).sum() + 5e-3 * a * a
+    a, c = toxicity.calibrate(margin, y.astype(float))
+    assert all(loss(a, c) <= loss(a + d, c + e) + 1e-6 for d in (-0.05, 0, 0.05) for e in (-0.05, 0, 0.05))
