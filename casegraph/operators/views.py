@@ -138,6 +138,16 @@ def focus(reached: DataFrame, node: str, edges: DataFrame) -> tuple[DataFrame, D
     return sids, edges.filter((F.col("src") == node) | (F.col("dst") == node))
 
 
+def viewer(run: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What a viewer shows: nodes with their reports and the node they are shown as, edges, evidence of links, lists."""
+    reached = reports_of(run["nodes"], run["edges"])
+    of = reached.groupBy("node_id").agg(F.array_sort(F.collect_set("sid")).alias("reports"))
+    same = run["edges"].filter("relation = 'IDENTIFICADO_COMO'").select(F.col("src").alias("node_id"), F.col("dst").alias("identity"))
+    nodes = run["nodes"].join(of, "node_id", "left").join(same, "node_id", "left").withColumn("shown", F.coalesce("identity", "node_id")).drop("identity")
+    linked = run["links"].select("a", "b")
+    return {"nodes": nodes, "edges": run["edges"], "evidence": link_evidence(run["firings"].join(linked, ["a", "b"], "left_semi"), run["edges"]), "membership": in_case(reached, run["members"])} | {k: run[k] for k in ("links", "discarded", "alerts", "cases", "candidates", "coverage")}
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """Different neighbours of each node by relation."""
     both = edges.select(F.col("src").alias("node_id"), "relation", F.col("dst").alias("other")).union(edges.select("dst", "relation", "src"))

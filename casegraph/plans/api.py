@@ -72,7 +72,11 @@ def unify(run: dict[str, DataFrame], ledger: str, a: str, b: str, user: str, not
     return decide(run, ledger, row["arista_id"], "validada", user, note)
 
 
-def audit(spark: SparkSession, *ledgers: str) -> DataFrame:
+def existing(*paths: str) -> list[str]:
+    return [p for p in paths if Path(p).exists()]
+
+
+def audit(spark: SparkSession, *ledgers: str) -> DataFrame | None:
     """Broken records of ledgers, by path."""
     out = None
     for path in ledgers:

@@ -6,9 +6,9 @@ import xml.etree.ElementTree as ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from casegraph import sinks
+from casegraph import cli, sinks
 from casegraph.operators import dossier, review, views
-from casegraph.plans import api
+from casegraph.plans import api, docs
 from casegraph.plans.build import build
 from casegraph.sources import redact
 from casegraph.sources import reports as source
@@ -196,6 +196,24 @@ def test_views(run, reviewed):
     assert views.neighbours(run["edges"]).filter("node_id = 'CUENTA::plaza/u1' and relation = 'USA_CUENTA'").first()["neighbours"] == 3
 
 
+def test_viewer_and_commands(spark, base, reviewed, capsys):
+    shown = views.viewer(reviewed)
+    identity = reviewed["unified"].first()["identity"]
+    assert {r["shown"] for r in shown["nodes"].filter("node_id in ('PERSONA_MENCION::a1/p1', 'PERSONA_MENCION::a2/p2')").collect()} == {f"IDENTIDAD::{identity}"}
+    assert shown["nodes"].filter("node_id = 'CUENTA::plaza/u1'").first()["reports"] == ["A1", "A2", "A3"] and shown["evidence"].filter("a = 'B2' and b = 'B3'").count() == 2
+    where = ["--reports", str(base / "reports"), "--state", str(base / "state")]
+    assert cli.main([*where, "audit"], spark) == 0 and "secuencia" in capsys.readouterr().out
+    assert cli.parser().parse_args([*where, "link", "B1", "D1", "--user", "eva"]).command == "link"
+
+
+def test_vocabulary_tables(tmp_path):
+    path = tmp_path / "doc.md"
+    path.write_text("# x\n\n" + docs.tables())
+    assert not docs.stale(str(path)) and "| R06_IP_VENTANA | IP | 0.72 | no | sí |" in docs.tables()
+    path.write_text("# x")
+    assert docs.stale(str(path))
+
+
 def test_dossier(spark, run, reviewed):
     whole = dossier.build(reviewed)
     small = dossier.trim(whole, spark.createDataFrame([("B3",)], "sid string"))
