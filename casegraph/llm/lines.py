@@ -17,7 +17,7 @@ def _hashes(lines: str) -> Column:
 
 
 def dedup_lines(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """A row of df (a struct), n_lines, n_removed and text (without removed lines) each, and the struct's fields.
+    """A row of df (a struct of all but its text), n_lines, n_removed and text (without removed lines) each, and the fields.
 
     Lines end at ``\\n``. A window is three consecutive lines of a document, one of them with a word. Of equal windows
     the first in order of doc_id, then hash of the text, then position stays; the lines of every later one go, also where
@@ -37,7 +37,7 @@ def dedup_lines(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     first = spots.groupBy("p", "q").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("p", "q", "first")
     later = spots.join(first, ["p", "q"]).filter(place > F.col("first"))
     starts = later.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    row, field = row_of(df)
+    row, field = row_of(df, ("text",))
     base = df.select(row, df["doc_id"].cast("long").alias("id"), F.xxhash64(df["text"].cast("string")).alias("hash"), df["text"].cast("string").alias("old"))
     both = base.join(starts, base["id"].eqNullSafe(starts["doc"]) & (base["hash"] == starts["tie"]), "left")
     lines = F.split("old", "\n", -1)
@@ -63,9 +63,9 @@ def stage(df: DataFrame) -> DataFrame:
     """df with its texts and n_chars after line dedup; a document goes if lines were removed and no word is left."""
     out, field = dedup_lines(df)
     out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     old = lambda c: F.col("row")[field[c]]
-    return out.select(*[(F.when(F.col("n_removed") > 0, new[c]).otherwise(old(c)) if c in new else old(c)).alias(c) for c in df.columns])
+    length = lambda c: F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(old(c))
+    return out.select(*[(F.col("text") if c == "text" else length(c) if c == "n_chars" else old(c)).alias(c) for c in df.columns])
 
 
 SQL = r"""
