@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, lines, minhash, packing, quality, substrings, toxicity, urls
+from . import bpe, filters, fingerprint, jaccard, language, layout, lines, minhash, packing, quality, substrings, toxicity, urls
 from .common import table
 
 #: The vocabulary that queries use; operators take the path as a parameter.
@@ -59,6 +59,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline; its module is at the repository's top."""
     from corpus_pipeline import run
@@ -67,8 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_language, op4_packing, op5_minhash, op6_substrings, op7_lines, op8_quality, op9_urls, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_bpe, op3_language, op4_packing, op5_minhash, op6_substrings, op7_lines, op8_quality, op9_urls, op10_toxicity, op11_filter_audit, op12_layout, op13_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash": minhash.SQL, "op7_lines": lines.SQL}
+    return {"op5_minhash": minhash.SQL, "op7_lines": lines.SQL, "op11_filter_audit": filters.SQL, "op12_layout": layout.SQL, "op13_jaccard_join": jaccard.SQL}
