@@ -103,7 +103,7 @@ def answers(cells: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
         # Few nodes meet all queries, so a level with few nodes is dealt by hashes of queries too.
         salts = max(1, SPREAD // ((files - 1 >> FAN_BITS * k) + 1))
         nodes = levels[k].withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = front.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(salts)).cast("int")).join(nodes, ["node", "salt"]).filter(meets).withColumn("within", within)
+        met = front.withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(salts)).cast("int")).join(nodes.hint("merge"), ["node", "salt"]).filter(meets).withColumn("within", within)
         if k:
             met = materialize(met.select("q", "node", "files", "within"), "met")
             front = met.filter("not within").select("q", F.explode(F.sequence(F.shiftleft("node", FAN_BITS), F.shiftleft("node", FAN_BITS) + (1 << FAN_BITS) - 1)).alias("node")).filter(F.col("node") <= files - 1 >> FAN_BITS * (k - 1))
@@ -131,8 +131,9 @@ def layout(df: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     told, bounds = answers(cells, max(1, -(-n // file_rows)))
     text = F.concat_ws(",", *[F.col(f"{e}{d}").cast("string") for d in range(len(DIMS)) for e in ("lo", "hi")])
     # Facts of a cell of a file first (a file has file_rows cells at most), so that rows are dealt once and evenly.
-    facts = cells.select("file", "z").join(told, "z").join(bounds.select(F.col("node").alias("file"), text.alias("file_bounds")), "file")
-    return placed.join(facts, ["file", "z"]).select("doc_id", "z", "position", "file", F.col("touched").alias("files_touched"), F.col("matching").alias("files_matching"), "file_bounds")
+    # Tables that grow with the rows are merged, not broadcast, however small they are.
+    facts = cells.select("file", "z").join(told.hint("merge"), "z").join(bounds.select(F.col("node").alias("file"), text.alias("file_bounds")).hint("merge"), "file")
+    return placed.join(facts.hint("merge"), ["file", "z"]).select("doc_id", "z", "position", "file", F.col("touched").alias("files_touched"), F.col("matching").alias("files_matching"), "file_bounds")
 
 
 SQL = r"""
