@@ -172,46 +172,88 @@ def decided(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 def within_leaves(members: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b) of different components in trees of one leaf whose bound reaches the threshold, many trees to a task."""
-    tasks = max(1, members.count() // TASK_POINTS)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], kind="stable").reset_index(drop=True)
         key, n, ids, label = (rows[c].to_numpy() for c in ("key", "n", "id", "label"))
         points = [np.frombuffer(p, np.uint32) for p in rows["point"]]
-        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] - 1))
         out = set()
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        for lo, hi in stretches(key):
             for i in range(lo + 1, hi):
                 for k in np.flatnonzero((100 * n[lo:i] >= join.percent * n[i]) & (label[lo:i] != label[i])).tolist():
-                    if join.reaches(most_shared(points[lo + k], points[i]), int(n[lo + k] + n[i])):
-                        out.add((min(ids[lo + k], ids[i]), max(ids[lo + k], ids[i])))
+                    if (pair := (min(ids[lo + k], ids[i]), max(ids[lo + k], ids[i]))) not in out and join.reaches(most_shared(points[lo + k], points[i]), int(n[lo + k] + n[i])):
+                        out.add(pair)
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
 
-    dealt = members.select("key", "id", "n", "label", "point").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    return dealt(members.select("key", "id", "n", "label", "point"), "key").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with a task: all of one key together, TASK_POINTS rows or so to a task."""
+    tasks = max(1, rows.count() // TASK_POINTS)
+    return rows.withColumn("task", F.pmod(F.xxhash64(*keys), F.lit(tasks)))
+
+
+def stretches(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last row of each run of equal values of sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    edge = [*np.flatnonzero(new).tolist(), len(new)]
+    yield from zip(edge[:-1], edge[1:], strict=True)
+
+
+class Facing:
+    """Points of a pair of leaves, ascending by size, and for each one those before it that it may link with."""
+
+    def __init__(self, rows: pd.DataFrame, join: Join):
+        self.join, self.points = join, [np.frombuffer(p, np.uint32) for p in rows["point"]]
+        self.n, self.left, self.right = (rows[c].to_numpy() for c in ("n", "left", "right"))
+        self.home = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        g = min(map(len, self.points))
+        self.counts = np.array([folded(p, g) for p in self.points])
+
+    def before(self, i: int) -> list[int]:
+        """Those of other components whose counts, folded to the coarsest point's groups, can reach the threshold."""
+        n, home, join = self.n, self.home, self.join
+        lo = int(np.searchsorted(100 * n[:i], join.percent * n[i]))
+        other = np.flatnonzero((home[lo:i] != home[i]) & ((self.left[lo:i] & self.right[i]) | (self.right[lo:i] & self.left[i]))) + lo
+        if not len(other):
+            return []
+        shared = np.minimum(self.counts[other], self.counts[i]).sum(axis=1)
+        return other[(100 + join.percent) * shared >= join.percent * (n[other] + n[i])].tolist()
+
+    def may_link(self, i: int, k: int) -> bool:
+        return self.home[i] != self.home[k] and self.join.reaches(most_shared(self.points[i], self.points[k]), int(self.n[i] + self.n[k]))
 
 
 def across(members: DataFrame, sets_of, join: Join) -> DataFrame:  # noqa: ANN001
     """Links between the components that still meet in a tree; members: key, id, n, label, main (of the leader's component), point.
 
-    A tree's points fall into leaves by size and hash, each of bounded tokens, which hold an upper corner and their least
-    size; the component of the leader has leaves of its own, which don't meet each other. Pairs of leaves whose corners can
-    reach the threshold are a task's groups; a task compares points before sets and skips what is connected already.
+    A tree's points fall into leaves by size and hash, each of bounded tokens, which hold an upper corner and their sizes;
+    the component of the leader has leaves of its own, which don't meet each other. Pairs of leaves whose corners can reach
+    the threshold face each other point by point; a pair of points counts in the first tree that both are in. Sets are sent
+    only for points with such a partner, and a task skips what it has connected already.
     """
     step = float(np.log(100 / join.percent)) * (1 + 1e-9)  # a little more than linked sizes differ by
-    sized = members.withColumn("size", F.floor(F.log("n") / step).cast("int"))
-    parts = sized.groupBy("key", "main", "size").agg(F.ceil(F.sum("n") / LEAF_TOKENS).cast("int").alias("parts"))
-    leaf = F.struct("main", "size", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    sized = members.withColumn("size", F.floor(F.log("n") / step).cast("long"))
+    parts = sized.groupBy("key", "main", "size").agg(F.ceil(F.sum("n") / LEAF_TOKENS).cast("long").alias("parts"))
+    leaf = F.shiftleft("size", 33) + 2 * F.pmod(F.xxhash64("id"), F.col("parts")) + F.col("main").cast("long")
     placed = materialize(sized.join(parts, ["key", "main", "size"]).select("key", "id", "n", "label", "point", leaf.alias("leaf")), "leaves")
 
-    def corner(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points = [np.frombuffer(p, np.uint32) for p in rows["point"]]
-        g = min(map(len, points))
-        top = np.max([folded(p, g) for p in points], axis=0)
-        return pd.DataFrame({"key": [key[0]], "leaf": [key[1]], "least": [int(rows["n"].min())], "most": [int(rows["n"].max())], "corner": [top.astype(np.uint32).tobytes()]})
+    def corner(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "leaf"], kind="stable").reset_index(drop=True)
+        key, name, n, out = rows["key"].to_numpy(), rows["leaf"].to_numpy(), rows["n"].to_numpy(), []
+        for lo, hi in stretches(key, name):
+            points = [np.frombuffer(p, np.uint32) for p in rows["point"][lo:hi]]
+            g = min(map(len, points))
+            top = np.max([folded(p, g) for p in points], axis=0).astype(np.uint32)
+            out.append((key[lo], name[lo], n[lo:hi].min(), n[lo:hi].max(), top.tobytes()))
+        return pd.DataFrame(out, columns=["key", "leaf", "least", "most", "corner"])
 
-    kind = "struct<main:boolean,size:int,part:int>"
-    corners = materialize(placed.select("key", "leaf", "n", "point").groupBy("key", "leaf").applyInPandas(corner, f"key long, leaf {kind}, least long, most long, corner binary"), "corners")
+    corners = dealt(placed.select("key", "leaf", "n", "point"), "key", "leaf").groupBy("task").applyInPandas(corner, "key long, leaf long, least long, most long, corner binary")
+    corners = materialize(corners, "corners")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,33 +264,42 @@ def across(members: DataFrame, sets_of, join: Join) -> DataFrame:  # noqa: ANN00
             yield b.take(pa.array(keep, pa.int64())).select(["key", "x", "y"])
 
     side = lambda c: corners.select("key", F.col("leaf").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("least", "most", "corner")])
-    both = side("x").join(side("y"), "key").filter("x <= y and not (x.main and y.main) and abs(x.size - y.size) <= 1")
-    met = materialize(both.mapInArrow(meet, f"key long, x {kind}, y {kind}"), "meet")
-    ends = met.select("key", F.struct("x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf"))
-    groups = placed.join(ends, ["key", "leaf"]).select(F.struct("key", "pair").alias("group"), "id", "n", "label", "point", (F.col("leaf") == F.col("pair.x")).alias("left"), (F.col("leaf") == F.col("pair.y")).alias("right"))
-    groups = groups.join(sets_of(members.select("id").distinct()), "id")
+    both = side("x").join(side("y"), "key").filter("x <= y and not (x % 2 = 1 and y % 2 = 1) and shiftright(y, 33) - shiftright(x, 33) <= 1")
+    met = materialize(both.mapInArrow(meet, "key long, x long, y long"), "meet")
+    trees = members.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # of its prefix
+    ends = met.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf"))
+    facing = placed.join(ends, ["key", "leaf"]).join(trees, "id").select("key", "x", "y", "id", "n", "label", "point", "keys", (F.col("leaf") == F.col("x")).alias("left"), (F.col("leaf") == F.col("y")).alias("right"))
+    facing = materialize(facing, "facing")
+
+    def partners(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "x", "y", "n", "id"], kind="stable").reset_index(drop=True)
+        key, x, y, ids, keys = (rows[c].to_numpy() for c in ("key", "x", "y", "id", "keys"))
+        out = []
+        for lo, hi in stretches(key, x, y):
+            pair, some = Facing(rows[lo:hi], join), set()
+            earlier = [frozenset(k[: np.searchsorted(k, key[lo])].tolist()) for k in keys[lo:hi]]
+            for i in range(1, hi - lo):
+                for k in pair.before(i):
+                    if not (i in some and k in some) and earlier[i].isdisjoint(earlier[k]) and pair.may_link(i, k):
+                        some |= {i, k}
+            out += [lo + k for k in sorted(some)]
+        return pd.DataFrame({"key": key[out], "x": x[out], "y": y[out], "id": ids[out]})
+
+    asked = dealt(facing, "key", "x", "y").groupBy("task").applyInPandas(partners, "key long, x long, y long, id long")
+    asked = materialize(asked, "asked")
+    groups = asked.join(facing.drop("keys"), ["key", "x", "y", "id"]).join(sets_of(asked.select("id").distinct()), "id")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
-        points = [np.frombuffer(p, np.uint32) for p in rows["point"]]
-        g = min(map(len, points))
-        counts = np.array([folded(p, g) for p in points])
-        n, ids, left, right = (rows[c].to_numpy() for c in ("n", "id", "left", "right"))
-        home = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
-        out = []
-        for i in range(len(rows)):
-            lo = int(np.searchsorted(100 * n[:i], join.percent * n[i]))
-            other = np.flatnonzero((home[lo:i] != home[i]) & ((left[lo:i] & right[i]) | (right[lo:i] & left[i]))) + lo
-            if not len(other):
-                continue
-            shared = np.minimum(counts[other], counts[i]).sum(axis=1)
-            for k in other[(100 + join.percent) * shared >= join.percent * (n[other] + n[i])].tolist():
-                if home[i] != home[k] and join.reaches(most_shared(points[i], points[k]), n[i] + n[k]) and join.plan.linked(np.frombuffer(rows["tokens"][i], np.uint64), np.frombuffer(rows["tokens"][k], np.uint64)):
-                    home[home == home[i]] = home[k]
+        pair, ids, sets, out = Facing(rows, join), rows["id"].to_numpy(), rows["tokens"], []
+        for i in range(1, len(rows)):
+            for k in pair.before(i):
+                if join.plan.linked(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[k], np.uint64)):
+                    pair.home[pair.home == pair.home[i]] = pair.home[k]
                     out.append((ids[i], ids[k]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return groups.groupBy("group").applyInPandas(link, "a long, b long")
+    return groups.groupBy("key", "x", "y").applyInPandas(link, "a long, b long")
 
 
 def jaccard_join(df: DataFrame, join: Join | None = None) -> DataFrame:
