@@ -22,6 +22,11 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def given(value: Column) -> Column:
+    """Whether a JSON value, as text, says something: there, not empty, not false, not zero."""
+    return F.coalesce(~value.cast("string").isin("", "false", "0", "0.0"), F.lit(False))
+
+
 def node_id(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit("::"), F.lower(strip(value)))
 

@@ -40,18 +40,64 @@ def projection(scored: DataFrame, manual: DataFrame) -> DataFrame:
     return best.select("a", "b", "m.weight", "m.manual")
 
 
-def cases(labels: DataFrame, links: DataFrame) -> DataFrame:
+class Implied:
+    """Links that stand for all pairs of classes of vertices: blocks (x, y, score; x <= y) and members (class, v).
+
+    A block is every pair of one member of x and another of y. known (a < b) are pairs with a row of their own, be it a link or
+    not; inside (a, b, x, y, score) are those of them that a block has too, so that none counts twice. All tables grow with
+    members and blocks, none with pairs.
+    """
+
+    def __init__(self, blocks: DataFrame, members: DataFrame, known: DataFrame):
+        self.members = members
+        sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+        n = lambda c: sizes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"))
+        self.blocks = saved(blocks.filter(F.col("score") >= vocab.CLUSTER).join(n("x"), "x").join(n("y"), "y").select("x", "y", "score", "n_x", "n_y"))
+        one = self.blocks.select("x", "y", "score", "n_y")
+        self.both = one.union(self.blocks.filter("x <> y").select("y", "x", "score", "n_x"))  # x, y in both orders, with the size of y
+        end = lambda v, c: members.select(F.col("v").alias(v), F.col("class").alias(c))
+        met = known.select("a", "b").distinct().join(end("a", "x"), "a").join(end("b", "y"), "b")
+        self.inside = saved(met.withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")}).join(self.blocks.select("x", "y", "score"), ["x", "y"]).select("a", "b", "x", "y", "score"))
+
+    def certificate(self) -> DataFrame:
+        """Links (a, b, weight) with the same components and bridges: members of a class with two members of the other.
+
+        A vertex alone in its class keeps all of its links, larger classes stay connected without any one link.
+        """
+        first = self.members.groupBy("class").agg(F.min("v").alias("rep"))
+        second = self.members.join(first, "class").filter("v <> rep").groupBy("class").agg(F.min("v").alias("rep"))
+        some = self.both.join(self.members.select(F.col("class").alias("x"), "v"), "x").join(first.union(second).withColumnRenamed("class", "y"), "y").filter("v <> rep")
+        ends = some.select(F.least("v", "rep").alias("a"), F.greatest("v", "rep").alias("b"), F.col("score").alias("weight")).distinct()
+        return ends.join(self.inside.select("a", "b"), ["a", "b"], "left_anti")
+
+    def summary(self) -> DataFrame:
+        """a (a member of the block), weight and links of each block, known pairs left out."""
+        apart = self.inside.groupBy("x", "y").agg(F.count("*").alias("known"))
+        first = self.members.groupBy(F.col("class").alias("x")).agg(F.min("v").alias("a"))
+        count = F.expr("if(x = y, n_x * (n_x - 1) div 2, n_x * n_y)") - F.coalesce("known", F.lit(0).cast("long"))
+        return self.blocks.join(apart, ["x", "y"], "left").withColumn("links", count).filter("links > 0").join(first, "x").select("a", F.col("score").alias("weight"), "links")
+
+    def pairs_of(self, asked: DataFrame) -> DataFrame:
+        """The implied links (a, b, weight) of the asked vertices (v), on demand."""
+        mine = self.members.join(asked.select("v").distinct(), "v").select(F.col("class").alias("x"), "v")
+        met = mine.join(self.both, "x").join(self.members.select(F.col("class").alias("y"), F.col("v").alias("w")), "y").filter("v <> w")
+        return met.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"), F.col("score").alias("weight")).distinct().join(self.inside.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def cases(labels: DataFrame, links: DataFrame, implied: Implied | None = None) -> DataFrame:
     """Components of two and more: reports, links, least and greatest weight."""
-    of = links.join(labels, links["a"] == labels["v"]).groupBy("label").agg(F.count("*").alias("links"), F.round(F.min("weight"), 3).alias("min_weight"), F.round(F.max("weight"), 3).alias("max_weight"))
+    rows = links.select("a", "weight", F.lit(1).cast("long").alias("links"))
+    rows = rows if implied is None else rows.unionByName(implied.summary())
+    of = rows.join(labels, rows["a"] == labels["v"]).groupBy("label").agg(F.sum("links").alias("links"), F.round(F.min("weight"), 3).alias("min_weight"), F.round(F.max("weight"), 3).alias("max_weight"))
     return labels.groupBy("label").agg(F.count("*").alias("reports")).join(of, "label").select(F.col("label").alias("first_report"), "reports", "links", "min_weight", "max_weight")
 
 
-def all_cases(labels: DataFrame, links: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+def all_cases(labels: DataFrame, links: DataFrame, reports: DataFrame, implied: Implied | None = None) -> tuple[DataFrame, DataFrame]:
     """Cases with their names in order (most reports, then first report), and (case, sid) of every report.
 
     Components are L001, L002, ... by size; a report without links is a case R<id> by itself. reports: sid.
     """
-    grouped = numbered(cases(labels, links), F.desc("reports"), "first_report", name="no")
+    grouped = numbered(cases(labels, links, implied), F.desc("reports"), "first_report", name="no")
     named = saved(grouped.select(F.concat(F.lit("L"), F.lpad(F.col("no").cast("string"), F.greatest(F.lit(3), F.length(F.col("no").cast("string"))), F.lit("0"))).alias("case"), "first_report", "reports", "links", "min_weight", "max_weight"))
     member = labels.join(named.select("case", F.col("first_report").alias("label")), "label").select("case", F.col("v").alias("sid"))
     alone = reports.select("sid").join(labels.select(F.col("v").alias("sid")), "sid", "left_anti")
@@ -60,27 +106,42 @@ def all_cases(labels: DataFrame, links: DataFrame, reports: DataFrame) -> tuple[
     return named.union(single).orderBy(F.desc("reports"), "first_report"), member.union(alone.select(name, "sid"))
 
 
-def degree(links: DataFrame, n: int, vertices: DataFrame | None = None) -> DataFrame:
+def degree(links: DataFrame, n: int, vertices: DataFrame | None = None, implied: Implied | None = None) -> DataFrame:
     """Neighbours over n - 1 (one if n is at most one); of vertices (v) too that have none."""
     near = _both(links).groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree"))
+    if implied is not None:
+        of = implied.both.groupBy(F.col("x").alias("class")).agg(F.sum(F.col("n_y") - (F.col("x") == F.col("y")).cast("long")).alias("degree"))
+        more = implied.members.join(of, "class").select("v", "degree")
+        less = implied.inside.select(F.explode(F.array("a", "b")).alias("v"), F.lit(-1).cast("long").alias("degree"))
+        near = near.unionByName(more).unionByName(less).groupBy("v").agg(F.sum("degree").alias("degree")).filter("degree > 0")
     if vertices is not None:
         near = vertices.select("v").join(near, "v", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
     return near.withColumn("centrality", F.round(F.col("degree") / F.lit(n - 1), 6) if n > 1 else F.lit(1.0))
 
 
-def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, implied: Implied | None = None) -> DataFrame:
     """Weighted PageRank by power iteration over the vertices of links and the given ones (v).
 
     A vertex without links passes its rank to all alike; such vertices all have one rank, which the driver keeps. Ends when
     a round moves less than ``tolerance`` of all rank, whatever the number of vertices. A round moves at most
-    2 * damping ** k, so the default tolerance is met within 90 of the 100 rounds.
+    2 * damping ** k, so the default tolerance is met within 90 of the 100 rounds. Implied links pass rank by class: what
+    the members of x give, times the block's score, is what each member of y gets; a negative weight takes back what a
+    block gives a pair of its own row, or a vertex itself.
     """
     spark = links.sparkSession
     both = links.select("a", "b", "weight").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    total = Window.partitionBy("a")
-    edges = saved(both.withColumn("share", F.col("weight") / F.sum("weight").over(total)).select("a", "b", "share"))
-    linked = edges.select(F.col("a").alias("v")).distinct()
     kind = links.schema["a"].dataType.simpleString()
+    given_by = both.select(F.col("a").alias("v"), "weight")
+    if implied is not None:
+        back = implied.inside.select("a", "b", (-F.col("score")).alias("weight"))
+        own = implied.members.join(implied.blocks.filter("x = y").select(F.col("x").alias("class"), "score"), "class").select(F.col("v").alias("a"), F.col("v").alias("b"), (-F.col("score")).alias("weight"))
+        back = back.union(back.select("b", "a", "weight")).union(own)
+        mass = implied.both.groupBy(F.col("x").alias("class")).agg(F.sum(F.col("score") * F.col("n_y")).alias("weight"))
+        given_by = given_by.union(back.select("a", "weight")).union(implied.members.join(mass, "class").select("v", "weight"))
+        both = both.unionByName(back)
+    edges = saved(both)
+    # Differences of weights that cancel leave rounding only.
+    linked = saved(given_by.groupBy("v").agg(F.sum("weight").alias("total")).filter("total > 1e-9"))
     alone = saved(vertices.select("v").join(linked, "v", "left_anti")) if vertices is not None else spark.createDataFrame([], f"v {kind}")
     lonely = alone.count()
     n = linked.count() + lonely
@@ -89,13 +150,19 @@ def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float
     rank, single = linked.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
     for _ in range(rounds):
         given = (1 - damping) / n + damping * lonely * single / n
-        flow = edges.join(rank.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.sum(F.col("share") * F.col("rank")).alias("flow"))
-        new = saved(rank.join(flow, "v", "left").select("v", (F.lit(given) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
+        part = rank.select(F.col("v").alias("a"), (F.col("rank") / F.col("total")).alias("part"))
+        flow = edges.join(part, "a").select(F.col("b").alias("v"), (F.col("weight") * F.col("part")).alias("flow"))
+        if implied is not None:
+            sent = implied.members.join(part.withColumnRenamed("a", "v"), "v").groupBy(F.col("class").alias("x")).agg(F.sum("part").alias("part"))
+            got = implied.both.join(sent, "x").groupBy(F.col("y").alias("class")).agg(F.sum(F.col("score") * F.col("part")).alias("flow"))
+            flow = flow.unionByName(implied.members.join(got, "class").select("v", "flow"))
+        flow = flow.groupBy("v").agg(F.sum("flow").alias("flow"))
+        new = saved(rank.join(flow, "v", "left").select("v", "total", (F.lit(given) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
         moved = (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) + lonely * abs(given - single)
-        rank, single = new.select("v", "rank"), given
+        rank, single = new.select("v", "total", "rank"), given
         if moved < tolerance:
             break
-    return rank.union(alone.select("v", F.lit(single).alias("rank")))
+    return rank.select("v", "rank").union(alone.select("v", F.lit(single).alias("rank")))
 
 
 def top(metric: DataFrame, value: str, n: int = vocab.TOP_CENTRAL) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
 from casegraph.operators import graph, similarity
 from casegraph.operators.storage import saved
@@ -16,7 +17,7 @@ def captures(edges: DataFrame) -> DataFrame:
     attr = lambda k: F.col("attrs")[k]
     flag = lambda k: F.coalesce(attr(k) == "true", F.lit(False))
     seen = edges.filter("relation = 'OBSERVADO_DESDE_IP'")
-    return seen.select(F.col("dst").alias("node_id"), F.col("dst_value").alias("value"), "sid", F.col("src").alias("anchor"), F.col("observed_ts").alias("ts"), attr("port").cast("int").alias("port"), (flag("cgnat") | flag("private") | flag("proxy")).alias("nat"), "locator")
+    return seen.select(F.col("dst").alias("node_id"), F.col("dst_value").alias("value"), "sid", F.col("src").alias("anchor"), F.col("observed_ts").alias("ts"), attr("port").alias("port"), (flag("cgnat") | flag("private") | nz.given(attr("proxy"))).alias("nat"), "locator")
 
 
 def contradictions(edges: DataFrame) -> DataFrame:

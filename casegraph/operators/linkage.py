@@ -74,7 +74,7 @@ def ip_firings(pairs: DataFrame, captures: DataFrame, windows: DataFrame, report
     nearest two captures decide (of equally near ones the least locators). Inside the window R06 fires, under NAT weaker, and
     without both ports it only corroborates; outside it or without a time on either side R07 fires.
     """
-    side = lambda s: captures.filter("ts is not null").select("node_id", F.col("sid").alias(s), F.col("ts").alias(f"t_{s}"), F.col("locator").alias(f"at_{s}"), (F.coalesce("port", F.lit(0)) != 0).alias(f"port_{s}"), F.col("nat").alias(f"nat_{s}"))
+    side = lambda s: captures.filter("ts is not null").select("node_id", F.col("sid").alias(s), F.col("ts").alias(f"t_{s}"), F.col("locator").alias(f"at_{s}"), nz.given(F.col("port")).alias(f"port_{s}"), F.col("nat").alias(f"nat_{s}"))
     ip = pairs.filter("kind = 'IP'")
     met = ip.select("node_id", "a", "b").join(side("a"), ["node_id", "a"]).join(side("b"), ["node_id", "b"])
     one = F.struct(nz.hours_between(F.col("t_a"), F.col("t_b")).alias("hours"), "at_a", "at_b", (F.col("port_a") & F.col("port_b")).alias("ports"), (F.col("nat_a") | F.col("nat_b")).alias("nat"))

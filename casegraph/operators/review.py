@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
 from casegraph.functions.normalize import list_text, number_text, record_hash
 from casegraph.operators.storage import numbered, saved
@@ -123,7 +124,7 @@ def contributions(edges: DataFrame, about: DataFrame) -> DataFrame:
     ends = F.array(*[F.struct(F.col(f"{e}_kind").alias("type"), F.col(f"{e}_value").alias("value")) for e in ("src", "dst")])
     rows = edges.select("sid", "relation", "locator", "observed_ts", "attrs", F.explode(ends).alias("e"), (F.col("dst_kind") == "UBICACION").alias("placed")).select("*", "e.*").filter("sid is not null")
     kinds = F.create_map(*[F.lit(x) for kv in vocab.ATTRIBUTABLE.items() for x in kv])
-    seen = (F.col("relation") == "OBSERVADO_DESDE_IP") & F.col("observed_ts").isNotNull() & ((F.col("attrs")["attributable"] == "true") | (F.coalesce(F.col("attrs")["port"].try_cast("int"), F.lit(0)) != 0))
+    seen = (F.col("relation") == "OBSERVADO_DESDE_IP") & F.col("observed_ts").isNotNull() & ((F.col("attrs")["attributable"] == "true") | nz.given(F.col("attrs")["port"]))
     kind = (
         F.when(F.try_element_at(kinds, F.col("relation")) == F.col("type"), "identificador_atribuible").when(F.col("type") == "EVIDENCIA", "evidencia_con_hash")
         .when((F.col("type") == "IP") & seen, "ip_atribuible").when((F.col("type") == "UBICACION") & F.col("placed") & F.col("relation").isin("GEOLOCALIZA_EN", "UBICADO_EN"), "ubicacion_determinable")

@@ -57,36 +57,95 @@ def _small(counts: DataFrame, kind: str, product: str) -> DataFrame:
     return counts.withColumn("expanded", F.expr(product) <= vocab.PAIR_CAPS[kind])
 
 
+def _near_rows(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SIMILITUD_PERCEPTUAL edges of file pairs, and the R11 firings of those that are near but not equal."""
+    similarity = 1 - F.col("distance") / 64
+    edges = _derived(pairs, "SIMILITUD_PERCEPTUAL", ".details.perceptual_hash", "phash", similarity, {"distance": F.col("distance"), "bits": F.lit(64), "limit": F.lit(vocab.HAMMING_MOST), "similarity": F.round(similarity, 4)})
+    of = edges.select("arista_id", "locator", F.col("src_value").alias("evidence_a"), F.col("dst_value").alias("evidence_b"))
+    rule = vocab.RULE["R11_PHASH_SIMILAR"]
+    told = pairs.filter("distance > 0").withColumn("locator", F.concat("locator_a", F.lit(".details.perceptual_hash | "), "locator_b", F.lit(".details.perceptual_hash"))).join(of, ["evidence_a", "evidence_b", "locator"])
+    fired = told.select(F.least("reportId_a", "reportId_b").alias("a"), F.greatest("reportId_a", "reportId_b").alias("b"), F.concat_ws(" ~ ", "phash_a", "phash_b").alias("node_id"), F.lit(rule.name).alias("rule"), near_weight().alias("weight"), F.lit(rule.corroborates).alias("corroborates"), F.split("locator", r" \| ").alias("locators"), F.col("arista_id").alias("support"))
+    return edges, fired
+
+
+def near_weight() -> "Column":  # noqa: F821
+    """What a pair of files at a distance gives by R11."""
+    return F.round(vocab.RULE["R11_PHASH_SIMILAR"].weight * (1 - F.col("distance") / 64), 4)
+
+
 def near_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SIMILITUD_PERCEPTUAL edges (equal and near hashes), R11 firings of near ones, and groups too large for file pairs.
+    """SIMILITUD_PERCEPTUAL edges (equal and near hashes) and R11 firings by file pair, and what stays a class edge.
 
-    A pair of hashes whose files make more pairs than the cap of its kind stays one row of a group.
+    A pair of hashes whose files make more pairs than the cap of its kind is one row (hash_a, hash_b, distance, pairs). Its
+    links are whole all the same: near_blocks() has them by class of reports, near_among() by pair where pairs are asked for.
     """
     hashed = files.filter("hash is not null")
     sizes = hashed.groupBy("hash").agg(F.count("*").alias("n"))
     near = hash_neighbours(hashed.select("hash", F.col("reportId").alias("sid"))).select("hash_a", "hash_b", "distance", (F.col("members_a") * F.col("members_b")).alias("pairs"))
     equal = sizes.filter("n > 1").select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs"))
     met = saved(_small(near.unionByName(equal), "HASH_PERCEPTUAL", "pairs"))
-    few = met.filter("expanded").select("hash_a", "hash_b", "distance")
-    both = few.union(few.filter("distance > 0").select("hash_b", "hash_a", "distance"))
-    pairs = saved(_met(both.join(_file(hashed, "a"), "hash_a").join(_file(hashed, "b"), "hash_b"), ""))
-    similarity = 1 - F.col("distance") / 64
-    edges = _derived(pairs, "SIMILITUD_PERCEPTUAL", ".details.perceptual_hash", "phash", similarity, {"distance": F.col("distance"), "bits": F.lit(64), "limit": F.lit(vocab.HAMMING_MOST), "similarity": F.round(similarity, 4)})
-    of = edges.select("arista_id", "locator", F.col("src_value").alias("evidence_a"), F.col("dst_value").alias("evidence_b"))
-    rule = vocab.RULE["R11_PHASH_SIMILAR"]
-    told = pairs.filter("distance > 0").withColumn("locator", F.concat("locator_a", F.lit(".details.perceptual_hash | "), "locator_b", F.lit(".details.perceptual_hash"))).join(of, ["evidence_a", "evidence_b", "locator"])
-    fired = told.select(F.least("reportId_a", "reportId_b").alias("a"), F.greatest("reportId_a", "reportId_b").alias("b"), F.concat_ws(" ~ ", "phash_a", "phash_b").alias("node_id"), F.lit(rule.name).alias("rule"), F.round(rule.weight * similarity, 4).alias("weight"), F.lit(rule.corroborates).alias("corroborates"), F.split("locator", r" \| ").alias("locators"), F.col("arista_id").alias("support"))
-    return edges, fired, met.filter("not expanded").select("hash_a", "hash_b", "distance", "pairs")
+    few = _turned(met.filter("expanded"))
+    pairs = saved(_met(few.join(_file(hashed, "a"), "hash_a").join(_file(hashed, "b"), "hash_b"), ""))
+    return *_near_rows(pairs), met.filter("not expanded").select("hash_a", "hash_b", "distance", "pairs")
+
+
+def _turned(met: DataFrame) -> DataFrame:
+    """Hash pairs in both orders, equal hashes once."""
+    one = met.select("hash_a", "hash_b", "distance")
+    return one.union(one.filter("distance > 0").select("hash_b", "hash_a", "distance"))
+
+
+def near_among(files: DataFrame, large: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """near_files()'s edges and firings of large hash pairs for the report pairs asked for (a < b) alone."""
+    hashed = files.filter("hash is not null")
+    pairs = asked.select("a", "b").distinct()
+    both = pairs.union(pairs.select("b", "a")).toDF("reportId_a", "reportId_b")
+    found = both.join(_file(hashed, "a"), "reportId_a").join(_file(hashed, "b"), "reportId_b").join(_turned(large), ["hash_a", "hash_b"])
+    return _near_rows(saved(_met(found, "")))
+
+
+def near_blocks(files: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What large hash pairs link, without their pairs: blocks (x, y, firings, score; x <= y) and members (class, v).
+
+    Reports whose files have the same hashes (of those in large pairs) and the same evidences (of those that several reports
+    have) are one class, named by its least report. All pairs of one report of x and another of y fire R11 alike, as often
+    as their files meet, so a block stands for n_x * n_y links (x < y) or n_x * (n_x - 1) / 2 (x = y) of one score.
+    """
+    turned = saved(_turned(large.filter("distance > 0")))
+    hashed = files.filter("hash is not null").join(turned.select(F.col("hash_a").alias("hash")).distinct(), "hash", "left_semi")
+    shared = files.groupBy("evidence").agg(F.min("reportId").alias("x"), F.max("reportId").alias("y")).filter("x < y").select("evidence", F.col("evidence").alias("seen"))
+    rows = hashed.select("reportId", "hash", "evidence").join(shared, "evidence", "left").groupBy("reportId", "hash", "seen").agg(F.count("*").alias("k"))
+    signed = rows.groupBy("reportId").agg(F.array_sort(F.collect_list(F.struct("hash", "seen", "k"))).alias("files"))  # a report's files
+    named = saved(signed.withColumn("key", F.sha2(F.to_json("files"), 256)))
+    classes = named.groupBy("key").agg(F.min("reportId").alias("class"), F.min_by("files", "reportId").alias("files"), F.count("*").alias("n"))
+    classes = saved(classes)
+    members = saved(named.select("key", F.col("reportId").alias("v")).join(classes.select("key", "class"), "key").select("class", "v"))
+    side = lambda s, h: classes.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.explode("files").alias("f")).select(s, f"n_{s}", F.col("f.hash").alias(h), F.col("f.seen").alias(f"seen_{s}"), F.col("f.k").alias(f"k_{s}"))
+    met = turned.join(side("x", "hash_a"), "hash_a").join(side("y", "hash_b"), "hash_b").filter("x <= y and (x < y or n_x > 1)").filter("seen_x is null or seen_y is null or seen_x <> seen_y")
+    times = F.col("k_x") * F.col("k_y")
+    least = F.product(F.pow(1 - F.least(near_weight(), F.lit(vocab.MOST)), times))
+    blocks = met.groupBy("x", "y").agg(F.sum(times).alias("firings"), F.round(F.least(1 - least, F.lit(vocab.MOST)), 4).alias("score"))
+    return saved(blocks), members
 
 
 def equal_audio(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """COINCIDE_HUELLA_AUDIO edges between files of one fingerprint, and groups too large for file pairs."""
+    """COINCIDE_HUELLA_AUDIO edges by file pair up to the cap, and every class of one fingerprint.
+
+    A class (audio, files, reports, evidences, pairs) stands for all edges between its files of different reports and
+    evidences; pairs is their exact number, from counts alone. No rule reads these edges: R12 fires by the fingerprint's node.
+    """
     heard = files.filter("audio is not null")
-    sizes = _small(heard.groupBy("audio").agg(F.count("*").alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2")).filter("n > 1"), "HUELLA_AUDIO", "pairs")
-    few = heard.join(sizes.filter("expanded").select("audio"), "audio")
+    each = heard.groupBy("audio", "reportId", "evidence").agg(F.count("*").alias("k"))
+    two = lambda c: F.expr(f"sum({c} * ({c} - 1) div 2)")
+    by = lambda c: each.groupBy("audio", c).agg(F.sum("k").alias("k")).groupBy("audio").agg(two("k").alias(f"same_{c}"), F.sum("k").alias("files"), F.count("*").alias(f"n_{c}"))
+    both = each.groupBy("audio").agg(two("k").alias("same_both"))
+    counts = by("reportId").join(by("evidence").drop("files"), "audio").join(both, "audio")
+    every = F.expr("files * (files - 1) div 2 - same_reportId - same_evidence + same_both")
+    classes = saved(_small(counts.filter("files > 1").select("audio", "files", F.col("n_reportId").alias("reports"), F.col("n_evidence").alias("evidences"), every.alias("pairs")), "HUELLA_AUDIO", "files * (files - 1) div 2"))
+    few = heard.join(classes.filter("expanded").select("audio"), "audio")
     pairs = _met(_file(few, "a").withColumnRenamed("audio_a", "audio").join(_file(few, "b").withColumnRenamed("audio_b", "audio"), "audio"), "")
     edges = _derived(pairs, "COINCIDE_HUELLA_AUDIO", ".details.audio_fingerprint", "audio", vocab.RULE["R12_HUELLA_AUDIO"].weight, {"fingerprint": F.col("audio")})
-    return edges, sizes.filter("not expanded").select("audio", "n", "pairs")
+    return edges, classes
 
 
 def place_tags(texts: DataFrame, lexicon: dict[str, tuple[str, tuple[str, ...]]], *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions import normalize as nz
-from casegraph.sources.reports import edge, together
+from casegraph.sources.reports import edge, navigated, together
 
 # The input's field names.
 SCHEMA = (
@@ -47,9 +47,8 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     found, lost = [], []
     for k, path in enumerate(paths):
         try:
-            raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.lit(k).alias("manifest"), F.col("_metadata.file_path").alias("path"), "fileDetails")
-            bytes_ = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("hash"))
-            found.append(raw.crossJoin(F.broadcast(bytes_.limit(1))))  # one file has one row on either side
+            raw = spark.read.format("binaryFile").load(path)
+            found.append(raw.select(F.lit(k).alias("manifest"), F.col("_metadata.file_path").alias("path"), navigated(F.decode("content", "UTF-8"), SCHEMA)["fileDetails"].alias("fileDetails"), F.sha2("content", 256).alias("hash")))
         except AnalysisException:
             lost.append((path, None, "manifiesto inexistente"))
     none = spark.createDataFrame([], f"manifest int, path string, {SCHEMA}, hash string")

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
@@ -13,7 +14,7 @@ from casegraph.functions.textmine import mentions
 
 # The input's field names, the source prefix of its identifiers, and names that files can't have.
 _VALUES = "array<struct<value:string>>"
-_CAPTURE = "struct<captureType:string,value:string,valueType:string,eventName:string,dateTime:string,possibleProxy:boolean,port:int>"
+_CAPTURE = "struct<captureType:string,value:string,valueType:string,eventName:string,dateTime:string,possibleProxy:string,port:string>"
 PERSON = (
     "struct<id:string,gender:string,approximateAge:string,accountPermanentlyDisabled:boolean,accountTemporarilyDisabled:boolean,espUserId:string,"
     f"espService:string,screenName:string,screenNames:struct<screenNames:{_VALUES}>,displayNames:struct<displayNames:{_VALUES}>,"
@@ -63,15 +64,36 @@ SAYS = {
 
 
 # -- files ------------------------------------------------------------------------------------------------------------
+#: Containers that must be objects if they are there at all; what lies under them may have any type.
+CONTAINERS = ("reportedInformation", "reportedInformation.incidentSummary", "reportedInformation.incidentDetails", "additionalNcmecInformation")
+
+
+def navigated(text: Column, schema: str, containers: Iterable[str] = ()) -> Column:
+    """A JSON text as a struct, each value by its own path.
+
+    What has another type than its place asks for is read if it can be (a number as text, a text that spells a number), else
+    null at that place alone; a list where an object belongs, or the other way round, has nothing. Null if it is not one object, or
+    if one of the containers holds anything but an object (or nothing: null, false, "", 0, []); a text that is no JSON raises an error.
+    """
+    all_ = F.parse_json(F.concat(F.lit("["), text, F.lit("]")))  # as a list, for what follows a value would go unseen
+    only = F.try_variant_get(all_, "$[1]", "variant").isNull()
+    for c in containers:
+        held = F.try_variant_get(all_, f"$[0].{c}", "variant")
+        plain = F.try_variant_get(held, "$", "string")
+        only &= F.coalesce(F.schema_of_variant(held).rlike(r"^(OBJECT|VOID$|ARRAY<VOID>$)"), F.lit(True)) | F.coalesce(plain.isin("", "false", "0"), F.lit(False))
+    return F.when(only, F.try_variant_get(all_, "$[0]", StructType.fromDDL(schema).simpleString()))
+
+
 def read(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Reports of all folders; of one id the last folder's stays. Files that aren't JSON objects stop the read.
+    """Reports of all folders; of one id the last folder's stays. Files that aren't JSON objects stop the read (Spark lists none of no bytes).
 
     id_type is the JSON type that the id had, path the file.
     """
     out = None
     for k, folder in enumerate(folders):
-        part = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(folder)
-        part = part.filter(F.col("_metadata.file_name") != STATES).withColumn("path", F.col("_metadata.file_path")).withColumn("folder", F.lit(k))
+        part = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).filter(F.col("_metadata.file_name") != STATES)
+        part = part.select(navigated(F.decode("content", "UTF-8"), SCHEMA, CONTAINERS).alias("r"), F.col("_metadata.file_path").alias("path"), F.lit(k).alias("folder"))
+        part = part.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.concat(F.lit("not a report: "), "path")).cast(StructType.fromDDL(SCHEMA))).otherwise(F.col("r"))).select("r.*", "path", "folder")
         out = part if out is None else out.unionByName(part)
     typed = out.withColumn("id_type", F.schema_of_variant("reportId")).withColumn("reportId", F.try_variant_get("reportId", "$", "string"))
     window = Window.partitionBy("reportId")
@@ -207,7 +229,7 @@ def _names(people: DataFrame) -> DataFrame:
 def _captures(people: DataFrame) -> DataFrame:
     """Captures with their route; an address field counts as one more capture behind the list."""
     given = F.coalesce("p.sourceInformation.sourceCaptures", F.array().cast(f"array<{_CAPTURE}>"))
-    made = F.struct(F.lit("IP Address").alias("captureType"), F.col("p.ipAddress").alias("value"), *[F.lit(None).cast(t).alias(c) for c, t in (("valueType", "string"), ("eventName", "string"), ("dateTime", "string"), ("possibleProxy", "boolean"), ("port", "int"))])
+    made = F.struct(F.lit("IP Address").alias("captureType"), F.col("p.ipAddress").alias("value"), *[F.lit(None).cast(t).alias(c) for c, t in (("valueType", "string"), ("eventName", "string"), ("dateTime", "string"), ("possibleProxy", "string"), ("port", "string"))])
     rows = people.select("*", F.posexplode(F.when(F.col("p.ipAddress") != "", F.concat(given, F.array(made))).otherwise(given)).alias("j", "c")).filter("c.value <> ''")
     kind = F.lower("c.captureType")
     route = F.when(kind.contains("ip"), "ip").when(kind.contains("device"), "device").when(kind.contains("phone"), "phone").when(kind.contains("email"), "email")

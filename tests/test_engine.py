@@ -122,7 +122,7 @@ def test_reports_to_links(built):
     assert {r["warning"] for r in out["warnings"].collect()} == {"archivo sin hash", "IP invalida"}
     assert secret not in str(out["edges"].collect()) and secret in str(out["texts"].collect())
     assert {r["first_report"]: r["reports"] for r in out["cases"].collect()} == {"A1": 4, "A4": 1}
-    assert {(r["archived"], r["trigger"], r["priority"]) for r in out["alerts"].collect()} >= {("A2", "A1", "alta"), ("A2", "A5", "baja")}
+    assert {(r["archived"], r["trigger"], r["priority"]) for r in out["alerts"].collect()} >= {("A2", "A1", "alta"), ("A2", "A5", "media")}
 
 
 def test_rejection_spreads(spark, built):
