@@ -67,18 +67,40 @@ def firings(pairs: DataFrame, reports: int) -> DataFrame:
     return out.select("a", "b", "node_id", "rule", F.round(strength, 4).alias("weight"), (corr | common).alias("corroborates"), F.concat("locators_a", "locators_b").alias("locators"))
 
 
+def nearest_captures(pairs: DataFrame, captures: DataFrame) -> DataFrame:
+    """(node_id, a, b) of pairs with micros between the nearest two captures, whether both have ports and either hides its user.
+
+    captures: node_id, sid, ts, port, nat, locator. Of equally near ones the least locators count. Captures of one report at
+    one time fold to that of the least locator first; then a pair's times are one sorted list, in which the nearest two of
+    different sides are neighbours. So a pair costs as many rows as its two reports have, never their product.
+    """
+    one = F.min(F.struct("locator", nz.given(F.col("port")).alias("port"), "nat")).alias("c")
+    seen = captures.filter("ts is not null").groupBy("node_id", "sid", nz.micros(F.col("ts")).alias("t")).agg(one)
+    times = seen.groupBy("node_id", "sid").agg(F.collect_list(F.struct("t", "c")).alias("times"))  # of one report and address
+    side = lambda s: times.select("node_id", F.col("sid").alias(s), F.col("times").alias(f"times_{s}"))
+    tag = lambda c, k: F.transform(c, lambda x: F.struct(x["t"].alias("t"), F.lit(k).alias("side"), x["c"].alias("c")))
+
+    def step(x: Column, y: Column) -> Column:
+        first = F.when(x["side"] == 0, x["c"]).otherwise(y["c"])
+        second = F.when(x["side"] == 0, y["c"]).otherwise(x["c"])
+        return F.when(x["side"] != y["side"], F.struct((y["t"] - x["t"]).alias("micros"), first["locator"].alias("at_a"), second["locator"].alias("at_b"), (x["c"]["port"] & y["c"]["port"]).alias("ports"), (x["c"]["nat"] | y["c"]["nat"]).alias("nat")))
+
+    met = pairs.select("node_id", "a", "b").join(side("a"), ["node_id", "a"]).join(side("b"), ["node_id", "b"])
+    met = met.withColumn("m", F.array_sort(F.concat(tag("times_a", 0), tag("times_b", 1)))).drop("times_a", "times_b")
+    n = F.size("m") - 1
+    least = F.array_min(F.array_compact(F.zip_with(F.slice("m", F.lit(1), n), F.slice("m", F.lit(2), n), step)))
+    return met.select("node_id", "a", "b", least.alias("m")).select("node_id", "a", "b", "m.micros", "m.ports", "m.nat")
+
+
 def ip_firings(pairs: DataFrame, captures: DataFrame, windows: DataFrame, reports: int) -> DataFrame:
     """R06 or R07 for each pair and shared address, with their effective weights, like firings().
 
     captures: node_id, sid, ts, port, nat (the address or the capture hides its user), locator; windows: node_id, hours. The
-    nearest two captures decide (of equally near ones the least locators). Inside the window R06 fires, under NAT weaker, and
-    without both ports it only corroborates; outside it or without a time on either side R07 fires.
+    nearest two captures decide. Inside the window R06 fires, under NAT weaker, and without both ports it only corroborates;
+    outside it or without a time on either side R07 fires.
     """
-    side = lambda s: captures.filter("ts is not null").select("node_id", F.col("sid").alias(s), F.col("ts").alias(f"t_{s}"), F.col("locator").alias(f"at_{s}"), nz.given(F.col("port")).alias(f"port_{s}"), F.col("nat").alias(f"nat_{s}"))
     ip = pairs.filter("kind = 'IP'")
-    met = ip.select("node_id", "a", "b").join(side("a"), ["node_id", "a"]).join(side("b"), ["node_id", "b"])
-    one = F.struct(nz.hours_between(F.col("t_a"), F.col("t_b")).alias("hours"), "at_a", "at_b", (F.col("port_a") & F.col("port_b")).alias("ports"), (F.col("nat_a") | F.col("nat_b")).alias("nat"))
-    best = met.groupBy("node_id", "a", "b").agg(F.min(one).alias("m")).select("node_id", "a", "b", "m.hours", "m.ports", "m.nat")
+    best = nearest_captures(ip, captures).select("node_id", "a", "b", (F.col("micros") / F.lit(3.6e9)).alias("hours"), "ports", "nat")
     x = ip.join(best, ["node_id", "a", "b"], "left").join(windows.select("node_id", F.col("hours").alias("window")), "node_id", "left")
     near = F.coalesce(F.col("hours") <= F.coalesce("window", F.lit(vocab.DEFAULT_HOURS)), F.lit(False))
     hidden = near & F.col("nat")
@@ -135,29 +157,14 @@ def duplicates(linked: DataFrame, reports: DataFrame, hours: float = 1.0) -> Dat
     return linked.join(x, "a").join(y, "b").filter(near).select("a", "b", "score", F.lit("POSIBLE_DUPLICADO_DE").alias("relation"))
 
 
-def nearest(observations: DataFrame, freq_cap: int = vocab.PAIR_CAPS["IP"]) -> DataFrame:
-    """(ip, a, b, micros): the least time between the observations of one address by two reports.
-
-    observations: ip, sid, ts. Equal times of a report are one. For each report pair of an expanded address the times of both
-    are merged in order (bounded by what the two reports saw, not by all that the address saw), and only neighbours of
-    different reports are compared.
-    """
-    few = observations.groupBy("ip").agg(F.count_distinct("sid").alias("df")).filter(f"df > 1 and df * (df - 1) div 2 <= {freq_cap}")
-    seen = observations.filter("ts is not null").join(few.select("ip"), "ip").groupBy("ip", "sid").agg(F.array_sort(F.collect_set(nz.micros(F.col("ts")))).alias("times"))
-    side = lambda s: seen.select("ip", F.col("sid").alias(s), F.col("times").alias(f"times_{s}"))
-    tag = lambda c, k: F.transform(c, lambda t: F.struct(t.alias("t"), F.lit(k).alias("side")))
-    merged = F.array_sort(F.concat(tag("times_a", 0), tag("times_b", 1)))
-    n = F.size("m") - 1
-    gap = F.array_min(F.zip_with(F.slice("m", F.lit(1), n), F.slice("m", F.lit(2), n), lambda x, y: F.when(x["side"] != y["side"], y["t"] - x["t"])))
-    return side("a").join(side("b"), "ip").filter("a < b").withColumn("m", merged).select("ip", "a", "b", gap.alias("micros"))
-
-
-def window_match(observations: DataFrame, windows: DataFrame, freq_cap: int = vocab.PAIR_CAPS["IP"]) -> DataFrame:
+def window_match(observations: DataFrame, windows: DataFrame) -> DataFrame:
     """Same address in two reports: the nearest pair of times decides between R06 (in the provider's window) and R07.
 
     observations: ip, sid, ts; windows: ip, hours. The window is tested on exact times; hours are rounded for people.
     """
-    best = nearest(observations, freq_cap).withColumn("exact", F.col("micros") / F.lit(3.6e9))
+    seen = observations.select(F.col("ip").alias("node_id"), F.lit("IP").alias("kind"), "sid", "ts", F.lit(None).cast("string").alias("port"), F.lit(False).alias("nat"), F.lit("").alias("locator"))
+    idx = seen.groupBy("node_id", "kind", "sid").agg(F.lit(False).alias("text_only"), F.array().cast("array<string>").alias("locators"))
+    best = nearest_captures(shared(idx, frequency(idx)), seen).withColumnRenamed("node_id", "ip").withColumn("exact", F.col("micros") / F.lit(3.6e9))
     fit = best.join(windows.select("ip", F.col("hours").alias("window")), "ip", "left").withColumn("window", F.coalesce("window", F.lit(vocab.DEFAULT_HOURS)))
     return fit.select("ip", "a", "b", F.round("exact", 4).alias("hours"), "window", F.when(F.col("exact") <= F.col("window"), "R06_IP_VENTANA").otherwise("R07_IP_SUELTA").alias("rule"))
 

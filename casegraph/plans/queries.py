@@ -420,14 +420,40 @@ _HOURS = "CASE user_id % 3 WHEN 0 THEN 12 ELSE 24 END"
 @query(f"""WITH o AS (SELECT (user_id * 31 + date_diff('day', DATE '2024-01-01', ts)) % 4000 AS ip, user_id AS sid, ts, {_HOURS} AS h FROM events),
 few AS (SELECT ip, count(DISTINCT sid) AS df FROM o GROUP BY 1 HAVING count(DISTINCT sid) > 1 AND count(DISTINCT sid) * (count(DISTINCT sid) - 1) // 2 <= 2500),
 w AS (SELECT ip, min(h) AS win FROM o GROUP BY 1),
-best AS (SELECT x.ip, x.sid AS a, y.sid AS b, round(min(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 3.6e9), 4) AS hours FROM o x JOIN o y ON x.ip = y.ip AND x.sid < y.sid WHERE x.ip IN (SELECT ip FROM few) GROUP BY ALL)
-SELECT ip, a, b, hours, win AS "window", CASE WHEN hours <= win THEN 'R06_IP_VENTANA' ELSE 'R07_IP_SUELTA' END AS rule FROM best JOIN w USING (ip)""")
+best AS (SELECT x.ip, x.sid AS a, y.sid AS b, min(abs(epoch_us(x.ts) - epoch_us(y.ts)) / 3.6e9) AS hours FROM o x JOIN o y ON x.ip = y.ip AND x.sid < y.sid WHERE x.ip IN (SELECT ip FROM few) GROUP BY ALL)
+SELECT ip, a, b, round(hours, 4) AS hours, win AS "window", CASE WHEN hours <= win THEN 'R06_IP_VENTANA' ELSE 'R07_IP_SUELTA' END AS rule FROM best JOIN w USING (ip)""")
 def ip_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     o = e.select(((F.col("user_id") * 31 + F.datediff("ts", F.lit("2024-01-01").cast("date"))) % 4000).alias("ip"), F.col("user_id").alias("sid"), "ts", F.expr(_HOURS).alias("h"))
     return linkage.window_match(o, o.groupBy("ip").agg(F.min("h").alias("hours")))
 
 
+_NAT = "json_extract_string(props, '$.k')::INT"
+
+
+@query(f"""WITH c AS (SELECT (user_id * 31 + date_diff('day', DATE '2024-01-01', ts)) % 4000 AS ip, user_id AS sid, CASE WHEN event_type <> 'error' THEN ts END AS ts, {_HOURS} AS h,
+ {_NAT} % 3 <> 0 AS port, {_NAT} % 4 = 0 AS nat, lpad(event_id::VARCHAR, 12, '0') AS locator FROM events),
+idx AS (SELECT DISTINCT ip, sid FROM c), freq AS (SELECT ip, count(*) AS df FROM idx GROUP BY 1 HAVING count(*) * (count(*) - 1) // 2 <= {vocab.PAIR_CAPS["IP"]}),
+n AS (SELECT count(DISTINCT sid) AS n FROM c), w AS (SELECT ip, min(h) AS win FROM c WHERE ip % 2 = 0 GROUP BY 1),
+pairs AS (SELECT x.ip, x.sid AS a, y.sid AS b, df FROM idx x JOIN idx y ON x.ip = y.ip AND x.sid < y.sid JOIN freq f ON f.ip = x.ip),
+best AS (SELECT p.ip, a, b, arg_min((abs(epoch_us(x.ts) - epoch_us(y.ts)) / 3.6e9, x.port AND y.port, x.nat OR y.nat), (abs(epoch_us(x.ts) - epoch_us(y.ts)), x.locator, y.locator)) AS m
+ FROM pairs p JOIN c x ON x.ip = p.ip AND x.sid = a AND x.ts IS NOT NULL JOIN c y ON y.ip = p.ip AND y.sid = b AND y.ts IS NOT NULL GROUP BY p.ip, a, b),
+f AS (SELECT p.*, m[2] AS ports, m[3] AS nat, coalesce(m[1] <= coalesce(win, {vocab.DEFAULT_HOURS}), false) AS near FROM pairs p LEFT JOIN best USING (ip, a, b) LEFT JOIN w ON w.ip = p.ip)
+SELECT a, b, 'IP::' || ip AS node_id, CASE WHEN near THEN 'R06_IP_VENTANA' ELSE 'R07_IP_SUELTA' END AS rule,
+ round(CASE WHEN near THEN 0.72::DOUBLE ELSE 0.28::DOUBLE END * CASE WHEN near AND nat THEN CASE WHEN ports THEN {vocab.NAT_WITH_PORT}::DOUBLE ELSE {vocab.NAT_WITHOUT_PORT}::DOUBLE END ELSE 1.0::DOUBLE END * {_DISC}, 4) AS weight,
+ NOT near OR (nat AND NOT ports) OR df >= 50 OR (n >= 200 AND df > 0.2 * n) AS corroborates FROM f, n""")
+def ip_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's own address rules over events: ports, proxies, captures without time, and windows known for half of the addresses."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    ip = (F.col("user_id") * 31 + F.datediff("ts", F.lit("2024-01-01").cast("date"))) % 4000
+    e = table(spark, sf_dir, "events").select(ip.cast("string").alias("value"), F.col("user_id").alias("sid"), F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"), F.expr(_HOURS).alias("h"), F.when(k % 3 != 0, k.cast("string")).alias("port"), (k % 4 == 0).alias("nat"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("locator"))
+    c = saved(e.withColumn("node_id", nz.node_id(F.lit("IP"), F.col("value"))))
+    idx = saved(linkage.index(c.select("sid", F.lit("IP").alias("kind"), "value", F.lit(False).alias("from_text"), "locator")))
+    windows = c.filter(F.col("value").cast("int") % 2 == 0).groupBy("node_id").agg(F.min("h").alias("hours"))
+    fired = linkage.ip_firings(linkage.shared(idx, linkage.frequency(idx)), c, windows, c.select("sid").distinct().count())
+    return fired.select("a", "b", "node_id", "rule", "weight", "corroborates")
+
+
 @query("""WITH p AS (SELECT user_id AS anchor, json_extract_string(props, '$.k')::INT AS ip, ts, event_id AS ord FROM events),
 q AS (SELECT *, (ip * 37 % 180 - 90)::DOUBLE AS lat, (ip * 53 % 360 - 180)::DOUBLE AS lon FROM p),
 n AS (SELECT *, lead(ip) OVER w AS i2, lead(ts) OVER w AS t2, lead(lat) OVER w AS la2, lead(lon) OVER w AS lo2, lead(ord) OVER w AS o2 FROM q WINDOW w AS (PARTITION BY anchor ORDER BY ts, ord)),
@@ -561,6 +587,13 @@ def audio_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.equal_audio(_files(spark, sf_dir))[0].select(F.col("src_value").alias("evidence_a"), F.col("dst_value").alias("evidence_b"), "locator", "confidence")
 
 
+@query("""WITH f AS (SELECT doc_id, 'e' || (doc_id // 2) AS e, concat_ws('-', lang, n_chars) AS audio FROM documents), n AS (SELECT audio, count(*) AS files, count(DISTINCT doc_id) AS reports, count(DISTINCT e) AS evidences FROM f GROUP BY 1 HAVING count(*) > 1),
+p AS (SELECT x.audio, count(*) AS pairs FROM f x JOIN f y ON x.audio = y.audio AND x.doc_id < y.doc_id AND x.e <> y.e GROUP BY 1) SELECT n.*, coalesce(pairs, 0)::BIGINT AS pairs FROM n LEFT JOIN p USING (audio)""")
+def audio_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fingerprint of several files with the exact number of its edges, of any size."""
+    return similarity.equal_audio(_files(spark, sf_dir))[1].select("audio", "files", "reports", "evidences", "pairs")
+
+
 @query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), h AS (SELECT doc_id, w FROM w WHERE len(w) >= 64),
 u AS (SELECT doc_id, unnest(w) AS x, (unnest(generate_series(1, len(w))) - 1) % 64 AS bit FROM h),
 p AS (SELECT doc_id, bit, sum(length(x)) % 2 AS b FROM u GROUP BY ALL),
