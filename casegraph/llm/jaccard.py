@@ -30,8 +30,8 @@ from .minhash import Plan, runs
 SAMPLE, FREQUENT, KEPT = 8_000, 6, 1 << 17
 #: Groups of a point: a power of two near an eighth of the tokens.
 LEAST_GROUPS, MOST_GROUPS = 8, 4096
-#: Tokens of a leaf's documents; points of a tree that is one leaf; parts that a frequent token's documents are dealt to first.
-LEAF_TOKENS, LEAF_POINTS, PARTS = 1 << 16, 64, 32
+#: Tokens of a leaf's documents, and documents; points of a tree that is one leaf; parts that a frequent token's documents are dealt to first.
+LEAF_TOKENS, LEAF_DOCS, LEAF_POINTS, PARTS = 1 << 16, 512, 64, 32
 #: Points of small trees that a task takes at once.
 TASK_POINTS = 20_000
 
@@ -204,6 +204,25 @@ def stretches(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edge[:-1], edge[1:], strict=True)
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of some hundred sets share, by products of their presence matrix, some tokens at a time."""
+    m = len(sets)
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[which]
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])[column >= 0]
+    column = column[column >= 0]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    out = np.zeros((m, m), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        cut = slice(*np.searchsorted(column, (lo, lo + 4096)))
+        present = np.zeros((m, 4096), np.float32)
+        present[owner[cut], column[cut] - lo] = 1
+        out += (present @ present.T).astype(np.int64)
+    out[np.diag_indices(m)] = [len(s) for s in sets]
+    return out
+
+
 class Facing:
     """Points of a pair of leaves, ascending by size, and for each one those before it that it may link with."""
 
@@ -213,6 +232,12 @@ class Facing:
         self.home = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
         g = min(map(len, self.points))
         self.counts = np.array([folded(p, g) for p in self.points])
+        key = rows["key"].iloc[0]
+        self.earlier = [frozenset(k[: np.searchsorted(k, key)].tolist()) for k in rows["keys"]]
+
+    def first_in(self, i: int, k: int) -> bool:
+        """Whether this tree is the first that both are in."""
+        return self.earlier[i].isdisjoint(self.earlier[k])
 
     def before(self, i: int) -> list[int]:
         """Those of other components whose counts, folded to the coarsest point's groups, can reach the threshold."""
@@ -234,11 +259,11 @@ def across(members: DataFrame, sets_of, join: Join) -> DataFrame:  # noqa: ANN00
     A tree's points fall into leaves by size and hash, each of bounded tokens, which hold an upper corner and their sizes;
     the component of the leader has leaves of its own, which don't meet each other. Pairs of leaves whose corners can reach
     the threshold face each other point by point; a pair of points counts in the first tree that both are in. Sets are sent
-    only for points with such a partner, and a task skips what it has connected already.
+    only for points with such a partner; a task returns a forest of their links.
     """
     step = float(np.log(100 / join.percent)) * (1 + 1e-9)  # a little more than linked sizes differ by
     sized = members.withColumn("size", F.floor(F.log("n") / step).cast("long"))
-    parts = sized.groupBy("key", "main", "size").agg(F.ceil(F.sum("n") / LEAF_TOKENS).cast("long").alias("parts"))
+    parts = sized.groupBy("key", "main", "size").agg(F.ceil(F.greatest(F.sum("n") / LEAF_TOKENS, F.count("*") / LEAF_DOCS)).cast("long").alias("parts"))
     leaf = F.shiftleft("size", 33) + 2 * F.pmod(F.xxhash64("id"), F.col("parts")) + F.col("main").cast("long")
     placed = materialize(sized.join(parts, ["key", "main", "size"]).select("key", "id", "n", "label", "point", leaf.alias("leaf")), "leaves")
 
@@ -273,29 +298,31 @@ def across(members: DataFrame, sets_of, join: Join) -> DataFrame:  # noqa: ANN00
 
     def partners(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "x", "y", "n", "id"], kind="stable").reset_index(drop=True)
-        key, x, y, ids, keys = (rows[c].to_numpy() for c in ("key", "x", "y", "id", "keys"))
+        key, x, y, ids = (rows[c].to_numpy() for c in ("key", "x", "y", "id"))
         out = []
         for lo, hi in stretches(key, x, y):
             pair, some = Facing(rows[lo:hi], join), set()
-            earlier = [frozenset(k[: np.searchsorted(k, key[lo])].tolist()) for k in keys[lo:hi]]
             for i in range(1, hi - lo):
                 for k in pair.before(i):
-                    if not (i in some and k in some) and earlier[i].isdisjoint(earlier[k]) and pair.may_link(i, k):
+                    if not (i in some and k in some) and pair.first_in(i, k) and pair.may_link(i, k):
                         some |= {i, k}
             out += [lo + k for k in sorted(some)]
         return pd.DataFrame({"key": key[out], "x": x[out], "y": y[out], "id": ids[out]})
 
     asked = dealt(facing, "key", "x", "y").groupBy("task").applyInPandas(partners, "key long, x long, y long, id long")
     asked = materialize(asked, "asked")
-    groups = asked.join(facing.drop("keys"), ["key", "x", "y", "id"]).join(sets_of(asked.select("id").distinct()), "id")
+    groups = asked.join(facing, ["key", "x", "y", "id"]).join(sets_of(asked.select("id").distinct()), "id")
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "id"], kind="stable").reset_index(drop=True)
-        pair, ids, sets, out = Facing(rows, join), rows["id"].to_numpy(), rows["tokens"], []
+        n, ids, left, right = (rows[c].to_numpy() for c in ("n", "id", "left", "right"))
+        home = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+        shared = overlaps([np.frombuffer(t, np.uint64) for t in rows["tokens"]])
+        fits = ((100 + join.percent) * shared >= join.percent * (n[:, None] + n)) & ((left[:, None] & right) | (right[:, None] & left))
+        out = []
         for i in range(1, len(rows)):
-            for k in pair.before(i):
-                if join.plan.linked(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[k], np.uint64)):
-                    pair.home[pair.home == pair.home[i]] = pair.home[k]
+            for k in np.flatnonzero(fits[i, :i] & (home[:i] != home[i])).tolist():
+                if home[i] != home[k]:
+                    home[home == home[i]] = home[k]
                     out.append((ids[i], ids[k]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
@@ -340,19 +367,18 @@ def jaccard_join(df: DataFrame, join: Join | None = None) -> DataFrame:
     near = materialize(bounded(pairs, vertices, join), "near")
     links = materialize(decided(near, sets_of(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()), join), "links")
     labels = components(links)
-    labelled = materialize(members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.min_by("label", "id").alias("first")).filter("x <> y and m > 2").select("key", "first", "m")
-    rest = labelled.join(mixed, "key").select("key", "id", "label", (F.col("label") == F.col("first")).alias("main"), (F.col("m") <= LEAF_POINTS).alias("small"))
+    labelled = materialize(members.select("key", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    trees = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.min_by("label", "id").alias("first")).filter("x <> y and m > 2").select("key", "first", "m")
+    rest = labelled.join(trees, "key").select("key", "id", "label", (F.col("label") == F.col("first")).alias("main"), (F.col("m") <= LEAF_POINTS).alias("small"))
     rest = materialize(rest.join(vertices.select("id", "n", "point"), "id"), "rest")
     few = within_leaves(rest.filter("small"), join).join(pairs, ["a", "b"], "left_anti")  # those are decided
     few = materialize(few, "leaf_pairs")
     more = decided(few, sets_of(few.select(F.col("a").alias("id")).union(few.select("b")).distinct()), join)
+    links = materialize(links.union(more), "links")
     large = rest.filter("not small")
     if not large.isEmpty():
-        more = more.union(across(large, sets_of, join))
-    more = materialize(more, "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+        links = materialize(links.union(across(large, sets_of, join)), "links")
+    labels = components(links)
     least = vertices.select("v", "of", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = least.groupBy("label").agg(F.min("of.doc_id").alias("component_id"))
     of = materialize(least.join(named, "label").select("v", "component_id"), "classes")

@@ -174,3 +174,11 @@ def test_linked_sets_share_a_token_of_their_prefixes():
             frequent = np.unique(rng.choice(both, n // 2)) if n > 1 else np.zeros(0, np.uint64)
             order = rng.permutation(len(frequent))
             assert len(np.intersect1d(join.prefix(a, order, frequent), join.prefix(b, order, frequent)))
+
+
+def test_overlaps_are_those_of_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(40)] + [np.array([1 << 63], np.uint64)]
+    assert (jaccard.overlaps(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
