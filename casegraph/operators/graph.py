@@ -1,17 +1,20 @@
 """Graph operators on link tables: components, cases, centralities, bridges, communities, candidates, paths.
 
 Vertices and links are DataFrames (a < b, weight). Iterations write each round to the shared folder; per-component
-algorithms run grouped by component; larger ones take a spread way (bridges, communities) or give null (betweenness).
+algorithms run grouped by component; larger ones take a way that is spread over the tasks.
 """
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions import vocab
-from casegraph.operators.storage import numbered, saved
+from casegraph.operators.storage import clear, mark, numbered, saved
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float
     n = linked.count() + lonely
     if not n:
         return spark.createDataFrame([], f"v {kind}, rank double")
-    rank, single = linked.withColumn("rank", F.lit(1.0 / n)), 1.0 / n
+    rank, single, start = linked.withColumn("rank", F.lit(1.0 / n)), 1.0 / n, mark()
     for _ in range(rounds):
         given = (1 - damping) / n + damping * lonely * single / n
         part = rank.select(F.col("v").alias("a"), (F.col("rank") / F.col("total")).alias("part"))
@@ -158,6 +161,7 @@ def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float
             flow = flow.unionByName(implied.members.join(got, "class").select("v", "flow"))
         flow = flow.groupBy("v").agg(F.sum("flow").alias("flow"))
         new = saved(rank.join(flow, "v", "left").select("v", "total", (F.lit(given) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
+        clear(spark, start, but_last=1)
         moved = (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) + lonely * abs(given - single)
         rank, single = new.select("v", "total", "rank"), given
         if moved < tolerance:
@@ -190,8 +194,12 @@ def _by_component(links: DataFrame, fn, schema: str, most: int, rest=None) -> Da
     return small.unionByName(rest(labels.join(large, "label", "left_semi").select("label", "v"), rows.filter(F.col("n") > most).drop("n")))
 
 
-def omitted(links: DataFrame, metric: str = "betweenness", most: int = vocab.BETWEENNESS_NODES) -> DataFrame:
-    """Components that a metric leaves out for their size, as rows instead of silence."""
+#: Up to this many vertices in a component betweenness takes all of them as sources, beyond it a sample.
+EXACT = 5_000
+
+
+def omitted(links: DataFrame, metric: str = "betweenness", most: int = EXACT) -> DataFrame:
+    """Components for whose size a metric is estimated, as rows instead of silence."""
     return components(links).groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.lit(metric).alias("metric"), "label", "n", F.lit(most).alias("limit"))
 
 
@@ -274,12 +282,86 @@ def bridges(links: DataFrame, most: int = 20_000) -> DataFrame:
     return _by_component(links, find, f"a {kind}, b {kind}", most, _bridges_wide)
 
 
-def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES, vertices: DataFrame | None = None) -> DataFrame:
-    """Exact betweenness with distance 1 / weight, over all n vertices: shortest-path counts from each vertex, summed back.
+#: Lengths count in units of 1e-12: equal sums are equal numbers, and a path may have 9 million links of weight 1.
+_UNIT = 1e12
+
 
-    vertices (v) without links have zero.
+def _flow(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """(s, v, x): sums of x over all walks of one step (s, v, to) or more from start; steps have no cycles."""
+    front = total = None
+    for k in itertools.count():
+        front = saved((start if front is None else front).join(steps, ["s", "v"]).groupBy("s", F.col("to").alias("v")).agg(F.sum("x").alias("x")))
+        if k and front.isEmpty():
+            return total.groupBy("s", "v").agg(F.sum("x").alias("x"))
+        total = front if total is None else total.unionByName(front)
+        if k % 16 == 15:
+            total = saved(total.groupBy("s", "v").agg(F.sum("x").alias("x")))
 
-    The reference skips it over this size; the vertices of a larger component are rows with null here.
+
+def _dependencies(sources: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, total, squares): how far shortest paths from the sources (s) depend on v; links are (a, b, length), both ways.
+
+    Distances fall by rounds of relaxation from what fell last. The links on shortest paths have no cycles, so that both sums are
+    linear: paths of k links add up from those of k - 1, and so does what flows back. Rounds grow with the links of a path.
+    """
+    far = saved(sources.select("s", F.col("s").alias("v"), F.lit(0).cast("long").alias("far"), F.lit(True).alias("fresh")))
+    while True:
+        start = mark() - 1
+        step = far.filter("fresh").select("s", F.col("v").alias("a"), "far").join(links, "a").select("s", F.col("b").alias("v"), (F.col("far") + F.col("length")).alias("far"), F.lit(None).cast("long").alias("old"))
+        known = far.select("s", "v", "far", F.col("far").alias("old"))
+        least = known.unionByName(step).groupBy("s", "v").agg(F.min("far").alias("far"), F.min("old").alias("old"))
+        far = saved(least.select("s", "v", "far", (F.col("old").isNull() | (F.col("far") < F.col("old"))).alias("fresh")))
+        clear(far.sparkSession, start, but_last=1)
+        if far.filter("fresh").isEmpty():
+            break
+    ends = far.select("s", F.col("v").alias("to"), F.col("far").alias("there"))
+    tried = far.select("s", F.col("v").alias("a"), "far").join(links, "a").select("s", F.col("a").alias("v"), F.col("b").alias("to"), (F.col("far") + F.col("length")).alias("there"))
+    steps = saved(tried.join(ends, ["s", "to", "there"], "left_semi").select("s", "v", "to"))
+    one = sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("x"))
+    paths = saved(_flow(one, steps).withColumnRenamed("x", "paths"))
+    back = _flow(paths.select("s", "v", (1 / F.col("paths")).alias("x")), steps.select("s", F.col("to").alias("v"), F.col("v").alias("to")))
+    load = back.join(paths, ["s", "v"]).select("v", (F.col("x") * F.col("paths")).alias("load"))
+    return load.groupBy("v").agg(F.sum("load").alias("total"), F.sum(F.col("load") * F.col("load")).alias("squares"))
+
+
+def _betweenness_wide(vertices: DataFrame, links: DataFrame, n: int, exact: int, pivots: int, rows: int) -> DataFrame:
+    """(v, betweenness, error, pivots) of components of any size from rounds over (source, vertex) rows, some ``rows`` at a time.
+
+    Sources are the vertices of least hash, all or ``pivots`` of a component; the error is one of a sample without replacement.
+    """
+    spark = links.sparkSession
+    ends = saved(vertices.select("label", "v"))
+    way = links.filter("a <> b").select("a", "b", F.round(F.lit(_UNIT) / F.col("weight")).cast("long").alias("length"))
+    both = saved(way.union(way.select("b", "a", "length")).groupBy("a", "b").agg(F.min("length").alias("length")))
+    placed = saved(numbered(ends, "label", F.xxhash64("v"), "v", name="no"))
+    sizes = placed.groupBy("label").agg(F.count("*").alias("size"), F.min("no").alias("first"))
+    sizes = saved(sizes.withColumn("k", F.when(F.col("size") <= exact, F.col("size")).otherwise(F.least("size", F.lit(pivots)))))
+    sources = saved(placed.join(sizes, "label").filter("no - first < k").select(F.col("v").alias("s"), "size"))
+    batches = -(-(sources.agg(F.sum("size")).first()[0] or 0) // rows)
+    loads = []
+    for batch in range(batches):
+        start = mark()
+        part = sources.filter(F.pmod(F.xxhash64(F.lit(1), "s"), F.lit(batches)) == batch).select("s")
+        loads.append(saved(_dependencies(part, both)))
+        clear(spark, start, but_last=1)
+    kind = vertices.schema["v"].dataType.simpleString()
+    load = reduce(DataFrame.unionByName, loads, spark.createDataFrame([], f"v {kind}, total double, squares double"))
+    load = ends.join(sizes, "label").join(load.groupBy("v").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares")), "v", "left").na.fill(0.0, ["total", "squares"])
+    spread = F.greatest(F.col("squares") - F.col("total") * F.col("total") / F.col("k"), F.lit(0.0)) / F.greatest(F.col("k") - 1, F.lit(1))
+    error = F.col("size") * F.sqrt((1 - F.col("k") / F.col("size")) * spread / F.col("k"))
+    scale = F.lit(float(max((n - 1) * (n - 2), 1)))
+    return load.select("v", (F.col("total") * F.col("size") / F.col("k") / scale).alias("betweenness"), (error / scale).alias("error"), F.col("k").alias("pivots"))
+
+
+def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES, vertices: DataFrame | None = None, exact: int = EXACT, pivots: int = 256, rows: int = 20_000_000) -> DataFrame:
+    """Betweenness with distance 1 / weight, over all n vertices: shortest-path counts from each source, summed back.
+
+    Columns: v, betweenness, error, pivots (sources in v's component). Components of up to ``most`` vertices are a task each;
+    larger ones go by rounds over all tasks, ``rows`` (source, vertex) rows at a time. Up to ``exact`` vertices all are sources
+    and the error is 0; beyond that ``pivots`` of them are, and the error is the standard error of the estimate, which shrinks
+    with the root of the pivots. A vertex that few sources depend on can be further off, but by Hoeffding's bound, but for a
+    chance p, by no more than sqrt(ln(2 / p) / (2 pivots)) of the size's pairs. vertices (v) without links have zero. Weights
+    are positive.
     """
     import heapq
 
@@ -310,11 +392,12 @@ def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES, v
                 if w != s:
                     total[w] += load[w]
         scale = max((n - 1) * (n - 2), 1)
-        return pd.DataFrame([(v, x / scale) for v, x in total.items()], columns=["v", "betweenness"])
+        return pd.DataFrame([(v, x / scale, 0.0, len(total)) for v, x in total.items()], columns=["v", "betweenness", "error", "pivots"])
 
     kind = links.schema["a"].dataType.simpleString()
-    found = _by_component(links, run, f"v {kind}, betweenness double", most, lambda large, _: large.select("v", F.lit(None).cast("double").alias("betweenness")))
-    return found if vertices is None else vertices.select("v").join(found.withColumn("linked", F.lit(True)), "v", "left").select("v", F.when(F.col("linked"), F.col("betweenness")).otherwise(0.0).alias("betweenness"))
+    wide = lambda large, rest: _betweenness_wide(large, rest, n, exact, pivots, rows)
+    found = _by_component(links, run, f"v {kind}, betweenness double, error double, pivots long", most, wide)
+    return found if vertices is None else vertices.select("v").join(found, "v", "left").na.fill(0.0, ["betweenness", "error"]).na.fill(0, ["pivots"])
 
 
 def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> DataFrame:  # noqa: ANN001

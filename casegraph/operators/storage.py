@@ -30,11 +30,18 @@ def saved(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes what saved() wrote so far; call it when no result that reads from it is needed any more."""
+def mark() -> int:
+    """How many tables saved() has written and not yet deleted; what comes later can be cleared by itself."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0, but_last: int = 0) -> None:
+    """Deletes what saved() wrote since a mark, but for its last tables; no result that reads it may be needed any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    stop = len(_MADE) - but_last
+    gone, _MADE[since:stop] = _MADE[since:stop], []
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

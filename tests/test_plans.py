@@ -1,7 +1,10 @@
 """The queries over small invented tables, against brute force."""
 
 import datetime
+import itertools
+import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -56,9 +59,50 @@ def test_graph_has_links_of_all_kinds(spark, small):
     assert (3, 4) not in {(r["a"], r["b"]) for r in plans.adamic_adar_whole(spark, small).collect()}
 
 
-def test_large_components_have_no_betweenness_but_rows(spark):
-    links = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (10, 11, 1.0)], "a long, b long, weight double")
-    assert {r["v"]: r["betweenness"] for r in graph.betweenness(links, 5, 2).collect()} == {1: None, 2: None, 3: None, 10: 0.0, 11: 0.0}
+def brute_betweenness(links, n):
+    """Pairs of vertices by Floyd and Warshall in exact fractions; paths counted by distance, share by share."""
+    near = {}
+    for a, b, w in links:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = 1 / Fraction(str(w))
+    far = {u: {v: Fraction(0) if u == v else near[u].get(v) for v in near} for u in near}
+    for m, u, v in itertools.product(near, repeat=3):
+        if far[u][m] is not None and far[m][v] is not None and (far[u][v] is None or far[u][m] + far[m][v] < far[u][v]):
+            far[u][v] = far[u][m] + far[m][v]
+    paths = {}
+    for s in near:
+        paths[s] = {s: 1}
+        for v in sorted((v for v in near if v != s and far[s][v] is not None), key=lambda v: far[s][v]):
+            paths[s][v] = sum(paths[s][u] for u, w in near[v].items() if far[s][u] + w == far[s][v])
+    share = dict.fromkeys(near, 0.0)
+    for s, v, t in itertools.permutations(near, 3):
+        if far[s][v] is not None and far[s][t] is not None and far[s][v] + far[v][t] == far[s][t]:
+            share[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    return {v: x / ((n - 1) * (n - 2)) for v, x in share.items()}
+
+
+def test_betweenness_of_large_components(spark):
+    """All vertices as sources, by tasks or in batches: equal to brute force; a sample: mostly in two errors, all in Hoeffding's bound."""
+    rng = random.Random(5)
+    pairs = {(rng.randrange(v), v) for v in range(1, 45)} | {tuple(sorted(rng.sample(range(45), 2))) for _ in range(40)}
+    links = [(a, b, rng.choice([0.7, 0.8, 0.9, 0.95])) for a, b in sorted(pairs)] + [(100, 101, 0.9), (101, 102, 0.9)]
+    table = spark.createDataFrame(links, "a long, b long, weight double")
+    want = brute_betweenness(links, 60)
+    for most, rows in ((100, 1), (2, 1_200)):
+        got = {r["v"]: r for r in graph.betweenness(table, 60, most, rows=rows).collect()}
+        assert set(got) == set(want) and all(abs(got[v]["betweenness"] - x) < 1e-9 and abs(got[v]["error"]) < 1e-9 for v, x in want.items())
+        assert got[3]["pivots"] == 45 and got[100]["pivots"] == 3
+    alone = spark.createDataFrame([(3,), (500,)], "v long")
+    sample = {r["v"]: r for r in graph.betweenness(table, 60, 10, alone.union(spark.createDataFrame([(v,) for v in want if v != 3], "v long")), exact=10, pivots=30).collect()}
+    assert sample[500]["betweenness"] == sample[500]["error"] == sample[500]["pivots"] == 0 and sample[3]["pivots"] == 30
+    off = {v: abs(sample[v]["betweenness"] - x) for v, x in want.items()}
+    assert max(off.values()) < 45 * 43 / (59 * 58) * math.sqrt(math.log(2e6) / 60)
+    assert sum(x < 2 * sample[v]["error"] + 1e-9 for v, x in off.items()) > 0.8 * len(off) and max(r["error"] for r in sample.values()) > 0
+
+
+def test_betweenness_without_links(spark):
+    none = spark.createDataFrame([], "a long, b long, weight double")
+    assert graph.betweenness(none, 0).count() == 0
+    assert [tuple(r) for r in graph.betweenness(none, 1, vertices=spark.createDataFrame([(4,)], "v long")).collect()] == [(4, 0.0, 0.0, 0)]
 
 
 def test_pagerank_query_converges(spark, tmp_path):
