@@ -400,95 +400,63 @@ def betweenness(links: DataFrame, n: int, most: int = vocab.BETWEENNESS_NODES, v
     return found if vertices is None else vertices.select("v").join(found, "v", "left").na.fill(0.0, ["betweenness", "error"]).na.fill(0, ["pivots"])
 
 
-def _communities_wide(vertices: DataFrame, links: DataFrame, fn, most: int) -> DataFrame:  # noqa: ANN001
-    """(v, community) of components of any size: pairs contract until a component has at most most vertices; fn does the rest.
+def _local_moves(edges: DataFrame, double: float, tolerance: float, patience: int) -> tuple[DataFrame, bool]:
+    """(v, com) of the best modularity that rounds of moves reach from single vertices, and whether it beats those.
 
-    Two vertices contract if each is the other's best partner by modularity gain and the gain is positive, so each round
-    raises modularity. If none gains any more, the component is done.
+    edges (a, b, w) go both ways; a loop holds what is inside its vertex, both ways; double is the sum of w. A round offers each
+    vertex its neighbours' communities; those whose turn a hash gives move to the best, equal ones to the least. As half of all
+    vertices stand still no two can trade places for ever. Rounds end when none wants to move or ``patience`` rounds gain nothing.
     """
-    kind = vertices.schema["v"].dataType.simpleString()
-    schema = f"v {kind}, community {kind}"
-    home = saved(vertices.select("label", "v", F.col("v").alias("com")))
-    edges = saved(links.filter("a <> b").groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w")))
-    total = saved(edges.groupBy("label").agg((2 * F.sum("w")).alias("double")))
-    loops = edges.limit(0).select("label", "a", F.col("w").alias("loop"))
-    large = lambda: home.groupBy("label").agg(F.count_distinct("com").alias("n")).filter(F.col("n") > most).select("label")
-    ends = lambda e: e.select("label", "a", "b", "w").union(e.select("label", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    while not large().isEmpty():
-        mass = saved(ends(edges).select("label", "a", "w").union(loops).groupBy("label", "a").agg(F.sum("w").alias("k")))
-        other = mass.select("label", F.col("a").alias("b"), F.col("k").alias("kb"))
-        gain = F.round(F.col("w") - F.col("k") * F.col("kb") / F.col("double"), 9)
-        worth = saved(edges.join(mass, ["label", "a"]).join(other, ["label", "b"]).join(total, "label").select("label", "a", "b", gain.alias("w")).filter("w > 0"))
-        best = ends(worth).groupBy("label", "a").agg(F.min_by("b", F.struct(-F.col("w"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
-        pairs = best.groupBy("label", F.least("a", "b").alias("new"), F.greatest("a", "b").alias("old")).agg(F.count("*").alias("n")).filter("n = 2")
-        pairs = saved(pairs.select("label", "old", "new"))
-        if pairs.isEmpty():
-            break
-        put = lambda df, c: df.join(pairs.withColumnRenamed("old", c), ["label", c], "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
-        home = saved(put(home, "com"))
-        moved = saved(put(put(edges, "a"), "b"))
-        inner = moved.filter("a = b").select("label", "a", (2 * F.col("w")).alias("loop"))
-        loops = saved(put(loops, "a").select("label", "a", "loop").union(inner).groupBy("label", "a").agg(F.sum("loop").alias("loop")))
-        edges = saved(moved.filter("a <> b").groupBy("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
-    stuck = saved(large())
-    rows = edges.select("label", "a", "b", F.col("w").alias("weight")).union(loops.select("label", "a", F.col("a").alias("b"), "loop"))
-    final = rows.join(stuck, "label", "left_anti").groupBy("label").applyInPandas(fn, schema).withColumnRenamed("v", "com")
-    return home.join(final, "com", "left").select("v", F.coalesce("community", "com").alias("community"))
-
-
-def communities(links: DataFrame, most: int = 200_000) -> DataFrame:
-    """(v, community): local moves by modularity gain, communities contracted, until none improves; names are least vertices.
-
-    Components over ``most`` vertices are contracted by _communities_wide until they fit.
-    Equality with another library's partition is not promised; modularity never falls below that of the components.
+    mass = saved(edges.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("loop")))
+    others = edges.filter("a <> b")
+    home = best = mass.select("v", F.col("v").alias("com"))
+    first = top = None
+    misses = 0
+    for turn in itertools.count():
+        now = home.join(mass, "v")
+        total = now.groupBy("com").agg(F.sum("k").alias("total"))
+        near = others.join(home.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "com", "w").union(home.select("v", "com", F.lit(0.0)))
+        offers = near.groupBy("v", "com").agg(F.sum("w").alias("w")).join(now.withColumnRenamed("com", "own"), "v").join(total, "com")
+        own = F.col("com") == F.col("own")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(own, F.col("k")).otherwise(0.0)) / double, 9)
+        choice = offers.withColumn("gain", gain).groupBy("v", "own", "k", "loop").agg(
+            F.min_by("com", F.struct(-F.col("gain"), "com")).alias("to"), (F.max("gain") > F.max(F.when(own, F.col("gain")))).alias("wants"), F.sum(F.when(own, F.col("w"))).alias("w")
+        )
+        choice = saved(choice)
+        by_home = choice.groupBy("own").agg(F.sum(F.col("w") + F.col("loop")).alias("inside"), F.sum("k").alias("k"), F.max("wants").alias("wants"))
+        inside, squares, wants = by_home.agg(F.sum("inside"), F.sum(F.col("k") * F.col("k")), F.max("wants")).first()
+        quality = inside / double - squares / double**2
+        first = quality if first is None else first
+        misses = 0 if top is None or quality > top + tolerance else misses + 1
+        if top is None or quality > top:
+            best, top = home, quality
+        if not wants or misses > patience:
+            return best, top > first
+        moves = F.col("wants") & (F.pmod(F.xxhash64(F.lit(turn), "v"), F.lit(2)) == 0)
+        home = choice.select("v", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("com"))
+
+
+def communities(links: DataFrame, tolerance: float = 1e-5, patience: int = 5) -> DataFrame:
+    """(v, community): local moves by modularity gain, communities contracted, until none gains; names are least vertices.
+
+    All is joins and aggregates over the links of the level, at any size; modularity is that of the whole graph, as in the
+    reference, and no round that lowers it stays. Equality with another library's partition is not promised.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        inner = rows[rows["a"] == rows["b"]]
-        graph = _neighbours(rows[rows["a"] != rows["b"]])
-        for v in inner["a"]:
-            graph.setdefault(v, {})
-        home = {v: v for v in graph}
-        loops = dict.fromkeys(graph, 0.0) | dict(zip(inner["a"], inner["weight"], strict=True))
-        double = sum(sum(ws.values()) for ws in graph.values()) + sum(loops.values())
-        while True:
-            com = {v: v for v in graph}
-            strength = {v: sum(ws.values()) + loops[v] for v, ws in graph.items()}
-            mass, moved, any_move = dict(strength), True, False
-            while moved:
-                moved = False
-                for v, ws in graph.items():
-                    mass[com[v]] -= strength[v]
-                    gain: dict = {com[v]: 0.0}
-                    for w, x in ws.items():
-                        gain[com[w]] = gain.get(com[w], 0.0) + x
-                    best = max(sorted(gain), key=lambda c: gain[c] - mass[c] * strength[v] / double)
-                    score = lambda c: gain[c] - mass[c] * strength[v] / double  # noqa: B023, E731
-                    if score(best) > score(com[v]) + 1e-12:
-                        com[v], moved, any_move = best, True, True
-                    mass[com[v]] += strength[v]
-            if not any_move:
-                break
-            new: dict = {}
-            new_loops: dict = {}
-            for v, ws in graph.items():
-                c = com[v]
-                new.setdefault(c, {})
-                new_loops[c] = new_loops.get(c, 0.0) + loops[v]
-                for w, x in ws.items():
-                    if com[w] == c:
-                        new_loops[c] += x
-                    else:
-                        new[c][com[w]] = new[c].get(com[w], 0.0) + x
-            home = {v: com[c] for v, c in home.items()}
-            graph, loops = new, new_loops
-        name: dict = {}
-        for v, c in home.items():
-            name[c] = min(name.get(c, v), v)
-        return pd.DataFrame([(v, name[c]) for v, c in home.items()], columns=["v", "community"])
-
-    kind = links.schema["a"].dataType.simpleString()
-    return _by_component(links, run, f"v {kind}, community {kind}", most, lambda vertices, rows: _communities_wide(vertices, rows, run, most))
+    plain = links.select("a", "b", F.col("weight").alias("w"))
+    edges = saved(plain.union(plain.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    double = edges.agg(F.sum("w")).first()[0]
+    of = saved(edges.select(F.col("a").alias("v"), F.col("a").alias("com")).distinct())
+    better = bool(double)
+    while better:
+        start = mark()
+        home, better = _local_moves(edges, double, tolerance, patience)
+        if better:
+            one, two = home.toDF("a", "x"), home.toDF("b", "y")
+            joined = edges.join(one, "a").join(two, "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+            edges, of = saved(joined), saved(of.join(home.toDF("com", "new"), "com").select("v", F.col("new").alias("com")))
+        clear(links.sparkSession, start, but_last=2 * better)
+    names = of.groupBy("com").agg(F.min("v").alias("community"))
+    return of.join(names, "com").select("v", "community")
 
 
 def adamic_adar(pairs: DataFrame, known: DataFrame, top: int = vocab.TOP_CANDIDATES) -> DataFrame:

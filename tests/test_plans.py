@@ -153,18 +153,36 @@ def test_bridges_of_large_components(spark):
     assert len(want) > 5 and sorted(map(tuple, graph.bridges(links, 3).collect())) == want
 
 
-def test_communities_of_large_components(spark):
-    """Six cliques of five in a ring: whole cliques stay together however small the components that fit one task."""
-    pairs = [(5 * c + i, 5 * c + j) for c in range(6) for i in range(5) for j in range(i + 1, 5)] + [(0, 25)] + [(5 * c, 5 * c + 5) for c in range(5)]
-    links = spark.createDataFrame([(a, b, 0.9) for a, b in pairs], "a long, b long, weight double")
-
-    def modularity(home):
-        degree = {v: sum(v in p for p in pairs) for v in range(30)}
-        inside = sum(home[a] == home[b] for a, b in pairs) / len(pairs)
-        return inside - sum((sum(d for v, d in degree.items() if home[v] == c) / 2 / len(pairs)) ** 2 for c in set(home.values()))
-
-    homes = [{r["v"]: r["community"] for r in graph.communities(links, most).collect()} for most in (200_000, 12, 1)]
-    for home in homes:
-        assert len(home) == 30 and modularity(home) > 0.5
-        assert all(c == min(v for v, x in home.items() if x == c) for c in home.values())
-    assert modularity(homes[0]) >= 0.6
+def modularity(links, home):
+    double = 2 * sum(w for _, _, w in links)
+    strength = {}
+    for a, b, w in links:
+        for v in (a, b):
+            strength[home[v]] = strength.get(home[v], 0) + w
+    return sum(2 * w for a, b, w in links if home[a] == home[b]) / double - sum(x * x for x in strength.values()) / double**2
+
+
+def one_by_one(links):
+    """Vertices in turn go where modularity, counted anew for each try, is highest, until none gains; then whole communities."""
+    home = {v: v for a, b, _ in links for v in (a, b)}
+    while True:
+        before = modularity(links, home)
+        for group in ([{v} for v in home], [{v for v in home if home[v] == c} for c in sorted(set(home.values()))]):
+            for members in group:
+                where = {home[v] for a, b, _ in links for u, v in ((a, b), (b, a)) if u in members}
+                tries = [home | dict.fromkeys(members, c) for c in sorted(where)]
+                home = max([home, *tries], key=lambda h: modularity(links, h))
+        if modularity(links, home) < before + 1e-9:
+            return home
+
+
+def test_communities(spark):
+    """Six cliques of five in a ring, and planted groups: no worse than moves one by one; whole cliques stay together."""
+    rng = random.Random(8)
+    ring = [(5 * c + i, 5 * c + j, 0.9) for c in range(6) for i in range(5) for j in range(i + 1, 5)] + [(0, 25, 0.9)] + [(5 * c, 5 * c + 5, 0.9) for c in range(5)]
+    planted = [(a, b, rng.choice([0.7, 0.99])) for a in range(48) for b in range(a + 1, 48) if rng.random() < (0.55 if a // 12 == b // 12 else 0.03)]
+    for links, least in ((ring, 0.6), (planted, 0.4)):
+        home = {r["v"]: r["community"] for r in graph.communities(spark.createDataFrame(links, "a long, b long, weight double")).collect()}
+        assert set(home) == {v for a, b, _ in links for v in (a, b)} and all(c == min(v for v, x in home.items() if x == c) for c in home.values())
+        assert modularity(links, home) >= max(least, modularity(links, one_by_one(links)) - 1e-9)
+    assert graph.communities(spark.createDataFrame([], "a string, b string, weight double")).count() == 0
