@@ -169,9 +169,14 @@ def pagerank(links: DataFrame, vertices: DataFrame | None = None, damping: float
     return rank.select("v", "rank").union(alone.select("v", F.lit(single).alias("rank")))
 
 
-def top(metric: DataFrame, value: str, n: int = vocab.TOP_CENTRAL) -> DataFrame:
-    """The n greatest, rounded to four places; equal ones by vertex."""
-    return metric.filter(F.col(value).isNotNull()).orderBy(F.desc(value), "v").limit(n).select("v", F.round(value, 4).alias(value))
+def positions(degree: DataFrame, rank: DataFrame, between: DataFrame, bridges: DataFrame, n: int = vocab.TOP_CENTRAL) -> DataFrame:
+    """(metric, place, v, w, value): the n most central of each metric and the first n bridges (v to w, without a value); equal ones by vertex."""
+    lists = [("degree", degree, "centrality"), ("betweenness", between, "betweenness"), ("pagerank", rank, "rank")]
+    first = lambda df, value: df.filter(F.col(value).isNotNull()).orderBy(F.desc(value), "v").limit(n)
+    best = [first(df, value).select(F.lit(name).alias("metric"), F.col("v").cast("string").alias("v"), F.lit(None).cast("string").alias("w"), F.col(value).alias("value")) for name, df, value in lists]
+    some = bridges.orderBy("a", "b").limit(n).select(F.lit("bridge").alias("metric"), F.col("a").cast("string").alias("v"), F.col("b").cast("string").alias("w"), F.lit(None).cast("double").alias("value"))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "v", "w"))
+    return reduce(DataFrame.unionByName, best + [some]).select("metric", place.alias("place"), "v", "w", F.round("value", 4).alias("value"))
 
 
 def named_communities(home: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from casegraph.functions import vocab
-from casegraph.operators import graph, views
+from casegraph.operators import views
 
 
 def tables(run: dict[str, DataFrame], folder: str, texts_folder: str) -> None:
@@ -78,7 +78,7 @@ def _table(df: DataFrame, columns: list[str], rows: int) -> str:
 
 def markdown(run: dict[str, DataFrame], path: str) -> str:
     """The report of a run in eight sections; lists are limited as people read them, the tables hold all."""
-    central = graph.top(run["degree"], "centrality", vocab.REPORT_CENTRAL)
+    central = run["positions"].filter(F.col("place") <= vocab.REPORT_CENTRAL).orderBy("metric", "place")
     sections = [
         ("Resumen del grafo", _table(views.summary(run["nodes"], run["edges"]).orderBy("what", "name"), ["what", "name", "n"], 100)),
         ("Vinculaciones propuestas", _table(views.shown_links(run["links"]), ["a", "b", "relation", "score", "rules"], vocab.QUEUE_ROWS)),
@@ -86,7 +86,7 @@ def markdown(run: dict[str, DataFrame], path: str) -> str:
         ("Alertas de reapertura", _table(run["alerts"], ["archived", "trigger", "priority", "brings", "score"], vocab.QUEUE_ROWS)),
         ("Casos", _table(run["cases"], ["case", "first_report", "reports", "links"], vocab.QUEUE_ROWS)),
         ("Contradicciones e identidades", _table(run["contradictions"].filter("current").select("src_value", "dst_value", "explanation"), ["src_value", "dst_value", "explanation"], vocab.QUEUE_ROWS)),
-        ("Posición en el grafo", "Describe lugares en el grafo, no personas.\n\n" + _table(central, ["v", "centrality"], vocab.REPORT_CENTRAL)),
+        ("Posición en el grafo", "Describe lugares en el grafo, no personas.\n\n" + _table(central, ["metric", "place", "v", "w", "value"], 4 * vocab.REPORT_CENTRAL)),
         ("Cola de revisión", _table(views.queue(run["all_edges"]), ["arista_id", "relation", "origin", "confidence"], vocab.QUEUE_ROWS)),
     ]
     text = "# Informe de la corrida\n\nToda vinculación es una propuesta y ninguna acredita autoría.\n\n" + "\n\n".join(f"## {k}. {t}\n\n{b}" for k, (t, b) in enumerate(sections, 1))

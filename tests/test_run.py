@@ -163,6 +163,11 @@ def test_coverage_and_metrics(run):
     rank = {r["v"]: r["rank"] for r in run["pagerank"].collect()}
     assert abs(sum(rank.values()) - 1) < 1e-6 and rank["C1"] == rank["D1"] < rank["B3"]
     assert {r["v"]: r["betweenness"] for r in run["betweenness"].collect()}["B2"] > 0 and rows(run["bridges"], "a", "b") == [("A1", "B2"), ("B2", "B3")]
+    places = {(r["metric"], r["place"]): r for r in run["positions"].collect()}
+    assert [places["bridge", k]["v"] + places["bridge", k]["w"] for k in (1, 2)] == ["A1B2", "B2B3"]
+    for metric, value, of in (("degree", "centrality", "degree"), ("pagerank", "rank", "pagerank"), ("betweenness", "betweenness", "betweenness")):
+        best = sorted(((-r[value], r["v"]) for r in run[of].collect()))[:10]
+        assert [places[metric, k]["v"] for k in range(1, len(best) + 1)] == [v for _, v in best] and (metric, 11) not in places
     assert rows(run["candidates"], "a", "b", "score") == [("C1", "C2", 1.4427)]
 
 
