@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions import vocab
-from casegraph.operators import views
+from casegraph.operators import pseudonyms, review, views
+from casegraph.operators.storage import saved
 
 #: Values shorter than this are no identifiers to hide (fixed value).
 LEAST_LENGTH = 4
-#: Pseudonyms that one text may need to be checked for: a case's values, which are broadcast.
-MOST_VALUES = 200_000
 
 
 def build(run: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -38,9 +33,9 @@ def build(run: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def weights(links: DataFrame) -> DataFrame:
-    """Number, greatest, least and mean score, in all and by band."""
+    """Number, greatest, least and mean score, in all (also of no links) and by band, in one pass."""
     agg = [F.count("*").alias("links"), F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.round(F.avg("score"), 4).alias("avg_score")]
-    return links.groupBy(F.lit("all").alias("band")).agg(*agg).unionByName(links.groupBy("band").agg(*agg))
+    return links.groupingSets([[], ["band"]], "band").agg(F.grouping("band").alias("all"), *agg).select(F.when(F.col("all") == 1, "all").otherwise(F.col("band")).alias("band"), "links", "max_score", "min_score", "avg_score")
 
 
 def rules(links: DataFrame) -> DataFrame:
@@ -80,39 +75,6 @@ def sensitive(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("value").agg(F.min("kind").alias("kind"), F.min("node_id").alias("order")).select("kind", "value", "order")
 
 
-def hidden(texts: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """texts with the values in a column replaced by their labels, longest first; labels: value, label.
-
-    The labels are broadcast: give those of a case. More than MOST_VALUES are refused.
-    """
-    pairs = labels.select("value", "label").limit(MOST_VALUES + 1).collect()
-    if len(pairs) > MOST_VALUES:
-        raise ValueError("too many values for one dossier; trim it to a case first")
-    order = sorted(((r["value"], r["label"]) for r in pairs), key=lambda p: (-len(p[0]), p[0]))
-    return _replaced(texts, column, re.compile("|".join(re.escape(v) for v, _ in order)) if order else None, dict(order))
-
-
-def restored(texts: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """The inverse of hidden(): whole labels become values again."""
-    order = {r["label"]: r["value"] for r in labels.select("value", "label").limit(MOST_VALUES + 1).collect()}
-    if len(order) > MOST_VALUES:
-        raise ValueError("too many values for one dossier; trim it to a case first")
-    names = sorted(order, key=lambda x: (-len(x), x))
-    return _replaced(texts, column, re.compile(r"\b(?:" + "|".join(map(re.escape, names)) + r")\b") if names else None, order)
-
-
-def _replaced(texts: DataFrame, column: str, pattern: re.Pattern | None, by: dict[str, str]) -> DataFrame:
-    if pattern is None:
-        return texts
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            p[column] = p[column].map(lambda t: None if t is None else pattern.sub(lambda m: by[m[0]], t))
-            yield p
-
-    return texts.mapInPandas(run, texts.schema)
-
-
 def payload(dossier: dict[str, DataFrame]) -> DataFrame:
     """The dossier as rows of section and JSON text, for pseudonyms or for a writer."""
     out = None
@@ -120,3 +82,9 @@ def payload(dossier: dict[str, DataFrame]) -> DataFrame:
         part = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("json"))
         out = part if out is None else out.union(part)
     return out
+
+
+def pseudonymised(dossier: dict[str, DataFrame], nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The payload (section, json) with pseudonyms for all sensitive values of the nodes, and the labels, which stay here."""
+    labels = saved(review.pseudonyms(sensitive(nodes)))
+    return pseudonyms.hidden(payload(dossier), "json", labels), labels

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegraph import cli, sinks
-from casegraph.operators import dossier, review, views
+from casegraph.operators import dossier, pseudonyms, review, views
 from casegraph.plans import api, docs
 from casegraph.plans.build import build
 from casegraph.sources import redact
@@ -227,10 +227,11 @@ def test_dossier(spark, run, reviewed):
     assert all_["all"] == sum(n for b, n in all_.items() if b != "all")
     labels = review.pseudonyms(dossier.sensitive(run["nodes"]))
     text = dossier.payload({"reports": whole["reports"].select("sid", "identifiers")})
-    secret = dossier.hidden(text, "json", labels)
+    secret, again = dossier.pseudonymised({"reports": whole["reports"].select("sid", "identifiers")}, run["nodes"])
+    assert sorted(again.collect()) == sorted(labels.collect())
     said, plain = ("\n".join(r["json"] for r in x.orderBy("json").collect()) for x in (secret, text))
     assert "plaza/u1" in plain and "plaza/u1" not in said and "xy@gmail.com" not in said and "CUENTA-" in said
-    assert sorted(r["json"] for r in dossier.restored(secret, "json", labels).collect()) == sorted(plain.split("\n"))
+    assert sorted(r["json"] for r in pseudonyms.restored(secret, "json", labels).collect()) == sorted(plain.split("\n"))
 
 
 def test_sinks(spark, run, tmp_path):
