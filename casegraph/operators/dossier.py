@@ -43,13 +43,17 @@ def rules(links: DataFrame) -> DataFrame:
     return links.select(F.explode("details").alias("d")).groupBy("d.rule").agg(F.count("*").alias("times"), F.round(F.avg("d.weight"), 4).alias("avg_weight"))
 
 
-def trim(dossier: dict[str, DataFrame], reports: DataFrame) -> dict[str, DataFrame]:
-    """The dossier of some reports (sid): rows of pairs with either end among them, of lists with any, of reports themselves."""
+def of_pairs(df: DataFrame, x: str, y: str, reports: DataFrame) -> DataFrame:
+    """Rows of pairs with either end among reports (sid)."""
     own = reports.select("sid").distinct()
     flag = lambda c: own.select(F.col("sid").alias(c), F.lit(True).alias(f"__{c}"))
+    return df.join(flag(x), x, "left").join(flag(y), y, "left").filter(f"__{x} or __{y}").select(*df.columns)
+
 
-    def either(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.join(flag(x), x, "left").join(flag(y), y, "left").filter(f"__{x} or __{y}").select(*df.columns)
+def trim(dossier: dict[str, DataFrame], reports: DataFrame) -> dict[str, DataFrame]:
+    """The dossier of some reports (sid): rows of pairs with either end among them, of lists with any, of reports themselves."""
+    own = reports.select("sid").distinct()
+    either = lambda df, x, y: of_pairs(df, x, y, own)
 
     def any_of(df: DataFrame) -> DataFrame:
         rows = df.withColumn("__id", F.monotonically_increasing_id())

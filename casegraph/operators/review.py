@@ -84,11 +84,6 @@ def orphans(decisions: DataFrame, edges: DataFrame, key: str = "arista_id") -> D
     return decisions.join(edges.select(key), key, "left_anti")
 
 
-def queue(edges: DataFrame) -> DataFrame:
-    """Pending edges: inferred ones first, then by confidence."""
-    return edges.filter("state = 'pendiente'").orderBy(F.col("origin") != "inferida", F.desc(F.coalesce("confidence", F.lit(0.0))), "arista_id")
-
-
 def manual_links(ledger: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """VINCULADO_POR_OPERADOR edges of pairs whose latest action is to link, and orphans: pairs of which a report is missing.
 

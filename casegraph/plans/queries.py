@@ -342,7 +342,7 @@ def review_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEDGER}, {_EDGES} SELECT arista_id, origin, confidence FROM edges LEFT JOIN last USING (arista_id) WHERE decision IS NULL")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.queue(review_split(spark, sf_dir)).select("arista_id", "origin", "confidence")
+    return views.queue(review_split(spark, sf_dir)).select("arista_id", "origin", "confidence")
 
 
 _BOOK = """raw AS (SELECT event_id AS seq, 'e_' || user_id AS edge, event_type AS decision FROM events),
