@@ -166,33 +166,35 @@ def dossier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- pseudonyms ---------------------------------------------------------------------------------------------------------
-_KINDS = {"CUENTA": ("customer", "c_name", "c_custkey"), "TELEFONO": ("customer", "c_phone", "c_custkey"), "ALIAS": ("orders", "o_clerk", "o_orderkey")}
+_KINDS = {"CUENTA": ("customer", "c_name", "c_custkey"), "ORGANIZACION": ("supplier", "s_name", "s_suppkey")}
 _LABELS = "firsts AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {c} AS value, min({o}) AS o FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for k, (t, c, o) in _KINDS.items()) + "), labels AS (SELECT value, kind || '-' || row_number() OVER (PARTITION BY kind ORDER BY o, value) AS label FROM firsts)"
-_TEXT = "'report ' || o_orderkey || ': {\"cuenta\": \"' || coalesce({0}, '-') || '\", \"telefono\": \"' || coalesce({1}, '-') || '\"} por ' || coalesce({2}, '-') || '.'"
+_LINES = "lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = l_suppkey"
 
 
 def _payload(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A text for each order that names customer, phone and clerk, and the labels of all three."""
-    parts = [table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(c).alias("value"), F.col(o).cast("long").alias("order")) for k, (t, c, o) in _KINDS.items()]
-    labels = review.pseudonyms(parts[0].union(parts[1]).union(parts[2]).filter("value is not null"))
+    """A text for each line of an order that names customer and supplier, and the labels of both."""
+    parts = [table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(c).alias("value"), F.col(o).alias("order")) for k, (t, c, o) in _KINDS.items()]
+    labels = review.pseudonyms(parts[0].union(parts[1]).filter("value is not null"))
+    lines, orders, customers, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    wide = lines.withColumnRenamed("l_orderkey", "o_orderkey").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey", "left")
+    wide = wide.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
     said = lambda c: F.coalesce(F.col(c), F.lit("-"))
-    wide = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "left")
-    text = F.concat(F.lit("report "), "o_orderkey", F.lit(': {"cuenta": "'), said("c_name"), F.lit('", "telefono": "'), said("c_phone"), F.lit('"} por '), said("o_clerk"), F.lit("."))
-    return wide.select("o_orderkey", text.alias("text")), saved(labels)
+    text = F.concat(F.lit('{"cuenta": "'), said("c_name"), F.lit('", "linea": '), "l_linenumber", F.lit("} de "), said("s_name"), F.lit("."))
+    return wide.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", text.alias("text")), saved(labels)
 
 
-def _text(*values: str) -> str:
-    return _TEXT.replace("{0}", values[0]).replace("{1}", values[1]).replace("{2}", values[2])
+def _text(account: str, vendor: str) -> str:
+    return f"""'{{"cuenta": "' || coalesce({account}, '-') || '", "linea": ' || l_linenumber || '}} de ' || coalesce({vendor}, '-') || '.' AS text"""
 
 
-@query(f"WITH {_LABELS} SELECT o_orderkey, {_text('x.label', 'y.label', 'z.label')} AS text FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN labels x ON x.value = c_name LEFT JOIN labels y ON y.value = c_phone LEFT JOIN labels z ON z.value = o_clerk")
+@query(f"WITH {_LABELS} SELECT l_orderkey, l_linenumber, {_text('x.label', 'y.label')} FROM {_LINES} LEFT JOIN labels x ON x.value = c_name LEFT JOIN labels y ON y.value = s_name")
 def hidden_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with pseudonyms for every customer, phone and clerk."""
+    """Texts with pseudonyms for every customer and supplier."""
     texts, labels = _payload(spark, sf_dir)
     return pseudonyms.hidden(texts, "text", labels)
 
 
-@query(f"SELECT o_orderkey, {_text('c_name', 'c_phone', 'o_clerk')} AS text FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+@query(f"SELECT l_orderkey, l_linenumber, {_text('c_name', 's_name')} FROM {_LINES}")
 def restored_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts there and back."""
     texts, labels = _payload(spark, sf_dir)
