@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import vocab
 from casegraph.operators import review, views
+from casegraph.operators.storage import saved
 from casegraph.sources import reports as source
 
 # Limits of an import.
@@ -98,53 +99,68 @@ def state(run: dict[str, DataFrame]) -> dict[str, int]:
     return {"reports": run["about"].count(), "links": run["links"].filter("current").count(), "pending": run["queue"].count(), "alerts": run["alerts"].count()}
 
 
+def _refusal(text: str, have: dict[str, str], seen: set[str]) -> tuple[dict | None, str | None, str | None]:
+    """A text as JSON, its report's id, and why it can't be taken (null: as far as its own text and the names tell, it can)."""
+    try:
+        body = json.loads(text)
+    except ValueError:
+        return None, None, "JSON invalido"
+    if not isinstance(body, dict):
+        return None, None, "no es un objeto JSON"
+    rid = body.get("reportId")
+    name = None if rid is None else str(rid)
+    if isinstance(rid, bool) or not isinstance(rid, str | int) or not re.match(source.VALID_ID, name) or name.lower() in source.RESERVED:
+        return body, name, "reportId invalido"
+    if name.casefold() in seen:
+        return body, name, "reportId repetido en el envio"
+    return body, name, None if have.get(name.casefold(), name) == name else "reportId difiere solo en mayusculas de uno existente"
+
+
+def _unreadable(spark: SparkSession, texts: dict[str, str]) -> dict[str, str]:
+    """Reasons of those reports (id to JSON) that the run could not read: one job finds what is no report, one extracts the rest."""
+    if not texts:
+        return {}
+    rows = spark.createDataFrame(list(texts.items()), "path string, text string")
+    try:
+        read = source.given_texts(rows)
+        bad = {r["path"]: "no se puede leer: no es un reporte" for r in read.filter("r is null").select("path").collect()}
+        source.extract(saved(source.identified(read.filter("r is not null"))))["branches"].write.format("noop").mode("overwrite").save()
+        return bad
+    except Exception as error:  # noqa: BLE001  the reader tells what is wrong; the halves find whose fault it is
+        if len(texts) == 1:
+            return {k: f"no se puede leer: {type(error).__name__}" for k in texts}
+    half, items = len(texts) // 2, list(texts.items())
+    return _unreadable(spark, dict(items[:half])) | _unreadable(spark, dict(items[half:]))
+
+
 def imported(spark: SparkSession, inbox: str, files: dict[str, str]) -> list[dict]:
-    """Puts reports (name to JSON text) into the inbox folder, each by itself: name, status (new, replaced, refused), reason.
+    """Puts reports (name to JSON text) into the inbox folder, each by itself: name, report, status (new, replaced, refused), reason.
 
-    A report is read as the run reads it before it takes its place at once; one that fails leaves what was there.
+    All are read together as the run reads them, in a fixed number of jobs (more only if reading one fails altogether), before
+    the good ones take their places, each at once; what fails leaves what was there. Of one id in several files the first
+    that the run can read is taken.
     """
     if len(files) > MOST_FILES or sum(len(t.encode()) for t in files.values()) > MOST_BYTES:
         raise ValueError(f"at most {MOST_FILES} files and {MOST_BYTES >> 20} MiB at a time")
     folder = Path(inbox)
     folder.mkdir(parents=True, exist_ok=True)
     have = {p.stem.casefold(): p.stem for p in folder.glob("*.json") if p.name != source.STATES}
-    out, seen = [], set()
+    trial = {name: _refusal(text, have, set()) for name, text in files.items()}
+    texts = {name: json.dumps(body, ensure_ascii=False) for name, (body, _, reason) in trial.items() if reason is None}
+    bad = _unreadable(spark, texts)
+    out, seen, parts = [], set(), []
     for name, text in files.items():
-        reason = rid = None
-        try:
-            body = json.loads(text)
-            rid = body.get("reportId") if isinstance(body, dict) else None
-            if not isinstance(body, dict):
-                reason = "no es un objeto JSON"
-            elif isinstance(rid, bool) or not isinstance(rid, str | int) or not re.match(source.VALID_ID, str(rid)) or str(rid).lower() in source.RESERVED:
-                reason = "reportId invalido"
-            elif str(rid).casefold() in seen:
-                reason = "reportId repetido en el envio"
-            elif have.get(str(rid).casefold(), str(rid)) != str(rid):
-                reason = "reportId difiere solo en mayusculas de uno existente"
-        except ValueError:
-            reason = "JSON invalido"
+        _, rid, reason = _refusal(text, have, seen)
+        reason = reason or bad.get(name)
+        status = "refused" if reason else "replaced" if rid.casefold() in have else "new"
         if reason is None:
-            trial = folder / f".{rid}.trial"
-            trial.mkdir()
-            part = trial / f"{rid}.json"
-            try:
-                part.write_text(json.dumps(body, ensure_ascii=False), encoding="utf-8")
-                rows = source.read(spark, [str(trial)])
-                source.extract(rows)["branches"].write.format("noop").mode("overwrite").save()
-                status = "replaced" if str(rid).casefold() in have else "new"
-                os.replace(part, folder / f"{rid}.json")
-                seen.add(str(rid).casefold())
-                out.append({"name": name, "report": str(rid), "status": status, "reason": None})
-                continue
-            except Exception as error:  # noqa: BLE001  the reader tells what is wrong with this file; others go on
-                reason = f"no se puede leer: {type(error).__name__}"
-            finally:
-                part.unlink(missing_ok=True)
-                for rest in trial.iterdir():
-                    rest.unlink()
-                trial.rmdir()
-        out.append({"name": name, "report": None if rid is None else str(rid), "status": "refused", "reason": reason})
+            seen.add(rid.casefold())
+            part = folder / f".{rid}.part"
+            part.write_text(texts[name], encoding="utf-8")
+            parts.append((part, folder / f"{rid}.json"))
+        out.append({"name": name, "report": rid, "status": status, "reason": reason})
+    for part, place in parts:
+        os.replace(part, place)
     return out
 
 

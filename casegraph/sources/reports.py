@@ -93,9 +93,19 @@ def read(spark: SparkSession, folders: list[str]) -> DataFrame:
     for k, folder in enumerate(folders):
         part = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).filter(F.col("_metadata.file_name") != STATES)
         part = part.select(navigated(F.decode("content", "UTF-8"), SCHEMA, CONTAINERS).alias("r"), F.col("_metadata.file_path").alias("path"), F.lit(k).alias("folder"))
-        part = part.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.concat(F.lit("not a report: "), "path")).cast(StructType.fromDDL(SCHEMA))).otherwise(F.col("r"))).select("r.*", "path", "folder")
+        part = part.withColumn("r", F.when(F.col("r").isNull(), F.raise_error(F.concat(F.lit("not a report: "), "path")).cast(StructType.fromDDL(SCHEMA))).otherwise(F.col("r")))
         out = part if out is None else out.unionByName(part)
-    typed = out.withColumn("id_type", F.schema_of_variant("reportId")).withColumn("reportId", F.try_variant_get("reportId", "$", "string"))
+    return identified(out)
+
+
+def given_texts(texts: DataFrame) -> DataFrame:
+    """As read(), of texts with their paths (text, path) instead of files; r is null for what is no report."""
+    return texts.select(navigated(F.col("text"), SCHEMA, CONTAINERS).alias("r"), "path", F.lit(0).alias("folder"))
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """Reports (r, path, folder) with their ids and the type of those; of one id the last folder's."""
+    typed = rows.select("r.*", "path", "folder").withColumn("id_type", F.schema_of_variant("reportId")).withColumn("reportId", F.try_variant_get("reportId", "$", "string"))
     window = Window.partitionBy("reportId")
     ranked = typed.withColumn("r", F.row_number().over(window.orderBy(F.desc("folder"), "path")))
     same = F.count("*").over(Window.partitionBy("reportId", "folder")).alias("in_folder")
