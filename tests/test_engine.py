@@ -1,6 +1,8 @@
 """Fixed keys, normalisers, text mining, the linkage of small invented reports, graph algorithms, review."""
 
 import json
+import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
 from casegraph.functions import textmine
 from casegraph.operators import graph, linkage, review, similarity
+from casegraph.operators.storage import saved
 from casegraph.plans.build import build, violations
 from casegraph.streaming import ledger
 
@@ -184,3 +187,32 @@ def test_tables_without_rows(spark):
     idx = linkage.index(spark.createDataFrame([], "sid long, kind string, value string, from_text boolean, locator string"))
     assert linkage.score(linkage.firings(linkage.shared(idx, linkage.frequency(idx)), 0)).count() == 0
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_are_scored_where_they_are_made(spark):
+    rows = [(i, "CUENTA", str(i // 9), False, "x") for i in range(90)] + [(i, "DISPOSITIVO", str(i % 9), False, "y") for i in range(90)]
+    idx = linkage.index(spark.createDataFrame(rows, "sid long, kind string, value string, from_text boolean, locator string"))
+    scored = linkage.score(linkage.firings(linkage.shared(idx, linkage.frequency(idx)), 90))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#\w+, b#", plan), "a row for each pair goes through a shuffle"
+    assert scored.count() == 10 * 36 + 9 * 45  # no pair shares both
+
+
+def test_spanning_links_have_the_components_of_all(spark):
+    rows = []
+    for i in range(150):
+        rows += [(i, "TELEFONO", str(i * 7 % 90), i % 3 == 0, "x"), (i, "DISPOSITIVO", str(i * i % 31), False, "x"), (i, "ALIAS", str(i % 50), False, "x"), (i, "EMAIL", str(i * 11 % 170), i % 5 == 0, "x")]
+    idx = saved(linkage.index(spark.createDataFrame(rows, "sid long, kind string, value string, from_text boolean, locator string")))
+    freq = saved(linkage.frequency(idx))
+    every = linkage.links(linkage.score(linkage.firings(linkage.shared(idx, freq), 150))).filter("score >= 0.7")
+    every, some = ([(r["a"], r["b"]) for r in x.select("a", "b").collect()] for x in (every, linkage.spanning(idx, freq, 150)))
+    assert set(some) <= set(every) and len(set(some)) < len(every)
+    least = lambda pairs: reduce(lambda to, p: {v: min(to[p[0]], to[p[1]]) if x in (to[p[0]], to[p[1]]) else x for v, x in to.items()}, pairs, {i: i for i in range(150)})
+    assert least(every) == least(some)
+
+
+def test_components_of_a_path_and_of_a_star(spark):
+    path, star = [(i, i + 1) for i in range(1, 300)], [(1000, i) for i in range(1001, 1300)]
+    found = {r["v"]: r["label"] for r in graph.components(spark.createDataFrame(path + star + [(5, 5)], "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(1, 301)} | {i: 1000 for i in range(1000, 1300)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
