@@ -186,3 +186,32 @@ def test_communities(spark):
         assert set(home) == {v for a, b, _ in links for v in (a, b)} and all(c == min(v for v, x in home.items() if x == c) for c in home.values())
         assert modularity(links, home) >= max(least, modularity(links, one_by_one(links)) - 1e-9)
     assert graph.communities(spark.createDataFrame([], "a string, b string, weight double")).count() == 0
+
+
+def test_graph_by_tasks_and_by_rounds(spark):
+    """Components a task each and over all tasks give the same: members, ranks, betweenness, bridges; communities as good."""
+    rng = random.Random(9)
+    pairs = {(rng.randrange(max(0, v - 9), v), v) for v in range(1, 60)} | {tuple(sorted(rng.sample(range(60), 2))) for _ in range(50)}
+    links = [(a, b, rng.choice([0.7, 0.8, 0.9, 0.95])) for a, b in sorted(pairs)] + [(100, 101, 0.9), (101, 102, 0.9)]
+    table = spark.createDataFrame(links, "a long, b long, weight double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.components(table)) == rows(graph.components(table, finish=0)) == [(v, 0) for v in range(60)] + [(v, 100) for v in (100, 101, 102)]
+    ends = spark.createDataFrame([(v,) for v in [*range(60), 100, 101, 102, 500]], "v long")
+    one, two = rows(graph.pagerank(table, ends)), rows(graph.pagerank(table, ends, most=1))
+    assert [v for v, _ in one] == [v for v, _ in two] and sum(abs(x - y) for (_, x), (_, y) in zip(one, two, strict=True)) < 1e-5
+    assert abs(sum(x for _, x in one) - 1) < 1e-5
+    sample = [rows(graph.betweenness(table, 64, 2, ends, exact=10, pivots=20, edges=e)) for e in (0, 1_000)]
+    for (v, *x), (w, *y) in zip(*sample, strict=True):
+        assert v == w and all(abs(p - q) < 1e-9 for p, q in zip(x, y, strict=True))
+    assert rows(graph.bridges(table)) == rows(graph.bridges(table, most=1))
+    double = 2 * sum(w for _, _, w in links)
+
+    def quality(home):
+        mass = {}
+        for a, b, w in links:
+            for v in (a, b):
+                mass[home[v]] = mass.get(home[v], 0.0) + w
+        return sum(2 * w for a, b, w in links if home[a] == home[b]) / double - sum(m * m for m in mass.values()) / double**2
+
+    here, wide = (quality(dict(rows(graph.communities(table, most=m)))) for m in (None, 1))
+    assert here > 0.3 and here > wide - 0.03
