@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
-from casegraph.operators.storage import saved
+from casegraph.operators.storage import parts, saved
 
 
 def current(edges: DataFrame, origin: str | None = None, relation: str | None = None, rejected: bool = False) -> DataFrame:
@@ -161,20 +161,24 @@ def paths(edges: DataFrame, wanted: DataFrame, depth: int = 4) -> DataFrame:
 
     Of equally short ways the one by people, then accounts, then others, events, organisations, and by node id.
     """
-    prefer = F.when(F.col("kind").isin("PERSONA_MENCION", "IDENTIDAD"), 0).when(F.col("kind") == "CUENTA", 1).when(F.col("kind") == "EVENTO", 3).when(F.col("kind") == "ORGANIZACION", 4).otherwise(2)
-    own = edges.filter("sid is not null").join(wanted.select("sid").distinct(), "sid", "left_semi")
-    step = own.select("sid", F.col("src").alias("from"), F.col("dst").alias("to"), F.col("dst_kind").alias("kind")).union(own.select("sid", "dst", "src", "src_kind")).withColumn("step", F.struct(prefer.alias("prefer"), F.col("to").alias("node")))
-    step = saved(step.select("sid", "from", "to", "step").distinct())
-    start = wanted.select("sid").distinct().withColumn("at", nz.node_id(F.lit("REPORTE"), F.col("sid")))
-    front = seen = saved(start.withColumn("way", F.array(F.struct(F.lit(0).alias("prefer"), F.col("at").alias("node")))))
+    prefer = lambda k: F.when(F.col(k).isin("PERSONA_MENCION", "IDENTIDAD"), 0).when(F.col(k) == "CUENTA", 1).when(F.col(k) == "EVENTO", 3).when(F.col(k) == "ORGANIZACION", 4).otherwise(2)
+    # All of a report's rows are in one part from here on, so neither joins nor groups by report shuffle again.
+    n = parts(edges.sparkSession, edges.count(), 250_000)
+    asked = wanted.groupBy("sid", F.col("node_id").alias("at")).agg(F.count("*").cast("int").alias("times")).repartition(n, "sid")
+    start = asked.select("sid").distinct()
+    own = edges.filter("sid is not null").select("sid", "src", prefer("src_kind").alias("of_src"), "dst", prefer("dst_kind").alias("of_dst")).repartition(n, "sid").join(start, "sid", "left_semi")
+    way = lambda a, b: F.struct(F.col(a).alias("at"), F.col(b).alias("to"), F.col(f"of_{b}").alias("prefer"))
+    step = own.select("sid", F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("s")).select("sid", "s.at", "s.to", F.struct("s.prefer", F.col("s.to").alias("node")).alias("step")).distinct()
+    front = start.withColumn("at", nz.node_id(F.lit("REPORTE"), F.col("sid"))).withColumn("way", F.array(F.struct(F.lit(0).alias("prefer"), F.col("at").alias("node"))))
+    found = front.join(asked, ["sid", "at"])
     for _ in range(depth):
-        grown = front.join(step, (front["sid"] == step["sid"]) & (front["at"] == step["from"])).select(front["sid"], F.col("to").alias("at"), F.concat("way", F.array("step")).alias("way"))
-        front = saved(grown.groupBy("sid", "at").agg(F.min("way").alias("way")).join(seen.select("sid", "at"), ["sid", "at"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    out = seen.join(wanted.withColumnRenamed("node_id", "at"), ["sid", "at"])
-    return out.select("sid", F.col("at").alias("node_id"), (F.size("way") - 1).alias("hops"), F.transform("way", lambda s: s["node"]).alias("path"))
+        grown = front.join(step, ["sid", "at"]).filter(~F.exists("way", lambda s: s["node"] == F.col("to")))
+        front = grown.select("sid", F.col("to").alias("at"), F.concat("way", F.array("step")).alias("way")).groupBy("sid", "at").agg(F.min("way").alias("way"))
+        found = found.unionByName(front.join(asked, ["sid", "at"]))
+    # A datum that is reached again by a longer way is listed with the shortest; a way of each length is the least of its length.
+    best = found.groupBy("sid", F.col("at").alias("node_id")).agg(F.min(F.struct(F.size("way").alias("size"), "way")).alias("w"), F.first("times").alias("times"))
+    out = best.select("sid", "node_id", "w.size", "w.way", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return out.select("sid", "node_id", (F.col("size") - 1).alias("hops"), F.transform("way", lambda s: s["node"]).alias("path"))
 
 
 def label(node: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
 from casegraph.functions.textmine import mentions
+from casegraph.operators.storage import saved
 
 # The input's field names, the source prefix of its identifiers, and names that files can't have.
 _VALUES = "array<struct<value:string>>"
@@ -329,6 +330,18 @@ def edges_of(branches: DataFrame) -> DataFrame:
     return branches.groupBy("arista_id").agg(F.max_by(F.struct(*EDGE[1:]), F.struct("locator", F.coalesce("observed_ts", F.lit(0).cast("timestamp")), "explanation")).alias("e")).select("arista_id", "e.*")
 
 
+def single(branches: DataFrame) -> DataFrame:
+    """As edges_of(), for branches that cost little to compute and hardly repeat an id: only repeated ids are shuffled with their rows.
+
+    Where none repeats, the rows pass as they are, and columns that nobody reads are not computed.
+    """
+    rows = branches.withColumn("__id", F.xxhash64("arista_id"))
+    again = saved(rows.groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select("__id"))
+    if again.isEmpty():
+        return branches.select(*EDGE)
+    return rows.join(again, "__id", "left_anti").select(*EDGE).unionByName(edges_of(rows.join(again, "__id", "left_semi")))
+
+
 def incidence(edges: DataFrame) -> DataFrame:
     """What the linkage index reads: identifier ends of each report's observed and derived edges, from fields or only from text."""
     kinds = sorted({r.kind for r in vocab.RULES})
