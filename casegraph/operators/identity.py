@@ -54,14 +54,19 @@ def consolidate(reviewed: DataFrame) -> tuple[DataFrame, DataFrame]:
     for c in ("by", "at"):
         if c not in reviewed.columns:
             reviewed = reviewed.withColumn(c, F.lit(None).cast("string"))
-    valid = saved(reviewed.filter("state = 'validada'").select(F.col("src").alias("a"), F.col("dst").alias("b"), "src_value", "dst_value", "by", "at", "arista_id"))
-    labels = graph.components(valid)
-    ends = valid.select(F.col("a").alias("v"), F.col("src_value").alias("value"), "by", "at", "arista_id").union(valid.select("b", "dst_value", "by", "at", "arista_id"))
-    who = ends.join(labels, "v").groupBy("label").agg(F.array_sort(F.collect_set("by")).alias("who"), F.max("at").alias("when"))
+    valid = reviewed.filter("state = 'validada'")  # not written: what follows reads a few of its columns, once each
+    labels = graph.components(graph.thinned(valid.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+    both = F.array(*[F.struct(F.col(e).alias("v"), F.col(f"{e}_value").alias("value")) for e in ("src", "dst")])
+    ends = valid.select(F.explode(both).alias("e"), "by", "at", "arista_id").select("e.*", "by", "at", "arista_id")
+    # Hypotheses of one account are made in one task, so what they say alike of a mention is one row before it travels.
+    told = ends.select("v", "value", "by", "at").distinct().groupBy("v").agg(F.min("value").alias("value"), F.collect_set("by").alias("by"), F.max("at").alias("at"))
+    group = labels.join(told, "v").groupBy("label").agg(
+        F.array_sort(F.collect_list("v")).alias("mentions"), F.array_sort(F.collect_set(F.substring_index("value", "/", 1))).alias("reports"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("by")))).alias("who"), F.max("at").alias("when"),
+    )
+    group = saved(group.withColumn("digest", F.sha2(F.array_join("mentions", "|"), 256)).withColumn("identity", F.concat(F.lit("id-"), F.substring("digest", 1, 16))))
     own = ends.groupBy("v").agg(F.min("value").alias("value"), F.array_join(F.array_sort(F.collect_set("arista_id")), " | ").alias("locator"))
     named = labels.join(own, "v")
-    group = named.groupBy("label").agg(F.array_sort(F.collect_list("v")).alias("mentions"), F.array_sort(F.collect_set(F.substring_index("value", "/", 1))).alias("reports"))
-    group = saved(group.withColumn("digest", F.sha2(F.array_join("mentions", "|"), 256)).withColumn("identity", F.concat(F.lit("id-"), F.substring("digest", 1, 16))).join(who, "label"))
     rows = named.join(group.select("label", "identity", "digest", F.size("mentions").alias("n"), F.array_join("reports", ", ").alias("of"), F.array_join("who", ", ").alias("by"), "when"), "label").withColumn("reportId", F.lit(None).cast("string"))
     facts = {"reports": F.col("of"), "fingerprint": F.concat(F.lit("sha256:"), "digest"), "mentions": F.col("n"), "validated_by": F.nullif(F.col("by"), F.lit("")), "validated_at": F.col("when")}
     edges = edge(rows, ("PERSONA_MENCION", F.col("value")), ("IDENTIDAD", F.col("identity")), "IDENTIFICADO_COMO", F.col("locator"), "consolidacion_identidad", confidence=vocab.MOST, attrs={"by": F.col("by"), "at": F.col("when")}, dst_facts=facts, source=F.concat(F.lit("validacion:identidad:"), "identity"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casegraph.functions import normalize as nz
 from casegraph.functions import vocab
-from casegraph.operators.storage import saved
+from casegraph.operators.storage import parts, saved
 from casegraph.sources.reports import edge
 
 
@@ -269,8 +269,13 @@ def identity_pairs(mentions: DataFrame, cap: int = vocab.PAIR_CAPS["CUENTA"]) ->
     same closure, without the square.
     """
     one = mentions.select("mention", "account").distinct()
-    sizes = one.groupBy("account").agg(F.min("mention").alias("least"), F.count("*").alias("n")).filter("n > 1").withColumn("many", F.expr("n * (n - 1) div 2") > cap)
-    star = one.join(sizes.filter("many"), "account").filter("mention <> least").select(F.col("least").alias("a"), F.col("mention").alias("b"), "account")
-    few = one.join(sizes.filter("not many").select("account"), "account")
-    pairs = few.select("account", F.col("mention").alias("a")).join(few.select("account", F.col("mention").alias("b")), "account").filter("a < b").select("a", "b", "account")
-    return pairs.union(star)
+    sizes = saved(one.groupBy("account").agg(F.count("*").alias("n")).filter("n > 1").withColumn("many", F.expr("n * (n - 1) div 2") > cap))
+    large = one.join(sizes.filter("many").select("account"), "account")
+    least = large.groupBy("account").agg(F.min("mention").alias("least"))
+    star = large.join(least, "account").filter("mention <> least").select(F.col("least").alias("a"), F.col("mention").alias("b"), "account")
+    # An account's mentions are one list (its pairs are at most the cap), and its pairs are made where it is.
+    rows = sizes.filter("not many").agg(F.sum("n")).first()[0]
+    few = one.repartition(parts(one.sparkSession, rows), "account").join(sizes.filter("not many").select("account"), "account")
+    all_ = few.groupBy("account").agg(F.array_sort(F.collect_list("mention")).alias("all"))
+    first = all_.select("account", F.posexplode("all").alias("at", "a"), "all").select("account", "a", F.slice("all", F.col("at") + 2, F.size("all")).alias("rest"))
+    return first.select("a", F.explode("rest").alias("b"), "account").union(star)
