@@ -8,16 +8,19 @@ its own few values in an automaton that reads it once. Hashes only propose; the
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casegraph.operators.storage import saved
+from casegraph.operators.storage import parts, saved
 
 #: Anchors up to this length are whole values.
 WHOLE = 64
@@ -27,8 +30,12 @@ PREFIX = 4
 ANCHOR_BITS, PREFIX_BITS = 26, 23
 #: Code points hashed side by side.
 SLICE = 1 << 20
+#: Up to this many words of a text need no automaton.
+FEW = 8
 #: Kinds of labels, a fixed vocabulary.
 MOST_KINDS = 1000
+#: Types of columns that pass through a task as they are.
+PASSED = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType, T.StringType, T.BinaryType, T.DateType, T.DecimalType)
 #: Stands where a label would else run into its surroundings, or where a text spells a label by itself; doubled if the text has it.
 MARK = "\u2060"
 
@@ -117,26 +124,44 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _proposals(points: np.ndarray, lengths: list[int], anchors: np.ndarray, prefixes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and hashes of substrings that may be anchors."""
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter, a digit or an underscore."""
+    return np.fromiter((chr(i).isalnum() or chr(i) == "_" for i in range(_BETWEEN)), bool, _BETWEEN)
+
+
+def _edges(points: np.ndarray) -> np.ndarray:
+    """Whether a run of letters, digits and underscores starts or ends before each point, and after the last."""
+    letter = np.zeros(len(points) + 2, bool)
+    real = points < _BETWEEN
+    letter[1:-1][real] = _letters()[points[real]]
+    return letter[1:] != letter[:-1]
+
+
+def _proposals(points: np.ndarray, lengths: list[int], anchors: np.ndarray, prefixes: np.ndarray, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of substrings that may be anchors; whole: only those that chosen() may take as whole words."""
+    border = _edges(points) if whole else None
     short, top = [n for n in lengths if n < PREFIX], max(lengths)
     for s in range(0, len(points), SLICE):
         part = points[s : s + SLICE + top]
         hashes, stop = Hashes(part), min(SLICE, len(part))
         starts = np.arange(min(stop, max(len(part) - PREFIX + 1, 0)))
+        starts = starts[border[starts + s]] if whole else starts
         a, b = _places(hashes.of(starts, PREFIX), PREFIX_BITS)
         likely = starts[_set(prefixes, a) & _set(prefixes, b)]
         for n in lengths:
             at = (np.arange(stop) if n in short else likely)
             at = at[at + n <= len(part)]
+            if whole:  # a longer word's end is not known yet
+                at = at[border[at + s] & (border[at + s + n] if n < WHOLE else True)]
             h = hashes.of(at, n)
             a, b = _places(h, ANCHOR_BITS)
             hit = _set(anchors, a) & _set(anchors, b)
             yield at[hit] + s, h[hit]
 
 
-def found(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(id, hash) of words that may be in texts (id, text), each once a text; words from known()."""
+def found(texts: DataFrame, words: DataFrame, whole: bool = False) -> DataFrame:
+    """(id, hash) of words that may be in texts (id, text), each once a text (once a slice of a long one); words from known()."""
     lengths = sorted(r["length"] for r in words.select("length").distinct().collect())  # at most WHOLE and the powers of two
     if not lengths:
         return texts.select("id", F.lit(0).cast("long").alias("hash")).filter("false")
@@ -148,11 +173,27 @@ def found(texts: DataFrame, words: DataFrame) -> DataFrame:
         for b in batches:
             points, starts = _together(list(b["text"]))
             ids = b["id"].to_numpy()
-            for at, h in _proposals(points, lengths, *shared.value):
+            for at, h in _proposals(points, lengths, *shared.value, whole):
                 own = ids[np.searchsorted(starts, at, side="right") - 1]
                 yield pd.DataFrame({"id": own, "hash": h.view(np.int64)}).drop_duplicates()
 
-    return texts.filter("text is not null").mapInPandas(run, "id long, hash long").distinct()
+    return texts.filter("text is not null").mapInPandas(run, "id long, hash long")
+
+
+def _hits(text: str, words: dict[str, str]) -> Iterator[tuple[int, tuple[str, str]]]:
+    """Last place, word and label wherever a word stands in a text; a few short words are looked up one by one."""
+    if len(words) <= FEW and max(map(len, words)) <= WHOLE:
+        for w, label in words.items():
+            at = text.find(w)
+            while at >= 0:
+                yield at + len(w) - 1, (w, label)
+                at = text.find(w, at + 1)
+        return
+    machine = ahocorasick.Automaton()
+    for w, label in words.items():
+        machine.add_word(w, (w, label))
+    machine.make_automaton()
+    yield from machine.iter(text)
 
 
 def chosen(text: str, words: dict[str, str], whole: bool) -> list[tuple[int, int, str]]:
@@ -160,13 +201,9 @@ def chosen(text: str, words: dict[str, str], whole: bool) -> list[tuple[int, int
 
     whole: only where a word starts and ends at the edge of a run of letters, digits and underscores.
     """
-    machine = ahocorasick.Automaton()
-    for w, label in words.items():
-        machine.add_word(w, (w, label))
-    machine.make_automaton()
     letter = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
     edge = lambda i: letter(i - 1) != letter(i)
-    hits = sorted((-len(w), w, end + 1 - len(w), label) for end, (w, label) in machine.iter(text))
+    hits = sorted((-len(w), w, end + 1 - len(w), label) for end, (w, label) in _hits(text, words))
     taken, out = bytearray(len(text)), []
     for size, _, start, label in hits:
         end = start - size
@@ -213,18 +250,23 @@ def _through(texts: DataFrame, column: str, words: DataFrame, kinds: re.Pattern
     others = [F.col(f"`{c}`") for c in texts.columns if c != column]
     rows = saved(texts.select(F.monotonically_increasing_id().alias("id"), F.col(f"`{column}`").alias("text"), F.struct(F.lit(0).alias("0"), F.struct(*others).alias("of") if others else F.lit(0).alias("of")).alias("row")))
     index = saved(known(words))
-    own = found(rows.select("id", "text"), index).join(index.select("hash", "word", "label"), "hash").groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("label").alias("labels"))
+    n = parts(texts.sparkSession, rows.count())
+    own = found(rows.select("id", "text"), index, kinds is None).join(index.select("hash", "word", "label"), "hash").select("id", "word", "label")
+    own = own.repartition(n, "id").groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("label").alias("labels"))
+    by = isinstance(rows.schema["row"].dataType["of"].dataType, T.StructType) and all(isinstance(f.dataType, PASSED) for f in rows.schema["row"].dataType["of"].dataType)
+    beside = "row" if by else "id"  # columns of plain types pass through the tasks, others join again
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for text, w, labels in zip(b["text"], b["words"], b["labels"], strict=True):
+            for text, w, labels in zip(*(b.column(c).to_pylist() for c in ("text", "words", "labels")), strict=True):
                 mine = {} if w is None else dict(zip(w, labels, strict=True))
                 made.append(None if text is None else restore(text, mine) if kinds is None else hide(text, mine, kinds))
-            yield pd.DataFrame({"id": b["id"], "new": made})
+            yield pa.RecordBatch.from_arrays([b.column(beside), pa.array(made, pa.string())], [beside, "new"])
 
-    new = rows.select("id", "text").join(own, "id", "left").mapInPandas(run, "id long, new string")
-    out = rows.select("id", "row").join(new, "id")
+    met = rows.select("id", "text", *(["row"] if by else [])).repartition(n, "id").join(own, "id", "left")
+    new = met.mapInArrow(run, T.StructType([rows.schema[beside], T.StructField("new", T.StringType())]))
+    out = new if by else rows.select("id", "row").join(new, "id")
     return out.select(*[(F.col("new") if c == column else F.col(f"row.of.`{c}`")).alias(c) for c in texts.columns])
 
 

@@ -72,3 +72,18 @@ def test_very_long_text_over_slices(spark, monkeypatch):
     got = pseudonyms.hidden(texts, "text", labels)
     assert got.first()["text"] == re.sub(r"user\d+/name\d+", lambda m: values[m[0]], text)
     assert pseudonyms.restored(got, "text", labels).first()["text"] == text
+
+
+def test_labels_ask_for_themselves_alone(spark):
+    """CUENTA-2 and CUENTA-25 stand in CUENTA-255, but restored() takes whole words: one row for it, not three."""
+    words = pseudonyms.known(spark.createDataFrame([(f"CUENTA-{n}", f"v{n}") for n in range(300)] + [("ñ" * 70, "v")], "word string, label string"))
+    texts = spark.createDataFrame([(1, "CUENTA-255"), (2, "a CUENTA-7."), (3, "xCUENTA-1"), (4, "-" + "ñ" * 70)], "id long, text string")
+    assert sorted(r["id"] for r in pseudonyms.found(texts, words, True).collect()) == [1, 2, 4]
+    assert pseudonyms.found(texts, words).filter("id = 1").count() == 3
+
+
+def test_few_words_as_with_many(monkeypatch):
+    words = {"aa": "1", "aaa": "2", "ab": "3", "b": "4"}
+    few = sorted(pseudonyms._hits("aaaabaab", words))
+    monkeypatch.setattr(pseudonyms, "FEW", 0)
+    assert few == sorted(pseudonyms._hits("aaaabaab", words)) and len(few) == 10
