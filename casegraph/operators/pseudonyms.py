@@ -213,15 +213,21 @@ def chosen(text: str, words: dict[str, str], whole: bool) -> list[tuple[int, int
     return sorted(out)
 
 
+def _is_letter(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def hide(text: str, words: dict[str, str], kinds: re.Pattern) -> str:
     """The text with words as labels; what would not come back by itself is marked."""
     out, last = [], 0
     for start, end, label in [*(chosen(text, words, False) if words else []), (len(text), len(text), "")]:
-        piece = kinds.sub(rf"\g<0>{MARK}", text[last:start].replace(MARK, MARK * 2))
-        if last and re.match(r"\w", piece):  # a label stands before it
+        piece = text[last:start].replace(MARK, MARK * 2)
+        if "-" in piece:  # no kind stands for a label without it
+            piece = kinds.sub(rf"\g<0>{MARK}", piece)
+        if last and _is_letter(piece[:1]):  # a label stands before it
             out.append(MARK)
         out.append(piece)
-        if label and (re.match(r"\w", piece[-1]) if piece else last):
+        if label and (_is_letter(piece[-1]) if piece else last):
             out.append(MARK)
         out.append(label)
         last = end
@@ -232,7 +238,8 @@ def restore(text: str, words: dict[str, str]) -> str:
     """The inverse of hide()."""
     out, last = [], 0
     for start, end, value in [*(chosen(text, words, True) if words else []), (len(text), len(text), "")]:
-        out += [re.sub(f"{MARK}({MARK}?)", r"\1", text[last:start]), value]
+        piece = text[last:start]
+        out += [re.sub(f"{MARK}({MARK}?)", r"\1", piece) if MARK in piece else piece, value]
         last = end
     return "".join(out)
 
@@ -259,8 +266,12 @@ def _through(texts: DataFrame, column: str, words: DataFrame, kinds: re.Pattern
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = []
-            for text, w, labels in zip(*(b.column(c).to_pylist() for c in ("text", "words", "labels")), strict=True):
-                mine = {} if w is None else dict(zip(w, labels, strict=True))
+            words, labels = b.column("words"), b.column("labels")  # lists of one length, read flat
+            at = words.offsets.to_pylist()
+            pairs = list(zip(words.flatten().to_pylist(), labels.flatten().to_pylist(), strict=True))
+            first = at[0] if at else 0
+            for k, text in enumerate(b.column("text").to_pylist()):
+                mine = dict(pairs[at[k] - first : at[k + 1] - first])
                 made.append(None if text is None else restore(text, mine) if kinds is None else hide(text, mine, kinds))
             yield pa.RecordBatch.from_arrays([b.column(beside), pa.array(made, pa.string())], [beside, "new"])
 
