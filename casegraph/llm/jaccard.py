@@ -170,22 +170,34 @@ def decided(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return pairs.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def within_leaves(members: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) of different components in trees of one leaf whose bound reaches the threshold, many trees to a task."""
+def different_trees(members: DataFrame) -> DataFrame:
+    """(key, id, label) of trees of bounded size; of trees with the same members the one of the least key stands for all."""
+    trees = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "label"))).alias("all"))
+    return trees.groupBy("all").agg(F.min("key").alias("key")).select("key", F.explode("all").alias("x")).select("key", "x.id", "x.label")
+
+
+def within_leaves(members: DataFrame, points: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of different components in trees of one leaf whose bound reaches the threshold, many trees to a task.
+
+    members: key, id, label; points: id, n, point. A pair counts in the first tree that both are in, so it is made once.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], kind="stable").reset_index(drop=True)
-        key, n, ids, label = (rows[c].to_numpy() for c in ("key", "n", "id", "label"))
+        key, n, ids, label, keys = (rows[c].to_numpy() for c in ("key", "n", "id", "label", "keys"))
         points = [np.frombuffer(p, np.uint32) for p in rows["point"]]
-        out = set()
+        out = []
         for lo, hi in stretches(key):
+            earlier = [frozenset(k[: np.searchsorted(k, key[lo])].tolist()) for k in keys[lo:hi]]
             for i in range(lo + 1, hi):
                 for k in np.flatnonzero((100 * n[lo:i] >= join.percent * n[i]) & (label[lo:i] != label[i])).tolist():
-                    if (pair := (min(ids[lo + k], ids[i]), max(ids[lo + k], ids[i]))) not in out and join.reaches(most_shared(points[lo + k], points[i]), int(n[lo + k] + n[i])):
-                        out.add(pair)
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=np.int64)
+                    if earlier[i - lo].isdisjoint(earlier[k]) and join.reaches(most_shared(points[lo + k], points[i]), int(n[lo + k] + n[i])):
+                        out.append((min(ids[lo + k], ids[i]), max(ids[lo + k], ids[i])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return dealt(members.select("key", "id", "n", "label", "point"), "key").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    trees = members.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    rows = dealt(members, "key").join(trees, "id").join(points, "id").select("key", "id", "n", "label", "point", "keys", "task")
+    return rows.groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -370,13 +382,16 @@ def jaccard_join(df: DataFrame, join: Join | None = None) -> DataFrame:
     labelled = materialize(members.select("key", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
     trees = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.min_by("label", "id").alias("first")).filter("x <> y and m > 2").select("key", "first", "m")
     rest = labelled.join(trees, "key").select("key", "id", "label", (F.col("label") == F.col("first")).alias("main"), (F.col("m") <= LEAF_POINTS).alias("small"))
-    rest = materialize(rest.join(vertices.select("id", "n", "point"), "id"), "rest")
-    few = within_leaves(rest.filter("small"), join).join(pairs, ["a", "b"], "left_anti")  # those are decided
+    rest = materialize(rest, "rest")
+    points = vertices.select("id", "n", "point")
+    small = materialize(different_trees(rest.filter("small").select("key", "id", "label")), "small")
+    few = within_leaves(small, points, join).join(pairs, ["a", "b"], "left_anti")  # those are decided
     few = materialize(few, "leaf_pairs")
     more = decided(few, sets_of(few.select(F.col("a").alias("id")).union(few.select("b")).distinct()), join)
     links = materialize(links.union(more), "links")
-    large = rest.filter("not small")
+    large = rest.filter("not small").drop("small")
     if not large.isEmpty():
+        large = materialize(large.join(points, "id"), "large")
         links = materialize(links.union(across(large, sets_of, join)), "links")
     labels = components(links)
     least = vertices.select("v", "of", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))

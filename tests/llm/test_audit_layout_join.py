@@ -138,6 +138,24 @@ def test_join_classes_are_those_of_all_pairs(spark, monkeypatch, points, tokens,
     assert sorted(map(tuple, got)) == sorted(brute(rows, 5, 80))
 
 
+def test_pairs_of_small_trees_are_made_once(spark, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "TASK_POINTS", 1)  # a task for each tree
+    tokens = np.arange(100, dtype=np.uint64)
+    points = spark.createDataFrame([(k, 100, bytearray(jaccard.point(tokens))) for k in range(6)], "id long, n long, point binary")
+    # Trees 1 to 40 have the same four members, the others share pairs with them and with each other.
+    trees = {key: range(4) for key in range(1, 41)} | {50: range(1, 6), -9: (0, 5), 60: (2, 3, 5)}
+    members = spark.createDataFrame([(key, k, k) for key, of in trees.items() for k in of], "key long, id long, label long")
+    small = jaccard.different_trees(members)
+    assert sorted((r["key"], r["id"]) for r in small.collect()) == sorted((key, k) for key in (1, 50, -9, 60) for k in trees[key])
+    made = jaccard.within_leaves(small, points, jaccard.Join())
+    assert "Aggregate [a#" not in made._jdf.queryExecution().optimizedPlan().toString()  # before: made for each tree, then distinct
+    assert sorted(map(tuple, made.collect())) == sorted({p for of in trees.values() for p in itertools.combinations(of, 2)})
+
+
 def test_join_of_odd_rows(spark):
     assert jaccard.jaccard_join(frame(spark, [])).count() == 0
     text = " ".join(f"w{k}" for k in range(400_000))  # longer than a slice
