@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegraph.functions import normalize as nz
-from casegraph.operators import graph, identity, similarity, views
+from casegraph.operators import graph, identity, similarity, storage, views
 from casegraph.operators.storage import mark
+from casegraph.plans import run_queries
 from casegraph.sources import reports as source
 
+SMOKE = "/root/testdata/sf0.001"
+
 
 def branches(spark, rows):
     d = spark.createDataFrame(rows, "reportId string, person string, account string, locator string")
@@ -70,3 +73,13 @@ def test_pairs_of_accounts_over_the_cap(spark):
     got = lambda cap: sorted((r["account"], r["a"], r["b"]) for r in similarity.identity_pairs(one, cap).collect())
     assert got(9) == [("j", "m0", "m9")] + [("k", "m0", f"m{n}") for n in range(1, 5)]
     assert got(10) == [("j", "m0", "m9")] + [("k", f"m{a}", f"m{b}") for a, b in itertools.combinations(range(5), 2)]
+
+
+def written(spark, since):
+    return [set(spark.read.parquet(path).columns) for path in storage._MADE[since:]]
+
+
+def test_dossier_pairs_write_no_scored_pairs(spark):
+    before = mark()
+    assert run_queries.dossier_pairs(spark, SMOKE).count()
+    assert written(spark, before) and not any(c & {"a", "locators", "details"} for c in written(spark, before))
