@@ -83,3 +83,13 @@ def test_dossier_pairs_write_no_scored_pairs(spark):
     before = mark()
     assert run_queries.dossier_pairs(spark, SMOKE).count()
     assert written(spark, before) and not any(c & {"a", "locators", "details"} for c in written(spark, before))
+
+
+def test_locators_are_gathered_for_their_query_alone(spark):
+    for name in ("link_details", "rule_use", "weights_bands", "current_links"):
+        before = mark()
+        getattr(run_queries, name)(spark, SMOKE)
+        assert written(spark, before) and not any("locators" in c for c in written(spark, before))
+    before = mark()
+    run_queries.link_locators(spark, SMOKE)
+    assert any("locators" in c for c in written(spark, before))
