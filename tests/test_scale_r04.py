@@ -60,3 +60,32 @@ def test_pagerank_of_groups(spark, compact, monkeypatch, most):
     rounds.clear()
     got = {r["v"]: r["rank"] for r in graph.pagerank(every, vertices, most=most).collect()}
     assert max(abs(got[v] - want[v]) for v in want) < 1e-6 and abs(sum(got.values()) - 1) < 1e-9 and sum(rounds) <= 25
+
+
+@pytest.mark.parametrize("members", [None, 0])
+def test_betweenness_of_groups(spark, compact, members):
+    every, links, whole, labels, vertices = compact
+    kept = {"vertices": vertices, "labels": labels, "exact": 20, "pivots": 12}
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want, got = rows(graph.betweenness(every, 230, 2, **kept)), rows(graph.betweenness(links, 230, whole=whole, **kept, **({} if members is None else {"members": members})))
+    assert len(got) == 230 and any(x[1] for x in got)
+    for (v, *x), (w, *y) in zip(want, got, strict=True):
+        assert v == w and all(abs(p - q) < 1e-9 for p, q in zip(x, y, strict=True))
+
+
+def test_a_link_as_heavy_as_its_group(spark):
+    """Paths count once though a link is no heavier than the group of its pair."""
+    whole = spark.createDataFrame([([1, 2, 3], 0.9), ([3, 4], 0.9), ([2, 4], 0.9)], "at array<long>, weight double")
+    links = spark.createDataFrame([(1, 2, 0.9)], "a long, b long, weight double")
+    every = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (2, 3, 0.9), (3, 4, 0.9), (2, 4, 0.9)], "a long, b long, weight double")
+    labels = graph.components(every)
+    rows = lambda df: sorted((r["v"], round(r["betweenness"], 9)) for r in df.collect())
+    assert rows(graph.betweenness(links, 4, labels=labels, whole=whole)) == rows(graph.betweenness(every, 4))
+
+
+@pytest.mark.parametrize("offers", [graph.OFFERS, 50])
+def test_communities_of_groups(spark, compact, monkeypatch, offers):
+    every, links, whole, labels, _ = compact
+    monkeypatch.setattr(graph, "OFFERS", offers)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.communities(links, labels=labels, whole=whole)) == rows(graph.communities(every))
