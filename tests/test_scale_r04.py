@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from casegraph.functions import vocab
 from casegraph.operators import graph, linkage
 from casegraph.operators.storage import saved
+from casegraph.plans import queries as plans
 
 CAPTURES = [("IP::1", 1, 0, "80", False, "c1"), ("IP::1", 2, 3600, "80", True, "c2"), ("IP::1", 2, 7200, None, False, "c3"), ("IP::1", 3, None, "80", False, "c4")]
 
@@ -89,3 +91,26 @@ def test_communities_of_groups(spark, compact, monkeypatch, offers):
     monkeypatch.setattr(graph, "OFFERS", offers)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(graph.communities(links, labels=labels, whole=whole)) == rows(graph.communities(every))
+
+
+def test_cases_without_caps(spark, monkeypatch):
+    """Identifiers over their cap, some of them in several accounts or from text, give the cases that all of their pairs give."""
+    r = random.Random(4)
+    seen = [(n, kind, f"{kind[0]}{r.randrange(k)}", text and r.random() < 0.05) for n in range(300) for kind, k, text in (("CUENTA", 90, False), ("CUENTA", 400, True), ("DISPOSITIVO", 11, False), ("UBICACION", 3, False), ("ALIAS", 12, False))]
+    idx = saved(linkage.index(spark.createDataFrame(seen, "sid long, kind string, value string, from_text boolean").withColumn("locator", F.lit("x"))))
+    manual, reports = spark.createDataFrame([(0, 1), (7, 3)], "a long, b long"), spark.createDataFrame([(n,) for n in range(310)], "sid long")
+
+    def cases(caps):
+        monkeypatch.setattr(vocab, "PAIR_CAPS", caps)
+        span, pairs, blocks, members = linkage.uncapped(idx, saved(linkage.frequency(idx)), 1000)
+        links = saved(graph.projection(pairs, manual))
+        every = graph.all_cases(graph.components(span.union(manual)), links, reports, graph.Implied(blocks, members, links))[0].select("case", "first_report", "reports", "links")
+        return sorted(map(tuple, every.collect())), links.count(), members.count()
+
+    want, rows, none = cases(dict.fromkeys(vocab.PAIR_CAPS, 10**9))
+    got, fewer, some = cases(dict(vocab.PAIR_CAPS, CUENTA=3, DISPOSITIVO=200, UBICACION=1, ALIAS=1))
+    assert got == want and fewer < rows and not none and some
+
+
+def test_all_cases_has_no_cap():
+    assert "possible_pairs <= cap" not in plans.SQL["all_cases"] and "possible_pairs <= cap" in plans.SQL["cases_whole"]
